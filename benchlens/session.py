@@ -59,10 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
+    """A fresh (not yet existing) path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base) if base.startswith("/") else \
-        f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
 def target_partitions(spark: SparkSession) -> int:

@@ -8,7 +8,9 @@ skew-safe ``running`` helper, so one huge file is numbered by many tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +39,34 @@ def ordered_text(spark: SparkSession, path: str | Sequence[str], glob: str | Non
     if glob:
         r = r.option("pathGlobFilter", glob)
     raw = r.text(path if isinstance(path, str) else list(path))
-    files = sorted(raw.inputFiles())
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, file_rank int")
+    files = sorted(_norm_path(f) for f in raw.inputFiles())
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_fkey string, file_rank int")
     scan = raw.select(
         "value", F.col("_metadata.file_path").alias("file"),
+        _norm_path_col(F.col("_metadata.file_path")).alias("_fkey"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_mid"))
     # The rank table has one row per listed file (bounded by the driver's listing).
-    scan = scan.join(F.broadcast(ranks), on="file", how="inner")
+    scan = scan.join(F.broadcast(ranks), on="_fkey", how="inner").drop("_fkey")
     return scan.select(
         "file", "file_rank", "value", "_start",
         (F.col("file_rank") + F.col("_start") / (F.col("_size") + F.lit(1))).alias("_ord"), "_mid")
 
 
+_SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):/+")
+
+
+def _norm_path(p: str) -> str:
+    """Same key for 'file:///a' and 'file:/a', percent-decoded (listing vs metadata forms)."""
+    return unquote(_SCHEME.sub(r"\1:/", p))
+
+
+def _norm_path_col(c):
+    c = F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def file_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """(file, line_no, text): numbered lines of every file under ``path``."""
     t = ordered_text(spark, path, glob)
