@@ -24,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, block, program, cpu, r2, n) over the whole ``events`` table."""
+    """(run, block, program, cpu, r2, n, first_ts) over the whole ``events`` table.
+
+    ``first_ts`` (the program's first event in the run) gives the row order of
+    a block's result list for the order-sensitive alignment.
+    """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     run = F.when(F.col("ts") < F.lit(RUN_SPLIT_TS).cast("timestamp"), F.lit("A")).otherwise(F.lit("B"))
     ev = ev.withColumn("run", run)
@@ -38,7 +42,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = (seq.groupBy("run", "block", "program")
            .agg(F.round(F.regr_slope("y", "i"), 9).alias("cpu"),
                 F.round(F.regr_r2("y", "i"), 9).alias("r2"),
-                F.count(F.lit(1)).alias("n"))
+                F.count(F.lit(1)).alias("n"),
+                F.min("ts").alias("first_ts"))
            .where(F.col("n") >= MIN_POINTS))
     return fit
 

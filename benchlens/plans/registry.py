@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from benchlens.plans import (compare_queries, corpus_queries, kmer_queries, pairwise_queries,
-                             source_queries, text_queries)
+                             report_queries, source_queries, text_queries)
 
 _MODULES = [compare_queries, kmer_queries, corpus_queries, text_queries, pairwise_queries,
-            source_queries]
+            source_queries, report_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
