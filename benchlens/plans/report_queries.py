@@ -64,9 +64,9 @@ SELECT r_name, 'module Check' || replace(initcap_r, ' ', '') || ' where' || chr(
        || 'main :: IO ()' || chr(10) || 'main = pure ()' AS doc
 FROM (SELECT r_name, n_name,
              array_to_string(list_transform(string_split(lower(r_name), ' '),
-                                            w -> upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_r,
+                                            lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_r,
              array_to_string(list_transform(string_split(lower(n_name), ' '),
-                                            w -> upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_n FROM j)
+                                            lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_n FROM j)
 GROUP BY r_name, initcap_r""",
     "stream_tee": """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, s.sink
