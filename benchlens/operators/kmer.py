@@ -102,15 +102,24 @@ def _quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
 
+def chunks_of(text: Column, size: int) -> Column:
+    """Array of consecutive ``size``-character pieces of ``text`` (the last may be shorter).
+
+    One linear regex pass; cutting with ``substring`` at growing offsets would
+    rescan the UTF-8 text from its start for every piece.
+    """
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), 0)
+
+
 def chunk_text(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """Cut each text into numbered chunks of ``size`` characters: (id, chunk_pos, chunk)."""
-    n = F.length(F.col(text))
-    nchunks = F.greatest(F.ceil(n / F.lit(size)).cast("int"), F.lit(1))
-    return df.select(*[c for c in df.columns if c != text],
-                     F.posexplode(F.sequence(F.lit(0), nchunks - 1)).alias("chunk_pos", "_c"),
-                     F.col(text).alias("_t")).select(
-        *[c for c in df.columns if c != text], "chunk_pos",
-        F.substring(F.col("_t"), F.col("_c") * size + 1, size).alias("chunk"))
+    """Cut each text into numbered chunks of ``size`` characters: (id, chunk_pos, chunk).
+
+    An empty text gives one empty chunk, so every id keeps a row.
+    """
+    keep = [c for c in df.columns if c != text]
+    pieces = chunks_of(F.col(text), size)
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    return df.select(*keep, F.posexplode(pieces).alias("chunk_pos", "chunk"))
 
 
 def with_halo(chunks: DataFrame, seq_id: Sequence[str], k: int, pos: str = "chunk_pos",
@@ -125,6 +134,11 @@ def with_halo(chunks: DataFrame, seq_id: Sequence[str], k: int, pos: str = "chun
     seq_id = list(seq_id)
     if k <= 1:
         return chunks.withColumn("halo", F.lit(""))
+    if reach == 1:
+        nxt = chunks.select(*seq_id, (F.col(pos) - 1).alias(pos),
+                            F.substring(F.col(chunk), 1, k - 1).alias("halo"))
+        return chunks.join(nxt, on=[*seq_id, pos], how="left").withColumn(
+            "halo", F.coalesce(F.col("halo"), F.lit("")))
     pieces = chunks.select(
         *seq_id, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_d"),
         F.col(pos).alias("_src"), F.substring(F.col(chunk), 1, k - 1).alias("_piece")).select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.operators.kmer import letters_upper
+from benchlens.operators.kmer import chunks_of, letters_upper
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
 from benchlens.sinks.writers import write_results
@@ -100,17 +100,11 @@ def fasta_section(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as one FASTA file set (header + 60-letter lines), then one section read back."""
     root = scratch_path(spark, "fasta")
     d = table(spark, sf, "documents").select("doc_id", "lang", letters_upper("text").alias("seq"))
-    n = F.greatest(F.ceil(F.length("seq") / F.lit(FASTA_LINE)).cast("int"), F.lit(0))
-    body = d.select("doc_id", F.explode(F.sequence(F.lit(1), n)).alias("line_idx"), "seq").where(
-        F.col("line_idx") >= 1).select(
-        "doc_id", "line_idx", F.lower(F.substring("seq", (F.col("line_idx") - 1) * FASTA_LINE + 1,
-                                                  FASTA_LINE)).alias("text"))
-    head = d.select("doc_id", F.lit(0).alias("line_idx"),
-                    F.concat(F.lit(">DOC"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang")).alias("text"))
-    lines = head.unionByName(body)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    (lines.repartitionByRange(parts, "doc_id", "line_idx").sortWithinPartitions("doc_id", "line_idx")
-     .select("text").write.text(root))
+    # Header and sequence lines of a document come out of one row, in order, so
+    # they stay together in one output file without any shuffle.
+    head = F.concat(F.lit(">DOC"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"))
+    lines = d.select(F.explode(F.concat(F.array(head), chunks_of(F.lower("seq"), FASTA_LINE))).alias("text"))
+    lines.write.text(root)
     return S.scan_fasta(spark, root, f">DOC{FASTA_DOC} ")
 
 
