@@ -101,4 +101,5 @@ def read_package_cache(spark: SparkSession, path: str) -> DataFrame:
     checked = parsed.select(F.when(bad, F.raise_error(F.concat(F.lit("Corrupt package cache: "),
                                                                  F.substring("value", 1, 80))))
                             .otherwise(F.col("j.packages")).alias("p"))
-    return checked.select(F.element_at(F.split(F.explode("p"), "/"), -1).alias("package"))
+    return checked.select(F.explode("p").alias("_e")).select(
+        F.element_at(F.split("_e", "/"), -1).alias("package"))

@@ -1,0 +1,55 @@
+import random
+from collections import Counter
+
+import pytest
+
+from benchlens.operators import kmer as K
+
+
+def _brute(texts, k):
+    c = Counter()
+    for t in texts:
+        for i in range(len(t) - k + 1):
+            c[t[i:i + k]] += 1
+    return dict(c)
+
+
+def _texts():
+    rnd = random.Random(7)
+    return ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 300))) for _ in range(30)] + ["A", "AC", ""]
+
+
+def test_counts_match_brute_force_and_short_texts(spark):  # A6, D16
+    texts = _texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, seq string")
+    for k in (1, 2, 3, 5):
+        got = {r.kmer: r.n for r in K.kmer_counts(df, "seq", k).collect()}
+        assert got == _brute(texts, k)
+
+
+@pytest.mark.parametrize("size,reach", [(1, 4), (3, 2), (7, 1), (60, 1), (997, 1)])
+def test_chunked_counts_do_not_depend_on_chunking(spark, size, reach):  # W2 halo
+    texts = _texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, seq string")
+    chunks = K.chunk_text(df, "id", "seq", size)
+    got = {r.kmer: r.n for r in K.kmer_counts_chunked(chunks, ["id"], 4, reach=reach).collect()}
+    assert got == _brute(texts, 4)
+
+
+def test_probe_counts_overlap_and_zero(spark):  # J7
+    df = spark.createDataFrame([("AAAA",), ("xAAAx",)], "seq string")
+    got = {r.probe: r.n for r in K.probe_counts(df, "seq", ["AAA", "A.A", "ZZZ"]).collect()}
+    assert got == {"AAA": 3, "A.A": 0, "ZZZ": 0}
+
+
+def test_letters_and_share(spark):
+    df = spark.createDataFrame([("ab-c\nd ß",)], "t string")
+    assert df.select(K.letters_upper("t").alias("s")).first().s == "ABCD"
+    f = K.kmer_freq(spark.createDataFrame([("AAB",)], "s string"), "s", 1).collect()
+    assert {r.kmer: round(r.pct, 6) for r in f} == {"A": 66.666667, "B": 33.333333}
+
+
+def test_top_kmers_order(spark):
+    df = spark.createDataFrame([("ABABABCC",)], "s string")
+    top = K.top_kmers(K.kmer_freq(df, "s", 1), 2).orderBy("rank").collect()
+    assert [(r.kmer, r.n) for r in top] == [("A", 3), ("B", 3)]
