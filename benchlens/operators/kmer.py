@@ -60,15 +60,13 @@ def with_share(counts: DataFrame, by: Sequence[str] = (), n: str = "n", out: str
     """Percent of the group's total (the reference's length - k + 1 when all k-mers count).
 
     Group totals are a separate small aggregate joined back on the group keys
-    (no window over a whole group).
+    (no window over a whole group); a single total is a scalar subquery.
     """
-    keys = list(by) or ["_all"]
-    c = counts if by else counts.withColumn("_all", F.lit(0))
-    tot = c.groupBy(*keys).agg(F.sum(n).alias("_tot"))
-    if not by:  # exactly one row: a proven size bound
-        tot = F.broadcast(tot)
-    j = c.join(tot, on=keys, how="inner")
-    return j.withColumn(out, F.lit(100.0) * F.col(n) / F.col("_tot")).drop("_tot", "_all")
+    if not by:  # one total: a scalar subquery, no join
+        return counts.withColumn(out, F.lit(100.0) * F.col(n) / counts.agg(F.sum(n)).scalar())
+    tot = counts.groupBy(*by).agg(F.sum(n).alias("_tot"))
+    return (counts.join(tot, on=list(by), how="inner")
+            .withColumn(out, F.lit(100.0) * F.col(n) / F.col("_tot")).drop("_tot"))
 
 
 def kmer_freq(df: DataFrame, text: str, k: int, by: Sequence[str] = ()) -> DataFrame:

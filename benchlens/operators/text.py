@@ -23,12 +23,7 @@ def token_usage(lines: DataFrame, text: str, tokens: Sequence[str], by: Sequence
     pat = r"(?<!\p{L})(" + alt + r")(?!\p{L})"
     hits = lines.select(*by, F.explode(F.regexp_extract_all(t, F.lit(pat), 1)).alias("token"))
     counts = hits.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
-    keys = list(by) or ["_all"]
-    c = counts if by else counts.withColumn("_all", F.lit(0))
-    tot = c.groupBy(*keys).agg(F.sum("n").alias("total"))
-    if not by:  # one row: a proven size bound
-        tot = F.broadcast(tot)
-    return c.join(tot, on=keys, how="inner").drop("_all")
+    return _with_total(counts, by, "total")
 
 
 def usage_kind(text: Column | str, kinds: dict[str, str]) -> Column:
@@ -84,12 +79,15 @@ def log_segments(lines: DataFrame, by: Sequence[str], order: Sequence[str], is_s
 def outcome_summary(outcomes: DataFrame, by: Sequence[str] = (), status: str = "status") -> DataFrame:
     """Per group and status: n, total, share and the 'k/n ... succeeded|failed' line."""
     counts = outcomes.groupBy(*by, status).agg(F.count(F.lit(1)).alias("n"))
-    keys = list(by) or ["_all"]
-    c = counts if by else counts.withColumn("_all", F.lit(0))
-    tot = c.groupBy(*keys).agg(F.sum("n").alias("total"))
-    if not by:
-        tot = F.broadcast(tot)
-    j = c.join(tot, on=keys, how="inner").drop("_all")
+    j = _with_total(counts, by, "total")
     verb = F.when(F.col(status) == "ok", F.lit("succeeded")).otherwise(F.lit("failed"))
     return j.withColumn("share", F.col("n") / F.col("total")).withColumn(
         "summary", F.format_string("%d/%d packages %s", F.col("n"), F.col("total"), verb))
+
+
+def _with_total(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Add the group's sum of ``n``: a small aggregate joined back, or a scalar subquery."""
+    if not by:
+        return counts.withColumn(name, counts.agg(F.sum("n")).scalar())
+    tot = counts.groupBy(*by).agg(F.sum("n").alias(name))
+    return counts.join(tot, on=list(by), how="inner")

@@ -120,11 +120,11 @@ def scan_fasta(spark: SparkSession, path: str | Sequence[str], marker: str, to_e
     is_head = F.col("value").startswith(">")
     t = t.withColumn("_h", F.when(is_head, F.lit(1)).otherwise(F.lit(0)))
     n = running(t, [], ["_ord", "_mid"], sums={"_sec": "_h"}, index="_gl", bucket_on="_ord")
-    hit = n.where(F.col("value").startswith(marker)).agg(
-        F.min_by("_gl", "_gl").alias("_hl"), F.min_by("_sec", "_gl").alias("_hs"),
-        F.min_by("value", "_gl").alias("section"))
-    # ``hit`` is a global aggregate: exactly one row, so broadcasting it is size-proven.
-    j = n.withColumn("_k", F.lit(0)).join(F.broadcast(hit.withColumn("_k", F.lit(0))), on="_k")
+    hit = n.where(F.col("value").startswith(marker)).agg(F.min_by(
+        F.struct(F.col("_gl").alias("hl"), F.col("_sec").alias("hs"), F.col("value").alias("v")),
+        "_gl").alias("h"))
+    h = hit.select("h").scalar()  # one row: a scalar subquery, no join
+    j = n.withColumns({"_hl": h["hl"], "_hs": h["hs"], "section": h["v"]})
     cond = (F.col("_gl") > F.col("_hl")) & (
         F.lit(True) if to_eof else (F.col("_sec") == F.col("_hs")))
     sel = j.where(cond)
