@@ -88,16 +88,21 @@ def orphan_blocks(a: DataFrame, b: DataFrame, block: str = "block") -> DataFrame
 
 def orphan_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("block", "program"),
                 block: str = "block", measure: str = "cpu", quality: str = "r2") -> DataFrame:
-    """Rows of blocks present on both sides that have no partner, before any gate."""
+    """Rows of blocks present on both sides that have no partner, before any gate.
+
+    One full outer alignment on the keys; the blocks present on both sides are
+    a small per-block aggregate of it, semi-joined back on ``block``.
+    """
     keys = list(keys)
-    matched = a.select(block).distinct().join(b.select(block).distinct(), on=[block], how="inner")
-    a_m = a.join(matched, on=[block], how="left_semi")
-    b_m = b.join(matched, on=[block], how="left_semi")
-    cols = [*keys, measure, quality]
-    return (a_m.join(b_m.select(*keys), on=keys, how="left_anti").select(*cols)
-            .withColumn("side", F.lit(FIRST))
-            .unionByName(b_m.join(a_m.select(*keys), on=keys, how="left_anti").select(*cols)
-                         .withColumn("side", F.lit(SECOND))))
+    al = align_results(a, b, keys=keys, measure=measure, quality=quality)
+    matched = (al.groupBy(block)
+               .agg(F.max(F.col("side") != SECOND).alias("_h1"),   # some row from the first side
+                    F.max(F.col("side") != FIRST).alias("_h2"))    # some row from the second side
+               .where(F.col("_h1") & F.col("_h2")).select(block))
+    one = al.where(F.col("side") != BOTH).join(matched, on=[block], how="left_semi")
+    return one.select(*keys, F.coalesce(F.col(f"{measure}1"), F.col(f"{measure}2")).alias(measure),
+                      F.when(F.col("side") == FIRST, F.col(f"{quality}_1"))
+                      .otherwise(F.col(f"{quality}_2")).alias(quality), "side")
 
 
 def gated_pairs(aligned: DataFrame, threshold: float = 0.95, quality: str = "r2") -> DataFrame:

@@ -69,7 +69,7 @@ def scan_results(spark: SparkSession, root: str | Sequence[str], columns: dict[s
         typed = raw if types.get(k, "string") == "string" else raw.try_cast(types[k])
         out_cols[k] = typed
         bad = bad | (F.col(f"_ix_{k}") == 0) | (raw.isNotNull() & typed.isNull()) | raw.isNull()
-    rows = data.select("file", "file_rank", "_ord", "_mid", "value",
+    rows = data.select("file", "_ord", "_mid", "value",
                        drop_extension(base_name("file")).alias("block"),
                        *[c.alias(k) for k, c in out_cols.items()], bad.alias("_bad"))
     keep = ["file", "block", "_ord", "_mid", *columns.keys()]
@@ -116,7 +116,7 @@ def scan_fasta(spark: SparkSession, path: str | Sequence[str], marker: str, to_e
     order; the running header count uses the skew-safe ``running`` helper, so a
     single huge file is handled by many tasks.
     """
-    t = ordered_text(spark, path, glob=glob)
+    t = ordered_text(spark, path, glob=glob, rank_files=True)
     is_head = F.col("value").startswith(">")
     t = t.withColumn("_h", F.when(is_head, F.lit(1)).otherwise(F.lit(0)))
     n = running(t, [], ["_ord", "_mid"], sums={"_sec": "_h"}, index="_gl", bucket_on="_ord")

@@ -25,13 +25,14 @@ def table_lines(df: DataFrame, ids: Sequence[str], text: str, line: str = "line"
 
 
 def ordered_text(spark: SparkSession, path: str | Sequence[str], glob: str | None = None,
-                 recursive: bool = True) -> DataFrame:
-    """Raw lines with their order keys: (file, value, _ord, _mid).
-
-    ``_ord`` = file rank + split start / file size, a number that increases
-    along the files (in path order) and along each file; ``_mid`` orders the
-    lines inside one split. File ranks come from the driver's own file
-    listing (which Spark builds anyway to plan the scan).
+                 recursive: bool = True, rank_files: bool = False) -> DataFrame:
+    """Raw lines with their order keys: (file, value, _start, _ord, _mid[, file_rank]).
+
+    ``_ord`` = split start / file size orders the splits of one file;
+    ``_mid`` orders the lines inside one split. With ``rank_files`` the file's
+    rank in path order is added to ``_ord`` so it also orders lines across
+    files; the ranks come from the driver's own file listing (which Spark
+    builds anyway to plan the scan) and join as a table of one row per file.
     """
     r = spark.read
     if recursive:
@@ -39,19 +40,19 @@ def ordered_text(spark: SparkSession, path: str | Sequence[str], glob: str | Non
     if glob:
         r = r.option("pathGlobFilter", glob)
     raw = r.text(path if isinstance(path, str) else list(path))
-    files = sorted(_norm_path(f) for f in raw.inputFiles())
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_fkey string, file_rank int")
     scan = raw.select(
         "value", F.col("_metadata.file_path").alias("file"),
-        _norm_path_col(F.col("_metadata.file_path")).alias("_fkey"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_mid"))
-    # The rank table has one row per listed file (bounded by the driver's listing).
+    frac = F.col("_start") / (F.col("_size") + F.lit(1))
+    if not rank_files:
+        return scan.select("file", "value", "_start", frac.alias("_ord"), "_mid")
+    files = sorted(_norm_path(f) for f in raw.inputFiles())
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_fkey string, file_rank int")
+    scan = scan.withColumn("_fkey", _norm_path_col(F.col("file")))
     scan = scan.join(F.broadcast(ranks), on="_fkey", how="inner").drop("_fkey")
-    return scan.select(
-        "file", "file_rank", "value", "_start",
-        (F.col("file_rank") + F.col("_start") / (F.col("_size") + F.lit(1))).alias("_ord"), "_mid")
+    return scan.select("file", "file_rank", "value", "_start", (F.col("file_rank") + frac).alias("_ord"), "_mid")
 
 
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):/+")
@@ -71,4 +72,4 @@ def file_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
     """(file, line_no, text): numbered lines of every file under ``path``."""
     t = ordered_text(spark, path, glob)
     n = running(t, ["file"], ["_start", "_mid"], index="line_no", bucket_on="_ord")
-    return n.select("file", "line_no", F.col("value").alias("text"), "file_rank", "_ord", "_mid")
+    return n.select("file", "line_no", F.col("value").alias("text"), "_ord", "_mid")
