@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchlens.functions import scalar as X
 from benchlens.operators.kmer import chunks_of, letters_upper
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
@@ -53,8 +54,7 @@ def _tagged_orders(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", "o_totalprice",
         F.col("o_orderstatus").alias("variant"),
         F.format_string("lts-%d.%d", F.year("o_orderdate") - 1990, F.quarter("o_orderdate")).alias("target"),
-        F.date_format(F.date_trunc("year", F.col("o_orderdate").cast("timestamp")),
-                      "yyyy-MM-dd-HH:mm:ss").alias("run_ts"))
+        X.ts_path_text(F.date_trunc("year", F.col("o_orderdate").cast("timestamp"))).alias("run_ts"))
 
 
 def path_tags(spark: SparkSession, sf: str) -> DataFrame:
