@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.operators.ordered import top_n_per_group
+from benchlens.operators.ordered import running, top_n_per_group
+from benchlens.session import checkpoint_dir
 
 
 def letters_upper(c: Column | str) -> Column:
@@ -56,6 +57,15 @@ def kmer_counts(df: DataFrame, text: str, k: int, by: Sequence[str] = ()) -> Dat
     return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kmer_counts_multi(df: DataFrame, text: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., k, kmer, n) for several sizes, as one job (a union of per-size counts)."""
+    out = None
+    for k in ks:
+        c = kmer_counts(df, text, k, by).withColumn("k", F.lit(k))
+        out = c if out is None else out.unionByName(c)
+    return out.select(*by, "k", "kmer", "n")
+
+
 def with_share(counts: DataFrame, by: Sequence[str] = (), n: str = "n", out: str = "pct") -> DataFrame:
     """Percent of the group's total (the reference's length - k + 1 when all k-mers count).
 
@@ -160,14 +170,28 @@ def kmer_counts_chunked(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Se
     return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def freq_lines(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """'KMER pct' lines (3 decimals, half-to-even) with their rank in sort order."""
-    from pyspark.sql import Window
+SMALL_GROUP_ROWS = 1_000_000
+
 
-    w = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("kmer").asc())
-    return freq.select(*by, F.row_number().over(w).alias("pos"),
-                       F.format_string("%s %.3f", F.col("kmer"),
-                                       F.rint(F.col("pct") * 1000.0) / 1000.0).alias("line"))
+def freq_lines(freq: DataFrame, by: Sequence[str] = (), rows_bound: int | None = None) -> DataFrame:
+    """'KMER pct' lines (3 decimals, half-to-even) with their rank in sort order.
+
+    The rank (count desc, k-mer asc) comes from the range-bucketed ``running``
+    helper, so no single task ranks a whole group. ``rows_bound`` is a proven
+    bound on k-mers per group (alphabet size ** k); when it is small the group
+    is ranked in one window. Otherwise the counts are first checkpointed to the
+    shared checkpoint folder, so the bucket-limit job and the ranking read them
+    instead of recounting the input.
+    """
+    small = rows_bound is not None and rows_bound <= SMALL_GROUP_ROWS
+    if not small:
+        checkpoint_dir(freq.sparkSession)
+        freq = freq.checkpoint(eager=True)
+    ranked = running(freq.withColumn("_negn", -F.col("n")), list(by), ["_negn", "kmer"],
+                     index="pos", bucket_on="_negn", n_buckets=1 if small else None)
+    return ranked.select(*by, F.col("pos").cast("int").alias("pos"),
+                         F.format_string("%s %.3f", F.col("kmer"),
+                                         F.rint(F.col("pct") * 1000.0) / 1000.0).alias("line"))
 
 
 def probe_lines(counts: DataFrame) -> DataFrame:

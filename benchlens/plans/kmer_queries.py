@@ -35,18 +35,15 @@ def kmer_specific(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes 1 and 2 (one counting pass, ranked per size) and the probe lines, as one list."""
     seq = _letters(spark, sf)
-    parts = []
-    for k in (1, 2):
-        lines = K.freq_lines(K.kmer_freq(seq, "seq", k))
-        parts.append(lines.select(F.lit(f"k{k}").alias("section"), "pos", "line"))
+    freq = K.with_share(K.kmer_counts_multi(seq, "seq", [1, 2]), by=["k"])
+    # Letters are A-Z, so a size has at most 26**2 distinct k-mers.
+    lines = K.freq_lines(freq, by=["k"], rows_bound=26 ** 2).select(
+        F.concat(F.lit("k"), F.col("k").cast("string")).alias("section"), "pos", "line")
     pc = K.probe_lines(K.probe_counts(seq, "seq", PROBES))
     order = F.array_position(F.array(*[F.lit(p) for p in PROBES]), F.col("probe")).cast("int")
-    parts.append(pc.select(F.lit("probe").alias("section"), order.alias("pos"), "line"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return lines.unionByName(pc.select(F.lit("probe").alias("section"), order.alias("pos"), "line"))
 
 
 def kmer_halo(spark: SparkSession, sf: str) -> DataFrame:
