@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.session import target_partitions
+from benchlens.session import checkpoint_dir, target_partitions
 
 _BUCKET = "_ord_bucket"
 
@@ -61,6 +61,16 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     return _bucket_of(v, bounds, 0, len(bounds))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used before chains of ordered steps, whose bucket-limit jobs would
+    otherwise each recompute the whole upstream plan.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _group_cols(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     """Non-null stand-ins for the group keys (value or default, plus a null flag).
 
@@ -81,20 +91,23 @@ def _group_cols(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
             sums: dict[str, Column | str] | None = None, index: str | None = "_i",
             total: str | None = None, bucket_on: str | None = None,
-            n_buckets: int | None = None) -> DataFrame:
+            n_buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add a 1-based row index and running sums inside ``keys``, in ``order``.
 
     ``order`` must be a total order inside a group (add a unique tie-breaker).
     ``total`` adds the group's row count. ``bucket_on`` names the column the
     range buckets are cut on (default: the first order column, which must be a
-    plain column name).
+    plain column name). ``bucket`` passes ready bucket numbers (from
+    ``range_buckets``) so several steps can share one limit job; they must be
+    non-decreasing along ``order``.
     """
     sums = dict(sums or {})
     keys = list(keys)
     first = bucket_on or order[0]
     if not isinstance(first, str):
         raise ValueError("running(): give bucket_on= when the first order item is an expression")
-    b, gk = _group_cols(df.withColumn(_BUCKET, range_buckets(df, first, n_buckets)), keys)
+    bk = bucket if bucket is not None else range_buckets(df, first, n_buckets)
+    b, gk = _group_cols(df.withColumn(_BUCKET, bk), keys)
     w_local = Window.partitionBy(*gk, _BUCKET).orderBy(*order)
     frame = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local_cols = {"_li": F.row_number().over(w_local)}

@@ -4,7 +4,9 @@ Rows that moved become two orphans, as in a sequence diff. The key-based
 full outer join (``compare.align_results``) is the order-free alternative and
 the default everywhere else.
 
-Per block, LCS = longest strictly increasing subsequence of the second-side
+Blocks whose paired rows are already in the same order on both sides are
+resolved with joins only; for the others, per block, LCS = longest strictly
+increasing subsequence of the second-side
 positions over all matching (i, j) pairs taken by i ascending and j
 descending (Hunt-Szymanski); it is exact with duplicate keys and costs
 O(r log r) for r matching pairs. Among alignments of equal length the one
@@ -16,10 +18,11 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchlens.operators.compare import BOTH, FIRST, SECOND
+from benchlens.operators.ordered import materialize, range_buckets, running
 
 SEQ_SCHEMA = ("block string, program string, side string, cpu1 double, r2_1 double, cpu2 double, "
               "r2_2 double, ratio double, pos1 long, pos2 long")
@@ -54,9 +57,10 @@ def lcs_pairs(ka: list, kb: list) -> list[tuple[int, int]]:
 
 
 def _align_block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Exact LCS alignment of one block; rows carry their block positions in ``pos``."""
     block = key[0]
-    a = a.sort_values(["_o", "program"], kind="mergesort").reset_index(drop=True)
-    b = b.sort_values(["_o", "program"], kind="mergesort").reset_index(drop=True)
+    a = a.sort_values("pos", kind="mergesort").reset_index(drop=True)
+    b = b.sort_values("pos", kind="mergesort").reset_index(drop=True)
     pairs = lcs_pairs(a["program"].tolist(), b["program"].tolist())
     used_a = {i for i, _ in pairs}
     used_b = {j for _, j in pairs}
@@ -64,32 +68,80 @@ def _align_block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     for i, j in pairs:
         c1, c2 = float(a.at[i, "cpu"]), float(b.at[j, "cpu"])
         rows.append((block, a.at[i, "program"], BOTH, c1, float(a.at[i, "r2"]), c2, float(b.at[j, "r2"]),
-                     (c2 / c1) if c1 != 0 else None, i, j))
+                     (c2 / c1) if c1 != 0 else None, int(a.at[i, "pos"]), int(b.at[j, "pos"])))
     for i in range(len(a)):
         if i not in used_a:
             rows.append((block, a.at[i, "program"], FIRST, float(a.at[i, "cpu"]), float(a.at[i, "r2"]),
-                         None, None, None, i, None))
+                         None, None, None, int(a.at[i, "pos"]), None))
     for j in range(len(b)):
         if j not in used_b:
             rows.append((block, b.at[j, "program"], SECOND, None, None, float(b.at[j, "cpu"]),
-                         float(b.at[j, "r2"]), None, None, j))
+                         float(b.at[j, "r2"]), None, None, int(b.at[j, "pos"])))
     cols = ["block", "program", "side", "cpu1", "r2_1", "cpu2", "r2_2", "ratio", "pos1", "pos2"]
     out = pd.DataFrame(rows, columns=cols)
     return out.astype({"pos1": "Int64", "pos2": "Int64"})
 
 
+def _positions(df: DataFrame, order: str, block: str, key: str, measure: str, quality: str) -> DataFrame:
+    """(block, program, pos, occ, cpu, r2): 0-based position in the block and occurrence of the key.
+
+    Both numberings follow ``order`` inside the block, so they share one set of
+    range-bucket limits.
+    """
+    p = materialize(df.select(
+        F.col(block).alias("block"), F.col(key).alias("program"), F.col(order).alias("_o"),
+        F.col(measure).cast("double").alias("cpu"), F.col(quality).cast("double").alias("r2")))
+    bk = range_buckets(p, "_o")
+    p = running(p, ["block"], ["_o", "program"], index="_p1", bucket=bk)
+    p = running(p, ["block", "program"], ["_o"], index="occ", bucket=bk)
+    return p.select("block", "program", (F.col("_p1") - 1).alias("pos"), "occ", "cpu", "r2")
+
+
+def _reordered_blocks(both: DataFrame) -> DataFrame:
+    """Blocks whose pairs, taken in first-side order, do not increase on the second side.
+
+    Descents are counted inside range buckets of ``pos1`` (a ``lag`` window per
+    (block, bucket)) and across bucket borders from a small per-(block, bucket)
+    table, so a hot block is checked by many tasks.
+    """
+    b = both.select("block", "pos1", "pos2").withColumn("_b", range_buckets(both, "pos1"))
+    w = Window.partitionBy("block", "_b").orderBy("pos1")
+    b = b.withColumn("_prev", F.lag("pos2").over(w))
+    per = b.groupBy("block", "_b").agg(
+        F.count_if(F.col("_prev").isNotNull() & (F.col("pos2") < F.col("_prev"))).alias("_d"),
+        F.min_by("pos2", "pos1").alias("_first"), F.max_by("pos2", "pos1").alias("_last"))
+    wb = Window.partitionBy("block").orderBy("_b")
+    per = per.withColumn("_edge", F.coalesce(F.lag("_last").over(wb) > F.col("_first"), F.lit(False)))
+    return per.where((F.col("_d") > 0) | F.col("_edge")).select("block").distinct()
+
+
 def align_sequence(a: DataFrame, b: DataFrame, order: str, block: str = "block",
                    key: str = "program", measure: str = "cpu", quality: str = "r2") -> DataFrame:
     """Order-sensitive alignment per block; ``order`` gives the row order on each side.
 
-    Each block is aligned inside one task (a sequence alignment is ordered
-    work); blocks are spread over tasks by the cogroup shuffle.
+    Positions and occurrence numbers come from the skew-safe ``running``
+    helper; the n-th occurrences of a key are paired by a full outer join. In
+    a block where these pairs are in the same order on both sides, they
+    already form a longest common subsequence (no alignment can pair more),
+    so the block is done without Python. Only blocks with reordered rows go to
+    the exact per-block LCS (``cogroup().applyInPandas``), one block per task.
     """
-    def prep(df: DataFrame) -> DataFrame:
-        return df.select(F.col(block).alias("block"), F.col(key).alias("program"),
-                         F.col(order).alias("_o"), F.col(measure).cast("double").alias("cpu"),
-                         F.col(quality).cast("double").alias("r2"))
-
-    ga = prep(a).groupBy("block")
-    gb = prep(b).groupBy("block")
-    return ga.cogroup(gb).applyInPandas(_align_block, SEQ_SCHEMA)
+    pa = _positions(a, order, block, key, measure, quality)
+    pb = _positions(b, order, block, key, measure, quality)
+    la = pa.select("block", "program", "occ", F.col("pos").alias("pos1"), F.col("cpu").alias("cpu1"),
+                   F.col("r2").alias("r2_1"))
+    lb = pb.select("block", "program", "occ", F.col("pos").alias("pos2"), F.col("cpu").alias("cpu2"),
+                   F.col("r2").alias("r2_2"))
+    m = materialize(la.join(lb, on=["block", "program", "occ"], how="full_outer"))
+    reordered = _reordered_blocks(m.where(F.col("pos1").isNotNull() & F.col("pos2").isNotNull()))
+
+    side = (F.when(F.col("pos1").isNotNull() & F.col("pos2").isNotNull(), F.lit(BOTH))
+            .when(F.col("pos1").isNotNull(), F.lit(FIRST)).otherwise(F.lit(SECOND)))
+    in_order = m.join(reordered, on="block", how="left_anti").select(
+        "block", "program", side.alias("side"), "cpu1", "r2_1", "cpu2", "r2_2",
+        F.when(side == BOTH, F.try_divide(F.col("cpu2"), F.col("cpu1"))).alias("ratio"),
+        F.col("pos1").cast("long").alias("pos1"), F.col("pos2").cast("long").alias("pos2"))
+    ga = pa.join(reordered, on="block", how="left_semi").groupBy("block")
+    gb = pb.join(reordered, on="block", how="left_semi").groupBy("block")
+    lcs = ga.cogroup(gb).applyInPandas(_align_block, SEQ_SCHEMA)
+    return in_order.unionByName(lcs)

@@ -43,3 +43,27 @@ def test_same_order_equals_key_alignment(spark):
     seq = {(r.block, r.program, r.side, r.ratio) for r in align_sequence(a, b, "o").collect()}
     key = {(r.block, r.program, r.side, r.ratio) for r in align_results(a, b).collect()}
     assert seq == key
+
+
+def test_alignment_lcs_length_per_block_equals_brute_force(spark):
+    rnd = random.Random(11)
+    rows_a, rows_b, exp = [], [], {}
+    for blk in range(12):
+        keys = [f"k{i}" for i in range(rnd.randint(1, 15))]
+        if blk % 3 == 0:      # same order on both sides, with duplicates
+            sa = [rnd.choice(keys) for _ in range(rnd.randint(0, 25))]
+            sb = [x for x in sa if rnd.random() < 0.8]
+        else:                 # shuffled
+            sa = [rnd.choice(keys) for _ in range(rnd.randint(0, 25))]
+            sb = [rnd.choice(keys) for _ in range(rnd.randint(0, 25))]
+        rows_a += [(f"b{blk}", k, i, 1.0, 1.0) for i, k in enumerate(sa)]
+        rows_b += [(f"b{blk}", k, i, 2.0, 1.0) for i, k in enumerate(sb)]
+        exp[f"b{blk}"] = (_lcs_len(sa, sb), len(sa), len(sb))
+    s = "block string, program string, o int, cpu double, r2 double"
+    out = align_sequence(spark.createDataFrame(rows_a, s), spark.createDataFrame(rows_b, s), "o").collect()
+    for blk, (n, na, nb) in exp.items():
+        rs = [r for r in out if r.block == blk]
+        pairs = sorted((r.pos1, r.pos2) for r in rs if r.side == "both")
+        assert len(pairs) == n
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert sum(r.side != "second" for r in rs) == na and sum(r.side != "first" for r in rs) == nb
