@@ -41,24 +41,43 @@ def _bucket_of(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
         _bucket_of(v, bounds, mid + 1, hi))
 
 
-def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
-    """Column with the range bucket of ``order_col``.
+MAX_TREE_BUCKETS = 1024
+
 
-    Bucket limits are approximate quantiles (one small aggregate job; at most
-    ``n_buckets`` numbers reach the driver), so buckets hold about equal rows
-    whatever the distribution of the order column.
+def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
+    """Column with the range bucket of ``order_col`` (non-decreasing in the column).
+
+    Limits are approximate quantiles (one small aggregate job; at most
+    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver), so buckets hold about
+    equal rows whatever the distribution. Up to ``MAX_TREE_BUCKETS`` buckets
+    are a balanced CASE tree over the limits; beyond that each quantile range
+    is cut into K equal-width sub-buckets arithmetically (its two limits are
+    looked up by index), so any bucket count costs O(log 1024) per row and
+    the plan stays small.
     """
     n = n_buckets or target_partitions(df.sparkSession)
     if n <= 1:
         return F.lit(0)
+    coarse = min(n, MAX_TREE_BUCKETS)
+    fine = -(-n // coarse)
     v = _as_number(df, order_col)
-    probs = [i / n for i in range(1, n)]
+    probs = [i / coarse for i in range(0, coarse + 1)]
     row = df.select(F.percentile_approx(v, probs, 10000).alias("q")).first()
-    qs = row["q"] if row is not None and row["q"] is not None else []
-    bounds = sorted({float(q) for q in qs if q is not None})
-    if not bounds:
+    qs = [float(q) for q in (row["q"] or []) if q is not None] if row is not None else []
+    if len(qs) < 2:
         return F.lit(0)
-    return _bucket_of(v, bounds, 0, len(bounds))
+    lo_all, hi_all = qs[0], qs[-1]
+    bounds = sorted({q for q in qs[1:-1]})
+    c = _bucket_of(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
+    if fine <= 1:
+        return c
+    lows = F.array(*[F.lit(x) for x in [lo_all, *bounds]])
+    highs = F.array(*[F.lit(x) for x in [*bounds, hi_all]])
+    lo = F.element_at(lows, c + 1)
+    hi = F.element_at(highs, c + 1)
+    frac = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    sub = F.least(F.greatest(F.floor(frac * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
+    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -53,3 +53,24 @@ def test_top_n_per_group_equals_plain(spark):
     exp = df.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     assert sorted(map(tuple, got.select("id", "rank").collect())) == \
         sorted(map(tuple, exp.select("id", "rank").collect()))
+
+
+def test_many_buckets_two_level_are_monotone_and_exact(spark):
+    from benchlens.operators import ordered as O
+
+    old = O.MAX_TREE_BUCKETS
+    O.MAX_TREE_BUCKETS = 4
+    try:
+        df = _data(spark)
+        b = df.withColumn("b", O.range_buckets(df, "t", 24)).select("t", "b").collect()
+        pairs = sorted((r.t, r.b) for r in b)
+        assert all(p[1] <= q[1] for p, q in zip(pairs, pairs[1:]))     # non-decreasing in t
+        assert len({r.b for r in b}) > 4                                # more than the tree gives
+        got = running(df, ["g"], ["t", "id"], sums={"cum": "v"}, index="i", n_buckets=24)
+        w = Window.partitionBy("g").orderBy("t", "id")
+        exp = df.select("id", F.row_number().over(w).alias("i"),
+                        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+        a = {r.id: (r.i, round(r.cum, 9)) for r in got.select("id", "i", "cum").collect()}
+        assert a == {r.id: (r.i, round(r.cum, 9)) for r in exp.collect()}
+    finally:
+        O.MAX_TREE_BUCKETS = old
