@@ -40,3 +40,24 @@ def test_render_template(spark):  # K6, F11
     doc = render_template(df, ["pkg"], "o", F.concat(F.lit("import "), F.col("m")),
                           F.lit("module Check where"), F.lit("main = pure ()")).first().doc
     assert doc == "module Check where\nimport A\nimport B\nmain = pure ()"
+
+
+def test_report_row_layout(spark):  # K5, F6, D9, D10
+    from benchlens.operators import compare as C
+    from benchlens.operators import stats as S
+    from benchlens.operators.report import render_report
+
+    s = "block string, program string, cpu double, r2 double"
+    a = spark.createDataFrame([("fib", "fib/10", 0.00125, 0.99), ("fib", "old", 1.0, 0.99)], s)
+    b = spark.createDataFrame([("fib", "fib/10", 0.0025, 0.98), ("new", "x", 2.0, 0.5)], s)
+    al = C.align_results(a, b)
+    lines = render_report(al, S.geo_bands(S.geo_stats(C.gated_pairs(al))), "left", "right")
+    got = {r.program: r.line for r in lines.where("sec = 1 AND program <> ''").collect()}
+    w = len("Benchmark name")
+    assert got["fib/10"] == "fib/10".rjust(w) + "  " + "1.250e-03".rjust(16) + "  " + "2.500e-03".rjust(16) \
+        + "  " + "+100.0%".rjust(11) + "  "
+    assert got["old"] == "old".rjust(w) + "  " + "1.000e+00".rjust(16) + "  " + "(no result)".rjust(16) \
+        + "  " + "(no result)".rjust(11) + "  "
+    assert "x" not in got  # one-sided row whose fit fails the gate is not printed
+    summ = [r.line for r in lines.where("sec = 2 AND pos > 0").orderBy("pos").collect()]
+    assert summ[-1].startswith("Geometric mean") and summ[-1].endswith("+100.0%  ")
