@@ -59,23 +59,45 @@ def _side(in1: Column, in2: Column) -> Column:
 
 def align_results(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("block", "program"),
                   measure: str = "cpu", quality: str = "r2") -> DataFrame:
-    """Full outer join of two result sets on ``keys``.
+    """Full outer alignment of two result sets on ``keys``.
 
     Output: keys, side, cpu1, r2_1, cpu2, r2_2, ratio (NULL unless both sides
-    exist or when the base is zero). Put an occurrence column in ``keys`` when
-    keys repeat (see ``with_occurrence``).
+    exist or when the base is zero). Keys must be unique per side; put an
+    occurrence column in ``keys`` when they repeat (see ``with_occurrence``).
+    Planned as one grouped aggregate over the tagged union of both sides
+    (see ``align_variants``), not as a sort-merge join.
     """
     keys = list(keys)
-    la = a.select(*keys, F.col(measure).alias(f"{measure}1"), F.col(quality).alias(f"{quality}_1"),
-                  F.lit(True).alias("_in1"))
-    lb = b.select(*keys, F.col(measure).alias(f"{measure}2"), F.col(quality).alias(f"{quality}_2"),
-                  F.lit(True).alias("_in2"))
-    j = la.join(lb, on=keys, how="full_outer")
-    side = _side(F.col("_in1"), F.col("_in2"))
-    return j.select(
+    cols = [*keys, measure, quality]
+    tagged = (a.select(*cols, F.lit(1).alias("_variant"))
+              .unionByName(b.select(*cols, F.lit(2).alias("_variant"))))
+    return align_variants(tagged, "_variant", 1, 2, keys, measure, quality)
+
+
+def align_variants(df: DataFrame, variant: str, first, second,
+                   keys: Sequence[str] = ("block", "program"), measure: str = "cpu",
+                   quality: str = "r2") -> DataFrame:
+    """``align_results`` for two variants stored in one long table (a ``variant`` column).
+
+    With keys unique per variant (add an occurrence column otherwise), the
+    full outer alignment is one grouped aggregate: a single shuffle on the
+    keys with map-side partial aggregation, no sort-merge join, and the input
+    is read once instead of once per side. Same output as ``align_results``.
+    """
+    keys = list(keys)
+    v = F.col(variant)
+    two = df.where(v.isin(first, second))
+    g = two.groupBy(*keys).agg(
+        F.max(v == first).alias("_in1"), F.max(v == second).alias("_in2"),
+        F.max_by(F.col(measure), v == first).alias("_m1"), F.max_by(F.col(quality), v == first).alias("_q1"),
+        F.max_by(F.col(measure), v == second).alias("_m2"), F.max_by(F.col(quality), v == second).alias("_q2"))
+    in1, in2 = F.col("_in1"), F.col("_in2")
+    side = F.when(in1 & in2, F.lit(BOTH)).when(in1, F.lit(FIRST)).otherwise(F.lit(SECOND))
+    return g.select(
         *keys, side.alias("side"),
-        f"{measure}1", f"{quality}_1", f"{measure}2", f"{quality}_2",
-        F.when(side == BOTH, ratio(f"{measure}2", f"{measure}1")).alias("ratio"))
+        F.when(in1, F.col("_m1")).alias(f"{measure}1"), F.when(in1, F.col("_q1")).alias(f"{quality}_1"),
+        F.when(in2, F.col("_m2")).alias(f"{measure}2"), F.when(in2, F.col("_q2")).alias(f"{quality}_2"),
+        F.when(in1 & in2, ratio(F.col("_m2"), F.col("_m1"))).alias("ratio"))
 
 
 def orphan_blocks(a: DataFrame, b: DataFrame, block: str = "block") -> DataFrame:
@@ -88,18 +110,23 @@ def orphan_blocks(a: DataFrame, b: DataFrame, block: str = "block") -> DataFrame
 
 def orphan_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("block", "program"),
                 block: str = "block", measure: str = "cpu", quality: str = "r2") -> DataFrame:
-    """Rows of blocks present on both sides that have no partner, before any gate.
+    """Rows of blocks present on both sides that have no partner, before any gate."""
+    return orphan_rows_of(align_results(a, b, keys, measure, quality), list(keys), block, measure, quality)
+
+
+def orphan_rows_of(aligned: DataFrame, keys: Sequence[str] = ("block", "program"), block: str = "block",
+                   measure: str = "cpu", quality: str = "r2") -> DataFrame:
+    """Orphan rows from an alignment: one-sided rows of blocks that exist on both sides.
 
-    One full outer alignment on the keys; the blocks present on both sides are
-    a small per-block aggregate of it, semi-joined back on ``block``.
+    The blocks present on both sides are a small per-block aggregate of the
+    alignment, semi-joined back on ``block``.
     """
     keys = list(keys)
-    al = align_results(a, b, keys=keys, measure=measure, quality=quality)
-    matched = (al.groupBy(block)
+    matched = (aligned.groupBy(block)
                .agg(F.max(F.col("side") != SECOND).alias("_h1"),   # some row from the first side
                     F.max(F.col("side") != FIRST).alias("_h2"))    # some row from the second side
                .where(F.col("_h1") & F.col("_h2")).select(block))
-    one = al.where(F.col("side") != BOTH).join(matched, on=[block], how="left_semi")
+    one = aligned.where(F.col("side") != BOTH).join(matched, on=[block], how="left_semi")
     return one.select(*keys, F.coalesce(F.col(f"{measure}1"), F.col(f"{measure}2")).alias(measure),
                       F.when(F.col("side") == FIRST, F.col(f"{quality}_1"))
                       .otherwise(F.col(f"{quality}_2")).alias(quality), "side")

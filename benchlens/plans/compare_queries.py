@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from benchlens.operators import compare as C
 from benchlens.operators import stats as S
-from benchlens.plans.fixtures import RUNS_SQL, run_pair, table
+from benchlens.plans.fixtures import RUNS_SQL, run_pair, runs, table
 
 GATE = 0.95
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = run_pair(spark, sf)
-    return C.align_results(a, b, keys=["block", "program"])
+    """Both runs aligned straight from the long fixture table (read once, one grouped aggregate)."""
+    return C.align_variants(runs(spark, sf), "run", "A", "B", keys=["block", "program"])
 
 
 def cmp_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,8 +48,7 @@ def cmp_orphan_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cmp_orphan_rows(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = run_pair(spark, sf)
-    return C.orphan_rows(a, b)
+    return C.orphan_rows_of(_aligned(spark, sf))
 
 
 def cmp_orphans_gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +63,7 @@ def cmp_movers(spark: SparkSession, sf: str) -> DataFrame:
     return C.movers(_aligned(spark, sf), 10, worst=True)
 
 
-def dup_key_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def dup_key_sides(spark: SparkSession, sf: str) -> DataFrame:
     """Two 'runs' from lineitem with many duplicate keys.
 
     block = part key, key = return flag (repeats inside a block); first = ship
@@ -78,15 +77,12 @@ def dup_key_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "yr", F.col("l_partkey").cast("string").alias("block"),
         F.col("l_returnflag").alias("program"), F.col("l_quantity").alias("cpu"),
         (F.lit(0.9) + F.col("l_discount")).alias("r2"), "l_orderkey", "l_linenumber")
-    occ = C.with_occurrence(li, ["yr", "block", "program"], ["l_orderkey", "l_linenumber"])
-    a = occ.where(F.col("yr") == 1995).drop("yr")
-    b = occ.where(F.col("yr") == 1996).drop("yr")
-    return a, b
+    return C.with_occurrence(li, ["yr", "block", "program"], ["l_orderkey", "l_linenumber"])
 
 
 def cmp_dup_keys(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = dup_key_sides(spark, sf)
-    return C.align_results(a, b, keys=["block", "program", "occ"])
+    occ = dup_key_sides(spark, sf)
+    return C.align_variants(occ, "yr", 1995, 1996, keys=["block", "program", "occ"])
 
 
 _CMP_SQL_HEAD = "WITH " + RUNS_SQL

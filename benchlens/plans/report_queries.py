@@ -9,7 +9,7 @@ from benchlens.operators import compare as C
 from benchlens.operators import report as R
 from benchlens.operators import stats as S
 from benchlens.operators.sequence import align_sequence
-from benchlens.plans.fixtures import run_pair, table
+from benchlens.plans.fixtures import run_pair, runs, table
 from benchlens.session import scratch_path
 from benchlens.streaming.tee import tee_stream
 
@@ -17,8 +17,7 @@ GATE = 0.95
 
 
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = run_pair(spark, sf)
-    aligned = C.align_results(a, b)
+    aligned = C.align_variants(runs(spark, sf), "run", "A", "B")
     bands = S.geo_bands(S.geo_stats(C.gated_pairs(aligned, GATE)))
     return R.render_report(aligned, bands, "results/run-A/first-half", "results/run-B/second-half", GATE)
 
