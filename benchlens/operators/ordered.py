@@ -25,8 +25,11 @@ _BUCKET = "_ord_bucket"
 
 def _as_number(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
-    if isinstance(dt, T.TimestampType | T.TimestampNTZType):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampNTZType):  # wall-clock values: micros since the epoch, no zone
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                F.col(c)).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(F.col(c)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
     return F.col(c).cast("double")

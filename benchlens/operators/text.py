@@ -68,8 +68,8 @@ def log_segments(lines: DataFrame, by: Sequence[str], order: Sequence[str], is_s
     aggs = [F.count(F.lit(1)).alias("n_lines"), F.min("line_pos").alias("first_line"),
             F.max("line_pos").alias("last_line")]
     if ts:
-        secs = F.unix_micros(F.col(ts).cast("timestamp"))
-        aggs.append(((F.max(secs) - F.min(secs)) / F.lit(1e6)).alias("duration_s"))
+        # Difference of the column's own values: no time-zone conversion.
+        aggs.append((F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / F.lit(1e6)).alias("duration_s"))
     out = seg.groupBy(*by, "segment").agg(*aggs)
     if ts:
         out = out.withColumn("duration", duration_text("duration_s"))

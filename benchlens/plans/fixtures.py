@@ -30,7 +30,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a block's result list for the order-sensitive alignment.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    run = F.when(F.col("ts") < F.lit(RUN_SPLIT_TS).cast("timestamp"), F.lit("A")).otherwise(F.lit("B"))
+    # Literal of the column's own type: no session-time-zone conversion either way.
+    split = F.lit(RUN_SPLIT_TS).cast(ev.schema["ts"].dataType)
+    run = F.when(F.col("ts") < split, F.lit("A")).otherwise(F.lit("B"))
     ev = ev.withColumn("run", run)
     dropped = (((F.col("run") == "A") & ((F.col("user_id") % 7 == 0) | (F.col("event_type") == "view")))
                | ((F.col("run") == "B") & ((F.col("user_id") % 11 == 0) | (F.col("event_type") == "signup"))))

@@ -54,7 +54,7 @@ def _tagged_orders(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", "o_totalprice",
         F.col("o_orderstatus").alias("variant"),
         F.format_string("lts-%d.%d", F.year("o_orderdate") - 1990, F.quarter("o_orderdate")).alias("target"),
-        X.ts_path_text(F.date_trunc("year", F.col("o_orderdate").cast("timestamp"))).alias("run_ts"))
+        X.ts_path_text(F.date_trunc("year", F.col("o_orderdate"))).alias("run_ts"))
 
 
 def path_tags(spark: SparkSession, sf: str) -> DataFrame:
