@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from benchlens.operators import compare as C
 from benchlens.operators import report as R
 from benchlens.operators import stats as S
+from benchlens.operators.ordered import materialize
 from benchlens.operators.sequence import align_sequence
-from benchlens.plans.fixtures import run_pair, runs, table
+from benchlens.plans.fixtures import runs, table
 from benchlens.session import scratch_path
 from benchlens.streaming.tee import tee_stream
 
@@ -51,7 +52,9 @@ def stream_tee(spark: SparkSession, sf: str) -> DataFrame:
 
 def cmp_align_seq(spark: SparkSession, sf: str) -> DataFrame:
     """Order-sensitive alignment; each block's rows are ordered by the program's first event."""
-    a, b = run_pair(spark, sf)
+    r = materialize(runs(spark, sf))  # both sides read one materialized fixture
+    a = r.where(F.col("run") == "A")
+    b = r.where(F.col("run") == "B")
     return align_sequence(a, b, order="first_ts")
 
 

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from benchlens.operators import compare as C
 from benchlens.operators import stats as S

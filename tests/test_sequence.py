@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from benchlens.operators.compare import align_results
 from benchlens.operators.sequence import align_sequence, lcs_pairs
