@@ -12,6 +12,7 @@ moves).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,32 +46,41 @@ def _bucket_of(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
 
 
 MAX_TREE_BUCKETS = 1024
+MAX_FINE = 64
+ROWS_PER_BUCKET = 1_000_000
 
 
 def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
     """Column with the range bucket of ``order_col`` (non-decreasing in the column).
 
-    Limits are approximate quantiles (one small aggregate job; at most
-    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver), so buckets hold about
-    equal rows whatever the distribution. Up to ``MAX_TREE_BUCKETS`` buckets
-    are a balanced CASE tree over the limits; beyond that each quantile range
-    is cut into K equal-width sub-buckets arithmetically (its two limits are
-    looked up by index), so any bucket count costs O(log 1024) per row and
-    the plan stays small.
+    One small aggregate job returns approximate quantiles (at most
+    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and, unless
+    ``n_buckets`` is given, the row count: the data then gets about one bucket
+    per ``ROWS_PER_BUCKET`` rows, so buckets hold about equal rows whatever
+    the distribution and a small input is not cut at all. Up to
+    ``MAX_TREE_BUCKETS`` buckets are a balanced CASE tree over the limits;
+    beyond that each quantile range is cut into equal-width sub-buckets
+    arithmetically (its two limits are looked up by index), so any bucket
+    count costs O(log 1024) per row and the plan stays small.
     """
-    n = n_buckets or target_partitions(df.sparkSession)
-    if n <= 1:
+    if n_buckets is not None and n_buckets <= 1:
         return F.lit(0)
-    coarse = min(n, MAX_TREE_BUCKETS)
-    fine = -(-n // coarse)
+    grid = MAX_TREE_BUCKETS if n_buckets is None else min(n_buckets, MAX_TREE_BUCKETS)
     v = _as_number(df, order_col)
-    probs = [i / coarse for i in range(0, coarse + 1)]
-    row = df.select(F.percentile_approx(v, probs, 10000).alias("q")).first()
-    qs = [float(q) for q in (row["q"] or []) if q is not None] if row is not None else []
-    if len(qs) < 2:
+    probs = [i / grid for i in range(0, grid + 1)]
+    row = df.select(F.percentile_approx(v, probs, 10000).alias("q"),
+                    F.count(F.lit(1)).alias("n")).first()
+    per = int(os.environ.get("BENCHLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
+    n = n_buckets or min(MAX_TREE_BUCKETS * MAX_FINE, -(-int(row["n"] or 0) // per))
+    if n <= 1 or row["q"] is None:
         return F.lit(0)
+    qs = [float(q) for q in row["q"]]
+    coarse = min(n, grid)
+    fine = -(-n // coarse)
+    # Interior limits at probabilities i / coarse, taken from the quantile grid.
+    picked = [qs[round(i * grid / coarse)] for i in range(1, coarse)]
     lo_all, hi_all = qs[0], qs[-1]
-    bounds = sorted({q for q in qs[1:-1]})
+    bounds = sorted(set(picked))
     c = _bucket_of(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
     if fine <= 1:
         return c
