@@ -51,7 +51,12 @@ ROWS_PER_BUCKET = 1_000_000
 
 
 def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
-    """Column with the range bucket of ``order_col`` (non-decreasing in the column).
+    """Column with the range bucket of ``order_col`` (see ``_buckets``)."""
+    return _buckets(df, order_col, n_buckets)[0]
+
+
+def _buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> tuple[Column, int]:
+    """(bucket column, bucket count) of ``order_col``; buckets are non-decreasing in the column.
 
     One small aggregate job returns approximate quantiles (at most
     ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and, unless
@@ -64,7 +69,7 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     count costs O(log 1024) per row and the plan stays small.
     """
     if n_buckets is not None and n_buckets <= 1:
-        return F.lit(0)
+        return F.lit(0), 1
     grid = MAX_TREE_BUCKETS if n_buckets is None else min(n_buckets, MAX_TREE_BUCKETS)
     v = _as_number(df, order_col)
     probs = [i / grid for i in range(0, grid + 1)]
@@ -73,7 +78,7 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     per = int(os.environ.get("BENCHLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
     n = n_buckets or min(MAX_TREE_BUCKETS * MAX_FINE, -(-int(row["n"] or 0) // per))
     if n <= 1 or row["q"] is None:
-        return F.lit(0)
+        return F.lit(0), 1
     qs = [float(q) for q in row["q"]]
     coarse = min(n, grid)
     fine = -(-n // coarse)
@@ -81,16 +86,18 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     picked = [qs[round(i * grid / coarse)] for i in range(1, coarse)]
     lo_all, hi_all = qs[0], qs[-1]
     bounds = sorted(set(picked))
+    if not bounds and fine <= 1:
+        return F.lit(0), 1
     c = _bucket_of(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
     if fine <= 1:
-        return c
+        return c, len(bounds) + 1
     lows = F.array(*[F.lit(x) for x in [lo_all, *bounds]])
     highs = F.array(*[F.lit(x) for x in [*bounds, hi_all]])
     lo = F.element_at(lows, c + 1)
     hi = F.element_at(highs, c + 1)
     frac = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
     sub = F.least(F.greatest(F.floor(frac * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
-    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long")
+    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long"), (len(bounds) + 1) * fine
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -138,7 +145,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     first = bucket_on or order[0]
     if not isinstance(first, str):
         raise ValueError("running(): give bucket_on= when the first order item is an expression")
-    bk = bucket if bucket is not None else range_buckets(df, first, n_buckets)
+    bk, nb = (bucket, 2) if bucket is not None else _buckets(df, first, n_buckets)
+    if nb <= 1:
+        return _running_one_bucket(df, keys, order, sums, index, total)
     b, gk = _group_cols(df.withColumn(_BUCKET, bk), keys)
     w_local = Window.partitionBy(*gk, _BUCKET).orderBy(*order)
     frame = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -175,6 +184,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return out.drop(*[c for c in drop if c not in final])
 
 
+def _running_one_bucket(df: DataFrame, keys: list[str], order: Sequence[Column | str],
+                        sums: dict[str, Column | str], index: str | None, total: str | None) -> DataFrame:
+    """Plain windows, used when the whole input is one bucket (at most ~ROWS_PER_BUCKET rows)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {}
+    if index:
+        cols[index] = F.row_number().over(w).cast("long")
+    for name, c in sums.items():
+        cols[name] = F.sum(F.col(c) if isinstance(c, str) else c).over(frame)
+    if total:
+        cols[total] = F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long")
+    return df.withColumns(cols)
+
+
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                     rank_col: str = "rank", salt_buckets: int | None = None) -> DataFrame:
     """Rows ranked 1..n inside each group (``order`` must be a total order).
