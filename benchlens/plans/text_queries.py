@@ -62,7 +62,7 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
 def outcome_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Failed runs -> error lines appended to a log table in two batches -> read back and parsed."""
     failed = _outcomes(spark, sf).where(F.col("status") == "failed")
-    cmd = F.concat(F.lit("stack bench pkg-"), F.col("o_orderkey").cast("string"))
+    cmd = F.concat(F.lit("run-bench pkg-"), F.col("o_orderkey").cast("string"))
     lines = failed.select("o_orderpriority", X.error_line(cmd, F.col("o_orderkey") % 5 + 1).alias("line"))
     path = scratch_path(spark, "outcome-log")
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
@@ -118,7 +118,7 @@ SELECT o_orderpriority, status, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTIT
        printf('%d/%d packages %s', n, sum(n) OVER (PARTITION BY o_orderpriority),
               CASE WHEN status = 'ok' THEN 'succeeded' ELSE 'failed' END) AS summary FROM c""",
     "outcome_parse": """
-SELECT 'stack bench pkg-' || CAST(o_orderkey AS VARCHAR) AS cmd, CAST(o_orderkey % 5 + 1 AS INTEGER) AS code
+SELECT 'run-bench pkg-' || CAST(o_orderkey AS VARCHAR) AS cmd, CAST(o_orderkey % 5 + 1 AS INTEGER) AS code
 FROM orders WHERE o_orderstatus = 'F'""",
 }
 

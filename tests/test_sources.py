@@ -125,8 +125,8 @@ def test_scalar_round_trips(spark):  # F4, F10, F14, F2
     df = spark.createDataFrame([("hs-bench-utils-1.2.3", 0.0123456)], "pid string, d double")
     r = df.select(X.pkg_name("pid").alias("n"), X.pkg_version("pid").alias("v"),
                   X.duration_text("d").alias("t"), X.duration_seconds(X.duration_text("d")).alias("back"),
-                  X.error_cmd(X.error_line(F.lit("stack bench"), F.lit(-3))).alias("c"),
-                  X.error_code(X.error_line(F.lit("stack bench"), F.lit(-3))).alias("k"),
+                  X.error_cmd(X.error_line(F.lit("run-bench"), F.lit(-3))).alias("c"),
+                  X.error_code(X.error_line(F.lit("run-bench"), F.lit(-3))).alias("k"),
                   X.path_join(F.lit(""), F.lit("b"), F.lit("c")).alias("p")).first()
-    assert (r.n, r.v, r.t, r.c, r.k, r.p) == ("hs-bench-utils", "1.2.3", "12.346 ms", "stack bench", -3, "b/c")
+    assert (r.n, r.v, r.t, r.c, r.k, r.p) == ("hs-bench-utils", "1.2.3", "12.346 ms", "run-bench", -3, "b/c")
     assert r.back == pytest.approx(0.012346)

@@ -11,8 +11,8 @@ def test_token_usage_whole_words(spark):  # A11, F15
 
 
 def test_usage_kind(spark):
-    df = spark.createDataFrame([("x <- readIORef r",), ("writeIORef r 1",), ("other",)], "t string")
-    kinds = {"read": r"\breadIORef\b", "write": r"\bwriteIORef\b"}
+    df = spark.createDataFrame([("x <- readRef r",), ("writeRef r 1",), ("other",)], "t string")
+    kinds = {"read": r"\breadRef\b", "write": r"\bwriteRef\b"}
     assert [r.k for r in df.select(T.usage_kind("t", kinds).alias("k")).collect()] == ["read", "write", None]
 
 
