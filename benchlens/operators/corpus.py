@@ -53,8 +53,14 @@ def stanza_counts(stanzas: DataFrame, pkg: str = "pkg", name: str = "name") -> D
 
 
 def with_stanza(pkgs: DataFrame, stanzas: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Packages that declare at least one stanza (left semi join)."""
-    return pkgs.join(stanzas, on=on, how="left_semi")
+    """Packages that declare at least one stanza (left semi join).
+
+    The stanza side is reduced to its distinct keys first: the partial
+    aggregate drops repeats before the shuffle, and the join reuses the
+    aggregate's partitioning.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    return pkgs.join(stanzas.select(*keys).distinct(), on=keys, how="left_semi")
 
 
 def slice_corpus(df: DataFrame, order: Sequence[Column | str], s: int, ns: int,
