@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlens.operators import kmer as K
 from benchlens.operators import stats as S
+from benchlens.operators.joins import dim_join
 from benchlens.plans.fixtures import table
 
 # Probe list (three present words, one absent 12-mer, one absent 18-mer).
@@ -55,7 +56,9 @@ def kmer_halo(spark: SparkSession, sf: str) -> DataFrame:
 def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_tax")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    f = S.ols_fit(li.join(p, on="l_partkey"), ["p_brand"], ["l_extendedprice", "l_tax"], "l_quantity")
+    # part (key, brand) is a dimension: broadcast after measuring it, so lineitem is never shuffled
+    # for the join; the fit is then a partial/final aggregate on 25 brands.
+    f = S.ols_fit(dim_join(li, p, "l_partkey"), ["p_brand"], ["l_extendedprice", "l_tax"], "l_quantity")
     return f.select("p_brand", *[F.round(c, 6).alias(c) for c in f.columns if c not in ("p_brand", "n")], "n")
 
 

@@ -97,3 +97,15 @@ def test_movers_top_n(spark):
     b = _df(spark, [("b", f"p{i}", float(i), 0.99) for i in range(10)])
     top = C.movers(C.align_results(a, b), 3).collect()
     assert [r.name for r in top] == ["b/p9", "b/p8", "b/p7"]
+
+
+def test_dim_join_broadcasts_only_measured_small_dims(spark):
+    from benchlens.operators.joins import dim_join, measured_bytes
+
+    fact = spark.range(0, 1000).withColumnRenamed("id", "k")
+    dim = spark.createDataFrame([(i, f"name{i}") for i in range(100)], "k long, name string")
+    assert 100 * 16 < measured_bytes(dim) < 100 * 64
+    small = dim_join(fact, dim, "k")
+    big = dim_join(fact, dim, "k", max_bytes=10)
+    assert small.count() == big.count() == 100
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
