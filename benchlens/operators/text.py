@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchlens.functions.scalar import duration_text
@@ -41,10 +41,14 @@ def _quote(s: str) -> str:
 
 
 def event_rate(events: DataFrame, by: Sequence[str], kind: str, per: float = 1000.0) -> DataFrame:
-    """Events of each kind per ``per`` events of the group: (by..., kind, n, total, rate)."""
+    """Events of each kind per ``per`` events of the group: (by..., kind, n, total, rate).
+
+    One aggregate over the events; the group total is a window over the
+    aggregated rows (at most one row per kind in a group), so events are read once.
+    """
     counts = events.groupBy(*by, kind).agg(F.count(F.lit(1)).alias("n"))
-    tot = events.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    return (counts.join(tot, on=list(by), how="inner")
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return (counts.withColumn("total", total)
             .withColumn("rate", F.lit(per) * F.col("n") / F.col("total")))
 
 
