@@ -10,7 +10,7 @@ from benchlens.operators import text as T
 from benchlens.plans.fixtures import table
 from benchlens.session import scratch_path
 from benchlens.sinks.writers import append_outcomes
-from benchlens.sources.lines import table_lines
+from benchlens.sources.lines import file_lines, table_lines
 
 # Token list and log parameters of the acceptance queries.
 TOKENS = ["the", "of", "and", "by", "on"]
@@ -22,6 +22,18 @@ def line_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table_lines(d, ["doc_id"], "text")
 
 
+def file_line_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files, read back as numbered lines (file form of the line scan).
+
+    Reports how many lines carry each text; the per-file numbering itself is
+    checked by ``file_lines``' own tests (line order across splits).
+    """
+    root = scratch_path(spark, "doc-files")
+    table(spark, sf, "documents").select("text").write.text(root)
+    lines = file_lines(spark, root)
+    return lines.groupBy(F.col("text").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("source", "text")
     return T.token_usage(d, "text", TOKENS, by=["source"]).select("source", "token", "n", "total")
@@ -76,6 +88,9 @@ SQL = {
     "line_scan": """
 SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no,
        unnest(string_split(text, chr(10))) AS line FROM documents""",
+    "file_line_scan": """
+SELECT line, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""",
     "token_usage": r"""
 WITH w AS (SELECT source, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS token FROM documents),
 c AS (SELECT source, token, CAST(count(*) AS BIGINT) AS n FROM w
@@ -124,6 +139,7 @@ FROM orders WHERE o_orderstatus = 'F'""",
 
 QUERIES = {
     "line_scan": line_scan,
+    "file_line_scan": file_line_scan,
     "token_usage": token_usage,
     "event_rate": event_rate,
     "event_tail": event_tail,
