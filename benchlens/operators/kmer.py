@@ -28,19 +28,6 @@ def letters_upper(c: Column | str) -> Column:
     return F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
 
 
-def _starts(seq: Column, k: int, limit: Column | None = None) -> Column:
-    """Array of 1-based start positions of k-mers fully inside ``seq``.
-
-    ``limit`` caps the start positions (chunk form: starts inside the chunk
-    only). Texts shorter than k give an empty array, never a descending range.
-    """
-    n = F.length(seq)
-    last = n - F.lit(k - 1)
-    if limit is not None:
-        last = F.least(last, limit)
-    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-
 def all_kmers(seq: Column, k: int) -> Column:
     """Array of every overlapping k-mer of ``seq``, in order, in one linear regex pass.
 

@@ -53,10 +53,9 @@ def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str
     # Width: header, every block name, and (padded) row names of blocks present on both sides.
     per_block = aligned.groupBy("block").agg(
         (F.max(F.col("side") != SECOND) & F.max(F.col("side") != FIRST)).alias("_both"),
-        F.max(F.length("program")).alias("_pl"))
-    name_w = int(per_block.agg(F.greatest(
-        F.lit(len(NAME_HEAD)), F.max(F.length("block")),
-        F.max(F.when(F.col("_both"), F.col("_pl") + F.lit(PAD))))).first()[0])
+        F.max_by("program", F.length("program")).alias("_longest"))
+    name_w = max_width(per_block, [F.col("block"), F.when(
+        F.col("_both"), F.concat(F.col("_longest"), F.lit(" " * PAD)))], len(NAME_HEAD))
     banner = "-" * name_w + "-" * PAD + ("-" * NUM_WIDTH + "-" * PAD) * 2 + "-" * CHANGE_WIDTH + "-" * PAD
     no = F.lit(NO_RESULT.rjust(NUM_WIDTH))
     no_c = F.lit(NO_RESULT.rjust(CHANGE_WIDTH))
