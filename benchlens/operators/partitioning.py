@@ -1,0 +1,20 @@
+"""Right-size the parallelism of CPU-heavy per-row stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster's parallelism when the input has fewer partitions.
+
+    A few large files (one row group each) scan as one or two tasks; a
+    per-row CPU-heavy step after such a scan would run on one core. With many
+    input partitions (the normal case at scale) the plan is left unchanged, so
+    no shuffle is added there. The partition count is read from the plan; no
+    job runs.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

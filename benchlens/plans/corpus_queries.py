@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlens.functions import scalar as X
 from benchlens.operators import corpus as C
+from benchlens.operators.partitioning import spread
 from benchlens.plans.fixtures import table
 from benchlens.session import scratch_path
 from benchlens.sources.lines import table_lines
@@ -62,7 +63,7 @@ def target_slug(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pkg"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("pkg"), "text"))
     return table_lines(d, ["pkg"], "text", line="text")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from benchlens.operators import kmer as K
 from benchlens.operators import stats as S
 from benchlens.operators.joins import dim_join
+from benchlens.operators.partitioning import spread
 from benchlens.plans.fixtures import table
 
 # Probe list (three present words, one absent 12-mer, one absent 18-mer).
@@ -16,7 +17,7 @@ CHUNK = 60
 
 
 def _letters(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     return d.select("doc_id", "lang", K.letters_upper("text").alias("seq"))
 
 

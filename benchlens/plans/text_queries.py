@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlens.functions import scalar as X
 from benchlens.operators import text as T
+from benchlens.operators.partitioning import spread
 from benchlens.plans.fixtures import table
 from benchlens.session import scratch_path
 from benchlens.sinks.writers import append_outcomes
@@ -29,13 +30,13 @@ def file_line_scan(spark: SparkSession, sf: str) -> DataFrame:
     checked by ``file_lines``' own tests (line order across splits).
     """
     root = scratch_path(spark, "doc-files")
-    table(spark, sf, "documents").select("text").write.text(root)
+    spread(table(spark, sf, "documents").select("text")).write.text(root)
     lines = file_lines(spark, root)
     return lines.groupBy(F.col("text").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("source", "text")
+    d = spread(table(spark, sf, "documents").select("source", "text"))
     return T.token_usage(d, "text", TOKENS, by=["source"]).select("source", "token", "n", "total")
 
 

@@ -74,3 +74,13 @@ def test_many_buckets_two_level_are_monotone_and_exact(spark):
         assert a == {r.id: (r.i, round(r.cum, 9)) for r in exp.collect()}
     finally:
         O.MAX_TREE_BUCKETS = old
+
+
+def test_spread_only_when_input_is_narrow(spark):
+    from benchlens.operators.partitioning import spread
+
+    narrow = spark.range(0, 100, numPartitions=1)
+    wide = spark.range(0, 100, numPartitions=16)
+    assert spread(narrow, 4).rdd.getNumPartitions() == 4
+    assert spread(wide, 4) is wide
+    assert sorted(r.id for r in spread(narrow, 4).collect()) == list(range(100))
