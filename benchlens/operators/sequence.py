@@ -88,9 +88,8 @@ def _positions(df: DataFrame, order: str, block: str, key: str, measure: str, qu
     Both numberings follow ``order`` inside the block, so they share one set of
     range-bucket limits.
     """
-    p = materialize(df.select(
-        F.col(block).alias("block"), F.col(key).alias("program"), F.col(order).alias("_o"),
-        F.col(measure).cast("double").alias("cpu"), F.col(quality).cast("double").alias("r2")))
+    p = df.select(F.col(block).alias("block"), F.col(key).alias("program"), F.col(order).alias("_o"),
+                  F.col(measure).cast("double").alias("cpu"), F.col(quality).cast("double").alias("r2"))
     bk = range_buckets(p, "_o")
     p = running(p, ["block"], ["_o", "program"], index="_p1", bucket=bk)
     p = running(p, ["block", "program"], ["_o"], index="occ", bucket=bk)
