@@ -35,7 +35,8 @@ def percent_change(r: Column | str, places: int = 1) -> Column:
     """(ratio - 1) * 100 rounded half-to-even to ``places`` decimals."""
     r = F.col(r) if isinstance(r, str) else r
     scale = float(10 ** places)
-    return F.rint((r - F.lit(1.0)) * F.lit(100.0) * F.lit(scale)) / F.lit(scale)
+    # + 0.0 turns a rounded -0.0 into 0.0, so equal changes also print and hash the same
+    return F.rint((r - F.lit(1.0)) * F.lit(100.0) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def with_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

@@ -95,10 +95,10 @@ g AS (SELECT ratio FROM aligned WHERE side = 'both'
 v AS (SELECT ratio, ratio IS NOT NULL AND NOT isnan(ratio) AND ratio > 0 AND ratio < 'inf'::DOUBLE AS ok FROM g)
 SELECT CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n,
        CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_invalid,
-       round(min(CASE WHEN ok THEN ratio END), 6) AS min_ratio,
-       round(max(CASE WHEN ok THEN ratio END), 6) AS max_ratio,
-       round(exp(avg(CASE WHEN ok THEN ln(ratio) END)), 6) AS geo_mean,
-       round(exp(stddev_pop(CASE WHEN ok THEN ln(ratio) END)), 6) AS sdf
+       round(min(CASE WHEN ok THEN ratio END), 6) + 0.0 AS min_ratio,
+       round(max(CASE WHEN ok THEN ratio END), 6) + 0.0 AS max_ratio,
+       round(exp(avg(CASE WHEN ok THEN ln(ratio) END)), 6) + 0.0 AS geo_mean,
+       round(exp(stddev_pop(CASE WHEN ok THEN ln(ratio) END)), 6) + 0.0 AS sdf
 FROM v""",
     "cmp_bands": _CMP_SQL_HEAD + """,
 g AS (SELECT ratio FROM aligned WHERE side = 'both'
@@ -118,11 +118,11 @@ b AS (
   SELECT '+2 s.d.', 7, geo * pow(sdf, 2) FROM st UNION ALL
   SELECT '+3 s.d.', 8, geo * pow(sdf, 3) FROM st UNION ALL
   SELECT 'Geometric mean', 9, geo FROM st)
-SELECT label, pos, round(ratio, 6) AS ratio, round_even((ratio - 1) * 100 * 10, 0) / 10 AS change_pct FROM b""",
+SELECT label, pos, round(ratio, 6) + 0.0 AS ratio, round_even((ratio - 1) * 100 * 10, 0) / 10 + 0.0 AS change_pct FROM b""",
     "cmp_align": _CMP_SQL_HEAD + """
 SELECT block, program, side, cpu1, r2_1, cpu2, r2_2, ratio FROM aligned""",
     "cmp_change": _CMP_SQL_HEAD + """
-SELECT block, program, ratio, round_even((ratio - 1) * 100 * 10, 0) / 10 AS change_pct
+SELECT block, program, ratio, round_even((ratio - 1) * 100 * 10, 0) / 10 + 0.0 AS change_pct
 FROM aligned WHERE side = 'both'
   AND r2_1 IS NOT NULL AND NOT isnan(r2_1) AND r2_1 >= 0.95
   AND r2_2 IS NOT NULL AND NOT isnan(r2_2) AND r2_2 >= 0.95""",

@@ -67,27 +67,28 @@ _LETTERS = "d AS (SELECT doc_id, lang, upper(regexp_replace(text, '[^A-Za-z]', '
 
 
 def _counts_sql(k: int, by: str) -> str:
+    # Each document's k-mer list is built in place, so generated rows carry only the k-mer.
     sel = f"{by}, " if by else ""
-    return (f"SELECT {sel}substring(seq, i, {k}) AS kmer, CAST(count(*) AS BIGINT) AS n "
-            f"FROM d, generate_series(1, length(seq) - {k - 1}) g(i) WHERE length(seq) >= {k} "
-            f"GROUP BY {sel}kmer")
+    return (f"SELECT {sel}kmer, CAST(count(*) AS BIGINT) AS n FROM ("
+            f"SELECT {sel}unnest(list_transform(range(1, length(seq) - {k - 2}), "
+            f"lambda i: substring(seq, i, {k}))) AS kmer FROM d) GROUP BY {sel}kmer")
 
 
 _PROBES_SQL = "probes(probe, pos) AS (VALUES " + ", ".join(
     f"('{p}', {i + 1})" for i, p in enumerate(PROBES)) + ")"
 _PROBE_COUNTS = f"""{_PROBES_SQL},
-pc AS (SELECT p.probe, p.pos, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM probes p LEFT JOIN (
-  SELECT probe, count(*) AS n FROM d, probes, generate_series(1, length(seq) - length(probe) + 1) g(i)
-  WHERE length(seq) >= length(probe) AND substring(seq, i, length(probe)) = probe GROUP BY probe) c
-  ON c.probe = p.probe)"""
+pc AS (SELECT p.probe, p.pos, CAST(coalesce(sum(
+         len(list_filter(range(1, length(d.seq) - length(p.probe) + 2),
+                         lambda i: substring(d.seq, i, length(p.probe)) = p.probe))), 0) AS BIGINT) AS n
+       FROM probes p, d GROUP BY p.probe, p.pos)"""
 
 SQL = {
     "kmer_freq": f"""WITH {_LETTERS}, c AS ({_counts_sql(2, 'lang')})
-SELECT lang, kmer, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) AS pct FROM c""",
+SELECT lang, kmer, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS pct FROM c""",
     "kmer_topk": f"""WITH {_LETTERS}, c AS ({_counts_sql(2, 'lang')}),
 f AS (SELECT lang, kmer, n, 100.0 * n / sum(n) OVER (PARTITION BY lang) AS pct,
              row_number() OVER (PARTITION BY lang ORDER BY n DESC, kmer ASC) AS rank FROM c)
-SELECT lang, kmer, n, round(pct, 6) AS pct, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 10""",
+SELECT lang, kmer, n, round(pct, 6) + 0.0 AS pct, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 10""",
     "kmer_specific": f"""WITH {_LETTERS}, {_PROBE_COUNTS}
 SELECT probe, n, CAST(n AS VARCHAR) || chr(9) || probe AS line FROM pc""",
     "kmer_report": f"""WITH {_LETTERS}, {_PROBE_COUNTS},
@@ -101,12 +102,12 @@ SELECT 'probe', CAST(pos AS INTEGER), CAST(n AS VARCHAR) || chr(9) || probe FROM
     "kmer_halo": f"WITH {_LETTERS} " + _counts_sql(3, "lang"),
     "ols_fit": """
 SELECT p_brand,
-       round(regr_slope(l_extendedprice, l_quantity), 6) AS l_extendedprice_slope,
-       round(regr_intercept(l_extendedprice, l_quantity), 6) AS l_extendedprice_intercept,
-       round(regr_r2(l_extendedprice, l_quantity), 6) AS l_extendedprice_r2,
-       round(regr_slope(l_tax, l_quantity), 6) AS l_tax_slope,
-       round(regr_intercept(l_tax, l_quantity), 6) AS l_tax_intercept,
-       round(regr_r2(l_tax, l_quantity), 6) AS l_tax_r2,
+       round(regr_slope(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_r2,
+       round(regr_slope(l_tax, l_quantity), 6) + 0.0 AS l_tax_slope,
+       round(regr_intercept(l_tax, l_quantity), 6) + 0.0 AS l_tax_intercept,
+       round(regr_r2(l_tax, l_quantity), 6) + 0.0 AS l_tax_r2,
        CAST(count(*) AS BIGINT) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
 }

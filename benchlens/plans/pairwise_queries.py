@@ -44,18 +44,18 @@ _PAIRS_SQL = """pp AS (SELECT a.label, CAST(count(*) AS BIGINT) AS n_pairs,
   FROM b a JOIN b b2 ON a.label = b2.label AND a.vec_id < b2.vec_id GROUP BY a.label)"""
 
 SQL = {
-    "pairwise_potential": f"WITH {_BODIES_SQL}, {_PAIRS_SQL} SELECT label, n_pairs, round(potential, 6) AS potential FROM pp",
+    "pairwise_potential": f"WITH {_BODIES_SQL}, {_PAIRS_SQL} SELECT label, n_pairs, round(potential, 6) + 0.0 AS potential FROM pp",
     "energy_total": f"""WITH {_BODIES_SQL}, {_PAIRS_SQL},
 ke AS (SELECT label, sum(0.5 * mass * (vx * vx + vy * vy + vz * vz)) AS kinetic FROM b GROUP BY label)
-SELECT label, round(kinetic, 6) AS kinetic, round(potential, 6) AS potential,
-       round(kinetic - potential, 6) AS energy FROM ke JOIN pp USING (label)""",
+SELECT label, round(kinetic, 6) + 0.0 AS kinetic, round(potential, 6) + 0.0 AS potential,
+       round(kinetic - potential, 6) + 0.0 AS energy FROM ke JOIN pp USING (label)""",
     "momentum_sum": f"""WITH {_BODIES_SQL},
 an AS (SELECT label, min(vec_id) AS anchor_id, arg_min(mass, vec_id) AS aw FROM b GROUP BY label),
 s AS (SELECT b.label, sum(mass * vx) AS p0, sum(mass * vy) AS p1, sum(mass * vz) AS p2
       FROM b JOIN an ON b.label = an.label AND b.vec_id <> an.anchor_id GROUP BY b.label)
-SELECT an.label, an.anchor_id, round(coalesce(p0, 0), 6) AS p0, round(coalesce(p1, 0), 6) AS p1,
-       round(coalesce(p2, 0), 6) AS p2, round(-coalesce(p0, 0) / aw, 6) AS anchor_v0,
-       round(-coalesce(p1, 0) / aw, 6) AS anchor_v1, round(-coalesce(p2, 0) / aw, 6) AS anchor_v2
+SELECT an.label, an.anchor_id, round(coalesce(p0, 0), 6) + 0.0 AS p0, round(coalesce(p1, 0), 6) + 0.0 AS p1,
+       round(coalesce(p2, 0), 6) + 0.0 AS p2, round(-coalesce(p0, 0) / aw, 6) + 0.0 AS anchor_v0,
+       round(-coalesce(p1, 0) / aw, 6) + 0.0 AS anchor_v1, round(-coalesce(p2, 0) / aw, 6) + 0.0 AS anchor_v2
 FROM an LEFT JOIN s ON an.label = s.label""",
 }
 

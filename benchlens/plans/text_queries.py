@@ -101,7 +101,7 @@ SELECT source, token, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS to
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type),
 t AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id)
 SELECT c.user_id, event_type, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total,
-       round(1000.0 * n / total, 6) AS rate FROM c JOIN t USING (user_id)""",
+       round(1000.0 * n / total, 6) + 0.0 AS rate FROM c JOIN t USING (user_id)""",
     "event_tail": f"""
 SELECT user_id, event_id, value, CAST(rank AS INTEGER) AS rank FROM (
   SELECT user_id, event_id, value,
@@ -121,16 +121,16 @@ f AS (SELECT *, CASE WHEN d >= 1 THEN printf('%.3f s', round_even(d * 1000, 0) /
                      WHEN d >= 1e-3 THEN printf('%.3f ms', round_even(d * 1e3 * 1000, 0) / 1000)
                      WHEN d >= 1e-6 THEN printf('%.3f us', round_even(d * 1e6 * 1000, 0) / 1000)
                      ELSE printf('%.3f ns', round_even(d * 1e9 * 1000, 0) / 1000) END AS duration FROM g)
-SELECT user_id, segment, n_lines, first_line, last_line, round(d, 6) AS duration_s, duration,
+SELECT user_id, segment, n_lines, first_line, last_line, round(d, 6) + 0.0 AS duration_s, duration,
        round(CAST(regexp_extract(duration, '^([0-9.]+) (ns|us|ms|s)$', 1) AS DOUBLE) *
              CASE regexp_extract(duration, '^([0-9.]+) (ns|us|ms|s)$', 2)
-                  WHEN 's' THEN 1.0 WHEN 'ms' THEN 1e-3 WHEN 'us' THEN 1e-6 ELSE 1e-9 END, 6) AS duration_back
+                  WHEN 's' THEN 1.0 WHEN 'ms' THEN 1e-3 WHEN 'us' THEN 1e-6 ELSE 1e-9 END, 6) + 0.0 AS duration_back
 FROM f""",
     "outcome_counts": """
 WITH o AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status FROM orders),
 c AS (SELECT o_orderpriority, status, count(*) AS n FROM o GROUP BY ALL)
 SELECT o_orderpriority, status, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total,
-       round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share,
+       round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) + 0.0 AS share,
        printf('%d/%d packages %s', n, sum(n) OVER (PARTITION BY o_orderpriority),
               CASE WHEN status = 'ok' THEN 'succeeded' ELSE 'failed' END) AS summary FROM c""",
     "outcome_parse": """
