@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import bpe_tree, packing
+from benchlens.llm import bpe_tree, packing, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    got = simhash.near_duplicates(_table(spark, sf, "documents"))
+    return got.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
     got = bpe_tree.encode(_table(spark, sf, "documents"))
     return got.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -23,5 +28,5 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {"op6_bpe_tree": op6_bpe_tree, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op4_simhash": op4_simhash, "op6_bpe_tree": op6_bpe_tree, "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
