@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import bpe_tree, packing, simhash
+from benchlens.llm import backoff_lm, bpe_tree, packing, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _id_share(parts: int) -> Column:
+    """Remainder of the id's checksum; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf, "documents"))
     return got.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -24,9 +29,16 @@ def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op9_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    got = backoff_lm.score(_table(spark, sf, "documents"), _id_share(5) != 1)
+    return got.select("doc_id", (~F.col("train_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_bpe_tree": op6_bpe_tree, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op4_simhash": op4_simhash, "op6_bpe_tree": op6_bpe_tree, "op9_backoff_lm": op9_backoff_lm,
+           "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
