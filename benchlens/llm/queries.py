@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, packing, simhash
+from benchlens.llm import backoff_lm, bpe_tree, language, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,11 +17,28 @@ def _id_share(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+QUALITY_AT = 0.3  # least score of label 1
+
+
+def op3_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    model = quality.fit(docs, labels.where(_id_share(5) != 0))
+    got = quality.predict(docs, model, ["doc_id"])
+    return got.select("doc_id", (_id_share(5) == 0).alias("held_out"), "score",
+                      (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf, "documents"))
     return got.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_hierarchical_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    got = language.predict(docs, language.fit(docs, _id_share(4) != 2), ["doc_id"])
+    return got.select("doc_id", (_id_share(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
     got = bpe_tree.encode(_table(spark, sf, "documents"))
     return got.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -39,6 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_bpe_tree": op6_bpe_tree, "op9_backoff_lm": op9_backoff_lm,
+QUERIES = {"op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
+           "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op9_backoff_lm": op9_backoff_lm,
            "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
