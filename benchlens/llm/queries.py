@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, language, packing, quality, simhash
+from benchlens.llm import backoff_lm, bpe_tree, language, merkle, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_merkle_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.compare_with_edited(_table(spark, sf, "documents"))
+
+
 def op9_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     got = backoff_lm.score(_table(spark, sf, "documents"), _id_share(5) != 1)
     return got.select("doc_id", (~F.col("train_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -57,6 +61,6 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
-           "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op9_backoff_lm": op9_backoff_lm,
+           "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op9_backoff_lm": op9_backoff_lm,
            "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
