@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, language, merkle, packing, quality, simhash
+from benchlens.llm import backoff_lm, bpe_tree, language, merkle, packing, preference, quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _id_share(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def op1_preference_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations")
+    return preference.format_pairs(turns, preference.pairs_by_opening(turns))
+
+
 QUALITY_AT = 0.3  # least score of label 1
 
 
@@ -60,7 +65,35 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {"op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
+QUERIES = {"op1_preference_format": op1_preference_format, "op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
            "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op9_backoff_lm": op9_backoff_lm,
            "op10_best_fit_packing": op10_best_fit_packing}
-SQL: dict[str, str] = {}
+def _rendered(turns: str) -> str:
+    return f"""array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10)
+        || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"""
+
+
+def _masked(turns: str) -> str:
+    return f"""array_to_string(list_transform({turns}, lambda t: (5 + length(coalesce(t.role, '')))::VARCHAR || ':0,'
+        || (8 + length(coalesce(t.text, '')))::VARCHAR
+        || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END), ',')"""
+
+
+SQL: dict[str, str] = {
+    "op1_preference_format": f"""
+WITH convs AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ranked AS (
+  SELECT conv_id, turns, turns[1] AS opening, row_number() OVER (PARTITION BY turns[1] ORDER BY conv_id) - 1 AS i FROM convs),
+pairs AS (
+  SELECT a.conv_id AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS a, coalesce(b.turns, []) AS b
+  FROM ranked a LEFT JOIN ranked b ON b.opening = a.opening AND b.i = a.i + 1 WHERE a.i % 2 = 0),
+cut AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, 1 + least(len(a), len(b))), lambda k: a[k] IS NOT DISTINCT FROM b[k]), false) - 1,
+                     least(len(a), len(b)))::INT AS prompt_turns FROM pairs)
+SELECT pair_id, chosen_id, rejected_id, prompt_turns, {_rendered("a[1:prompt_turns]")} AS prompt,
+       {_rendered("a[prompt_turns + 1:]")} AS chosen, {_rendered("b[prompt_turns + 1:]")} AS rejected,
+       {_masked("a[prompt_turns + 1:]")} AS chosen_mask, {_masked("b[prompt_turns + 1:]")} AS rejected_mask
+FROM cut""",
+}
