@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, language, merkle, packing, preference, quality, simhash
+from benchlens.llm import backoff_lm, bpe_tree, dimension_scan, language, merkle, packing, preference, quality, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_preference_format(spark: SparkSession, sf: str) -> DataFrame:
     return preference.format_pairs(turns, preference.pairs_by_opening(turns))
 
 
+def op2_dimension_scan(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return dimension_scan.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUALITY_AT = 0.3  # least score of label 1
 
 
@@ -65,7 +70,8 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {"op1_preference_format": op1_preference_format, "op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
+QUERIES = {"op1_preference_format": op1_preference_format, "op2_dimension_scan": op2_dimension_scan,
+           "op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
            "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op9_backoff_lm": op9_backoff_lm,
            "op10_best_fit_packing": op10_best_fit_packing}
 def _rendered(turns: str) -> str:
