@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, dimension_scan, language, merkle, packing, preference, quality, simhash
+from benchlens.llm import backoff_lm, bpe_tree, dimension_scan, language, merkle, packing, preference, quality, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op7_merkle_tree(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.compare_with_edited(_table(spark, sf, "documents"))
 
 
+def op8_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in the texts; the path is the source, labels come from the candidates' own shapes."""
+    docs = _table(spark, sf, "documents")
+    forest = secret_scan.train(secret_scan.own_labels(secret_scan.candidates(docs, "text", "source")))
+    got = secret_scan.scan(docs, forest, ["doc_id"], "text", "source").where("is_secret")
+    return got.select("doc_id", "start", F.length("value").cast("long").alias("length"),
+                      F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 def op9_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     got = backoff_lm.score(_table(spark, sf, "documents"), _id_share(5) != 1)
     return got.select("doc_id", (~F.col("train_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -72,7 +81,8 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"op1_preference_format": op1_preference_format, "op2_dimension_scan": op2_dimension_scan,
            "op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
-           "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op9_backoff_lm": op9_backoff_lm,
+           "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op8_secret_forest": op8_secret_forest,
+           "op9_backoff_lm": op9_backoff_lm,
            "op10_best_fit_packing": op10_best_fit_packing}
 def _rendered(turns: str) -> str:
     return f"""array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10)
