@@ -5,21 +5,20 @@ single group holds a large share of all rows (one program, one file, one
 duplicate key), that task does all the work. The helpers here split every
 group into ordered range buckets of the first order column, compute local
 results per (group, bucket) in parallel, and add the totals of the earlier
-buckets from a small per-(group, bucket) table joined back on the same keys
-(the large side is already hash-partitioned on them, so only the small side
-moves).
+buckets of the groups that lie in more than one, joined back on the same keys
+(the large side is already hash-partitioned on them). One plan serves every
+input size.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.session import checkpoint_dir, target_partitions
+from benchlens.session import checkpoint_dir
 
 _BUCKET = "_ord_bucket"
 
@@ -46,58 +45,45 @@ def _bucket_of(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
 
 
 MAX_TREE_BUCKETS = 1024
-MAX_FINE = 64
 ROWS_PER_BUCKET = 1_000_000
 
 
 def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
-    """Column with the range bucket of ``order_col`` (see ``_buckets``)."""
-    return _buckets(df, order_col, n_buckets)[0]
-
-
-def _buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> tuple[Column, int]:
-    """(bucket column, bucket count) of ``order_col``; buckets are non-decreasing in the column.
+    """Column with the range bucket of ``order_col``; buckets are non-decreasing in the column.
 
     One small aggregate job returns approximate quantiles (at most
-    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and, unless
-    ``n_buckets`` is given, the row count: the data then gets about one bucket
-    per ``ROWS_PER_BUCKET`` rows, so buckets hold about equal rows whatever
-    the distribution and a small input is not cut at all. Up to
-    ``MAX_TREE_BUCKETS`` buckets are a balanced CASE tree over the limits;
-    beyond that each quantile range is cut into equal-width sub-buckets
-    arithmetically (its two limits are looked up by index), so any bucket
-    count costs O(log 1024) per row and the plan stays small.
+    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and the row count: about
+    one bucket per ``ROWS_PER_BUCKET`` rows, but never fewer than the cluster
+    has task slots, whatever the size. Up to ``MAX_TREE_BUCKETS`` buckets are a
+    balanced CASE tree over the limits; beyond that each quantile range is cut
+    into equal-width sub-buckets arithmetically (its two limits are looked up
+    by index), so any bucket count costs O(log 1024) per row and the plan stays
+    small.
     """
-    if n_buckets is not None and n_buckets <= 1:
-        return F.lit(0), 1
-    grid = MAX_TREE_BUCKETS if n_buckets is None else min(n_buckets, MAX_TREE_BUCKETS)
+    grid = MAX_TREE_BUCKETS if n_buckets is None else max(1, min(n_buckets, MAX_TREE_BUCKETS))
     v = _as_number(df, order_col)
     probs = [i / grid for i in range(0, grid + 1)]
     row = df.select(F.percentile_approx(v, probs, 10000).alias("q"),
                     F.count(F.lit(1)).alias("n")).first()
-    per = int(os.environ.get("BENCHLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
-    n = n_buckets or min(MAX_TREE_BUCKETS * MAX_FINE, -(-int(row["n"] or 0) // per))
-    if n <= 1 or row["q"] is None:
-        return F.lit(0), 1
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = n_buckets or max(slots, -(-int(row["n"] or 0) // ROWS_PER_BUCKET))
+    if row["q"] is None:  # no value to cut at
+        return F.lit(0)
     qs = [float(q) for q in row["q"]]
     coarse = min(n, grid)
     fine = -(-n // coarse)
     # Interior limits at probabilities i / coarse, taken from the quantile grid.
-    picked = [qs[round(i * grid / coarse)] for i in range(1, coarse)]
-    lo_all, hi_all = qs[0], qs[-1]
-    bounds = sorted(set(picked))
-    if not bounds and fine <= 1:
-        return F.lit(0), 1
+    bounds = sorted({qs[round(i * grid / coarse)] for i in range(1, coarse)})
     c = _bucket_of(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
     if fine <= 1:
-        return c, len(bounds) + 1
-    lows = F.array(*[F.lit(x) for x in [lo_all, *bounds]])
-    highs = F.array(*[F.lit(x) for x in [*bounds, hi_all]])
+        return c
+    lows = F.array(*[F.lit(x) for x in [qs[0], *bounds]])
+    highs = F.array(*[F.lit(x) for x in [*bounds, qs[-1]]])
     lo = F.element_at(lows, c + 1)
     hi = F.element_at(highs, c + 1)
     frac = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
     sub = F.least(F.greatest(F.floor(frac * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
-    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long"), (len(bounds) + 1) * fine
+    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -145,76 +131,53 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     first = bucket_on or order[0]
     if not isinstance(first, str):
         raise ValueError("running(): give bucket_on= when the first order item is an expression")
-    bk, nb = (bucket, 2) if bucket is not None else _buckets(df, first, n_buckets)
-    if nb <= 1:
-        return _running_one_bucket(df, keys, order, sums, index, total)
+    bk = bucket if bucket is not None else range_buckets(df, first, n_buckets)
     b, gk = _group_cols(df.withColumn(_BUCKET, bk), keys)
-    w_local = Window.partitionBy(*gk, _BUCKET).orderBy(*order)
+    in_bucket = Window.partitionBy(*gk, _BUCKET)
+    w_local = in_bucket.orderBy(*order)
     frame = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
     local_cols = {"_li": F.row_number().over(w_local)}
-    for name, c in sums.items():
-        c = F.col(c) if isinstance(c, str) else c
-        local_cols[f"_ls_{name}"] = F.sum(c).over(frame)
+    local_cols.update({f"_ls_{name}": F.sum(c).over(frame) for name, c in sums.items()})
+    if total:
+        local_cols["_lt"] = F.count(F.lit(1)).over(in_bucket)
     loc = b.withColumns(local_cols)
 
-    # Per (group, bucket) totals; the window output is already clustered on
-    # (keys, bucket), so this aggregate adds no exchange.
-    agg_cols = [F.max("_li").alias("_bn")] + [
-        F.max_by(f"_ls_{name}", "_li").alias(f"_bs_{name}") for name in sums]
-    tot = loc.groupBy(*gk, _BUCKET).agg(*agg_cols)
-    w_prev = Window.partitionBy(*gk).orderBy(_BUCKET).rowsBetween(
-        Window.unboundedPreceding, -1)
+    # Totals need no order: a partial aggregate in the scan stage, one row per (group, bucket) and task.
+    tot = b.groupBy(*gk, _BUCKET).agg(
+        F.count(F.lit(1)).alias("_bn"), *[F.sum(c).alias(f"_bs_{name}") for name, c in sums.items()])
+    of_group = Window.partitionBy(*gk)
+    w_prev = of_group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     off_cols = {"_oi": F.coalesce(F.sum("_bn").over(w_prev), F.lit(0))}
     for name in sums:
         off_cols[f"_os_{name}"] = F.coalesce(F.sum(f"_bs_{name}").over(w_prev), F.lit(0.0))
-    if total:
-        off_cols["_gt"] = F.sum("_bn").over(Window.partitionBy(*gk))
-    off = tot.withColumns(off_cols).drop("_bn", *[f"_bs_{n}" for n in sums])
+    off_cols["_gt"] = F.sum("_bn").over(of_group)
+    # Groups that lie in one bucket need no offset, so they are not joined at all.
+    off = tot.withColumns(off_cols).where(F.col("_gt") > F.col("_bn")).drop("_bn", *[f"_bs_{n}" for n in sums])
 
-    out = loc.join(off, on=[*gk, _BUCKET], how="inner")
+    out = loc.join(off, on=[*gk, _BUCKET], how="left")
     final = {}
     if index:
-        final[index] = (F.col("_li") + F.col("_oi")).cast("long")
+        final[index] = (F.col("_li") + F.coalesce("_oi", F.lit(0))).cast("long")
     for name in sums:
-        final[name] = F.col(f"_ls_{name}") + F.col(f"_os_{name}")
+        final[name] = F.col(f"_ls_{name}") + F.coalesce(f"_os_{name}", F.lit(0.0))
     if total:
-        final[total] = F.col("_gt").cast("long")
+        final[total] = F.coalesce("_gt", "_lt").cast("long")
     out = out.withColumns(final)
-    drop = ["_li", "_oi", _BUCKET, "_gt", *gk] + [f"_ls_{n}" for n in sums] + [f"_os_{n}" for n in sums]
+    drop = ["_li", "_oi", "_lt", _BUCKET, "_gt", *gk] + [f"_ls_{n}" for n in sums] + [f"_os_{n}" for n in sums]
     return out.drop(*[c for c in drop if c not in final])
 
 
-def _running_one_bucket(df: DataFrame, keys: list[str], order: Sequence[Column | str],
-                        sums: dict[str, Column | str], index: str | None, total: str | None) -> DataFrame:
-    """Plain windows, used when the whole input is one bucket (at most ~ROWS_PER_BUCKET rows)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {}
-    if index:
-        cols[index] = F.row_number().over(w).cast("long")
-    for name, c in sums.items():
-        cols[name] = F.sum(F.col(c) if isinstance(c, str) else c).over(frame)
-    if total:
-        cols[total] = F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long")
-    return df.withColumns(cols)
-
-
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                    rank_col: str = "rank", salt_buckets: int | None = None) -> DataFrame:
+                    rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..n inside each group (``order`` must be a total order).
 
-    First pass: rank inside (group, salt) so a hot group is cut into many
-    tasks; only ``n`` candidates per salt survive. Second pass ranks the few
-    candidates per group.
+    The filter on the row number lets every task cut its own part of a group
+    to n rows before the shuffle (WindowGroupLimit), so a hot group sends only
+    n rows per task.
     """
-    s = salt_buckets or target_partitions(df.sparkSession)
-    keys = list(keys)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(s)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return (cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= n)
-            .drop("_salt", "_r1"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
 def global_index(df: DataFrame, order: Sequence[Column | str], index: str = "_gi",

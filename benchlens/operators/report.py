@@ -2,94 +2,113 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.operators.compare import BOTH, FIRST, SECOND, percent_change, quality_gate
+from benchlens.operators.compare import BOTH, FIRST, percent_change, quality_gate
+from benchlens.operators.ordered import materialize, running
 
-# Layout of the comparison table.
-TITLE = "Comparison results (OLS CPU time)"
-NAME_HEAD = "Benchmark name"
-CHANGE_HEAD = "Change"
-NO_RESULT = "(no result)"
-PAD = 2
-NUM_WIDTH = max(16, len(NO_RESULT))
-CHANGE_WIDTH = max(len(CHANGE_HEAD), max(10, len(NO_RESULT)))
-NUM_DECIMALS = 3
+GAP = "  "
+MISSING = "(none)"
 
 
-def max_width(df: DataFrame, cols: Sequence[Column], floor: int = 0) -> int:
-    """Widest value over several label columns (one aggregate; one number reaches the driver)."""
-    w = df.agg(F.greatest(*[F.max(F.length(c)) for c in cols], F.lit(floor)).alias("w")).first()["w"]
-    return int(w or floor)
+@dataclass(frozen=True)
+class Field:
+    """One printed column: its title, least width, side, and how a value becomes text."""
 
+    title: str
+    width: int
+    left: bool
+    show: Callable[[Column], Column]
 
-def _num(c: Column) -> Column:
-    return F.format_string(f"%{NUM_WIDTH}.{NUM_DECIMALS}e", c)
+    def cell(self, text: Column, width: Column) -> Column:
+        """``text`` padded to ``width``; a longer text is never cut."""
+        fill = F.repeat(F.lit(" "), F.greatest(width - F.length(text), F.lit(0)).cast("int"))
+        return F.concat(text, fill) if self.left else F.concat(fill, text)
 
 
-def _change(f: Column) -> Column:
-    pos = F.format_string(f"%+{CHANGE_WIDTH - 1}.1f%%", f)
-    other = F.format_string(f"%{CHANGE_WIDTH - 1}.1f%%", f)
-    return F.when(f > 0, pos).otherwise(other)
+def scientific(c: Column) -> Column:
+    """Four significant digits, half-to-even before formatting, so the text does not depend on a formatter's ties."""
+    scale = F.pow(F.lit(10.0), F.lit(3) - F.floor(F.log10(F.abs(c))))
+    rounded = F.when(c == 0, F.lit(0.0)).otherwise(F.rint(c * scale) / scale)
+    return F.when(c.isNull(), F.lit(MISSING)).otherwise(F.format_string("%.3e", rounded))
 
 
-def _row(width: int, name: Column, a: Column, b: Column, c: Column) -> Column:
-    pad = F.lit(" " * PAD)
-    return F.concat(F.lpad(name, width, " "), pad, a, pad, b, pad, c, pad)
+def signed_percent(c: Column) -> Column:
+    """One decimal and a percent sign; only gains carry a plus."""
+    text = F.when(c > 0, F.format_string("+%.1f%%", c)).otherwise(F.format_string("%.1f%%", c))
+    return F.when(c.isNull(), F.lit(MISSING)).otherwise(text)
 
 
-def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str,
-                  threshold: float = 0.95) -> DataFrame:
-    """Lines of the comparison table: (sec, block, pos, program, line); sorting by the
-    first four gives the printed order.
+def table_fields(label1: str, label2: str) -> list[Field]:
+    """Fields of the comparison table; widths are plain numbers that grow with the labels."""
+    return [Field("Benchmark", 9, True, lambda c: c),
+            Field(label1, max(12, len(label1)), False, scientific),
+            Field(label2, max(12, len(label2)), False, scientific),
+            Field("Change", 10, False, signed_percent)]
+
+
+def _line(fields: Sequence[Field], first_width: Column, cells: Sequence[Column]) -> Column:
+    parts = [f.cell(c, F.lit(f.width) if i else first_width) for i, (f, c) in enumerate(zip(fields, cells))]
+    return F.concat_ws(GAP, *parts)
+
+
+def max_width(df: DataFrame, cols: Sequence[Column], floor: int = 0) -> Column:
+    """Widest value over several label columns, as a scalar subquery."""
+    widest = F.greatest(*[F.coalesce(F.max(F.length(c)), F.lit(floor)) for c in cols], F.lit(floor))
+    return df.agg(widest).scalar()
+
+
+def change_of_pair(base: Column, new: Column) -> Column:
+    """Printed change of a pair: percent, or what IEEE division gives where the base is zero."""
+    by_zero = F.when(new > 0, "Infinity%").when(new < 0, "-Infinity%").when(new == 0, "NaN%")
+    return F.when(base == 0, F.coalesce(by_zero, F.lit(MISSING))).otherwise(
+        signed_percent(percent_change(F.try_divide(new, base))))
+
+
+def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str, threshold: float = 0.95,
+                  row_order: Sequence[str] = ("program",)) -> DataFrame:
+    """Lines of the comparison table: (sec, block, row_no, line); the first three give the printed order.
 
     ``aligned`` comes from ``align_results`` (block, program, side, cpu1, r2_1,
-    cpu2, r2_2, ratio); ``bands`` from ``geo_bands``. One-sided rows and paired
-    rows are printed only when their fits pass the gate.
+    cpu2, r2_2, ratio) and is computed once (checkpoint); ``bands`` from
+    ``geo_bands``. One-sided rows and paired rows are printed only when their
+    fits pass the gate. Blocks are in name order, a block's rows in
+    ``row_order`` (columns of ``aligned``, the first numeric or a timestamp
+    where blocks are large).
     """
-    # Width: header, every block name, and (padded) row names of blocks present on both sides.
-    per_block = aligned.groupBy("block").agg(
-        (F.max(F.col("side") != SECOND) & F.max(F.col("side") != FIRST)).alias("_both"),
-        F.max_by("program", F.length("program")).alias("_longest"))
-    name_w = max_width(per_block, [F.col("block"), F.when(
-        F.col("_both"), F.concat(F.col("_longest"), F.lit(" " * PAD)))], len(NAME_HEAD))
-    banner = "-" * name_w + "-" * PAD + ("-" * NUM_WIDTH + "-" * PAD) * 2 + "-" * CHANGE_WIDTH + "-" * PAD
-    no = F.lit(NO_RESULT.rjust(NUM_WIDTH))
-    no_c = F.lit(NO_RESULT.rjust(CHANGE_WIDTH))
+    aligned = materialize(aligned)
     spark = aligned.sparkSession
-    head_lines = [TITLE, "", banner,
-                  (NAME_HEAD.rjust(name_w) + " " * PAD + label1[:NUM_WIDTH].rjust(NUM_WIDTH) + " " * PAD
-                   + label2[:NUM_WIDTH].rjust(NUM_WIDTH) + " " * PAD + CHANGE_HEAD.rjust(CHANGE_WIDTH)
-                   + " " * PAD), banner]
-    head = spark.createDataFrame([(0, "", i, s) for i, s in enumerate(head_lines)],
-                                 "sec int, block string, pos long, line string")
-    blocks = aligned.select("block").distinct().select(
-        F.lit(1).alias("sec"), "block", F.lit(0).cast("long").alias("pos"), F.col("block").alias("line"))
+    fields = table_fields(label1, label2)
+    width = max_width(aligned, [F.col("block"), F.col("program")], fields[0].width)
+    rest = sum(len(GAP) + f.width for f in fields[1:])
+    rule = F.repeat(F.lit("-"), (width + F.lit(rest)).cast("int"))
+    titles = _line(fields, width, [F.lit(f.title) for f in fields])
+
+    def fixed(sec: int, lines: Sequence[Column]) -> DataFrame:
+        rows = spark.range(1).select(F.posexplode(F.array(*lines)).alias("i", "line"))
+        return rows.select(F.lit(sec).alias("sec"), F.lit("").alias("block"), F.col("i").cast("long").alias("row_no"), "line")
+
+    head = fixed(0, [F.lit("Comparison of two runs"), rule, titles, rule])
+    blocks = aligned.select("block").distinct().select(F.lit(1).alias("sec"), "block", F.lit(0).cast("long").alias("row_no"),
+                                                       F.col("block").alias("line"))
     side = F.col("side")
-    g1, g2 = quality_gate("r2_1", threshold), quality_gate("r2_2", threshold)
-    shown = aligned.where(((side == BOTH) & g1 & g2) | ((side == FIRST) & g1) | ((side == SECOND) & g2))
-    ch = percent_change("ratio")
-    line = (F.when(side == BOTH, _row(name_w, F.col("program"), _num(F.col("cpu1")), _num(F.col("cpu2")),
-                                      _change(ch)))
-            .when(side == FIRST, _row(name_w, F.col("program"), _num(F.col("cpu1")), no, no_c))
-            .otherwise(_row(name_w, F.col("program"), no, _num(F.col("cpu2")), no_c)))
-    # Row order inside a block is the program name (rows carry no file position here).
-    rows = shown.select(F.lit(1).alias("sec"), "block", F.lit(1).cast("long").alias("pos"),
-                        F.col("program"), line.alias("line"))
-    dash = F.lit("-----".rjust(NUM_WIDTH))
-    summ = bands.select(F.lit(2).alias("sec"), F.lit("").alias("block"), F.col("pos").cast("long").alias("pos"),
-                        _row(name_w, F.col("label"), dash, dash, _change(F.col("change_pct"))).alias("line"))
-    tail = spark.createDataFrame([(2, "", 0, banner)], "sec int, block string, pos long, line string")
-    parts = [head, blocks, rows, tail, summ]
-    parts = [p if "program" in p.columns else p.withColumn("program", F.lit("")) for p in parts]
-    cols = ["sec", "block", "pos", "program", "line"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    ok1, ok2 = quality_gate("r2_1", threshold), quality_gate("r2_2", threshold)
+    shown = aligned.where(F.when(side == BOTH, ok1 & ok2).when(side == FIRST, ok1).otherwise(ok2))
+    text_order = aligned.schema[row_order[0]].dataType.typeName() in ("string", "binary", "boolean")
+    shown = running(shown, ["block"], list(row_order), index="row_no", bucket=F.lit(0) if text_order else None)
+    none = F.lit(MISSING)
+    cells = [F.col("program"), fields[1].show(F.col("cpu1")), fields[2].show(F.col("cpu2")),
+             F.when(side == BOTH, change_of_pair(F.col("cpu1"), F.col("cpu2"))).otherwise(none)]
+    rows = shown.select(F.lit(1).alias("sec"), "block", "row_no", _line(fields, width, cells).alias("line"))
+    summary = bands.select(F.lit(2).alias("sec"), F.lit("").alias("block"), F.col("pos").cast("long").alias("row_no"),
+                           _line(fields, width, [F.col("label"), F.lit("-"), F.lit("-"),
+                                                 fields[3].show(F.col("change_pct"))]).alias("line"))
+    out = head.unionByName(blocks).unionByName(rows).unionByName(fixed(2, [rule])).unionByName(summary)
+    return out.orderBy("sec", "block", "row_no")
 
 
 def render_template(df: DataFrame, group: Sequence[str], order: Column | str, item: Column,

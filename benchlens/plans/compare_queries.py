@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlens.operators import compare as C
 from benchlens.operators import stats as S
-from benchlens.plans.fixtures import RUNS_SQL, run_pair, runs, table
+from benchlens.plans.fixtures import BLOCKS_SQL, RUNS_SQL, block_lists, runs, table
 
 GATE = 0.95
 
@@ -38,12 +38,12 @@ def cmp_change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cmp_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = run_pair(spark, sf)
-    return C.align_blocks(a, b).orderBy("block")
+    a, b = block_lists(spark, sf)
+    return C.align_blocks(a, b)
 
 
 def cmp_orphan_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = run_pair(spark, sf)
+    a, b = block_lists(spark, sf)
     return C.orphan_blocks(a, b)
 
 
@@ -60,29 +60,20 @@ def cmp_side_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cmp_movers(spark: SparkSession, sf: str) -> DataFrame:
-    return C.movers(_aligned(spark, sf), 10, worst=True)
+    return C.movers(_aligned(spark, sf))
 
 
-def dup_key_sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Two 'runs' from lineitem with many duplicate keys.
+def cmp_dup_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """All of lineitem as two 'runs' (line status F and O) whose keys repeat many times.
 
-    block = part key, key = return flag (repeats inside a block); first = ship
-    year 1995, second = ship year 1996; measure = quantity, quality = discount
-    scaled to [0.9, 1]. Occurrences are numbered in (orderkey, linenumber).
+    block = part key, key = return flag; measure = quantity, quality =
+    discount scaled to [0.9, 1]. The n-th lines of a key pair, in (orderkey,
+    linenumber) order, which repeats, then by the two values.
     """
     li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_discount",
-        F.year("l_shipdate").alias("yr"))
-    li = li.where(F.col("yr").isin(1995, 1996)).select(
-        "yr", F.col("l_partkey").cast("string").alias("block"),
-        F.col("l_returnflag").alias("program"), F.col("l_quantity").alias("cpu"),
-        (F.lit(0.9) + F.col("l_discount")).alias("r2"), "l_orderkey", "l_linenumber")
-    return C.with_occurrence(li, ["yr", "block", "program"], ["l_orderkey", "l_linenumber"])
-
-
-def cmp_dup_keys(spark: SparkSession, sf: str) -> DataFrame:
-    occ = dup_key_sides(spark, sf)
-    return C.align_variants(occ, "yr", 1995, 1996, keys=["block", "program", "occ"])
+        "l_orderkey", "l_linenumber", "l_linestatus", F.col("l_partkey").cast("string").alias("block"),
+        F.col("l_returnflag").alias("program"), F.col("l_quantity").alias("cpu"), (F.lit(0.9) + F.col("l_discount")).alias("r2"))
+    return C.align_variants(li, "l_linestatus", "F", "O", order=["l_orderkey", "l_linenumber", "cpu", "r2"])
 
 
 _CMP_SQL_HEAD = "WITH " + RUNS_SQL
@@ -126,17 +117,15 @@ SELECT block, program, ratio, round_even((ratio - 1) * 100 * 10, 0) / 10 + 0.0 A
 FROM aligned WHERE side = 'both'
   AND r2_1 IS NOT NULL AND NOT isnan(r2_1) AND r2_1 >= 0.95
   AND r2_2 IS NOT NULL AND NOT isnan(r2_2) AND r2_2 >= 0.95""",
-    "cmp_blocks": _CMP_SQL_HEAD + """
-SELECT coalesce(a.block, b.block) AS block,
-       CASE WHEN a.block IS NOT NULL AND b.block IS NOT NULL THEN 'both'
-            WHEN a.block IS NOT NULL THEN 'first' ELSE 'second' END AS side
-FROM (SELECT DISTINCT block FROM ra) a FULL OUTER JOIN (SELECT DISTINCT block FROM rb) b
-  ON a.block = b.block
-ORDER BY block""",
-    "cmp_orphan_blocks": _CMP_SQL_HEAD + """
-SELECT block, 'first' AS side FROM (SELECT DISTINCT block FROM ra) WHERE block NOT IN (SELECT block FROM rb)
+    "cmp_blocks": "WITH " + BLOCKS_SQL + """
+SELECT coalesce(ba.block, bb.block) AS block,
+       CASE WHEN ba.block IS NOT NULL AND bb.block IS NOT NULL THEN 'both'
+            WHEN ba.block IS NOT NULL THEN 'first' ELSE 'second' END AS side
+FROM ba FULL OUTER JOIN bb ON ba.block = bb.block""",
+    "cmp_orphan_blocks": "WITH " + BLOCKS_SQL + """
+SELECT block, 'first' AS side FROM ba WHERE block NOT IN (SELECT block FROM bb)
 UNION ALL
-SELECT block, 'second' AS side FROM (SELECT DISTINCT block FROM rb) WHERE block NOT IN (SELECT block FROM ra)""",
+SELECT block, 'second' AS side FROM bb WHERE block NOT IN (SELECT block FROM ba)""",
     "cmp_orphan_rows": _CMP_SQL_HEAD + """,
 m AS (SELECT DISTINCT block FROM ra WHERE block IN (SELECT block FROM rb))
 SELECT block, program, cpu, r2, 'first' AS side FROM ra
@@ -155,18 +144,17 @@ FROM aligned WHERE side <> 'both'
 SELECT side, CAST(count(*) AS BIGINT) AS n FROM aligned GROUP BY side""",
     "cmp_movers": _CMP_SQL_HEAD + """
 SELECT concat_ws('/', nullif(block, ''), program) AS name, cpu1, cpu2, ratio
-FROM aligned WHERE side = 'both' AND ratio IS NOT NULL
-ORDER BY ratio DESC, name ASC LIMIT 10""",
+FROM aligned WHERE side = 'both'""",
     "cmp_dup_keys": """
 WITH li AS (
-  SELECT year(l_shipdate) AS yr, CAST(l_partkey AS VARCHAR) AS block, l_returnflag AS program,
+  SELECT l_linestatus, CAST(l_partkey AS VARCHAR) AS block, l_returnflag AS program,
          l_quantity AS cpu, 0.9 + l_discount AS r2, l_orderkey, l_linenumber
-  FROM lineitem WHERE year(l_shipdate) IN (1995, 1996)),
+  FROM lineitem),
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY yr, block, program ORDER BY l_orderkey, l_linenumber) AS occ
+  SELECT *, row_number() OVER (PARTITION BY l_linestatus, block, program ORDER BY l_orderkey, l_linenumber, cpu, r2) AS occ
   FROM li),
-a AS (SELECT * FROM o WHERE yr = 1995),
-b AS (SELECT * FROM o WHERE yr = 1996)
+a AS (SELECT * FROM o WHERE l_linestatus = 'F'),
+b AS (SELECT * FROM o WHERE l_linestatus = 'O')
 SELECT coalesce(a.block, b.block) AS block, coalesce(a.program, b.program) AS program,
        CAST(coalesce(a.occ, b.occ) AS BIGINT) AS occ,
        CASE WHEN a.block IS NOT NULL AND b.block IS NOT NULL THEN 'both'

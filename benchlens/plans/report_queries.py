@@ -10,28 +10,30 @@ from benchlens.operators import report as R
 from benchlens.operators import stats as S
 from benchlens.operators.ordered import materialize
 from benchlens.operators.sequence import align_sequence
-from benchlens.plans.fixtures import runs, table
+from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
 from benchlens.streaming.tee import tee_stream
 
 GATE = 0.95
 
 
+LABELS = ("results/run-A/first-half", "results/run-B/second-half")
+
+
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    aligned = C.align_variants(runs(spark, sf), "run", "A", "B")
+    aligned = materialize(C.align_variants(runs(spark, sf), "run", "A", "B", carry={"first_ts": F.min("first_ts")}))
     bands = S.geo_bands(S.geo_stats(C.gated_pairs(aligned, GATE)))
-    return R.render_report(aligned, bands, "results/run-A/first-half", "results/run-B/second-half", GATE)
+    return R.render_report(aligned, bands, *LABELS, GATE, row_order=["first_ts", "program"])
 
 
 def template_render(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select("n_name", "n_regionkey")
     r = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    j = n.join(r, on="n_regionkey")
-    mod = F.regexp_replace(F.initcap(F.lower("r_name")), " ", "")
     return R.render_template(
-        j, ["r_name"], "n_name", F.concat(F.lit("import "), F.regexp_replace(F.initcap(F.lower("n_name")), " ", "")),
-        head=F.concat(F.lit("module Check"), mod, F.lit(" where")),
-        tail=F.lit("main :: IO ()\nmain = pure ()"))
+        n.join(r, on="n_regionkey"), ["r_name"], "n_name", F.concat(F.lit("  - "), F.initcap(F.lower("n_name"))),
+        head=F.concat(F.lit("region: "), F.lower("r_name"), F.lit("\nnations:")),
+        tail=F.lit("# end of list"))
+
 
 
 def stream_tee(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,18 +60,71 @@ def cmp_align_seq(spark: SparkSession, sf: str) -> DataFrame:
     return align_sequence(a, b, order="first_ts")
 
 
+def _cell(text: str, width: str, left: bool = False) -> str:
+    fill = f"repeat(' ', greatest({width} - length(({text})), 0)::BIGINT)"
+    return f"(({text}) || {fill})" if left else f"({fill} || ({text}))"
+
+
+def _text_line(*cells: str) -> str:
+    widths = ["w.w", *[str(f.width) for f in R.table_fields(*LABELS)[1:]]]
+    return " || '  ' || ".join(_cell(c, w, i == 0) for i, (c, w) in enumerate(zip(cells, widths)))
+
+
+def _scientific(c: str) -> str:
+    scale = f"pow(10.0::DOUBLE, 3 - floor(log10(abs({c}))))"
+    return (f"CASE WHEN {c} IS NULL THEN '(none)' WHEN {c} = 0 THEN '0.000e+00' "
+            f"ELSE printf('%.3e', round_even({c} * {scale}, 0) / {scale}) END")
+
+
+def _percent(c: str) -> str:
+    return f"coalesce(CASE WHEN {c} > 0 THEN printf('+%.1f%%', {c}) ELSE printf('%.1f%%', {c}) END, '(none)')"
+
+
+def _passes(side: int) -> str:
+    return f"(r2_{side} IS NOT NULL AND NOT isnan(r2_{side}) AND r2_{side} >= {GATE})"
+
+
+_RULE = f"repeat('-', (w.w + {sum(2 + f.width for f in R.table_fields(*LABELS)[1:])})::BIGINT)"
+_PAIR = f"""(CASE WHEN side <> 'both' THEN '(none)'
+  WHEN cpu1 = 0 THEN coalesce(CASE WHEN cpu2 > 0 THEN 'Infinity%' WHEN cpu2 < 0 THEN '-Infinity%' WHEN cpu2 = 0 THEN 'NaN%' END, '(none)')
+  ELSE {_percent("(round_even((cpu2 / cpu1 - 1) * 100 * 10, 0) / 10 + 0.0)")} END)"""
+_TITLES = _text_line("'Benchmark'", f"'{LABELS[0]}'", f"'{LABELS[1]}'", "'Change'")
+_ROW = _text_line("program", _scientific("cpu1"), _scientific("cpu2"), _PAIR)
+_BAND = _text_line("label", "'-'", "'-'", _percent("c"))
+
+REPORT_SQL = "WITH " + RUNS_SQL + f""",
+w AS (SELECT greatest(max(length(block)), max(length(program)), 9) AS w FROM aligned),
+shown AS (
+  SELECT *, row_number() OVER (PARTITION BY block ORDER BY first_ts, program) AS row_no FROM aligned
+  WHERE CASE side WHEN 'both' THEN {_passes(1)} AND {_passes(2)} WHEN 'first' THEN {_passes(1)} ELSE {_passes(2)} END),
+g AS (SELECT ratio FROM aligned WHERE side = 'both' AND {_passes(1)} AND {_passes(2)}),
+v AS (SELECT ratio, ratio IS NOT NULL AND NOT isnan(ratio) AND ratio > 0 AND ratio < 'inf'::DOUBLE AS ok FROM g),
+st AS (SELECT min(CASE WHEN ok THEN ratio END) AS mn, max(CASE WHEN ok THEN ratio END) AS mx,
+              exp(avg(CASE WHEN ok THEN ln(ratio) END)) AS geo, exp(stddev_pop(CASE WHEN ok THEN ln(ratio) END)) AS sdf FROM v),
+b(label, pos, ratio) AS (
+  SELECT 'Min', 1, mn FROM st UNION ALL SELECT 'Max', 2, mx FROM st UNION ALL
+  SELECT '-3 s.d.', 3, geo / pow(sdf, 3) FROM st UNION ALL SELECT '-2 s.d.', 4, geo / pow(sdf, 2) FROM st UNION ALL
+  SELECT '-1 s.d.', 5, geo / sdf FROM st UNION ALL SELECT '+1 s.d.', 6, geo * sdf FROM st UNION ALL
+  SELECT '+2 s.d.', 7, geo * pow(sdf, 2) FROM st UNION ALL SELECT '+3 s.d.', 8, geo * pow(sdf, 3) FROM st UNION ALL
+  SELECT 'Geometric mean', 9, geo FROM st),
+bc AS (SELECT label, pos, round_even((ratio - 1) * 100 * 10, 0) / 10 + 0.0 AS c FROM b)
+SELECT 0 AS sec, '' AS block, 0::BIGINT AS row_no, 'Comparison of two runs' AS line
+UNION ALL SELECT 0, '', 1, {_RULE} FROM w
+UNION ALL SELECT 0, '', 2, {_TITLES} FROM w
+UNION ALL SELECT 0, '', 3, {_RULE} FROM w
+UNION ALL SELECT DISTINCT 1, block, 0, block FROM aligned
+UNION ALL SELECT 1, block, row_no, {_ROW} FROM shown, w
+UNION ALL SELECT 2, '', 0, {_RULE} FROM w
+UNION ALL SELECT 2, '', pos, {_BAND} FROM bc, w"""
+
 SQL = {
+    "report_lines": REPORT_SQL,
     "template_render": """
-WITH j AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT r_name, 'module Check' || replace(initcap_r, ' ', '') || ' where' || chr(10)
-       || string_agg('import ' || replace(initcap_n, ' ', ''), chr(10) ORDER BY n_name) || chr(10)
-       || 'main :: IO ()' || chr(10) || 'main = pure ()' AS doc
-FROM (SELECT r_name, n_name,
-             array_to_string(list_transform(string_split(lower(r_name), ' '),
-                                            lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_r,
-             array_to_string(list_transform(string_split(lower(n_name), ' '),
-                                            lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS initcap_n FROM j)
-GROUP BY r_name, initcap_r""",
+SELECT r_name, 'region: ' || lower(r_name) || chr(10) || 'nations:' || chr(10)
+       || string_agg('  - ' || array_to_string(list_transform(string_split(lower(n_name), ' '),
+                       lambda w: upper(left(w, 1)) || substring(w, 2)), ' '), chr(10) ORDER BY n_name)
+       || chr(10) || '# end of list' AS doc
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "stream_tee": """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, s.sink
 FROM events, (VALUES ('a'), ('b')) s(sink) GROUP BY event_type, s.sink""",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from benchlens.functions import scalar as X
 from benchlens.operators.kmer import chunks_of, letters_upper
-from benchlens.operators.partitioning import spread
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
 from benchlens.sinks.writers import write_results
@@ -100,7 +99,7 @@ def report_flatten(spark: SparkSession, sf: str) -> DataFrame:
 def fasta_section(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as one FASTA file set (header + 60-letter lines), then one section read back."""
     root = scratch_path(spark, "fasta")
-    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).select(
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text").select(
         "doc_id", "lang", letters_upper("text").alias("seq"))
     # Header and sequence lines of a document come out of one row, in order, so
     # they stay together in one output file without any shuffle.

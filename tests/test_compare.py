@@ -99,6 +99,52 @@ def test_movers_top_n(spark):
     assert [r.name for r in top] == ["b/p9", "b/p8", "b/p7"]
 
 
+def test_movers_keep_every_pair(spark):
+    a = _df(spark, [("b", "p", 0.0, 0.99), ("b", "q", 1.0, 0.99), ("b", "r", 2.0, 0.99), ("c", "only", 1.0, 0.99)])
+    b = _df(spark, [("b", "p", 3.0, 0.99), ("b", "q", 5.0, 0.99), ("b", "r", 1.0, 0.99)])
+    al = C.align_results(a, b)
+    assert [r.name for r in C.movers(al).collect()] == ["b/q", "b/r", "b/p"]
+    assert [r.name for r in C.movers(al, worst=False).collect()] == ["b/r", "b/q", "b/p"]
+
+
+def test_repeated_keys_pair_in_order_or_raise(spark):
+    schema = SCHEMA + ", pos int"
+    a = spark.createDataFrame([("b", "p", 1.0, 1.0, 2), ("b", "p", 2.0, 1.0, 1), ("b", "q", 9.0, 1.0, 3)], schema)
+    b = spark.createDataFrame([("b", "p", 10.0, 1.0, 7), ("b", "p", 30.0, 1.0, 8), ("b", "p", 40.0, 1.0, 9)], schema)
+    got = sorted((r.program, r.occ, r.side, r.cpu1, r.cpu2) for r in C.align_results(a, b, order=["pos"]).collect())
+    assert got == [("p", 1, "both", 2.0, 10.0), ("p", 2, "both", 1.0, 30.0), ("p", 3, "second", None, 40.0), ("q", 1, "first", 9.0, None)]
+    with pytest.raises(Exception, match="repeated key"):
+        C.align_results(a, b).collect()
+
+
+def test_files_that_share_a_name_are_paired_one_by_one(spark):
+    a = spark.createDataFrame([("x", "/a/x.csv"), ("x", "/b/x.csv"), ("y", "/a/y.csv")], "block string, path string")
+    b = spark.createDataFrame([("x", "/c/x.csv"), ("z", "/c/z.csv")], "block string, path string")
+    got = sorted(map(tuple, C.align_blocks(a, b, file="path").collect()))
+    assert got == [("x", 1, "both"), ("x", 2, "first"), ("y", 1, "first"), ("z", 1, "second")]
+
+
+def test_header_only_file_counts_as_a_present_block(spark):
+    a = _df(spark, [("b", "p", 1.0, 1.0), ("c", "q", 1.0, 1.0)])
+    b = _df(spark, [("b", "p", 1.0, 1.0)])
+    files = spark.createDataFrame([("b",), ("c",)], "block string")
+    assert C.orphan_rows(a, b).count() == 0
+    assert [r.program for r in C.orphan_rows(a, b, blocks=C.align_blocks(files, files)).collect()] == ["q"]
+
+
+def test_report_cuts_no_name_and_shows_what_division_gives(spark):
+    from benchlens.operators.report import render_report
+    long = "a-very-very-long-program-name-of-a-one-sided-block"
+    a = _df(spark, [("b", "p", 0.0, 1.0), ("b", "q", 2.0, 1.0), ("b", "n", None, 1.0), ("one", long, 1.5, 1.0)])
+    b = _df(spark, [("b", "p", 3.0, 1.0), ("b", "q", 3.0, 1.0), ("b", "n", 1.0, 1.0)])
+    al = C.align_results(a, b)
+    lines = [r.line for r in render_report(al, S.geo_bands(S.geo_stats(C.gated_pairs(al))), "first", "second").collect()]
+    row = {x.split()[0]: x.split()[1:] for x in lines if x.split()}
+    assert row[long] == ["1.500e+00", "(none)", "(none)"] and row["p"] == ["0.000e+00", "3.000e+00", "Infinity%"]
+    assert row["q"] == ["2.000e+00", "3.000e+00", "+50.0%"] and row["n"] == ["(none)", "1.000e+00", "(none)"]
+    assert lines.index("b") < lines.index("one") and len({len(x) for x in lines if x.startswith(("p ", "q ", long, "---"))}) == 1
+
+
 def test_dim_join_broadcasts_only_measured_small_dims(spark):
     from benchlens.operators.joins import dim_join, measured_bytes
 

@@ -15,18 +15,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 
-@pytest.fixture(autouse=True, scope="module")
-def _small_buckets():
-    """Cut ordered steps into many range buckets even on the small tables."""
-    old = os.environ.get("BENCHLENS_ROWS_PER_BUCKET")
-    os.environ["BENCHLENS_ROWS_PER_BUCKET"] = "300"
-    yield
-    if old is None:
-        del os.environ["BENCHLENS_ROWS_PER_BUCKET"]
-    else:
-        os.environ["BENCHLENS_ROWS_PER_BUCKET"] = old
-
-
 def _norm(v):
     if isinstance(v, float):
         return "NaN" if math.isnan(v) else round(v, 6)

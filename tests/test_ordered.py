@@ -48,7 +48,7 @@ def test_global_index_is_dense_and_ordered(spark):
 
 def test_top_n_per_group_equals_plain(spark):
     df = _data(spark)
-    got = top_n_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 3, salt_buckets=5)
+    got = top_n_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 3)
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id"))
     exp = df.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     assert sorted(map(tuple, got.select("id", "rank").collect())) == \
@@ -76,11 +76,18 @@ def test_many_buckets_two_level_are_monotone_and_exact(spark):
         O.MAX_TREE_BUCKETS = old
 
 
-def test_spread_only_when_input_is_narrow(spark):
-    from benchlens.operators.partitioning import spread
+def test_one_plan_for_every_size_and_no_single_partition_over_rows(spark):
+    df = _data(spark, 50)
+    out = running(df, ["g"], ["t", "id"], index="i", total="n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert plan.count("Window") >= 2
+    w = Window.partitionBy("g").orderBy("t", "id")
+    exp = {r.id: r.i for r in df.select("id", F.row_number().over(w).alias("i")).collect()}
+    assert {r.id: r.i for r in out.collect()} == exp
+    assert running(df.limit(0), ["g"], ["t", "id"], index="i").count() == 0
+
 
-    narrow = spark.range(0, 100, numPartitions=1)
-    wide = spark.range(0, 100, numPartitions=16)
-    assert spread(narrow, 4).rdd.getNumPartitions() == 4
-    assert spread(wide, 4) is wide
-    assert sorted(r.id for r in spread(narrow, 4).collect()) == list(range(100))
+def test_top_n_limits_before_the_shuffle(spark):
+    plan = top_n_per_group(_data(spark), ["g"], [F.col("v").desc(), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange") == 1
