@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.operators.ordered import global_index
+from benchlens.operators.ordered import global_index, running
 
 # The pin-list grammar pieces that are read.
 PIN_COMMENT = "--"
@@ -79,29 +79,44 @@ def slice_corpus(df: DataFrame, order: Sequence[Column | str], s: int, ns: int,
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if a finished table is there, else build, write and read it back."""
-    from py4j.protocol import Py4JJavaError
+    """Read ``path`` if a table is there, else build, write and read it back.
 
+    Present means that the folder holds any data or commit file, so committers
+    that leave no marker count too. Storage errors are raised, never taken for
+    an absent cache, and an existing folder is never overwritten.
+    """
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    done = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    try:
-        exists = fs.exists(done)
-    except Py4JJavaError:
-        exists = False
-    if not exists:
-        build().write.mode("overwrite").parquet(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.listStatus(p):
+        build().write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
-def read_package_cache(spark: SparkSession, path: str) -> DataFrame:
-    """JSON cache ``{"packages": [...]}`` (one object per line) -> (package) base names.
+def module_list(lines: DataFrame, field: str, pkg: str = "pkg", line_no: str = "line_no", text: str = "text") -> DataFrame:
+    """Names of a manifest's ``field:`` list (such as exposed modules): (pkg, line_no, item, module).
+
+    The list starts behind the colon and goes on over deeper or equally
+    indented lines until another ``name:`` field; names are parted by commas
+    or blanks.
+    """
+    head = F.regexp_extract(F.lower(F.col(text)), r"^\s*([a-z][a-z0-9-]*)\s*:", 1)
+    heads = lines.withColumn("_head", head)
+    marked = heads.withColumn("_st", F.when(F.col("_head") != "", F.lit(1)).otherwise(F.lit(0)))
+    own = running(marked, [pkg], [line_no], sums={"_field": "_st"}, index=None)
+    fields = own.where(F.lower(F.col("_head")) == field.lower()).select(pkg, "_field").distinct()
+    body = F.regexp_replace(F.col(text), r"^\s*[A-Za-z][A-Za-z0-9-]*\s*:", "")
+    items = own.join(fields, [pkg, "_field"], "left_semi").select(
+        pkg, line_no, F.posexplode(F.split(F.trim(body), r"[\s,]+")).alias("item", "module"))
+    return items.where(F.col("module") != "")
+
+
+def read_package_cache(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """JSON cache ``{"packages": [...]}`` (one object per line, or per file) -> (package) base names.
 
     A cache of another shape fails loudly instead of yielding nothing.
     """
-    raw = spark.read.text(path)
+    raw = spark.read.text(path, wholetext=multiline)
     parsed = raw.select(F.from_json("value", "packages array<string>").alias("j"), "value")
     bad = F.col("j").isNull() | F.col("j.packages").isNull()
     checked = parsed.select(F.when(bad, F.raise_error(F.concat(F.lit("Corrupt package cache: "),

@@ -114,18 +114,17 @@ def total_energy(df: DataFrame, group: Sequence[str], body_id: str, pos: Sequenc
 def weighted_vector_sum(df: DataFrame, group: Sequence[str], body_id: str, weight: Column | str,
                         vec: Sequence[str]) -> DataFrame:
     """Per group: sum of w * v over all bodies except the anchor (least id), and the
-    anchor's new vector = -sum / anchor weight. One small anchor table joins back."""
+    anchor's new vector = -sum / anchor weight. One aggregate: the anchor's own
+    term is kept aside and taken off the sums."""
     group = list(group)
     w = F.col(weight) if isinstance(weight, str) else weight
     b = df.select(*group, F.col(body_id).alias("_id"), w.cast("double").alias("_w"),
                   *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(vec)])
-    anchor = b.groupBy(*group).agg(F.min("_id").alias("anchor_id"),
-                                   F.min_by("_w", "_id").alias("_aw"))
-    rest = b.join(anchor, on=group, how="inner").where(F.col("_id") != F.col("anchor_id"))
-    sums = rest.groupBy(*group).agg(*[F.sum(F.col("_w") * F.col(f"_v{i}")).alias(f"p{i}")
-                                      for i in range(len(vec))])
-    out = anchor.join(sums, on=group, how="left")
-    return out.select(*group, "anchor_id",
-                      *[F.coalesce(F.col(f"p{i}"), F.lit(0.0)).alias(f"p{i}") for i in range(len(vec))],
-                      *[(-F.coalesce(F.col(f"p{i}"), F.lit(0.0)) / F.col("_aw")).alias(f"anchor_v{i}")
-                        for i in range(len(vec))])
+    term = [F.col("_w") * F.col(f"_v{i}") for i in range(len(vec))]
+    g = b.groupBy(*group).agg(
+        F.min("_id").alias("anchor_id"), F.min_by("_w", "_id").alias("_aw"),
+        *[F.sum(t).alias(f"_s{i}") for i, t in enumerate(term)],
+        *[F.min_by(F.coalesce(t, F.lit(0.0)), F.col("_id")).alias(f"_a{i}") for i, t in enumerate(term)])
+    p = [F.coalesce(F.col(f"_s{i}") - F.col(f"_a{i}"), F.lit(0.0)) for i in range(len(vec))]
+    return g.select(*group, "anchor_id", *[c.alias(f"p{i}") for i, c in enumerate(p)],
+                    *[(-c / F.col("_aw")).alias(f"anchor_v{i}") for i, c in enumerate(p)])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchlens.functions.scalar import duration_text
+from benchlens.functions.scalar import duration_seconds, duration_text, error_cmd, error_code
 from benchlens.operators.ordered import running, top_n_per_group
 
 
@@ -36,6 +36,23 @@ def usage_kind(text: Column | str, kinds: dict[str, str]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def token_remainder(lines: DataFrame, text: str, tokens: Sequence[str], kinds: dict[str, str],
+                    by: Sequence[str] = (), lower: bool = True) -> DataFrame:
+    """All mentions of ``tokens``, split by the kind of their line, and what no kind explains.
+
+    (by..., kind, n, mentions, unexplained): ``n`` mentions lie on lines of
+    ``kind`` (``usage_kind``; null: none fits), ``mentions`` is the group's total
+    and ``unexplained`` what is left of it after all named kinds.
+    """
+    t = F.lower(F.col(text)) if lower else F.col(text)
+    found = F.regexp_count(t, F.lit(r"(?<!\p{L})(?:" + "|".join(_quote(x) for x in tokens) + r")(?!\p{L})")).cast("long")
+    each = lines.select(*by, usage_kind(t, kinds).alias("kind"), found.alias("c")).where("c > 0")
+    counts = each.groupBy(*by, "kind").agg(F.sum("c").alias("n"))
+    group = Window.partitionBy(*by)  # over at most one row per kind and group
+    return counts.withColumns({"mentions": F.sum("n").over(group), "unexplained": F.coalesce(
+        F.sum(F.when(F.col("kind").isNull(), F.col("n"))).over(group), F.lit(0).cast("long"))})
+
+
 def _quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
@@ -80,13 +97,53 @@ def log_segments(lines: DataFrame, by: Sequence[str], order: Sequence[str], is_s
     return out
 
 
+# The marks of a run log.
+COMMAND_MARK = "+ "
+TIME_MARK = "Total benchmarking time: "
+
+
+def run_log(lines: DataFrame, by: Sequence[str], line_no: str, text: str) -> DataFrame:
+    """Run-log lines -> one row per command.
+
+    (by..., segment, cmd, n_lines, first_line, last_line, seconds, error_cmd,
+    error_code): a line that begins with ``+ `` starts a segment with the
+    command after it (segment 0: lines before the first); ``seconds`` comes
+    from the segment's duration line, the error from its error line (null if
+    there is none).
+    """
+    t = F.col(text)
+    start = t.startswith(COMMAND_MARK)
+    marked = lines.select(*by, F.col(line_no).alias("line_pos"), t.alias("_t"),
+                          F.when(start, F.lit(1)).otherwise(F.lit(0)).alias("_st"))
+    seg = running(marked, list(by), ["line_pos"], sums={"segment": "_st"}, index=None)
+    took = F.when(F.col("_t").startswith(TIME_MARK), duration_seconds(F.substring("_t", len(TIME_MARK) + 1, 1 << 30)))
+    command = F.when(F.col("_st") == 1, F.expr(f"substring(_t, {len(COMMAND_MARK) + 1})"))
+    return seg.groupBy(*by, F.col("segment").cast("long").alias("segment")).agg(
+        F.max(command).alias("cmd"), F.count(F.lit(1)).alias("n_lines"), F.min("line_pos").alias("first_line"),
+        F.max("line_pos").alias("last_line"), F.max(took).alias("seconds"), F.max(error_cmd("_t")).alias("error_cmd"),
+        F.max(error_code("_t")).alias("error_code"))
+
+
+OUTCOMES = ("ok", "failed")
+
+
 def outcome_summary(outcomes: DataFrame, by: Sequence[str] = (), status: str = "status") -> DataFrame:
-    """Per group and status: n, total, share and the 'k/n ... succeeded|failed' line."""
-    counts = outcomes.groupBy(*by, status).agg(F.count(F.lit(1)).alias("n"))
-    j = _with_total(counts, by, "total")
-    verb = F.when(F.col(status) == "ok", F.lit("succeeded")).otherwise(F.lit("failed"))
-    return j.withColumn("share", F.col("n") / F.col("total")).withColumn(
-        "summary", F.format_string("%d/%d packages %s", F.col("n"), F.col("total"), verb))
+    """Per group and status: n, total, share and the 'k/n ... succeeded|failed' line.
+
+    A group has a line for both statuses, also for none of its packages.
+    """
+    counts = [F.count_if(F.col(status) == s).alias(s) for s in OUTCOMES]
+    g = outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *counts).where("total > 0")
+    rows = g.select(*by, "total", F.inline(F.array(*[
+        F.struct(F.lit(s).alias(status), F.col(s).alias("n"),
+                 F.lit("succeeded" if s == OUTCOMES[0] else "failed").alias("_verb")) for s in OUTCOMES])))
+    return rows.select(*by, status, "n", "total", (F.col("n") / F.col("total")).alias("share"), F.format_string(
+        "%d/%d packages %s", F.col("n"), F.col("total"), F.col("_verb")).alias("summary"))
+
+
+def outcome_list(outcomes: DataFrame, name: str, by: Sequence[str] = (), status: str = "status") -> DataFrame:
+    """The succeeded and the failed packages, one row each: (by..., status, name)."""
+    return outcomes.select(*by, status, name).distinct()
 
 
 def _with_total(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:

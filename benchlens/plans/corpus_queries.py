@@ -103,6 +103,25 @@ def cached_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return C.cached_table(spark, path, build)   # second call reads the cache
 
 
+def package_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """All package ids written as JSON package lists (with folders, one list per part size), read back as names."""
+    path = scratch_path(spark, "package-lists")
+    p = _pkg_ids(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    entry = F.concat(F.lit("corpus/"), F.col("p_size").cast("string"), F.lit("/"), F.col("pkg"))
+    lists = p.groupBy("p_size", (F.col("p_partkey") % 64).alias("part")).agg(F.collect_list(entry).alias("packages"))
+    lists.select(F.to_json(F.struct("packages")).alias("value")).write.text(path)
+    return C.read_package_cache(spark, path)
+
+
+def module_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Module lists of manifests, one per order."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pkg"), F.col("o_custkey").cast("string").alias("c"), "o_orderstatus")
+    lines = o.select("pkg", F.posexplode(F.array(
+        F.lit("library"), F.concat(F.lit("  Exposed-Modules: Main.C"), F.col("c"), F.lit(", Lib.C"), F.col("c"), F.lit(",")),
+        F.concat(F.lit("      Extra."), F.col("o_orderstatus")), F.lit("  build-depends:   base, containers"))).alias("line_no", "text"))
+    return C.module_list(lines, "exposed-modules")
+
+
 _PIN_LINES_SQL = r"""
 p AS (SELECT p_partkey, p_brand,
              replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS nm,
@@ -157,6 +176,12 @@ WITH g AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1
                   count(*) OVER () AS n FROM part)
 SELECT p_partkey, p_name, CAST(idx AS BIGINT) AS idx FROM g
 WHERE floor(idx / ceil(n / {NUM_SLICES})) = {SLICE - 1}""",
+    "package_cache": "WITH " + _PKG_SQL + "\nSELECT pkg AS package FROM pk",
+    "module_scan": """
+SELECT o_orderkey AS pkg, CAST(line_no AS INTEGER) AS line_no, CAST(item AS INTEGER) AS item,
+       CASE WHEN line_no = 2 THEN 'Extra.' || o_orderstatus WHEN item = 0 THEN 'Main.C' || CAST(o_custkey AS VARCHAR)
+            ELSE 'Lib.C' || CAST(o_custkey AS VARCHAR) END AS module
+FROM orders, (VALUES (1, 0), (1, 1), (2, 0)) v(line_no, item)""",
     "cached_corpus": "WITH " + _PKG_SQL + f"""
 SELECT pkg AS package FROM pk
 WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= {BENCH_QTY})""",
@@ -171,4 +196,6 @@ QUERIES = {
     "corpus_with_bench": corpus_with_bench,
     "corpus_slice": corpus_slice,
     "cached_corpus": cached_corpus,
+    "package_cache": package_cache,
+    "module_scan": module_scan,
 }

@@ -22,29 +22,35 @@ FASTA_DOC = 7
 
 
 def _write_run_tree(spark: SparkSession, sf: str) -> str:
-    """Both runs as CSV trees ``run=<r>/block=<b>/part-*.csv``, columns in another order per run."""
+    """Fitted programs of both runs as files ``run=<r>/<block>.csv``, columns in another order per run."""
     root = scratch_path(spark, "result-tree")
-    r = runs(spark, sf).select("run", "block", F.col("program").alias("PROGNAME"),
-                               F.col("cpu").alias("CPUTIME"), F.col("r2").alias("RSQR_TIME_FIT"),
-                               F.col("n").alias("N"))
+    r = runs(spark, sf).where("cpu is not null").select(
+        "run", "block", F.col("program").alias("PROGNAME"), F.col("cpu").alias("CPUTIME"), F.col("r2").alias("RSQR_TIME_FIT"),
+        F.col("n").alias("N"))
     a = r.where(F.col("run") == "A").select("run", "block", "PROGNAME", "CPUTIME", "RSQR_TIME_FIT", "N")
     b = r.where(F.col("run") == "B").select("run", "block", "N", "RSQR_TIME_FIT", "PROGNAME", "CPUTIME",
-                                            F.lit("x").alias("EXTRA"))
-    for part in (a, b):
-        part.write.mode("append").option("header", True).partitionBy("run", "block").csv(root)
-    return root
+                                            F.lit("x, y").alias("EXTRA, QUOTED"))
+    for part in (a, b):  # one file per block: a result list is a small aggregate
+        (part.repartition("run", "block").write.mode("append").option("header", True).option("escape", '"')
+         .partitionBy("run", "block").csv(f"{root}/parts"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(path(f"{root}/parts/run=*/block=*/part-*.csv")):
+        folder = f.getPath().getParent()
+        run, block = folder.getParent().getName(), folder.getName().removeprefix("block=")
+        fs.mkdirs(path(f"{root}/tree/{run}"))
+        fs.rename(f.getPath(), path(f"{root}/tree/{run}/{block}.csv"))
+    return f"{root}/tree"
 
 
 def scan_inventory(spark: SparkSession, sf: str) -> DataFrame:
     root = _write_run_tree(spark, sf)
-    inv = S.with_path_tags(S.list_runs(spark, root), path="path", keys=["run", "block"])
-    return inv.select("run", F.col("block"), "ext").distinct()
+    inv = S.with_path_tags(S.list_runs(spark, root), path="path", keys=["run"])
+    return inv.select("run", "block", "file_name", "ext")
 
 
 def scan_header_bound(spark: SparkSession, sf: str) -> DataFrame:
-    root = _write_run_tree(spark, sf)
-    rows = S.scan_results(spark, root, mode="fail")
-    rows = S.with_path_tags(rows.drop("block"), path="file", keys=["run", "block"])
+    rows = S.with_path_tags(S.scan_results(spark, _write_run_tree(spark, sf), mode="fail"), path="file", keys=["run"])
     return rows.select("run", "block", "program", "cpu", "r2")
 
 
@@ -112,8 +118,8 @@ def fasta_section(spark: SparkSession, sf: str) -> DataFrame:
 _RUNS = "WITH " + RUNS_SQL
 
 SQL = {
-    "scan_inventory": _RUNS + "\nSELECT DISTINCT run, block, '.csv' AS ext FROM runs",
-    "scan_header_bound": _RUNS + "\nSELECT run, block, program, cpu, r2 FROM runs",
+    "scan_inventory": _RUNS + "\nSELECT DISTINCT run, block, block || '.csv' AS file_name, '.csv' AS ext FROM runs WHERE cpu IS NOT NULL",
+    "scan_header_bound": _RUNS + "\nSELECT run, block, program, cpu, r2 FROM runs WHERE cpu IS NOT NULL",
     "path_tags": """
 SELECT o_orderstatus AS variant, printf('lts-%d.%d', year(o_orderdate) - 1990, quarter(o_orderdate)) AS target,
        strftime(date_trunc('year', o_orderdate), '%Y-%m-%d-%H:%M:%S') AS run_ts,

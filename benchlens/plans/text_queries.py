@@ -23,15 +23,17 @@ def line_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_line_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as text files, read back as numbered lines (file form of the line scan).
+    """Documents written as text files, a folder per source, read back as numbered lines of the folder.
 
-    Reports how many lines carry each text; the per-file numbering itself is
-    checked by ``file_lines``' own tests (line order across splits).
+    Rows are range-partitioned by (source, doc_id), so a frequent source has
+    several files, whose order is that of the documents.
     """
     root = scratch_path(spark, "doc-files")
-    table(spark, sf, "documents").select("text").write.text(root)
-    lines = file_lines(spark, root)
-    return lines.groupBy(F.col("text").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "documents").select("source", "doc_id", "text")
+    d = d.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    d.select("source", "text").write.partitionBy("source").text(root)
+    lines = file_lines(spark, root, per_folder=True)
+    return lines.select(F.regexp_extract("folder", "source=([^/]*)$", 1).alias("source"), "line_no", F.col("text").alias("line"))
 
 
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +41,33 @@ def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     return T.token_usage(d, "text", TOKENS, by=["source"]).select("source", "token", "n", "total")
 
 
+# What a line does with the tokens, by its other words.
+KINDS = {kind: f"(?:^|[^a-z0-9_])(?:{words})(?:[^a-z0-9_]|$)" for kind, words in (
+    ("question", "what|when"), ("motion", "to|from"), ("state", "is|was|are|be"))}
+
+
+def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions of the tokens in all lines of ``documents`` by kind of line, with the unexplained rest."""
+    lines = table_lines(table(spark, sf, "documents").select("doc_id", "source", "text"), ["source"], "text")
+    return T.token_remainder(lines, "line", TOKENS, KINDS, by=["source"])
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a logged command (customer = log, order = line block), read back as segments."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    name = F.col("o_orderkey").cast("string")
+    took = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("Total benchmarking time: "), X.duration_text(F.col("o_totalprice") / 1e6)))
+    failed = F.when(F.col("o_orderstatus") == "F", X.error_line(F.concat(F.lit("bench "), name), F.col("o_orderkey") % 5 + 1))
+    each = o.select("o_custkey", "o_orderkey", F.posexplode(F.array_compact(F.array(
+        F.concat(F.lit("+ bench "), name), F.concat(F.lit("total + "), F.col("o_totalprice").cast("string")), took, failed))).alias("p", "text"))
+    return T.run_log(each.withColumn("line_no", F.col("o_orderkey") * 4 + F.col("p")), ["o_custkey"], "line_no", "text")
+
+
+def outcome_lists(spark: SparkSession, sf: str) -> DataFrame:
+    o = _outcomes(spark, sf).withColumn("pkg", F.concat(F.lit("pkg-"), F.col("o_orderkey").cast("string")))
+    return T.outcome_list(o, "pkg", by=["o_orderpriority"])
+
+
 def event_rate(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select("user_id", "event_type")
     r = T.event_rate(ev, ["user_id"], "event_type")
@@ -48,7 +77,7 @@ def event_rate(spark: SparkSession, sf: str) -> DataFrame:
 def event_tail(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     t = T.tail_matching(ev, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()],
-                        F.col("event_type").rlike("^error$"), TAIL_N)
+                        F.col("event_type") == "error", TAIL_N)
     return t.select("user_id", "event_id", "value", "rank")
 
 
@@ -89,8 +118,30 @@ SQL = {
 SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no,
        unnest(string_split(text, chr(10))) AS line FROM documents""",
     "file_line_scan": """
-SELECT line, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""",
+WITH l AS (SELECT source, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+                  unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS BIGINT) AS line_no, line FROM l""",
+    "token_kinds": r"""
+WITH l AS (SELECT source, lower(unnest(string_split(text, chr(10)))) AS line FROM documents),
+c AS (SELECT source, CASE WHEN regexp_matches(line, '(^|[^a-z0-9_])(what|when)([^a-z0-9_]|$)') THEN 'question'
+                          WHEN regexp_matches(line, '(^|[^a-z0-9_])(to|from)([^a-z0-9_]|$)') THEN 'motion'
+                          WHEN regexp_matches(line, '(^|[^a-z0-9_])(is|was|are|be)([^a-z0-9_]|$)') THEN 'state' END AS kind,
+             len(list_filter(string_split_regex(line, '[^\p{L}]+'), lambda w: w IN ('the', 'of', 'and', 'by', 'on'))) AS c FROM l),
+g AS (SELECT source, kind, CAST(sum(c) AS BIGINT) AS n FROM c WHERE c > 0 GROUP BY source, kind)
+SELECT source, kind, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS mentions,
+       CAST(coalesce(sum(n) FILTER (WHERE kind IS NULL) OVER (PARTITION BY source), 0) AS BIGINT) AS unexplained FROM g""",
+    "run_log": """
+SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS segment,
+       'bench ' || CAST(o_orderkey AS VARCHAR) AS cmd, CAST(CASE o_orderstatus WHEN 'P' THEN 2 ELSE 3 END AS BIGINT) AS n_lines,
+       o_orderkey * 4 AS first_line, o_orderkey * 4 + CASE o_orderstatus WHEN 'P' THEN 1 ELSE 2 END AS last_line,
+       CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_totalprice / 1e6 >= 1 THEN round_even(o_totalprice / 1e6 * 1000, 0) / 1000
+            WHEN o_totalprice / 1e6 >= 1e-3 THEN round_even(o_totalprice / 1e6 * 1e3 * 1000, 0) / 1000 * 1e-3
+            ELSE round_even(o_totalprice / 1e6 * 1e6 * 1000, 0) / 1000 * 1e-6 END END AS seconds,
+       CASE WHEN o_orderstatus = 'F' THEN 'bench ' || CAST(o_orderkey AS VARCHAR) END AS error_cmd,
+       CAST(CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 5 + 1 END AS INTEGER) AS error_code FROM orders""",
+    "outcome_lists": """
+SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status,
+       'pkg-' || CAST(o_orderkey AS VARCHAR) AS pkg FROM orders""",
     "token_usage": r"""
 WITH w AS (SELECT source, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS token FROM documents),
 c AS (SELECT source, token, CAST(count(*) AS BIGINT) AS n FROM w
@@ -127,11 +178,11 @@ SELECT user_id, segment, n_lines, first_line, last_line, round(d, 6) + 0.0 AS du
 FROM f""",
     "outcome_counts": """
 WITH o AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status FROM orders),
-c AS (SELECT o_orderpriority, status, count(*) AS n FROM o GROUP BY ALL)
-SELECT o_orderpriority, status, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total,
-       round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) + 0.0 AS share,
-       printf('%d/%d packages %s', n, sum(n) OVER (PARTITION BY o_orderpriority),
-              CASE WHEN status = 'ok' THEN 'succeeded' ELSE 'failed' END) AS summary FROM c""",
+t AS (SELECT o_orderpriority, count(*) AS total FROM o GROUP BY o_orderpriority),
+c AS (SELECT t.o_orderpriority, s.status, total, (SELECT count(*) FROM o WHERE o.o_orderpriority = t.o_orderpriority AND o.status = s.status) AS n
+      FROM t, (VALUES ('ok'), ('failed')) s(status))
+SELECT o_orderpriority, status, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, round(n / total, 6) + 0.0 AS share,
+       printf('%d/%d packages %s', n, total, CASE WHEN status = 'ok' THEN 'succeeded' ELSE 'failed' END) AS summary FROM c""",
     "outcome_parse": """
 SELECT 'run-bench pkg-' || CAST(o_orderkey AS VARCHAR) AS cmd, CAST(o_orderkey % 5 + 1 AS INTEGER) AS code
 FROM orders WHERE o_orderstatus = 'F'""",
@@ -146,4 +197,7 @@ QUERIES = {
     "log_segments": log_segments,
     "outcome_counts": outcome_counts,
     "outcome_parse": outcome_parse,
+    "outcome_lists": outcome_lists,
+    "token_kinds": token_kinds,
+    "run_log": run_log,
 }

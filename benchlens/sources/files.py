@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,57 +32,75 @@ def list_runs(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
                         extension(name).alias("ext"), F.col("length").alias("size"))
 
 
-def _unquote(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
+def read_headers(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv", sep: str = ",") -> dict[str, list[str]]:
+    """Column names of every file's own header, by file path (one entry per listed file reaches the driver)."""
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    lines = r.text(root if isinstance(root, str) else list(root)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_mid"))
+    first = lines.where("_start = 0").groupBy("file").agg(F.min_by("value", "_mid").alias("header")).collect()
+    return {f["file"]: [n.strip() for n in next(csv.reader([f["header"]], delimiter=sep), [])] for f in first}
 
 
 def scan_results(spark: SparkSession, root: str | Sequence[str], columns: dict[str, str] | None = None,
                  types: dict[str, str] | None = None, mode: str = "fail", glob: str = "*.csv",
-                 sep: str = ","):
+                 sep: str = ",", multiline: bool = False):
     """Header-bound CSV scan: every file's own header decides where each column is.
 
-    One text scan reads all files; the first line of each file (its header) is
-    found per file, joined back by file (a small table), and each wanted
-    column is taken from the field at the header position of its name. Files
-    with columns in other orders or extra columns are read right.
+    The headers are read once; files that share a header are then read
+    together by Spark's CSV reader (quoted fields, any separator; quoted line
+    breaks with ``multiline``, which keeps a file in one task), and the groups
+    are put together without a join. A file with a header and no rows gives none.
 
-    Output: file, block, line order keys (_ord, _mid) and the wanted columns.
-    ``mode="fail"`` raises on a missing column or a value that does not parse;
-    ``mode="quarantine"`` returns (good, bad) with the bad raw lines.
+    Output: file, block (base name), line order keys (_ord, _mid) and the wanted
+    columns. ``mode="fail"`` raises on a missing column or a value that is
+    missing or does not parse; ``mode="quarantine"`` returns (good, bad) with
+    the bad rows as CSV text.
     """
+    if mode not in ("fail", "quarantine"):
+        raise ValueError(f"unknown mode {mode!r}")
     columns = dict(columns or RESULT_COLUMNS)
     types = dict(types or RESULT_TYPES)
-    t = ordered_text(spark, root, glob=glob)
-    heads = (t.where(F.col("_start") == 0).groupBy("file")
-             .agg(F.min_by("value", "_mid").alias("_header"), F.min("_mid").alias("_hmid")))
-    names = F.transform(F.split("_header", sep), _unquote)
-    heads = heads.select("file", "_hmid", "_header", *[
-        F.array_position(names, F.lit(h)).cast("int").alias(f"_ix_{k}") for k, h in columns.items()],
-        F.size(names).alias("_ncols"))
-    ncols = heads.agg(F.max("_ncols")).first()[0] or 0
-    data = t.join(heads, on="file", how="inner").where(
-        ~((F.col("_start") == 0) & (F.col("_mid") == F.col("_hmid"))) & (F.trim("value") != ""))
-    schema = ", ".join(f"c{i} string" for i in range(max(ncols, 1)))
-    fields = F.from_csv(F.col("value"), schema, {"sep": sep, "mode": "PERMISSIVE"})
-    arr = F.array(*[fields[f"c{i}"] for i in range(max(ncols, 1))])
-    out_cols, bad = {}, F.lit(False)
-    for k in columns:
-        raw = F.when(F.col(f"_ix_{k}") > 0, F.element_at(arr, F.greatest(F.col(f"_ix_{k}"), F.lit(1))))
-        typed = raw if types.get(k, "string") == "string" else raw.try_cast(types[k])
-        out_cols[k] = typed
-        bad = bad | (F.col(f"_ix_{k}") == 0) | (raw.isNotNull() & typed.isNull()) | raw.isNull()
-    rows = data.select("file", "_ord", "_mid", "value",
-                       drop_extension(base_name("file")).alias("block"),
-                       *[c.alias(k) for k, c in out_cols.items()], bad.alias("_bad"))
-    keep = ["file", "block", "_ord", "_mid", *columns.keys()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in sorted(read_headers(spark, root, glob, sep).items()):
+        absent = [h for h in columns.values() if h not in names]
+        if absent and mode == "fail":
+            raise ValueError(f"no column {', '.join(absent)} in {file}")
+        groups.setdefault(tuple(names), []).append(unquote(file))
+    parts = [_scan_group(spark, files, names, columns, types, sep, multiline) for names, files in groups.items()]
+    if not parts:
+        empty = ", ".join(f"{k} {types.get(k, 'string')}" for k in columns)
+        parts = [spark.createDataFrame([], f"file string, block string, _ord double, _mid long, value string, {empty}, _bad boolean")]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    keep = ["file", "block", "_ord", "_mid", *columns]
     if mode == "fail":
         checked = rows.where(F.when(F.col("_bad"), F.raise_error(F.concat(
             F.lit("bad result row in "), F.col("file"), F.lit(": "), F.col("value")))).otherwise(F.lit(True)))
         return checked.select(*keep)
-    if mode == "quarantine":
-        return (rows.where(~F.col("_bad")).select(*keep),
-                rows.where(F.col("_bad")).select("file", "_ord", "_mid", "value"))
-    raise ValueError(f"unknown mode {mode!r}")
+    return rows.where(~F.col("_bad")).select(*keep), rows.where(F.col("_bad")).select("file", "_ord", "_mid", "value")
+
+
+def _scan_group(spark: SparkSession, files: list[str], names: Sequence[str], columns: dict[str, str], types: dict[str, str],
+                sep: str, multiline: bool) -> DataFrame:
+    """Rows of the files with one header, by position."""
+    fields = [f"c{i}" for i in range(len(names))]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", True).option("sep", sep)
+           .option("escape", '"').option("multiLine", multiline).csv(files))
+    raw = raw.select(*fields, F.col("_metadata.file_path").alias("file"),
+                     (F.col("_metadata.file_block_start") / (F.col("_metadata.file_size") + 1)).alias("_ord"),
+                     F.monotonically_increasing_id().alias("_mid"))
+    wanted, bad = {}, F.lit(False)
+    for k, header in columns.items():
+        text = F.col(fields[names.index(header)]) if header in names else F.lit(None).cast("string")
+        kind = types.get(k, "string")
+        typed = text if kind == "string" else F.trim(text).try_cast(kind)
+        wanted[k] = typed
+        bad = bad | typed.isNull()
+    return raw.select("file", drop_extension(base_name("file")).alias("block"), "_ord", "_mid",
+                      F.to_csv(F.struct(*fields), {"sep": sep}).alias("value"), *[c.alias(k) for k, c in wanted.items()],
+                      bad.alias("_bad"))
 
 
 def _pct_decode(c: Column) -> Column:
@@ -113,24 +133,22 @@ def scan_fasta(spark: SparkSession, path: str | Sequence[str], marker: str, to_e
     The section starts after the first header line that begins with ``marker``
     and ends at the next header (``to_eof=True``: runs to the end of the input,
     later headers included as text). Line order across files follows the path
-    order; the running header count uses the skew-safe ``running`` helper, so a
-    single huge file is handled by many tasks.
+    order. Two filtered aggregates over the header lines give the section's
+    bounds; only the lines between them are kept and numbered.
     """
     t = ordered_text(spark, path, glob=glob, rank_files=True)
-    is_head = F.col("value").startswith(">")
-    t = t.withColumn("_h", F.when(is_head, F.lit(1)).otherwise(F.lit(0)))
-    n = running(t, [], ["_ord", "_mid"], sums={"_sec": "_h"}, index="_gl", bucket_on="_ord")
-    hit = n.where(F.col("value").startswith(marker)).agg(F.min_by(
-        F.struct(F.col("_gl").alias("hl"), F.col("_sec").alias("hs"), F.col("value").alias("v")),
-        "_gl").alias("h"))
-    h = hit.select("h").scalar()  # one row: a scalar subquery, no join
-    j = n.withColumns({"_hl": h["hl"], "_hs": h["hs"], "section": h["v"]})
-    cond = (F.col("_gl") > F.col("_hl")) & (
-        F.lit(True) if to_eof else (F.col("_sec") == F.col("_hs")))
-    sel = j.where(cond)
-    return sel.select(F.substring(F.col("section"), 2, 1 << 20).alias("section"),
-                      (F.col("_gl") - F.col("_hl")).alias("line_pos"),
-                      F.upper(F.regexp_replace("value", "[\r\n]", "")).alias("seq"))
+    at = F.struct(F.col("_ord").alias("o"), F.col("_mid").alias("m"))
+    heads = t.where(F.col("value").startswith(">"))
+    start = heads.where(F.col("value").startswith(marker)).agg(F.min(F.struct(
+        F.col("_ord").alias("o"), F.col("_mid").alias("m"), F.col("value").alias("v"))).alias("h")).select("h").scalar()
+    first = F.struct(start["o"].alias("o"), start["m"].alias("m"))
+    kept = t.where(at > first)
+    if not to_eof:
+        end = heads.where(at > first).agg(F.min(at).alias("e")).select("e").scalar()
+        kept = kept.where(end.isNull() | (at < end))
+    n = running(kept, [], ["_ord", "_mid"], index="line_pos")
+    return n.select(F.regexp_replace(start["v"], "^>", "").alias("section"),
+                    "line_pos", F.upper(F.regexp_replace("value", "[\r\n]", "")).alias("seq"))
 
 
 REPORT_SCHEMA = T.StructType([

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from benchlens.operators.ordered import running
 
 
+MOST_BROADCAST_FILES = 100_000  # longer file lists meet their lines by a shuffle join
+
+
 def table_lines(df: DataFrame, ids: Sequence[str], text: str, line: str = "line") -> DataFrame:
     """(ids..., line_no, line): split a text column at newlines; line numbers start at 1."""
     return df.select(*ids, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_p", line)).select(
@@ -51,7 +54,9 @@ def ordered_text(spark: SparkSession, path: str | Sequence[str], glob: str | Non
     files = sorted(_norm_path(f) for f in raw.inputFiles())
     ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_fkey string, file_rank int")
     scan = scan.withColumn("_fkey", _norm_path_col(F.col("file")))
-    scan = scan.join(F.broadcast(ranks), on="_fkey", how="inner").drop("_fkey")
+    if len(files) <= MOST_BROADCAST_FILES:
+        ranks = F.broadcast(ranks)
+    scan = scan.join(ranks, on="_fkey", how="inner").drop("_fkey")
     return scan.select("file", "file_rank", "value", "_start", (F.col("file_rank") + frac).alias("_ord"), "_mid")
 
 
@@ -68,8 +73,17 @@ def _norm_path_col(c):
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def file_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """(file, line_no, text): numbered lines of every file under ``path``."""
-    t = ordered_text(spark, path, glob)
+def file_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None,
+               per_folder: bool = False) -> DataFrame:
+    """(file, line_no, text): numbered lines of every file under ``path``.
+
+    With ``per_folder`` the files of a folder, in name order, are numbered as
+    one: (folder, line_no, text).
+    """
+    t = ordered_text(spark, path, glob, rank_files=per_folder)
+    if per_folder:
+        t = t.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+        n = running(t, ["folder"], ["_ord", "_mid"], index="line_no")
+        return n.select("folder", "line_no", F.col("value").alias("text"))
     n = running(t, ["file"], ["_start", "_mid"], index="line_no", bucket_on="_ord")
     return n.select("file", "line_no", F.col("value").alias("text"), "_ord", "_mid")

@@ -34,6 +34,16 @@ def test_bad_value_fails_or_is_quarantined(spark, tmp_out):  # D2
     assert [r.value for r in bad.collect()] == ["b,oops,0.99"]
 
 
+def test_separators_quotes_and_line_breaks(spark, tmp_out):
+    _w(f"{tmp_out}/q/bar.csv", 'PROGNAME|CPUTIME|RSQR_TIME_FIT\n"a|b"|1.0|0.99\n')
+    got = S.scan_results(spark, f"{tmp_out}/q", sep="|").collect()
+    assert [(r.block, r.program, r.cpu) for r in got] == [("bar", "a|b", 1.0)]
+    _w(f"{tmp_out}/n/x.csv", '"NOTE, x",PROGNAME,RSQR_TIME_FIT,CPUTIME\n"said ""hi""","p\nq",0.99,2.5\n')
+    got = S.scan_results(spark, f"{tmp_out}/n", multiline=True).collect()
+    assert [(r.program, r.cpu, r.r2) for r in got] == [("p\nq", 2.5, 0.99)]
+    assert S.scan_results(spark, f"{tmp_out}/n", glob="*.none").count() == 0
+
+
 def test_missing_column_fails(spark, tmp_out):
     _w(f"{tmp_out}/m/x.csv", "PROGNAME,CPUTIME\na,1.0\n")
     with pytest.raises(Exception):
@@ -130,3 +140,35 @@ def test_scalar_round_trips(spark):  # F4, F10, F14, F2
                   X.path_join(F.lit(""), F.lit("b"), F.lit("c")).alias("p")).first()
     assert (r.n, r.v, r.t, r.c, r.k, r.p) == ("hs-bench-utils", "1.2.3", "12.346 ms", "run-bench", -3, "b/c")
     assert r.back == pytest.approx(0.012346)
+
+
+def test_long_fasta_header_is_not_cut(spark, tmp_out):
+    head = "long " + "x" * (1 << 21)
+    _w(f"{tmp_out}/f/a.fa", f">first\nac\n>{head}\ngt\n\nca\n>next\ntt\n")
+    got = S.scan_fasta(spark, f"{tmp_out}/f", ">long").orderBy("line_pos").collect()
+    assert [(r.section == head, r.line_pos, r.seq) for r in got] == [(True, 1, "GT"), (True, 2, ""), (True, 3, "CA")]
+    assert S.scan_fasta(spark, f"{tmp_out}/f", ">none").count() == 0
+    assert S.scan_fasta(spark, f"{tmp_out}/f", ">next").count() == 1
+
+
+def test_cache_raises_storage_errors_and_keeps_tables_without_a_marker(spark, tmp_out):
+    import os
+
+    from benchlens.operators.corpus import cached_table
+    path = f"{tmp_out}/cache"
+    build = lambda: spark.range(3)
+    assert cached_table(spark, path, build).count() == 3
+    os.remove(f"{path}/_SUCCESS")
+    assert cached_table(spark, path, lambda: spark.range(9)).count() == 3
+    with pytest.raises(Exception):
+        cached_table(spark, "nosuchfs://host/cache", build)
+
+
+def test_module_list_and_multiline_cache(spark, tmp_out):
+    from benchlens.operators.corpus import module_list, read_package_cache
+    lines = ["name: p", "library", "  exposed-modules: A.B, C", "      D.E,", "    F", "  other-modules: X", "exposed-modules: Z"]
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(lines)] + [("q", 0, "library")], "pkg string, line_no long, text string")
+    got = [(r.pkg, r.module) for r in module_list(df, "exposed-modules").orderBy("line_no", "item").collect()]
+    assert got == [("p", m) for m in ("A.B", "C", "D.E", "F", "Z")]
+    _w(f"{tmp_out}/c/list.json", '{\n "packages": ["dir/a-1",\n "b-2"]\n}\n')
+    assert sorted(r.package for r in read_package_cache(spark, f"{tmp_out}/c", multiline=True).collect()) == ["a-1", "b-2"]

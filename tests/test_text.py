@@ -33,6 +33,32 @@ def test_event_rate_and_outcomes(spark):  # A12, A9
     out = spark.createDataFrame([("ok",), ("ok",), ("failed",)], "status string")
     s = {x.status: x.summary for x in T.outcome_summary(out).collect()}
     assert s == {"ok": "2/3 packages succeeded", "failed": "1/3 packages failed"}
+    none = {x.status: x.summary for x in T.outcome_summary(out.where("status = 'ok'")).collect()}
+    assert none == {"ok": "2/2 packages succeeded", "failed": "0/2 packages failed"}
+    assert T.outcome_summary(out.limit(0)).count() == 0
+
+
+def test_outcome_lists_are_rows(spark):
+    out = spark.createDataFrame([("p", "ok"), ("q", "failed"), ("a", "failed"), ("q", "failed")], "pkg string, status string")
+    got = sorted(map(tuple, T.outcome_list(out, "pkg").collect()))
+    assert got == [("failed", "a"), ("failed", "q"), ("ok", "p")]
+
+
+def test_token_mentions_with_remainder(spark):
+    lines = spark.createDataFrame([("f", "read ref; ref write"), ("f", "plain ref"), ("f", "none here"), ("g", "new ref")], "file string, text string")
+    kinds = {"read": "read", "new": "new"}
+    got = {(r.file, r.kind): (r.n, r.mentions, r.unexplained) for r in T.token_remainder(lines, "text", ["ref"], kinds, by=["file"]).collect()}
+    assert got == {("f", "read"): (2, 3, 1), ("f", None): (1, 3, 1), ("g", "new"): (1, 1, 0)}
+
+
+def test_run_log_segments_from_text(spark):
+    log = ["free + line", "+ build a", "compiling", "+ not a command? it is one", "Total benchmarking time: 1.500 s",
+           "+ run b --flag", "x", "ERROR: run b --flag returned exit code 3", "+ last"]
+    df = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(log)], "file string, line_no long, text string")
+    got = [tuple(r) for r in T.run_log(df, ["file"], "line_no", "text").orderBy("segment").collect()]
+    assert got == [("f", 0, None, 1, 1, 1, None, None, None), ("f", 1, "build a", 2, 2, 3, None, None, None),
+                   ("f", 2, "not a command? it is one", 2, 4, 5, 1.5, None, None),
+                   ("f", 3, "run b --flag", 3, 6, 8, None, "run b --flag", 3), ("f", 4, "last", 1, 9, 9, None, None, None)]
 
 
 def test_render_template(spark):  # K6, F11
@@ -52,12 +78,11 @@ def test_report_row_layout(spark):  # K5, F6, D9, D10
     b = spark.createDataFrame([("fib", "fib/10", 0.0025, 0.98), ("new", "x", 2.0, 0.5)], s)
     al = C.align_results(a, b)
     lines = render_report(al, S.geo_bands(S.geo_stats(C.gated_pairs(al))), "left", "right")
-    got = {r.program: r.line for r in lines.where("sec = 1 AND program <> ''").collect()}
-    w = len("Benchmark name")
-    assert got["fib/10"] == "fib/10".rjust(w) + "  " + "1.250e-03".rjust(16) + "  " + "2.500e-03".rjust(16) \
-        + "  " + "+100.0%".rjust(11) + "  "
-    assert got["old"] == "old".rjust(w) + "  " + "1.000e+00".rjust(16) + "  " + "(no result)".rjust(16) \
-        + "  " + "(no result)".rjust(11) + "  "
+    got = {r.line.split()[0]: r.line for r in lines.where("sec = 1 AND row_no > 0").collect()}
+    w = len("Benchmark")
+    cells = lambda name, *rest: "  ".join([name.ljust(w), rest[0].rjust(12), rest[1].rjust(12), rest[2].rjust(10)])
+    assert got["fib/10"] == cells("fib/10", "1.250e-03", "2.500e-03", "+100.0%")
+    assert got["old"] == cells("old", "1.000e+00", "(none)", "(none)")
     assert "x" not in got  # one-sided row whose fit fails the gate is not printed
-    summ = [r.line for r in lines.where("sec = 2 AND pos > 0").orderBy("pos").collect()]
-    assert summ[-1].startswith("Geometric mean") and summ[-1].endswith("+100.0%  ")
+    summ = [r.line for r in lines.where("sec = 2 AND row_no > 0").orderBy("row_no").collect()]
+    assert summ[-1].startswith("Geometric mean") and summ[-1].endswith("+100.0%")
