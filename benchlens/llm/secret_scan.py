@@ -21,7 +21,9 @@ from benchlens.llm.subwords import sample
 # Shapes and words that credentials are known by.
 ASSIGNED = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 KNOWN = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}"
-CANDIDATE = rf"(?<=(?:password|passwd|pwd|secret|token)=)[^\s\"',;]{{6,}}|[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
+ASSIGNMENT = "(?:password|passwd|pwd|secret|token)="
+# an assigned value, or a long run of key characters; a run is only tried from its start
+CANDIDATE = rf"{ASSIGNMENT}[^\s\"',;]{{6,}}|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
 BENIGN = "sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|uuid|guid|isbn|example|sample|dummy|placeholder|test"
 # Frequent letter pairs and words of English, German, French and Spanish.
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ge|un|qu|ue|ai"
@@ -67,9 +69,12 @@ def with_candidates(docs: DataFrame, text_col: str = "text", path_col: str | Non
     """``docs`` with ``_gaps`` (texts around candidates) and ``_found`` (candidates with context and features)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    cut = docs.withColumn("_values", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    # texts without a candidate are not cut
-    cut = cut.withColumn("_gaps", F.when(F.size("_values") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
+    cut = docs.withColumn("_hits", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    # texts without a candidate are not cut; an assignment's name belongs to the gap before its value
+    name = lambda hit: F.coalesce(F.regexp_extract(hit, rf"\A{ASSIGNMENT}", 0), F.lit(""))
+    cut = cut.withColumn("_gaps", F.when(F.size("_hits") > 0, F.zip_with(
+        F.split(text, CANDIDATE, -1), "_hits", lambda gap, hit: F.concat(gap, name(hit)))).otherwise(F.array(text)))
+    cut = cut.withColumn("_values", F.transform("_hits", lambda hit: F.substr(hit, F.length(name(hit)) + 1))).drop("_hits")
     near = F.transform("_values", lambda v, i: F.struct(
         v.alias("value"), F.right(F.get("_gaps", i), F.lit(40)).alias("before"), F.left(F.get("_gaps", i + 1), F.lit(8)).alias("after")))
     cut = cut.withColumn("_near", near)
@@ -144,8 +149,9 @@ def own_labels(found: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row for each candidate: value, before and the features."""
-    return with_candidates(docs.select(text_col, *([path_col] if path_col else [])), text_col, path_col).select(
-        F.explode("_found").alias("f")).select("f.*")
+    cut = with_candidates(docs.select(text_col, *([path_col] if path_col else [])), text_col, path_col)
+    # explode would have texts filtered by their number of candidates first, and so cut twice
+    return cut.select(F.explode_outer("_found").alias("f")).where(F.col("f").isNotNull()).select("f.*")
 
 
 def with_scores(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -164,13 +170,12 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text_col: str = "text
     table gives an empty result. ``keep`` must not hold the new names.
     """
     src = docs.select(*keep, *{c for c in (text_col, path_col) if c and c not in keep})
-    got = with_scores(src, forest, text_col, path_col).where(F.size("_scored") > 0).withColumn(
-        "_row", F.monotonically_increasing_id()).select(
-        *keep, "_row",
-        F.posexplode(F.zip_with("_gaps", "_scored", lambda g, s: F.struct(F.length(g).alias("gap"), s.alias("s")))).alias("_at", "_c"))
+    # no filter on the candidates' number here: it would be pushed below them and cut every text once more
+    found = F.zip_with("_gaps", "_scored", lambda g, s: F.struct(F.length(g).alias("gap"), s.alias("s")))
+    got = with_scores(src, forest, text_col, path_col).withColumn("_row", F.monotonically_increasing_id()).select(
+        *keep, "_row", F.posexplode(F.filter(found, lambda c: c["s"].isNotNull())).alias("_at", "_c"))
     # a text's candidates are added up in its own order; texts and gaps are not moved
     rows = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    got = got.where(F.col("_c.s").isNotNull())
     before = F.coalesce(F.sum(F.col("_c.gap") + F.length("_c.s.value")).over(rows), F.lit(0))
     return got.withColumn("start", (before + F.col("_c.gap")).cast("long")).select(
         *keep, "start", F.col("_c.s.value").alias("value"), F.col("_c.s.score").alias("score"),
