@@ -107,3 +107,13 @@ def round_half_even(x: Column | str, places: int) -> Column:
     """Half-to-even rounding of doubles to ``places`` decimals."""
     k = float(10 ** places)
     return F.rint(_c(x) * F.lit(k)) / F.lit(k)
+
+
+# Characters whose upper-case form is several characters (a rule, not a list): they stay as they are.
+_GROWING = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1)
+_STAND_IN = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
+
+
+def upper_chars(text: Column | str) -> Column:
+    """Upper case character by character, so the length never changes."""
+    return F.translate(F.upper(F.translate(_c(text), _GROWING, _STAND_IN)), _STAND_IN, _GROWING)

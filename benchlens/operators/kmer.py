@@ -2,9 +2,9 @@
 
 Counting is explode-of-positions -> partial hash aggregate -> shuffle on the
 k-mer -> final aggregate, so the shuffle carries at most one row per
-(group, k-mer) per task. Long sequences stored as numbered chunks get a halo
-(the first k-1 characters of the following chunks) through an equi-join on
-(sequence, chunk position), so no sequence has to fit one row or one task.
+(group, k-mer) per task. Long sequences stored as numbered chunks of any
+lengths are dealt anew into blocks with k-1 following characters, so no
+sequence has to fit one row or one task.
 """
 
 from __future__ import annotations
@@ -14,33 +14,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.operators.ordered import running, top_n_per_group
-from benchlens.session import checkpoint_dir
+from benchlens.functions.scalar import upper_chars
+from benchlens.operators.ordered import materialize, running, top_n_per_group
 
 
-def letters_upper(c: Column | str) -> Column:
-    """Keep the ASCII letters only (drops newlines and everything else), upper-cased.
+PIECE = 4096  # characters of a text that are expanded into k-mers at once
 
-    Letters are kept before upper-casing, so locale case rules (one character
-    becoming two) cannot add letters.
-    """
+
+def sequence_text(c: Column | str) -> Column:
+    """The text as one upper-case sequence: only line breaks are taken out."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
+    return upper_chars(F.regexp_replace(c, "[\r\n]", ""))
 
 
 def all_kmers(seq: Column, k: int) -> Column:
     """Array of every overlapping k-mer of ``seq``, in order, in one linear regex pass.
 
-    A zero-width look-ahead match at each position captures the next k
-    characters; texts shorter than k give an empty array. (Position-wise
-    ``substring`` would rescan the UTF-8 text from its start for every k-mer.)
+    A zero-width look-ahead match at each character captures the next k
+    characters (never from inside a character outside the basic plane); texts
+    shorter than k give an empty array. (Position-wise ``substring`` would
+    rescan the UTF-8 text from its start for every k-mer.)
     """
-    return F.regexp_extract_all(seq, F.lit("(?s)(?=(.{%d}))" % k), 1)
+    return F.regexp_extract_all(seq, F.lit("(?s)(?![\\uDC00-\\uDFFF])(?=(.{%d}))" % k), 1)
+
+
+def pieces(seq: Column, k: int, size: int = PIECE) -> Column:
+    """``seq`` cut into pieces of ``size`` characters, each with the k-1 characters that follow it."""
+    pattern = F.lit("(?s)(.{1,%d})(?=(.{0,%d}))" % (size, k - 1))
+    return F.zip_with(F.regexp_extract_all(seq, pattern, 1), F.regexp_extract_all(seq, pattern, 2), lambda a, b: F.concat(a, b))
 
 
 def kmer_counts(df: DataFrame, text: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., kmer, n): count of every k-mer of ``text`` (per row, no cross-row k-mers)."""
-    km = df.select(*by, F.explode(all_kmers(F.col(text), k)).alias("kmer"))
+    cut = df.select(*by, F.explode(pieces(F.col(text), k)).alias("_piece"))
+    km = cut.select(*by, F.explode(all_kmers(F.col("_piece"), k)).alias("kmer"))
     return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -72,25 +79,32 @@ def kmer_freq(df: DataFrame, text: str, k: int, by: Sequence[str] = ()) -> DataF
 
 
 def top_kmers(freq: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Top n per group by count desc, then k-mer asc (skew-safe top-n)."""
+    """Top n per group by count desc, then k-mer asc (tasks cut to n before the shuffle)."""
     return top_n_per_group(freq, by, [F.col("n").desc(), F.col("kmer").asc()], n)
 
 
 def probe_counts(df: DataFrame, text: str, probes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., probe, n): overlapping occurrences of each probe, zero when absent.
 
-    Each probe is one zero-width look-ahead regex scan per row (no explode);
-    the probe list is a literal of bounded size, so every group gets every
-    probe without a join.
+    Probes none of which begins with another are found by one zero-width
+    alternation in one pass over the text (nested ones take one pass a level);
+    the counts are joined to the probe list, so every group (the one group of
+    an empty input too) has every probe.
     """
-    seq = F.col(text)
-    counts = []
-    for p in probes:
-        pat = "(?=" + _quote(p) + ")"
-        counts.append(F.struct(F.lit(p).alias("probe"),
-                               F.size(F.regexp_extract_all(seq, F.lit(pat), 0)).cast("long").alias("c")))
-    per_row = df.select(*by, F.inline(F.array(*counts)))
-    return per_row.groupBy(*by, "probe").agg(F.sum("c").alias("n"))
+    spark = df.sparkSession
+    levels: list[list[str]] = []
+    for p in sorted(set(probes)):
+        free = next((level for level in levels if not any(p.startswith(q) or q.startswith(p) for q in level)), None)
+        levels.append([p]) if free is None else free.append(p)
+    found = [F.regexp_extract_all(F.col(text), F.lit("(?=(" + "|".join(map(_quote, level)) + "))"), 1) for level in levels]
+    hits = df.select(*by, F.explode(F.concat(*found)).alias("probe")).groupBy(*by, "probe").agg(F.count(F.lit(1)).alias("n"))
+    wanted = spark.createDataFrame([(p,) for p in dict.fromkeys(probes)], "probe string")
+    if by:
+        each = F.explode(F.array(*[F.lit(p) for p in dict.fromkeys(probes)])).alias("probe")
+        wanted = df.select(*by).distinct().select(*by, each)
+        same = [hits[c].eqNullSafe(wanted[c]) for c in by] + [hits["probe"] == wanted["probe"]]
+        return wanted.join(hits, same, "left").select(*[wanted[c] for c in by], wanted["probe"], F.coalesce(hits["n"], F.lit(0)).alias("n"))
+    return wanted.join(hits, "probe", "left").select("probe", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _quote(s: str) -> str:
@@ -117,65 +131,54 @@ def chunk_text(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return df.select(*keep, F.posexplode(pieces).alias("chunk_pos", "chunk"))
 
 
-def with_halo(chunks: DataFrame, seq_id: Sequence[str], k: int, pos: str = "chunk_pos",
-              chunk: str = "chunk", reach: int = 1) -> DataFrame:
-    """Append the first k-1 characters of the following chunks (``halo``).
+def rechunk(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str] = (), pos: str = "chunk_pos",
+            chunk: str = "chunk", size: int = PIECE) -> DataFrame:
+    """Sequences in chunks of any lengths (empty and shorter than k too) as (seq_id..., by..., block, text).
 
-    Each chunk sends its prefix to the ``reach`` preceding positions; pieces
-    meet their target by an equi-join on (sequence, position), then are
-    concatenated in distance order. ``reach`` must cover k-1 characters
-    (chunks shorter than k-1 need reach > 1).
+    Character offsets from running lengths put every chunk's text into blocks
+    of ``size`` characters; what lies in the first k-1 of a block is also sent
+    to the block before. ``text`` is a block with these following characters,
+    so a block never holds more than ``size + k - 1`` characters, however the
+    sequence was cut. ``by`` must be constant in a sequence.
     """
-    seq_id = list(seq_id)
-    if k <= 1:
-        return chunks.withColumn("halo", F.lit(""))
-    if reach == 1:
-        nxt = chunks.select(*seq_id, (F.col(pos) - 1).alias(pos),
-                            F.substring(F.col(chunk), 1, k - 1).alias("halo"))
-        return chunks.join(nxt, on=[*seq_id, pos], how="left").withColumn(
-            "halo", F.coalesce(F.col("halo"), F.lit("")))
-    pieces = chunks.select(
-        *seq_id, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_d"),
-        F.col(pos).alias("_src"), F.substring(F.col(chunk), 1, k - 1).alias("_piece")).select(
-        *seq_id, (F.col("_src") - F.col("_d")).alias(pos), "_d", "_piece")
-    halo = (pieces.groupBy(*seq_id, pos)
-            .agg(F.array_sort(F.collect_list(F.struct("_d", "_piece"))).alias("_ps"))
-            .select(*seq_id, pos, F.substring(
-                F.array_join(F.transform("_ps", lambda x: x["_piece"]), ""), 1, k - 1).alias("halo")))
-    return chunks.join(halo, on=[*seq_id, pos], how="left").withColumn(
-        "halo", F.coalesce(F.col("halo"), F.lit("")))
+    seq_id, size = list(seq_id), max(size, k)
+    src = chunks.select(*seq_id, *[c for c in by if c not in seq_id], pos, F.col(chunk).alias("_t"), F.length(chunk).alias("_n"))
+    keep = [c for c in src.columns if c not in (pos, "_t", "_n")]
+    at = running(src, seq_id, [pos], sums={"_end": "_n"}, index=None).where("_n > 0").withColumn(
+        "_start", (F.col("_end") - F.col("_n")).cast("long"))
+    room = (F.lit(size) - F.col("_start") % size).cast("int")  # up to the first block border
+    parts = F.concat(F.array(F.substring("_t", F.lit(1), room)), chunks_of(F.substring("_t", room + 1, F.col("_n")), size))
+    cut = at.select(*keep, "_start", F.floor(F.col("_start") / size).alias("_first"), F.posexplode(parts).alias("_p", "_t"))
+    cut = cut.withColumn("_b", F.col("_first") + F.col("_p")).withColumn(
+        "_o", F.when(F.col("_p") == 0, F.col("_start")).otherwise(F.col("_b") * size))
+    inside = (F.col("_o") - F.col("_b") * size).cast("int")
+    halo = F.when((F.col("_b") > 0) & (inside < k - 1), F.struct(
+        (F.col("_b") - 1).alias("b"), F.col("_o").alias("o"), F.substring("_t", F.lit(1), F.lit(k - 1) - inside).alias("t")))
+    own = F.struct(F.col("_b").alias("b"), F.col("_o").alias("o"), F.col("_t").alias("t"))
+    sent = cut.select(*keep, F.explode(F.array_compact(F.array(own, halo))).alias("_s"))
+    got = sent.groupBy(*keep, F.col("_s.b").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("_s.o", "_s.t"))).alias("_ts"))
+    return got.select(*keep, "block", F.array_join(F.transform("_ts", lambda x: x["t"]), "").alias("text"))
 
 
 def kmer_counts_chunked(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str] = (),
-                        pos: str = "chunk_pos", chunk: str = "chunk", reach: int = 1) -> DataFrame:
-    """Same counts as ``kmer_counts`` on the joined text, from its chunks."""
-    h = with_halo(chunks, seq_id, k, pos, chunk, reach)
-    # chunk || halo holds exactly the k-mers that start inside the chunk,
-    # because the halo is at most k-1 characters long.
-    text = F.concat(F.col(chunk), F.col("halo"))
-    km = h.select(*by, F.explode(all_kmers(text, k)).alias("kmer"))
+                        pos: str = "chunk_pos", chunk: str = "chunk") -> DataFrame:
+    """Same counts as ``kmer_counts`` on the joined text, from its chunks, whatever their lengths."""
+    h = rechunk(chunks, seq_id, k, by, pos, chunk)
+    # a block's text holds exactly the k-mers that start inside the block
+    km = h.select(*by, F.explode(all_kmers(F.col("text"), k)).alias("kmer"))
     return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-SMALL_GROUP_ROWS = 1_000_000
-
-
-def freq_lines(freq: DataFrame, by: Sequence[str] = (), rows_bound: int | None = None) -> DataFrame:
+def freq_lines(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """'KMER pct' lines (3 decimals, half-to-even) with their rank in sort order.
 
     The rank (count desc, k-mer asc) comes from the range-bucketed ``running``
-    helper, so no single task ranks a whole group. ``rows_bound`` is a proven
-    bound on k-mers per group (alphabet size ** k); when it is small the group
-    is ranked in one window. Otherwise the counts are first checkpointed to the
-    shared checkpoint folder, so the bucket-limit job and the ranking read them
-    instead of recounting the input.
+    helper, so no single task ranks a whole group. The counts are first
+    checkpointed to the shared folder, so ranking does not recount the input.
     """
-    small = rows_bound is not None and rows_bound <= SMALL_GROUP_ROWS
-    if not small:
-        checkpoint_dir(freq.sparkSession)
-        freq = freq.checkpoint(eager=True)
-    ranked = running(freq.withColumn("_negn", -F.col("n")), list(by), ["_negn", "kmer"],
-                     index="pos", bucket_on="_negn", n_buckets=1 if small else None)
+    freq = materialize(freq)
+    ranked = running(freq.withColumn("_negn", -F.col("n")), list(by), ["_negn", "kmer"], index="pos", bucket_on="_negn")
     return ranked.select(*by, F.col("pos").cast("int").alias("pos"),
                          F.format_string("%s %.3f", F.col("kmer"),
                                          F.rint(F.col("pct") * 1000.0) / 1000.0).alias("line"))

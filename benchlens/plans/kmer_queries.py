@@ -12,35 +12,34 @@ from benchlens.plans.fixtures import table
 
 # Probe list (three present words, one absent 12-mer, one absent 18-mer).
 PROBES = ["THE", "ANDT", "INGTHE", "QZXJKQZXJKQZ", "ZQXJWKZQXJWKZQXJWK"]
-CHUNK = 60
+CHUNK = 60  # characters of a chunk; shorter ones below
 
 
-def _letters(spark: SparkSession, sf: str) -> DataFrame:
+def _sequences(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return d.select("doc_id", "lang", K.letters_upper("text").alias("seq"))
+    return d.select("doc_id", "lang", K.sequence_text("text").alias("seq"))
 
 
 def kmer_freq(spark: SparkSession, sf: str) -> DataFrame:
-    f = K.kmer_freq(_letters(spark, sf), "seq", 2, by=["lang"])
+    f = K.kmer_freq(_sequences(spark, sf), "seq", 2, by=["lang"])
     return f.select("lang", "kmer", "n", F.round("pct", 6).alias("pct"))
 
 
 def kmer_topk(spark: SparkSession, sf: str) -> DataFrame:
-    f = K.kmer_freq(_letters(spark, sf), "seq", 2, by=["lang"])
+    f = K.kmer_freq(_sequences(spark, sf), "seq", 2, by=["lang"])
     t = K.top_kmers(f, 10, by=["lang"])
     return t.select("lang", "kmer", "n", F.round("pct", 6).alias("pct"), "rank")
 
 
 def kmer_specific(spark: SparkSession, sf: str) -> DataFrame:
-    return K.probe_lines(K.probe_counts(_letters(spark, sf), "seq", PROBES))
+    return K.probe_lines(K.probe_counts(_sequences(spark, sf), "seq", PROBES))
 
 
 def kmer_report(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes 1 and 2 (one counting pass, ranked per size) and the probe lines, as one list."""
-    seq = _letters(spark, sf)
+    seq = _sequences(spark, sf)
     freq = K.with_share(K.kmer_counts_multi(seq, "seq", [1, 2]), by=["k"])
-    # Letters are A-Z, so a size has at most 26**2 distinct k-mers.
-    lines = K.freq_lines(freq, by=["k"], rows_bound=26 ** 2).select(
+    lines = K.freq_lines(freq, by=["k"]).select(
         F.concat(F.lit("k"), F.col("k").cast("string")).alias("section"), "pos", "line")
     pc = K.probe_lines(K.probe_counts(seq, "seq", PROBES))
     order = F.array_position(F.array(*[F.lit(p) for p in PROBES]), F.col("probe")).cast("int")
@@ -48,9 +47,12 @@ def kmer_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_halo(spark: SparkSession, sf: str) -> DataFrame:
-    """k=3 counts per language from 60-character chunks; equal to the unchunked counts."""
-    chunks = K.chunk_text(_letters(spark, sf), "doc_id", "seq", CHUNK)
-    return K.kmer_counts_chunked(chunks, ["doc_id"], 3, by=["lang"])
+    """k=3 counts per language from chunks, every fifth cut into single characters; equal to the unchunked counts."""
+    chunks = K.chunk_text(_sequences(spark, sf), "doc_id", "seq", CHUNK)
+    size = F.when(F.col("chunk_pos") % 5 == 0, "(?s).").otherwise("(?s).{1,%d}" % CHUNK)
+    short = chunks.select("doc_id", "lang", "chunk_pos", F.posexplode(F.regexp_extract_all("chunk", size, F.lit(0))).alias("p", "chunk"))
+    short = short.withColumn("chunk_pos", F.col("chunk_pos") * CHUNK + F.col("p"))
+    return K.kmer_counts_chunked(short, ["doc_id"], 3, by=["lang"])
 
 
 def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +64,7 @@ def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("p_brand", *[F.round(c, 6).alias(c) for c in f.columns if c not in ("p_brand", "n")], "n")
 
 
-_LETTERS = "d AS (SELECT doc_id, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
+_SEQ = "d AS (SELECT doc_id, lang, replace(upper(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), 'ß', chr(57344))), chr(57344), 'ß') AS seq FROM documents)"
 
 
 def _counts_sql(k: int, by: str) -> str:
@@ -82,15 +84,15 @@ pc AS (SELECT p.probe, p.pos, CAST(coalesce(sum(
        FROM probes p, d GROUP BY p.probe, p.pos)"""
 
 SQL = {
-    "kmer_freq": f"""WITH {_LETTERS}, c AS ({_counts_sql(2, 'lang')})
+    "kmer_freq": f"""WITH {_SEQ}, c AS ({_counts_sql(2, 'lang')})
 SELECT lang, kmer, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS pct FROM c""",
-    "kmer_topk": f"""WITH {_LETTERS}, c AS ({_counts_sql(2, 'lang')}),
+    "kmer_topk": f"""WITH {_SEQ}, c AS ({_counts_sql(2, 'lang')}),
 f AS (SELECT lang, kmer, n, 100.0 * n / sum(n) OVER (PARTITION BY lang) AS pct,
              row_number() OVER (PARTITION BY lang ORDER BY n DESC, kmer ASC) AS rank FROM c)
 SELECT lang, kmer, n, round(pct, 6) + 0.0 AS pct, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 10""",
-    "kmer_specific": f"""WITH {_LETTERS}, {_PROBE_COUNTS}
+    "kmer_specific": f"""WITH {_SEQ}, {_PROBE_COUNTS}
 SELECT probe, n, CAST(n AS VARCHAR) || chr(9) || probe AS line FROM pc""",
-    "kmer_report": f"""WITH {_LETTERS}, {_PROBE_COUNTS},
+    "kmer_report": f"""WITH {_SEQ}, {_PROBE_COUNTS},
 c1 AS ({_counts_sql(1, '')}), c2 AS ({_counts_sql(2, '')}),
 f AS (SELECT 'k1' AS section, kmer, n, 100.0 * n / sum(n) OVER () AS pct FROM c1
       UNION ALL SELECT 'k2', kmer, n, 100.0 * n / sum(n) OVER () FROM c2)
@@ -98,7 +100,7 @@ SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY n DESC, km
        printf('%s %.3f', kmer, round_even(pct * 1000, 0) / 1000) AS line FROM f
 UNION ALL
 SELECT 'probe', CAST(pos AS INTEGER), CAST(n AS VARCHAR) || chr(9) || probe FROM pc""",
-    "kmer_halo": f"WITH {_LETTERS} " + _counts_sql(3, "lang"),
+    "kmer_halo": f"WITH {_SEQ} " + _counts_sql(3, "lang"),
     "ols_fit": """
 SELECT p_brand,
        round(regr_slope(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_slope,

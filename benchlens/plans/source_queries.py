@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import scalar as X
-from benchlens.operators.kmer import chunks_of, letters_upper
+from benchlens.operators.kmer import chunks_of, sequence_text
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
 from benchlens.sinks.writers import write_results
@@ -105,8 +105,8 @@ def report_flatten(spark: SparkSession, sf: str) -> DataFrame:
 def fasta_section(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as one FASTA file set (header + 60-letter lines), then one section read back."""
     root = scratch_path(spark, "fasta")
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text").select(
-        "doc_id", "lang", letters_upper("text").alias("seq"))
+    # the header mark cannot stand in a sequence
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.translate(sequence_text("text"), ">", "-").alias("seq"))
     # Header and sequence lines of a document come out of one row, in order, so
     # they stay together in one output file without any shuffle.
     head = F.concat(F.lit(">DOC"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"))
@@ -131,7 +131,7 @@ WHERE o_orderpriority <> '1-URGENT' OR o_orderstatus = 'F' GROUP BY ALL""",
     "report_flatten": _RUNS + """
 SELECT block || '/' || program AS PROGNAME, cpu AS CPUTIME, r2 AS RSQR_TIME_FIT, run AS variant FROM runs""",
     "fasta_section": f"""
-WITH d AS (SELECT doc_id, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents
+WITH d AS (SELECT doc_id, lang, replace(replace(upper(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), 'ß', chr(57344))), chr(57344), 'ß'), '>', '-') AS seq FROM documents
            WHERE doc_id = {FASTA_DOC})
 SELECT 'DOC' || CAST(doc_id AS VARCHAR) || ' ' || lang AS section, CAST(i AS BIGINT) AS line_pos,
        substring(seq, (i - 1) * {FASTA_LINE} + 1, {FASTA_LINE}) AS seq

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.functions.scalar import base_name, drop_extension, extension
+from benchlens.functions.scalar import base_name, drop_extension, extension, upper_chars
 from benchlens.operators.ordered import running
 from benchlens.sources.lines import ordered_text
 
@@ -148,7 +148,7 @@ def scan_fasta(spark: SparkSession, path: str | Sequence[str], marker: str, to_e
         kept = kept.where(end.isNull() | (at < end))
     n = running(kept, [], ["_ord", "_mid"], index="line_pos")
     return n.select(F.regexp_replace(start["v"], "^>", "").alias("section"),
-                    "line_pos", F.upper(F.regexp_replace("value", "[\r\n]", "")).alias("seq"))
+                    "line_pos", upper_chars(F.regexp_replace("value", "[\r\n]", "")).alias("seq"))
 
 
 REPORT_SCHEMA = T.StructType([

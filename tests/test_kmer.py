@@ -27,12 +27,12 @@ def test_counts_match_brute_force_and_short_texts(spark):  # A6, D16
         assert got == _brute(texts, k)
 
 
-@pytest.mark.parametrize("size,reach", [(1, 4), (3, 2), (7, 1), (60, 1), (997, 1)])
-def test_chunked_counts_do_not_depend_on_chunking(spark, size, reach):  # W2 halo
+@pytest.mark.parametrize("size", [1, 3, 7, 60, 997])
+def test_chunked_counts_do_not_depend_on_chunking(spark, size):  # W2 halo
     texts = _texts()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, seq string")
     chunks = K.chunk_text(df, "id", "seq", size)
-    got = {r.kmer: r.n for r in K.kmer_counts_chunked(chunks, ["id"], 4, reach=reach).collect()}
+    got = {r.kmer: r.n for r in K.kmer_counts_chunked(chunks, ["id"], 4).collect()}
     assert got == _brute(texts, 4)
 
 
@@ -42,13 +42,46 @@ def test_probe_counts_overlap_and_zero(spark):  # J7
     assert got == {"AAA": 3, "A.A": 0, "ZZZ": 0}
 
 
-def test_letters_and_share(spark):
-    df = spark.createDataFrame([("ab-c\nd ß",)], "t string")
-    assert df.select(K.letters_upper("t").alias("s")).first().s == "ABCD"
+def test_sequence_text_and_share(spark):
+    df = spark.createDataFrame([("ab-c\r\nd ßé😀ﬁ",)], "t string")
+    assert df.select(K.sequence_text("t").alias("s")).first().s == "AB-CD ßÉ😀ﬁ"
     f = K.kmer_freq(spark.createDataFrame([("AAB",)], "s string"), "s", 1).collect()
     assert {r.kmer: round(r.pct, 6) for r in f} == {"A": 66.666667, "B": 33.333333}
 
 
+def test_characters_outside_the_basic_plane_stay_whole(spark):
+    df = spark.createDataFrame([("ab😀cd",)], "s string")
+    assert {r.kmer: r.n for r in K.kmer_counts(df, "s", 2).collect()} == {"ab": 1, "b😀": 1, "😀c": 1, "cd": 1}
+
+
+def test_pieces_and_uneven_chunks(spark):
+    from pyspark.sql import functions as F
+    text = "".join(random.Random(3).choice("ab😀") for _ in range(700))
+    df = spark.createDataFrame([(text,)], "s string")
+    cut = df.select(F.explode(K.pieces(F.col("s"), 5, 64)).alias("p")).select(F.explode(K.all_kmers(F.col("p"), 5)).alias("k"))
+    want = _brute([text], 5)
+    got = {r.k: r["count"] for r in cut.groupBy("k").count().collect()}
+    assert got == want
+    rnd, chunks, at = random.Random(4), [], 0
+    while at < len(text):
+        n = rnd.choice([0, 1, 1, 2, 5, 90])
+        chunks.append((7, len(chunks), text[at:at + n]))
+        at += n
+    c = spark.createDataFrame(chunks, "id long, chunk_pos long, chunk string")
+    for size in (8, 64, 4096):
+        r = K.rechunk(c, ["id"], 5, size=size).select(F.explode(K.all_kmers(F.col("text"), 5)).alias("k"))
+        assert {x.k: x["count"] for x in r.groupBy("k").count().collect()} == want
+
+
+def test_probes_of_an_empty_input_and_nested_probes(spark):
+    df = spark.createDataFrame([("g", "THEME THE"), ("h", None)], "g string, seq string")
+    probes = ["THE", "THEM", "ZZ"]
+    assert {r.probe: r.n for r in K.probe_counts(df, "seq", probes).collect()} == {"THE": 2, "THEM": 1, "ZZ": 0}
+    assert {r.probe: r.n for r in K.probe_counts(df.limit(0), "seq", probes).collect()} == {"THE": 0, "THEM": 0, "ZZ": 0}
+    by = {(r.g, r.probe): r.n for r in K.probe_counts(df, "seq", probes, by=["g"]).collect()}
+    assert by == {("g", "THE"): 2, ("g", "THEM"): 1, ("g", "ZZ"): 0, ("h", "THE"): 0, ("h", "THEM"): 0, ("h", "ZZ"): 0}
+
+
 def test_top_kmers_order(spark):
     df = spark.createDataFrame([("ABABABCC",)], "s string")
     top = K.top_kmers(K.kmer_freq(df, "s", 1), 2).orderBy("rank").collect()
