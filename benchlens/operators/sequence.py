@@ -4,29 +4,27 @@ Rows that moved become two orphans, as in a sequence diff. The key-based
 full outer join (``compare.align_results``) is the order-free alternative and
 the default everywhere else.
 
-Blocks whose paired rows are already in the same order on both sides are
-resolved with joins only; for the others, per block, LCS = longest strictly
-increasing subsequence of the second-side
-positions over all matching (i, j) pairs taken by i ascending and j
-descending (Hunt-Szymanski); it is exact with duplicate keys and costs
-O(r log r) for r matching pairs. Among alignments of equal length the one
-found by patience sorting with leftmost predecessors is returned.
+A block is first cut where no key has rows on both sides of the cut: no match
+can cross such a cut, so the longest common subsequences of the pieces add up
+exactly. A piece of one key pairs its n-th rows by a join. Only pieces in which
+keys really overlap or changed their order go to Python: LCS = longest strictly
+increasing subsequence of the second-side positions over all matching (i, j)
+pairs taken by i ascending and j descending (Hunt-Szymanski), exact with
+duplicate keys, O(r log r) for r matching pairs. A block that is shuffled
+throughout has no cut and is one piece, which must fit a task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchlens.operators.compare import BOTH, FIRST, SECOND
 from benchlens.operators.ordered import materialize, range_buckets, running
 
-SEQ_SCHEMA = ("block string, program string, side string, cpu1 double, r2_1 double, cpu2 double, "
-              "r2_2 double, ratio double, pos1 long, pos2 long")
-
 
 def lcs_pairs(ka: list, kb: list) -> list[tuple[int, int]]:
     """Index pairs (i, j) of one longest common subsequence of ``ka`` and ``kb``."""
@@ -56,91 +54,90 @@ def lcs_pairs(ka: list, kb: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _align_block(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Exact LCS alignment of one block; rows carry their block positions in ``pos``."""
-    block = key[0]
-    a = a.sort_values("pos", kind="mergesort").reset_index(drop=True)
-    b = b.sort_values("pos", kind="mergesort").reset_index(drop=True)
-    pairs = lcs_pairs(a["program"].tolist(), b["program"].tolist())
-    used_a = {i for i, _ in pairs}
-    used_b = {j for _, j in pairs}
-    rows = []
-    for i, j in pairs:
-        c1, c2 = float(a.at[i, "cpu"]), float(b.at[j, "cpu"])
-        rows.append((block, a.at[i, "program"], BOTH, c1, float(a.at[i, "r2"]), c2, float(b.at[j, "r2"]),
-                     (c2 / c1) if c1 != 0 else None, int(a.at[i, "pos"]), int(b.at[j, "pos"])))
-    for i in range(len(a)):
-        if i not in used_a:
-            rows.append((block, a.at[i, "program"], FIRST, float(a.at[i, "cpu"]), float(a.at[i, "r2"]),
-                         None, None, None, int(a.at[i, "pos"]), None))
-    for j in range(len(b)):
-        if j not in used_b:
-            rows.append((block, b.at[j, "program"], SECOND, None, None, float(b.at[j, "cpu"]),
-                         float(b.at[j, "r2"]), None, None, int(b.at[j, "pos"])))
-    cols = ["block", "program", "side", "cpu1", "r2_1", "cpu2", "r2_2", "ratio", "pos1", "pos2"]
-    out = pd.DataFrame(rows, columns=cols)
-    return out.astype({"pos1": "Int64", "pos2": "Int64"})
-
-
 def _positions(df: DataFrame, order: str, block: str, key: str, measure: str, quality: str) -> DataFrame:
     """(block, program, pos, occ, cpu, r2): 0-based position in the block and occurrence of the key.
 
-    Both numberings follow ``order`` inside the block, so they share one set of
-    range-bucket limits.
+    Both numberings follow (``order``, key, values), a total order of different
+    rows, and share one set of range-bucket limits.
     """
     p = df.select(F.col(block).alias("block"), F.col(key).alias("program"), F.col(order).alias("_o"),
                   F.col(measure).cast("double").alias("cpu"), F.col(quality).cast("double").alias("r2"))
     bk = range_buckets(p, "_o")
-    p = running(p, ["block"], ["_o", "program"], index="_p1", bucket=bk)
-    p = running(p, ["block", "program"], ["_o"], index="occ", bucket=bk)
-    return p.select("block", "program", (F.col("_p1") - 1).alias("pos"), "occ", "cpu", "r2")
+    total = ["_o", "program", "cpu", "r2"]
+    p = running(p, ["block"], total, index="_p1", bucket=bk)
+    p = running(p, ["block", "program"], total, index="occ", bucket=bk)
+    return materialize(p.select("block", "program", (F.col("_p1") - 1).alias("pos"), "occ", "cpu", "r2"))
 
 
-def _reordered_blocks(both: DataFrame) -> DataFrame:
-    """Blocks whose pairs, taken in first-side order, do not increase on the second side.
+def pieces(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(block, program, piece, n_keys): the keys of both sides, by the piece of their block.
 
-    Descents are counted inside range buckets of ``pos1`` (a ``lag`` window per
-    (block, bucket)) and across bucket borders from a small per-(block, bucket)
-    table, so a hot block is checked by many tasks.
+    Keys are taken in first-side order; there is a cut behind a key where all
+    rows so far, on either side, lie before all rows of the keys to come. The
+    extremes so far and to come are computed inside range buckets and joined
+    with those of the other buckets, so a large block is many tasks' work.
     """
-    b = both.select("block", "pos1", "pos2").withColumn("_b", range_buckets(both, "pos1"))
-    w = Window.partitionBy("block", "_b").orderBy("pos1")
-    b = b.withColumn("_prev", F.lag("pos2").over(w))
-    per = b.groupBy("block", "_b").agg(
-        F.count_if(F.col("_prev").isNotNull() & (F.col("pos2") < F.col("_prev"))).alias("_d"),
-        F.min_by("pos2", "pos1").alias("_first"), F.max_by("pos2", "pos1").alias("_last"))
-    wb = Window.partitionBy("block").orderBy("_b")
-    per = per.withColumn("_edge", F.coalesce(F.lag("_last").over(wb) > F.col("_first"), F.lit(False)))
-    return per.where((F.col("_d") > 0) | F.col("_edge")).select("block").distinct()
+    span = lambda df, i: df.groupBy("block", "program").agg(F.min("pos").alias(f"lo{i}"), F.max("pos").alias(f"hi{i}"))
+    keys = materialize(span(a, 1).join(span(b, 2), ["block", "program"]))
+    keys = keys.withColumn("_b", range_buckets(keys, "lo1"))
+    at = Window.partitionBy("block", "_b").orderBy("lo1")
+    so_far, to_come = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(1, Window.unboundedFollowing)
+    local = keys.withColumns({"_m1": F.max("hi1").over(so_far), "_m2": F.max("hi2").over(so_far),
+                              "_n1": F.lead("lo1").over(at), "_n2": F.min("lo2").over(to_come)})
+    per = keys.groupBy("block", "_b").agg(F.max("hi1").alias("_x1"), F.max("hi2").alias("_x2"),
+                                          F.min("lo1").alias("_y1"), F.min("lo2").alias("_y2"))
+    of_block = Window.partitionBy("block").orderBy("_b")  # one row a bucket
+    earlier, later = of_block.rowsBetween(Window.unboundedPreceding, -1), of_block.rowsBetween(1, Window.unboundedFollowing)
+    per = per.select("block", "_b", F.max("_x1").over(earlier).alias("_e1"), F.max("_x2").over(earlier).alias("_e2"),
+                     F.min("_y1").over(later).alias("_l1"), F.min("_y2").over(later).alias("_l2"))
+    seen = local.join(per, ["block", "_b"])
+    cut = ((F.greatest("_m1", "_e1") < F.least("_n1", "_l1")) & (F.greatest("_m2", "_e2") < F.least("_n2", "_l2")))
+    seen = seen.select("block", "program", "lo1", F.coalesce(cut, F.lit(False)).cast("int").alias("_cut"))
+    numbered = running(seen, ["block"], ["lo1"], sums={"_cuts": "_cut"}, index=None)
+    numbered = numbered.select("block", "program", (F.col("_cuts") - F.col("_cut")).cast("long").alias("piece"))
+    sizes = numbered.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n_keys"))
+    return numbered.join(sizes, ["block", "piece"])
+
+
+def _lcs_of_piece(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """(block, pos1, pos2) of one longest common subsequence of a piece."""
+    left, right = left.sort_by("pos"), right.sort_by("pos")
+    found = lcs_pairs(left["program"].to_pylist(), right["program"].to_pylist())
+    i, j = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
+    return pa.table({"block": left["block"].take(i), "pos1": left["pos"].take(i), "pos2": right["pos"].take(j)})
 
 
 def align_sequence(a: DataFrame, b: DataFrame, order: str, block: str = "block",
                    key: str = "program", measure: str = "cpu", quality: str = "r2") -> DataFrame:
     """Order-sensitive alignment per block; ``order`` gives the row order on each side.
 
-    Positions and occurrence numbers come from the skew-safe ``running``
-    helper; the n-th occurrences of a key are paired by a full outer join. In
-    a block where these pairs are in the same order on both sides, they
-    already form a longest common subsequence (no alignment can pair more),
-    so the block is done without Python. Only blocks with reordered rows go to
-    the exact per-block LCS (``cogroup().applyInPandas``), one block per task.
+    Output: block, program, side, cpu1, r2_1, cpu2, r2_2, ratio, pos1, pos2.
+    Matches are position pairs from both branches (see the module); all values
+    are joined to them in one way, so nulls and NaNs stay what they are.
     """
-    pa = _positions(a, order, block, key, measure, quality)
-    pb = _positions(b, order, block, key, measure, quality)
-    la = pa.select("block", "program", "occ", F.col("pos").alias("pos1"), F.col("cpu").alias("cpu1"),
-                   F.col("r2").alias("r2_1"))
-    lb = pb.select("block", "program", "occ", F.col("pos").alias("pos2"), F.col("cpu").alias("cpu2"),
-                   F.col("r2").alias("r2_2"))
-    m = materialize(la.join(lb, on=["block", "program", "occ"], how="full_outer"))
-    reordered = _reordered_blocks(m.where(F.col("pos1").isNotNull() & F.col("pos2").isNotNull()))
-
-    side = (F.when(F.col("pos1").isNotNull() & F.col("pos2").isNotNull(), F.lit(BOTH))
-            .when(F.col("pos1").isNotNull(), F.lit(FIRST)).otherwise(F.lit(SECOND)))
-    in_order = m.join(reordered, on="block", how="left_anti").select(
-        "block", "program", side.alias("side"), "cpu1", "r2_1", "cpu2", "r2_2",
-        F.when(side == BOTH, F.try_divide(F.col("cpu2"), F.col("cpu1"))).alias("ratio"),
-        F.col("pos1").cast("long").alias("pos1"), F.col("pos2").cast("long").alias("pos2"))
-    ga = pa.join(reordered, on="block", how="left_semi").groupBy("block")
-    gb = pb.join(reordered, on="block", how="left_semi").groupBy("block")
-    lcs = ga.cogroup(gb).applyInPandas(_align_block, SEQ_SCHEMA)
-    return in_order.unionByName(lcs)
+    pa_, pb = (_positions(df, order, block, key, measure, quality) for df in (a, b))
+    cut = materialize(pieces(pa_, pb))
+    single = cut.where("n_keys = 1").select("block", "program")
+    one = pa_.join(single, ["block", "program"]).select("block", "program", "occ", F.col("pos").alias("pos1")).join(
+        pb.select("block", "program", "occ", F.col("pos").alias("pos2")), ["block", "program", "occ"])
+    mixed = cut.where("n_keys > 1").select("block", "program", "piece")
+    side = lambda df: df.select("block", "program", "pos").join(mixed, ["block", "program"]).groupBy("block", "piece")
+    schema = f"block {a.schema[block].dataType.simpleString()}, pos1 long, pos2 long"
+    many = side(pa_).cogroup(side(pb)).applyInArrow(_lcs_of_piece, schema)
+    matched = one.select("block", "pos1", "pos2").unionByName(many)
+
+    def values(df: DataFrame, i: int) -> DataFrame:
+        return df.select("block", F.col("pos").alias(f"pos{i}"), F.col("program").alias(f"program{i}"),
+                         F.col("cpu").alias(f"cpu{i}"), F.col("r2").alias(f"r2_{i}"))
+
+    first = values(pa_, 1).join(matched, ["block", "pos1"], "left").withColumn(
+        "pos2", F.coalesce("pos2", -1 - F.col("pos1")))  # an own stand-in for each row without a partner
+    out = first.join(values(pb, 2), ["block", "pos2"], "full_outer")
+    in1, in2 = F.col("program1").isNotNull(), F.col("program2").isNotNull()
+    return out.select("block", F.coalesce("program1", "program2").alias("program"), _side(in1, in2).alias("side"),
+                      "cpu1", "r2_1", "cpu2", "r2_2", F.when(in1 & in2, F.try_divide("cpu2", "cpu1")).alias("ratio"),
+                      F.col("pos1").cast("long").alias("pos1"), F.when(F.col("pos2") >= 0, F.col("pos2")).cast("long").alias("pos2"))
+
+
+def _side(in1: Column, in2: Column) -> Column:
+    return F.when(in1 & in2, F.lit(BOTH)).when(in1, F.lit(FIRST)).otherwise(F.lit(SECOND))

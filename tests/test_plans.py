@@ -5,24 +5,25 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from benchlens.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInPandas", "pairwise_potential": "ArrowEvalPython",
+PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInArrow", "pairwise_potential": "ArrowEvalPython",
              "energy_total": "ArrowEvalPython"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_plan_has_no_cartesian_and_python_only_where_intended(spark, name):
-    df = E.queries()[name](spark, SF)
-    df.write.format("noop").mode("overwrite").save()
+    df = all_queries()[name](spark, SF)
+    df.collect()  # run this very execution, so that the plan below is the one that ran
     plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=false" not in plan
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan  # no row-at-a-time Python UDFs anywhere
-    py = re.findall(r"(ArrowEvalPython|FlatMapCoGroupsInPandas|FlatMapGroupsInPandas|MapInPandas)", plan)
+    py = re.findall(r"(ArrowEvalPython|FlatMapCoGroupsInArrow|FlatMapCoGroupsInPandas|FlatMapGroupsInPandas|MapInPandas)", plan)
     if name in PYTHON_OK:
         assert PYTHON_OK[name] in py
     else:
@@ -30,13 +31,25 @@ def test_plan_has_no_cartesian_and_python_only_where_intended(spark, name):
 
 
 def test_scan_prunes_columns(spark):
-    df = E.queries()["ols_fit"](spark, SF)
+    df = all_queries()["ols_fit"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert any(s.startswith("l_partkey") and "l_comment" not in s and "l_shipdate" not in s for s in schemas)
 
 
 def test_filters_reach_the_scan(spark):
-    df = E.queries()["corpus_with_bench"](spark, SF)
+    df = all_queries()["corpus_with_bench"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_quantity,50", plan)
+
+
+def test_event_and_line_filters_reach_the_scan(spark):
+    plan = all_queries()["event_tail"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,error)" in plan and "WindowGroupLimit" in plan
+    plan = all_queries()["cmp_dup_keys"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(l_linestatus", plan)
+
+
+def test_momentum_reads_its_input_once(spark):
+    plan = all_queries()["momentum_sum"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

@@ -66,3 +66,41 @@ def test_alignment_lcs_length_per_block_equals_brute_force(spark):
         assert len(pairs) == n
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
         assert sum(r.side != "second" for r in rs) == na and sum(r.side != "first" for r in rs) == nb
+
+
+def test_only_the_swapped_piece_goes_to_python(spark):
+    from benchlens.operators.sequence import pieces
+    n = 400
+    a = spark.createDataFrame([("b", f"k{i}", i) for i in range(n)], "block string, program string, pos long")
+    order = list(range(n))
+    order[100], order[101] = order[101], order[100]
+    b = spark.createDataFrame([("b", f"k{k}", i) for i, k in enumerate(order)], "block string, program string, pos long")
+    got = pieces(a, b).where("n_keys > 1").collect()
+    assert sorted(r.program for r in got) == ["k100", "k101"]
+
+
+def test_pieces_add_up_to_the_whole_lcs(spark):
+    import random
+    rnd = random.Random(8)
+    rows_a, rows_b, want = [], [], {}
+    for t in range(12):
+        ka = [rnd.choice("abcdefghij") + str(i // 6) for i in range(rnd.randint(0, 40))]
+        kb = [x for x in ka if rnd.random() < 0.8]
+        for _ in range(3):
+            if len(kb) > 2:
+                i = rnd.randrange(len(kb) - 1)
+                kb[i], kb[i + 1] = kb[i + 1], kb[i]
+        want[f"t{t}"] = len(lcs_pairs(ka, kb))
+        rows_a += [(f"t{t}", k, i, float("nan") if i % 5 == 0 else 1.0, None if i % 3 == 0 else 0.9) for i, k in enumerate(ka)]
+        rows_b += [(f"t{t}", k, i, 2.0, 0.9) for i, k in enumerate(kb)]
+    s = "block string, program string, o long, cpu double, r2 double"
+    got = align_sequence(spark.createDataFrame(rows_a, s), spark.createDataFrame(rows_b, s), order="o").collect()
+    assert len(got) == len(rows_a) + len(rows_b) - sum(want.values())
+    for t, n in want.items():
+        both = sorted((r.pos1, r.pos2) for r in got if r.block == t and r.side == "both")
+        assert len(both) == n and all(x[1] < y[1] for x, y in zip(both, both[1:]))
+    values = {(t, i): (c, q) for t, _, i, c, q in rows_a}
+    for r in got:
+        if r.pos1 is not None:
+            c, q = values[r.block, r.pos1]
+            assert (r.r2_1, r.cpu1 != r.cpu1) == (q, c != c)
