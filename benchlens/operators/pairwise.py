@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from benchlens.operators.joins import dim_join
+
 _PAIR_SCHEMA = T.StructType([
     T.StructField("potential", T.DoubleType()),
     T.StructField("n_pairs", T.LongType()),
@@ -25,7 +27,7 @@ _PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _tile_pair_sums(same: pd.Series, ia: pd.Series, xa: pd.Series, ya: pd.Series, za: pd.Series,
+def _tile_pair_sums(same: pd.Series, most: pd.Series, ia: pd.Series, xa: pd.Series, ya: pd.Series, za: pd.Series,
                     ma: pd.Series, ib: pd.Series, xb: pd.Series, yb: pd.Series, zb: pd.Series,
                     mb: pd.Series) -> pd.DataFrame:
     pot, npairs, nzero = [], [], []
@@ -38,6 +40,7 @@ def _tile_pair_sums(same: pd.Series, ia: pd.Series, xa: pd.Series, ya: pd.Series
             keep = np.asarray(ia[k])[:, None] < np.asarray(ib[k])[None, :]
         else:
             keep = np.ones(d.shape, dtype=bool)
+        keep &= d <= most[k]
         zero = keep & (d == 0.0)
         ok = keep & ~zero
         pot.append(float((mm[ok] / d[ok]).sum()))
@@ -56,7 +59,8 @@ def tiles(df: DataFrame, group: Sequence[str], body_id: str, cols: dict[str, Col
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     b = df.select(*group, F.col(body_id).alias("_id"),
                   *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(n) for n, c in cols.items()])
-    b = b.join(sizes, on=group, how="inner").withColumn(
+    # one row a group: broadcast after measuring it, so bodies of a large group are not moved for a count
+    b = dim_join(b, sizes, group).withColumn(
         "n_tiles", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile))).cast("int"))
     b = b.withColumn("tile", F.pmod(F.xxhash64("_id"), F.col("n_tiles")).cast("int"))
     return b.groupBy(*group, "tile", "n_tiles").agg(
@@ -64,14 +68,22 @@ def tiles(df: DataFrame, group: Sequence[str], body_id: str, cols: dict[str, Col
 
 
 def pair_potential(df: DataFrame, group: Sequence[str], body_id: str, x: str, y: str, z: str,
-                   mass: Column | str, tile: int = 1024, skip_zero: bool = False) -> DataFrame:
+                   mass: Column | str, tile: int = 1024, skip_zero: bool = False, cutoff: float | None = None) -> DataFrame:
     """Per group: sum over unordered pairs of m_i m_j / |p_i - p_j| and the pair count.
 
+    With ``cutoff`` only pairs within that distance count: bodies are dealt
+    into grid cells of that width and meet the bodies of the 27 cells around,
+    so the work follows the pairs in range. Without it the work is quadratic
+    in a group's size, as the sum is.
+
     Two bodies at distance 0 raise an error unless ``skip_zero`` (then they are
     left out and counted in ``n_zero``).
     """
     group = list(group)
-    t = tiles(df, group, body_id, {"x": x, "y": y, "z": z, "m": mass}, tile)
+    cols = {"x": x, "y": y, "z": z, "m": mass}
+    if cutoff is not None:
+        return _pair_sums(_in_range(df, group, body_id, cols, tile, cutoff), group, skip_zero, F.lit(True), cutoff)
+    t = tiles(df, group, body_id, cols, tile)
     # Left role: tile t pairs with u >= t; right role: tile t pairs with u <= t.
     left = t.select(*group, F.col("tile").alias("ti"),
                     F.explode(F.sequence(F.col("tile"), F.col("n_tiles") - 1)).alias("tj"),
@@ -79,8 +91,27 @@ def pair_potential(df: DataFrame, group: Sequence[str], body_id: str, x: str, y:
     right = t.select(*group, F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ti"),
                      F.col("tile").alias("tj"), F.col("items").alias("b"))
     j = left.join(right, on=[*group, "ti", "tj"], how="inner")
+    return _pair_sums(j, group, skip_zero, F.col("ti") == F.col("tj"), float("inf"))
+
+
+def _in_range(df: DataFrame, group: list[str], body_id: str, cols: dict[str, Column | str], tile: int, cutoff: float) -> DataFrame:
+    """Pairs of tiles of a cell (a) and of the bodies of the cells around it (b)."""
+    cell = [f"_cell_{c}" for c in "xyz"]
+    at = df.withColumns({k: F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(cutoff)).cast("long")
+                         for k, c in zip(cell, (cols["x"], cols["y"], cols["z"]))})
+    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    near = at
+    for k in cell:
+        near = near.withColumn("_d", F.explode(step)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
+    a = tiles(at, [*group, *cell], body_id, cols, tile).select(*group, *cell, F.col("items").alias("a"))
+    b = tiles(near, [*group, *cell], body_id, cols, tile).select(*group, *cell, F.col("items").alias("b"))
+    return a.join(b, on=[*group, *cell])
+
+
+def _pair_sums(j: DataFrame, group: list[str], skip_zero: bool, by_id: Column, most: float) -> DataFrame:
+    """Sums over pairs of tiles; ``by_id``: both hold the same bodies, so a pair counts in id order only."""
     r = j.select(*group, _pair_udf(
-        F.col("ti") == F.col("tj"),
+        by_id, F.lit(most),
         F.col("a._id"), F.col("a.x"), F.col("a.y"), F.col("a.z"), F.col("a.m"),
         F.col("b._id"), F.col("b.x"), F.col("b.y"), F.col("b.z"), F.col("b.m")).alias("r"))
     out = r.groupBy(*group).agg(F.sum("r.potential").alias("potential"),
