@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from benchlens.llm import secret_scan
@@ -79,7 +80,8 @@ def test_packing_holds_every_text(stages):
 def test_nulls_and_empty_tables_pass_every_stage(spark, stages):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (2, "", None, "s", 0),
                                  (3, "123", "en", None, 3)], stages[0].schema)
-    for df in (stages[0].limit(30).unionByName(odd), stages[0].limit(0), odd):
+    clash = {c: F.lit("x") for c in ("score", "lang_pred", "label", "fingerprint", "row", "doc", "sequence_id", "value")}
+    for df in (stages[0].limit(30).unionByName(odd).withColumns(clash), stages[0].limit(0), odd):
         for _, stage in P.STAGES:
             df = stage(spark, df, SF)
             df.count()
