@@ -22,10 +22,15 @@ QUALITY_AT = 0.3  # documents with a lower probability of label 1 go
 LANGUAGE_AT = 0.3  # documents whose language is less certain go
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """Rows as one struct beside their text, so that no column of theirs meets a new one."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("judged"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from ``labels``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.predict(docs, model, docs.columns).where(F.col("score") >= QUALITY_AT).select(*docs.columns)
+    return quality.predict(_judged(docs), model, ["doc"], "judged").where(F.col("score") >= QUALITY_AT).select("doc.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs, F.lit(True))
     if model is None:  # nothing to learn from: no ground to reject on
         return docs
-    kept = language.predict(docs, model, docs.columns)
-    return kept.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_AT)).select(*docs.columns)
+    kept = language.predict(_judged(docs), model, ["doc"], "judged")
+    return kept.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_AT)).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
