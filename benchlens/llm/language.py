@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.subwords import AverageScorer, Features, order_of, sample
+from benchlens.llm.subwords import AverageScorer, Features, sample
 from benchlens.llm.words import slices
 
 PER_LANGUAGE = 1500  # documents of each language that are fitted
@@ -133,16 +133,13 @@ def fit(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col: s
         per_language: int = PER_LANGUAGE, fit_chars: int = FIT_CHARS) -> Model | None:
     """Model from the rows where ``learn_from`` is true and text and language are given.
 
-    Fitted are at most ``per_language`` rows of each language with at most
-    ``fit_chars`` characters, chosen by a hash of the text (equal texts count
-    once). Without such rows there is no model (None).
+    Fitted are about ``per_language`` rows of each language of those with at
+    most ``fit_chars`` characters, chosen by a hash of the text; equal texts
+    count once. Without such rows there is no model (None).
     """
     rows = docs.where(learn_from).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & (F.length("_text") <= fit_chars)).withColumn("_hash", F.xxhash64("_text"))
-    # the largest hash that still belongs to the fitted ones, one row a language; only their texts are moved
-    last = sample(rows.select("_lang", "_hash").distinct(), "_lang", F.col("_hash"), per_language).groupBy("_lang").agg(
-        F.max("_order").alias("_last"))
-    near = rows.join(F.broadcast(last), "_lang").where(order_of("_hash") <= F.col("_last"))
+    near = sample(rows, "_lang", F.col("_hash"), per_language)
     got = near.dropDuplicates(["_lang", "_hash"]).select("_lang", "_text", "_hash").toPandas()
     got = got.sort_values(["_lang", "_hash"], ignore_index=True)
     return train(list(got["_text"]), list(got["_lang"])) if len(got) else None

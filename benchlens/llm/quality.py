@@ -72,8 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         per_label: int = PER_LABEL, fit_chars: int = FIT_CHARS) -> Model | float:
     """Model from ``labels`` (``id_col``, ``label_col`` of 0 or 1) and the texts they name.
 
-    Fitted are at most ``per_label`` documents of each label with at most
-    ``fit_chars`` characters, chosen by a hash of the id; the label shares of
+    Fitted are about ``per_label`` documents of each label, less those of more
+    than ``fit_chars`` characters, chosen by a hash of the id; the label shares of
     the whole label table set the bias. Labels other than 0 and 1, null ids
     and null texts are left out. Where a label value is missing altogether,
     the share of label 1 (0.5 without any) is returned instead of a model.
@@ -85,9 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return float(next(iter(counts), 0.5))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(
         F.col("_text").isNotNull() & (F.length("_text") <= fit_chars))
-    # twice as many labels as needed, as some texts may be missing or too long; the ids are few, so they are broadcast
-    near = sample(known, "_label", F.col("_id"), 2 * per_label)
-    rows = sample(texts.join(F.broadcast(near.drop("_order")), "_id"), "_label", F.col("_id"), per_label).toPandas()
+    # the ids of the sample are few, so they are broadcast; texts that are missing or too long only shrink it
+    near = sample(known.distinct(), "_label", F.col("_id"), per_label).drop("_order")
+    rows = texts.join(F.broadcast(near), "_id").distinct().toPandas()
     rows = rows.sort_values(["_label", "_id", "_text"], ignore_index=True)
     found = rows["_label"].value_counts()
     if len(found) < 2:

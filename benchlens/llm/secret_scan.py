@@ -110,12 +110,12 @@ class Forest:
 def train(findings: DataFrame, trees: int = 20, depth: int = 5, seed: int = 1, per_label: int = PER_LABEL) -> Forest:
     """Forest from labelled findings: the columns of ``FEATURES`` and ``label`` (1: a secret, 0: none, null: left out).
 
-    At most ``per_label`` findings of each label are fitted, chosen by a hash.
+    About ``per_label`` different findings of each label are fitted, chosen by a hash.
     With one label value only, the forest is a single leaf of that value;
     without labelled findings it says 0.
     """
     spark = findings.sparkSession
-    known = findings.where("label in (0, 1)").select(*FEATURES, F.col("label").cast("double").alias("label"))
+    known = findings.where("label in (0, 1)").select(*FEATURES, F.col("label").cast("double").alias("label")).distinct()
     rows = sample(known, "label", F.xxhash64(*FEATURES), per_label).select(*FEATURES, "label").collect()
     labels = {r["label"] for r in rows}
     if len(labels) < 2:

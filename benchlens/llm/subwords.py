@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FIRST, _LAST = "\x02", "\x03"  # boundary marks
@@ -113,10 +113,13 @@ def order_of(key: Column | str) -> Column:
 
 
 def sample(rows: DataFrame, label: str, key: Column, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label value: those with the least ``order_of(key)`` (kept as ``_order``).
+    """About ``per_label`` rows of each label value (all, if there are no more), kept with ``_order``.
 
-    Tasks rank their own rows first, so few rows of a frequent label are moved.
+    A label's share of the hash range is set by its row count, so no label's
+    rows meet in one task; rows with equal keys are kept or left out together,
+    so make keys distinct first. Expected is ``per_label``; the spread is its root.
     """
-    w = Window.partitionBy(label).orderBy("_order", key)
-    return rows.withColumn("_order", order_of(key)).withColumn("_rank", F.row_number().over(w)).where(
-        F.col("_rank") <= per_label).drop("_rank")
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row a label value
+    limit = F.lit(2.0 ** 64) * F.lit(float(per_label)) / F.col("_n") - F.lit(2.0 ** 63)
+    return rows.withColumn("_order", order_of(key)).join(F.broadcast(n), label).where(
+        (F.col("_n") <= per_label) | (F.col("_order").cast("double") < limit)).drop("_n")
