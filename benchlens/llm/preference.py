@@ -78,7 +78,9 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, conv: str = "conv_id", turn
         F.struct(F.lit(False).alias("first"), F.col("rejected_id").alias("conv")))).alias("s")).select(
         "pair_id", "chosen_id", "rejected_id", "s.first", "s.conv")
     none = F.array().cast(convs.schema["turns"].dataType)
-    met = sides.join(convs, "conv", "left").groupBy("pair_id", "chosen_id", "rejected_id").agg(
+    # sides without an id have nothing to meet; in the join they would all be one key
+    here = sides.where(F.col("conv").isNotNull()).join(convs, "conv", "left")
+    met = here.unionByName(sides.where(F.col("conv").isNull()), allowMissingColumns=True).groupBy("pair_id", "chosen_id", "rejected_id").agg(
         F.coalesce(F.first(F.when(F.col("first"), F.col("turns")), ignorenulls=True), none).alias("a"),
         F.coalesce(F.first(F.when(~F.col("first"), F.col("turns")), ignorenulls=True), none).alias("b"))
     cut = met.withColumn("prompt_turns", common_turns(F.col("a"), F.col("b")))
