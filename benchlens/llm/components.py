@@ -30,11 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     of rounds grows with the logarithm of the longest chain.
     """
     spark = edges.sparkSession
-    e, before = edges.where("u <> v"), None
-    while True:
+
+    def written(rows: DataFrame) -> DataFrame:
         path = scratch_path(spark, "stars")
-        _star_small(_star_large(e) if before else e).write.parquet(path)
-        e = spark.read.parquet(path)
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    e, before = written(edges.where("u <> v")), None  # a round reads its edges more than once
+    while True:
+        e = written(_star_small(_star_large(e) if before else e))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchlens.llm.components import components
-from benchlens.session import scratch_path
+from benchlens.session import scratch_path, target_partitions
 
 SEED = 42
 _STEP = 8192  # shingles whose bits are spread out at once
@@ -118,7 +118,10 @@ def near_links(codes: DataFrame, distance: int = 2, segments: int = 8) -> DataFr
                                _turn("fingerprint", start * width).alias("code"),
                                _turn("fingerprint", start * width).bitwiseAND(F.lit(_signed(mask))).alias("key"))
                       for k, (start, mask) in enumerate(keys)])
-    buckets = (codes.select(F.explode(cases).alias("c")).select("c.*").groupBy("k", "turn", "key")
+    # a fingerprint is small and its keys are many: deal the fingerprints over all tasks before they are multiplied
+    # (by another key than the one that they come grouped by, or Spark would leave them in the few tasks they are in)
+    dealt = codes.repartition(target_partitions(codes.sparkSession), F.xxhash64("fingerprint"))
+    buckets = (dealt.select(F.explode(cases).alias("c")).select("c.*").groupBy("k", "turn", "key")
                .agg(F.collect_list("code").alias("codes")).where(F.size("codes") > 1).select("turn", "codes"))
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("turn", "x", "y")])
 
