@@ -95,8 +95,8 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other columns are not read; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    own = with_tree(src, "_text", "_root", "_paras", "_leaves")
-    got = with_next(own, "_id", F.xxhash64("_text"), {"_text": "_next", "_root": "_next_root", "_leaves": "_next_leaves"})
+    got = with_next(src, "_id", F.xxhash64("_text"), {"_text": "_next", "_root": "_next_root", "_leaves": "_next_leaves"},
+                    prepare=lambda rows: with_tree(rows, "_text", "_root", "_paras", "_leaves"))
     n = F.length("_text")
     quarter = F.floor(n / 4).cast("int")
     got = got.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), n - quarter), F.substring("_next", F.lit(1), quarter)))

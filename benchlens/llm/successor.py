@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,13 @@ def _bounds_column(key: Column, bounds: list[str], key_type: str) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
 
 
-def with_next(df: DataFrame, id_col: str, tie: Column, carry: dict[str, str], buckets: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, tie: Column, carry: dict[str, str], buckets: int | None = None,
+              prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``df`` with the columns ``carry`` (name -> new name) of the next row in ascending ``id_col``.
 
+    ``prepare`` adds columns that depend on a row alone (and may be costly):
+    it runs once for each row, and for the few rows that stand in twice.
+
     Rows of one id are ordered by ``tie`` (a long), null ids come last, and
     the next of the last row is the first. Bounds of ``buckets`` ranges (by
     default four per shuffle partition) come from a hash sample of the (id,
@@ -50,10 +56,8 @@ def with_next(df: DataFrame, id_col: str, tie: Column, carry: dict[str, str], bu
     before = [(order[i - 1], heads[b]) for i, b in enumerate(order)]  # the range before the first is the last
     ends = spark.createDataFrame(before, "_bucket int, _head string").select(
         "_bucket", F.from_json("_head", key_type).alias("_head"))
-    news = list(carry)
-    first = (keyed.select(_KEY, *news).join(F.broadcast(ends), F.col(_KEY).eqNullSafe(F.col("_head")))
-             .dropDuplicates(["_bucket"]).withColumn("_extra", F.lit(True)))
-    every = placed.withColumn("_extra", F.lit(False)).unionByName(first.drop("_head"), allowMissingColumns=True)
+    first = keyed.join(F.broadcast(ends), F.col(_KEY).eqNullSafe(F.col("_head"))).dropDuplicates(["_bucket"]).drop("_head")
+    every = prepare(placed).withColumn("_extra", F.lit(False)).unionByName(prepare(first).withColumn("_extra", F.lit(True)))
     w = Window.partitionBy("_bucket").orderBy("_extra", _KEY)
     every = every.withColumns({new: F.lead(old).over(w) for old, new in carry.items()})
     return every.where(~F.col("_extra")).drop("_extra", "_bucket", _KEY)
