@@ -1,14 +1,16 @@
 """N-gram language model as a weighted backoff automaton.
 
 States are contexts, arcs are words with log-probabilities, and a failure arc
-of each state leads to its shorter context at a backoff weight. A text is
-scored in one left-to-right traversal that carries the state.
-
-Which n-grams get arcs is decided by relative frequency, so the automaton has
-a proven size: at most ``1 / share`` n-grams of one order can each hold a
-``share`` of all tokens. All words are counted exactly. Words below the share
-have no arcs; the traversal leaves to the root at them, and their exact counts
-are joined to the texts that hold them.
+of each state leads to its shorter context at a backoff weight. The state that
+a traversal of a text carries at a word is the longest context before it that
+has arcs, so every position can be scored by itself.
+
+An n-gram gets an arc if it occurs at least ``LEAST`` times, whatever the
+corpus holds. ``score`` keeps words, pairs and triples with their counts,
+failure weights and log-probabilities as written tables and joins every text's
+positions to them, so nothing that grows with the corpus reaches the driver or
+is broadcast. ``train`` gathers the same model as arrays in one process, for
+tables whose n-grams fit there; it is the form that the tables are held against.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import types as T
 from benchlens.session import scratch_path
 
 END = b" "  # the end token; no word holds a space
-SHARE = 1e-6  # least share of all training tokens that a word or n-gram with an arc has
+LEAST = 2  # occurrences of an n-gram with an arc
 DISCOUNT = 0.75  # taken from each kept n-gram's count for its backoff
 _CHUNK = 4_000_000  # tokens counted at once in a task
-_MOST_WORDS = 400_000  # different words that a task counts before it passes them on
+_MOST_WORDS = 400_000  # different words, or positions of texts, that a task holds before it passes them on
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -61,7 +63,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Automaton:
-    """Bounded arrays of the model: words, n-gram arcs, failure arcs. See ``build``."""
+    """Arrays of the model: words, n-gram arcs, failure arcs. See ``build``."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, vocab: int, discount: float):
         self.words, self.total, self.vocab, self.discount = words, total, vocab, discount
@@ -154,7 +156,7 @@ class Automaton:
 
 def _count_grams(docs: DataFrame, text_col: str, model: Automaton, grams: Callable[[Automaton, np.ndarray], np.ndarray],
                  least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the n-grams of at least ``least`` occurrences; at most tokens / least reach the driver."""
+    """(keys, counts) of the n-grams of at least ``least`` occurrences."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())])
@@ -194,14 +196,19 @@ def _triple_keys(model: Automaton, seq: np.ndarray) -> np.ndarray:
     return at[:-1][good] * model.m + seq[2:][good]
 
 
-def train(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> tuple[Automaton, DataFrame]:
+def _discount(once: int, twice: int) -> float:
+    """Share of a count that unigrams leave to unseen words."""
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Automaton, DataFrame]:
     """The automaton and the whole (word, c) table of ``docs`` (written to the shared scratch folder).
 
-    A word, pair or triple gets an arc if it occurs at least twice and at
-    least ``share`` of all tokens; as no n-gram is more frequent than its
-    parts, pairs are counted only between such words and triples only between
-    such pairs, and the counts are exact. At most 1 / share n-grams of an order
-    reach the driver. An empty table gives a model without words.
+    All words, pairs and triples of at least ``LEAST`` occurrences reach the
+    driver, so this is for tables whose n-grams fit in one process; ``score``
+    does not use it. As no n-gram is more frequent than its parts, pairs are
+    counted only between such words and triples only between such pairs, and
+    the counts are exact. An empty table gives a model without words.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "words")
@@ -210,20 +217,59 @@ def train(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> tupl
     c = F.col("c")
     total, size, once, twice = (int(x or 0) for x in vocab.where(c > 0).agg(
         F.sum(c), F.count(c), F.count_if(c == 1), F.count_if(c == 2)).first())
-    least = max(2, math.ceil(share * total))
-    head = vocab.where(c >= least).toPandas().sort_values("word", ignore_index=True)
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    model = Automaton([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), total, size, discount)
+    head = vocab.where(c >= LEAST).toPandas().sort_values("word", ignore_index=True)
+    model = Automaton([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), total, size, _discount(once, twice))
     if model.m and model.end >= 0:
-        model.pairs, model.pair_counts = _count_grams(docs, text_col, model, _pair_keys, least)
+        model.pairs, model.pair_counts = _count_grams(docs, text_col, model, _pair_keys, LEAST)
         if model.pairs.size:
-            model.triples, model.triple_counts = _count_grams(docs, text_col, model, _triple_keys, least)
+            model.triples, model.triple_counts = _count_grams(docs, text_col, model, _triple_keys, LEAST)
     model.build()
     return model, vocab
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text",
-          share: float = SHARE) -> DataFrame:
+def positions(src: DataFrame) -> DataFrame:
+    """(_id, train_on, row, a, b, c, n): a text's words and end ``c`` after the words ``a``, ``b``, ``n`` times in it.
+
+    The first word follows the end token alone; there ``a`` is empty, and just there.
+    """
+    schema = T.StructType([src.schema["_id"], T.StructField("train_on", T.BooleanType()), T.StructField("row", T.LongType()),
+                           *[T.StructField(x, T.BinaryType()) for x in "abc"], T.StructField("n", T.LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []  # of the batch, one for each of ``grams``
+            grams: list[tuple[bytes, bytes, bytes]] = []
+            times: list[int] = []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(rows), _MOST_WORDS):
+                    part = slice(at, at + _MOST_WORDS)
+                    own = pa.array(rows[part], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*[b.column(k).take(own) for k in (0, 2, 3)],
+                         *[pa.array(list(x), pa.binary()) for x in zip(*grams[part])], pa.array(times[part], pa.int64())],
+                        names=schema.names)
+
+            for i, text in enumerate(b.column(1).cast(pa.binary())):
+                c = [*words_of(text.as_py()), END]
+                found = Counter(zip([b"", END, *c][:len(c)], [END, *c], c))
+                rows += [i] * len(found)
+                grams += found.keys()
+                times += found.values()
+                if len(rows) > _MOST_WORDS:
+                    yield from out()
+                    rows.clear(), grams.clear(), times.clear()
+            yield from out()
+
+    return src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
+
+
+def _free(kept: Column, below: Column) -> Column:
+    """log10 weight of a failure arc: the probability that arcs leave over, by that which their words have below."""
+    return F.log10(F.greatest(1 - kept, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12)))
+
+
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row's whole text under a model learnt from the rows where ``train_on`` is true.
 
     Returns ``id_col``, train_on, n_tokens, n_known, train_tokens, base_score
@@ -235,54 +281,47 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     are one class, which gets the discounts of the seen words together.
     """
     spark = docs.sparkSession
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        table.write.parquet(path)
+        return spark.read.parquet(path)
+
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
                       F.coalesce(train_on, F.lit(False)).alias("train_on"))
-    model, vocab = train(src.where("train_on"), "_text", share)
-    n, v, d = model.total, model.vocab, model.discount
-    shared = spark.sparkContext.broadcast(model)
-    rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
-    parts = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("train_on", T.BooleanType()),
-                          T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                          T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()),
-                          T.StructField("lp", T.DoubleType()), T.StructField("rare", rare)])
-    pairs = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.ready()
-        base = np.log10((own.counts + 0.5) / (n + 0.5 * (v + 1)))
-        id_of, end = own.id_of, own.end
-        for b in batches:
-            out: list[tuple] = []
-            for text in b.column(1).cast(pa.binary()):
-                words = words_of(text.as_py())
-                ids = [id_of.get(w, -1) for w in words]
-                ids.append(end)
-                seq = np.array(ids)
-                seen = seq[seq >= 0]
-                left = Counter([w for w, i in zip(words, ids) if i < 0])
-                if end < 0:
-                    left[END] += 1
-                out.append((len(ids), seen.size, float(base[seen].sum()), own.walk(ids),
-                            [{"word": w, "n": k} for w, k in left.items()]))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pairs))],
-                names=parts.names)
-
-    path = scratch_path(spark, "walks")
-    src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, parts).write.parquet(path)
-    walked = spark.read.parquet(path)
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    uni = F.when(c > 0, F.log10((c - F.lit(d)) / F.lit(float(max(n, 1))))).otherwise(F.lit(model.unseen()))
-    rest = (walked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-            .join(vocab, "word", "left").groupBy("row")
-            .agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"),
-                 F.sum(F.col("n") * base).alias("rest_base"), F.sum(F.col("n") * uni).alias("rest_lp")))
-    zero = F.lit(0.0)
-    return walked.drop("rare").join(rest, "row", "left").select(
-        F.col("_id").alias(id_col), "train_on", "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest_base", zero)).alias("base_score"),
-        (F.col("lp") + F.coalesce("rest_lp", zero)).alias("score"))
+    at = written(positions(src), "positions")
+    # counts of training, also (as 0) of what only other rows hold: each position ends one triple, pair and word
+    triples = written(at.groupBy("a", "b", "c").agg(F.sum(F.when(F.col("train_on"), F.col("n")).otherwise(0)).alias("c3")), "triples")
+    pairs = written(triples.groupBy("b", "c").agg(F.sum("c3").alias("c2")), "pairs")
+    words = written(pairs.groupBy("c").agg(F.sum("c2").alias("c1")), "words")
+    c1, c2, c3 = F.col("c1"), F.col("c2"), F.col("c3")
+    n, v, once, twice = (int(x or 0) for x in words.agg(
+        F.sum(c1), F.count_if(c1 > 0), F.count_if(c1 == 1), F.count_if(c1 == 2)).first())
+    d = _discount(once, twice)
+    unseen = math.log10(d * v / n) if n else 0.0
+    uni = F.when(c1 > 0, F.log10((c1 - F.lit(d)) / F.lit(float(max(n, 1))))).otherwise(F.lit(unseen))
+
+    ends = written(pairs.join(words, "c"), "ends")  # pairs with the count of their second word
+    leaving = ends.where(c2 >= LEAST).groupBy("b").agg(F.sum(c2 - DISCOUNT).alias("kept"), F.sum(F.pow(F.lit(10.0), uni)).alias("below"))
+    states = words.select(F.col("c").alias("b"), c1.alias("size")).join(leaving, "b", "left").select(
+        "b", "size", F.coalesce(_free(F.col("kept") / F.col("size"), F.col("below")), F.lit(0.0)).alias("back"))
+    lower = ends.join(states, "b").select("b", "c", "c1", F.when(
+        c2 >= LEAST, F.log10((c2 - DISCOUNT) / F.col("size"))).otherwise(F.col("back") + uni).alias("lp2"))
+
+    steps = written(triples.join(lower, ["b", "c"]), "steps")
+    has_arc = (c3 >= LEAST) & (F.length("a") > 0)
+    leaving = steps.where(has_arc).groupBy("a", "b").agg(
+        F.sum(c3 - DISCOUNT).alias("kept"), F.sum(F.pow(F.lit(10.0), F.col("lp2"))).alias("below"))
+    states = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), c2.alias("size")).join(leaving, ["a", "b"]).select(
+        "a", "b", "size", _free(F.col("kept") / F.col("size"), F.col("below")).alias("back"))
+    arcs = steps.join(states, ["a", "b"], "left").select("a", "b", "c", "c1", F.when(
+        has_arc, F.log10((c3 - DISCOUNT) / F.col("size"))).otherwise(F.coalesce("back", F.lit(0.0)) + F.col("lp2")).alias("lp"))
+
+    times = F.col("n")
+    sums = at.select("row", "a", "b", "c", "n").join(arcs, ["a", "b", "c"]).groupBy("row").agg(
+        F.sum(times).alias("n_tokens"), F.sum(F.when(c1 > 0, times).otherwise(0)).alias("n_known"),
+        F.sum(times * F.log10((c1 + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("base_score"),
+        F.sum(times * F.col("lp")).alias("score"))
+    # the one first position of a row stands for it
+    return at.where(F.length("a") == 0).select("row", F.col("_id").alias(id_col), "train_on").join(sums, "row").select(
+        id_col, "train_on", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

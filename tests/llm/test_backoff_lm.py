@@ -109,3 +109,31 @@ def test_model_beats_half_counts_on_held_out_texts(spark):
     rows = QUERIES["op9_backoff_lm"](spark, "/root/testdata/sf0.01").where("held_out").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows.s > rows.b
+
+
+def test_scores_of_the_tables_equal_the_automaton(spark):
+    """Every row, also of words that occur once or never in training."""
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    use = F.coalesce(F.col("doc_id") < 4, F.lit(False))
+    model, vocab = train(df.where(use))
+    own, counts = model.ready(), {bytes(r.word): r.c for r in vocab.collect()}
+    assert own.triples.size
+
+    def whole(text):
+        words = [*words_of((text or "").encode()), END]
+        ids = [own.id_of.get(w, -1) for w in words]
+        rare = [math.log10((counts[w] - own.discount) / own.total) if w in counts else own.unseen()
+                for w, i in zip(words, ids) if i < 0]
+        return own.walk(ids) + sum(rare)
+
+    got = sorted((str(r.doc_id), r.score) for r in score(df, use).collect())
+    want = sorted((str(i), whole(t)) for i, t in TEXTS)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
+def test_an_ngram_keeps_its_arc_in_a_large_table(spark):
+    """Two occurrences are enough beside 2.2 million other tokens."""
+    df = spark.createDataFrame([(0, "x " * 2_200_000), (1, "p q r"), (2, "p q r")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score(df, F.lit(True)).collect()}
+    # p after an end (3 in all), q after p, r and then the end after two words (2 each)
+    assert got[1] == got[2] == pytest.approx(math.log10(1.25 / 3) + 3 * math.log10(1.25 / 2))
