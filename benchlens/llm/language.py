@@ -139,8 +139,9 @@ def fit(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col: s
     """
     rows = docs.where(learn_from).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & (F.length("_text") <= fit_chars)).withColumn("_hash", F.xxhash64("_text"))
-    near = sample(rows, "_lang", F.col("_hash"), per_language)
-    got = near.dropDuplicates(["_lang", "_hash"]).select("_lang", "_text", "_hash").toPandas()
+    # chosen among different texts, so that copies change neither a language's share nor what is fitted
+    near = sample(rows.select("_lang", "_hash").distinct(), "_lang", F.col("_hash"), per_language).select("_lang", "_hash")
+    got = rows.join(F.broadcast(near), ["_lang", "_hash"]).dropDuplicates(["_lang", "_hash"]).select("_lang", "_text", "_hash").toPandas()
     got = got.sort_values(["_lang", "_hash"], ignore_index=True)
     return train(list(got["_text"]), list(got["_lang"])) if len(got) else None
 

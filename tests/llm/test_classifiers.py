@@ -96,3 +96,14 @@ def test_language_on_held_out_rows(spark):
     got = QUERIES["op5_hierarchical_language"](spark, SF)
     assert got.count() == docs.count()
     assert got.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_copies_do_not_displace_the_fitted_texts(spark, monkeypatch):
+    """40 different texts and one with 20,000 copies: all 41 are fitted, each once."""
+    texts = [f"text number {i}" for i in range(40)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").union(
+        spark.range(20_000).select(F.lit("copied text").alias("text"), F.lit("en").alias("lang")))
+    fitted = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: fitted.append(sorted(texts)))
+    language.fit(docs, F.lit(True), per_language=41)
+    assert fitted == [sorted([*texts, "copied text"])]
