@@ -21,9 +21,12 @@ from benchlens.llm.subwords import sample
 # Shapes and words that credentials are known by.
 ASSIGNED = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 KNOWN = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}"
-ASSIGNMENT = "(?:password|passwd|pwd|secret|token)="
-# an assigned value, or a long run of key characters; a run is only tried from its start
-CANDIDATE = rf"{ASSIGNMENT}[^\s\"',;]{{6,}}|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
+_KEY = r"[A-Za-z0-9+/_\-]"
+_VALUE = r"[^\s\"',;]"
+# an assigned name from the start of its run of key characters, up to a value (which is not part of it)
+ASSIGNMENT = rf"(?i:{_KEY}*?(?:{ASSIGNED})[\"']?[ \t]*[=:][ \t]*[\"']?)(?={_VALUE}{{6}})"
+# an assigned value, or a long run of key characters; both are only tried from the start of a run
+CANDIDATE = rf"(?<!{_KEY})(?:{ASSIGNMENT}{_VALUE}+|{_KEY}{{16,}}={{0,2}})"
 BENIGN = "sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|uuid|guid|isbn|example|sample|dummy|placeholder|test"
 # Frequent letter pairs and words of English, German, French and Spanish.
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ge|un|qu|ue|ai"
