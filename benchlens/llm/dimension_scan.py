@@ -52,8 +52,10 @@ class Plan:
 
     def threshold(self, own: int, q: np.ndarray) -> float:
         """Distance that the k-th nearest cannot exceed: that of the sample's k-th nearest."""
-        d = np.sqrt(((self.sample[self.sample_ids != own] - q) ** 2).sum(1))
-        return float(np.partition(d, self.k - 1)[self.k - 1]) if d.size >= self.k else np.inf
+        others = self.sample_ids != own
+        d = np.sqrt(((self.sample[others] - q) ** 2).sum(1))
+        near = _nearest_ids(d, self.sample_ids[others], self.k)
+        return near[-1][0] if len(near) == self.k else np.inf
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -67,9 +69,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
+def _nearest_ids(distance: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The ``k`` nearest different ids as (distance, id), each at its least distance, ties to smaller ids."""
+    order = np.lexsort((ids, distance))
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return [(float(distance[i]), int(ids[i])) for i in order[first]]
+
+
 def nearest_in_block(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: int, q: np.ndarray, q_turned: np.ndarray,
                      limit: float, k: int, step: int = 1024) -> list[tuple[float, int]]:
-    """The ``k`` nearest rows of a block within ``limit`` (as (distance, id), ties to smaller ids).
+    """The ``k`` nearest ids of a block within ``limit`` (as (distance, id), ties to smaller ids).
 
     ``turned`` holds the rotated vectors column by column (dimensions x rows).
     """
@@ -89,8 +98,7 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: in
                 break
         if alive.size:
             exact = np.sqrt(((x[alive] - q) ** 2).sum(axis=1))
-            best = sorted(best + list(zip(exact.tolist(), ids[alive].tolist())))[:k] if alive.size <= 4 * k else sorted(
-                best + [(float(exact[i]), int(ids[alive[i]])) for i in np.lexsort((ids[alive], exact))[:k]])[:k]
+            best = _nearest_ids(np.append(exact, [d for d, _ in best]), np.append(ids[alive], np.array([j for _, j in best], ids.dtype)), k)
             if len(best) == k:
                 limit = min(limit, best[-1][0])
     return best
@@ -129,7 +137,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
     """
     spark = vectors.sparkSession
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    rows = usable(vectors, id_col, vec_col)
+    own_rows = scratch_path(spark, "vectors")
+    usable(vectors, id_col, vec_col).distinct().write.parquet(own_rows)  # copies neither fill the sample nor the probed share
+    rows = spark.read.parquet(own_rows)
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -86,3 +86,11 @@ def test_block_scan_equals_brute_force_within_the_limit():
         got = nearest_in_block(ids, x, np.ascontiguousarray((x @ turn).T), int(ids[t]), q, q @ turn, want[-1][0] * 1.2, 10)
         hits += len(set(got) & set(want))
     assert hits >= 0.98 * 200
+
+
+def test_repeated_rows_do_not_use_up_the_places(spark):
+    """Copies of one id, and different vectors of one id, leave room for ten other ids."""
+    rows = [(i, [1.0, i / 10]) for i in range(30)] + [(1, [1.0, 0.1])] * 200 + [(1, [1.0, 0.01 + j / 1e4]) for j in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(search(df, df.where("vec_id = 0")))
+    assert [j for _, j in got[0]] == list(range(1, 11)) and got[0][0][0] == pytest.approx(0.01)
