@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.llm import backoff_lm, bpe_tree, dimension_scan, language, merkle, packing, preference, quality, secret_scan, simhash
+from benchlens.llm import (backoff_lm, bpe_tree, dimension_scan, language, line_dedup, merkle, packing, periodic_runs, preference,
+                           quality, secret_scan, simhash, spelling)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,11 +82,48 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
+def drop_one_letter(doc_id: int | None, word: str) -> str:
+    """The word without one letter, where 97 divides the checksum of `id:word`."""
+    h = zlib.crc32(word.encode(), zlib.crc32(("" if doc_id is None else str(doc_id)).encode() + b":"))
+    if h % 97:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1:]
+
+
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    counts = spelling.word_counts(_table(spark, sf, "documents"), "doc_id", "text", drop_one_letter)
+    return spelling.variants(counts, least_length=5, least_n=3, times=2)
+
+
+def repeat_the_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In a tenth of the documents (by the id's checksum) the words from some place on repeat a part of themselves."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.detect(_table(spark, sf, "documents"), prepare=repeat_the_tail)
+
+
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    bitmaps = line_dedup.keep_bitmaps(docs, at_least=10, keep_first=False)
+    return line_dedup.with_kept_text(docs, bitmaps).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {"op1_preference_format": op1_preference_format, "op2_dimension_scan": op2_dimension_scan,
            "op3_subword_quality": op3_subword_quality, "op4_simhash": op4_simhash,
            "op5_hierarchical_language": op5_hierarchical_language, "op6_bpe_tree": op6_bpe_tree, "op7_merkle_tree": op7_merkle_tree, "op8_secret_forest": op8_secret_forest,
            "op9_backoff_lm": op9_backoff_lm,
-           "op10_best_fit_packing": op10_best_fit_packing}
+           "op10_best_fit_packing": op10_best_fit_packing, "op11_spelling_variants": op11_spelling_variants,
+           "op12_periodic_runs": op12_periodic_runs, "op13_line_dedup": op13_line_dedup}
 def _rendered(turns: str) -> str:
     return f"""array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10)
         || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"""
@@ -112,4 +152,16 @@ SELECT pair_id, chosen_id, rejected_id, prompt_turns, {_rendered("a[1:prompt_tur
        {_rendered("a[prompt_turns + 1:]")} AS chosen, {_rendered("b[prompt_turns + 1:]")} AS rejected,
        {_masked("a[prompt_turns + 1:]")} AS chosen_mask, {_masked("b[prompt_turns + 1:]")} AS rejected_mask
 FROM cut""",
+    "op13_line_dedup": """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+cut AS (SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM cut),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 10),
+marked AS (SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r""",
 }
