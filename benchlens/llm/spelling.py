@@ -108,6 +108,11 @@ def neighbourhoods(cells: np.ndarray, symbols: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """32-bit join keys: few bytes to shuffle, and what they wrongly bring together the words themselves tell apart."""
+    return ((keys * np.uint64(_BASE)) >> np.uint64(32)).astype(np.uint32)
+
+
 def _by_length(batches: Iterable[pa.RecordBatch], most: Callable[[int], int]) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Batches of (id, word) as words of one length with their ids, ``most(length)`` words at once."""
     for b in batches:
@@ -124,19 +129,19 @@ def _by_length(batches: Iterable[pa.RecordBatch], most: Callable[[int], int]) ->
 
 def keys_of(vocabulary: DataFrame, symbols: int, near: bool) -> DataFrame:
     """(key, id) of each word's reduced form, or with ``near`` of its whole one-edit neighbourhood."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
+    schema = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("id", T.LongType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
         width = lambda n: (2 * n + 1) * symbols + n + 1 if near else 1
         for ids, words in _by_length(batches, lambda n: _CELLS // (max(n, 1) + width(n))):
             cells = _symbols(words, symbols, known)
-            keys = neighbourhoods(cells, symbols) if near else reduced(cells)[:, None]
+            keys = _short(neighbourhoods(cells, symbols) if near else reduced(cells)[:, None])
             keys.sort(axis=1)
             first = np.ones(keys.shape, bool)
             first[:, 1:] = keys[:, 1:] != keys[:, :-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[first].view(np.int64)), pa.array(np.repeat(ids, first.sum(axis=1)))], names=schema.names)
+                [pa.array(keys[first].view(np.int32)), pa.array(np.repeat(ids, first.sum(axis=1)))], names=schema.names)
 
     return vocabulary.select("id", "word").mapInArrow(work, schema)
 
