@@ -150,15 +150,18 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n) for all ordered pairs of words of ``vocabulary`` (id, word, n) exactly one edit apart.
 
     Ids and words must be unique. The keys of a word are different from each
-    other, so a pair meets under one key only; only ids are shuffled with the
-    keys, however long the words are.
+    other, so a pair meets under one key only, and from either side: one of
+    the two is checked and returned both ways round. Only ids are shuffled
+    with the keys, however long the words are.
     """
     around = keys_of(vocabulary, symbols, True).withColumnRenamed("id", "a")
     own = keys_of(vocabulary, symbols, False).withColumnRenamed("id", "b")
-    pairs = around.join(own, "key").where("a <> b").select("a", "b")
+    pairs = around.join(own, "key").where("a < b").select("a", "b")
     words = lambda i, w, n: vocabulary.select(F.col("id").alias(i), F.col("word").alias(w), F.col("n").alias(n))
     met = pairs.join(words("a", "word", "n"), "a").join(words("b", "near", "near_n"), "b")
-    return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    way = lambda *cols: F.struct(*[F.col(c).alias(name) for c, name in zip(cols, ["word", "n", "near", "near_n"])])
+    both = F.array(way("word", "n", "near", "near_n"), way("near", "near_n", "word", "n"))
+    return met.where(F.levenshtein("word", "near", 1) == 1).select(F.inline(both))
 
 
 def chain_ends(links: DataFrame) -> DataFrame:
