@@ -57,7 +57,7 @@ def align_blocks(a: DataFrame, b: DataFrame, block: str = "block", file: str | N
     def blocks(df: DataFrame) -> DataFrame:
         if file is None:
             return df.select(block).distinct()
-        return running(df.select(block, file).distinct(), [block], [file], index="occ", bucket=F.lit(0)).select(*keys)
+        return running(df.select(block, file).distinct(), [block], [file], index="occ").select(*keys)
 
     la = blocks(a).withColumn("_in1", F.lit(True))
     lb = blocks(b).withColumn("_in2", F.lit(True))

@@ -42,11 +42,19 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(total.alias("b")).first()["b"] or 0)
 
 
+def group_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left equi-join on group keys, where a null key is a group like any other."""
+    own = {c: f"_group{i}" for i, c in enumerate(on)}
+    named = right.withColumnsRenamed(own)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in own.items()]
+    return left.join(named, same, how).drop(*own.values())
+
+
 def dim_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
-             max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+             max_bytes: int = MAX_BROADCAST_BYTES, null_keys: bool = False) -> DataFrame:
     """Join a fact table to a dimension; broadcast the dimension only when its measured size
-    is under ``max_bytes``, else leave the shuffle join (and AQE) to Spark."""
+    is under ``max_bytes``, else leave the shuffle join (and AQE) to Spark. With ``null_keys``
+    (inner and left joins) null keys meet each other."""
     keys = [on] if isinstance(on, str) else list(on)
-    if measured_bytes(dim) <= max_bytes:
-        return fact.join(F.broadcast(dim), on=keys, how=how)
-    return fact.join(dim, on=keys, how=how)
+    side = F.broadcast(dim) if measured_bytes(dim) <= max_bytes else dim
+    return group_join(fact, side, keys, how) if null_keys else fact.join(side, on=keys, how=how)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchlens.functions.scalar import upper_chars
+from benchlens.operators.joins import group_join
 from benchlens.operators.ordered import materialize, running, top_n_per_group
 
 
@@ -64,12 +65,13 @@ def with_share(counts: DataFrame, by: Sequence[str] = (), n: str = "n", out: str
     """Percent of the group's total (the reference's length - k + 1 when all k-mers count).
 
     Group totals are a separate small aggregate joined back on the group keys
-    (no window over a whole group); a single total is a scalar subquery.
+    (no window over a whole group; null keys are a group); a single total is a
+    scalar subquery.
     """
     if not by:  # one total: a scalar subquery, no join
         return counts.withColumn(out, F.lit(100.0) * F.col(n) / counts.agg(F.sum(n)).scalar())
     tot = counts.groupBy(*by).agg(F.sum(n).alias("_tot"))
-    return (counts.join(tot, on=list(by), how="inner")
+    return (group_join(counts, tot, by)
             .withColumn(out, F.lit(100.0) * F.col(n) / F.col("_tot")).drop("_tot"))
 
 

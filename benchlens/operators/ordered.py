@@ -23,7 +23,8 @@ from benchlens.session import checkpoint_dir
 _BUCKET = "_ord_bucket"
 
 
-def _as_number(df: DataFrame, c: str) -> Column:
+def _as_number(df: DataFrame, c: str) -> Column | None:
+    """The column as a double that does not decrease along it; None for types without one."""
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampNTZType):  # wall-clock values: micros since the epoch, no zone
         return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
@@ -32,41 +33,60 @@ def _as_number(df: DataFrame, c: str) -> Column:
         return F.unix_micros(F.col(c)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
+    if isinstance(dt, T.NumericType | T.BooleanType):
+        return F.col(c).cast("double")
+    return None
 
 
-def _bucket_of(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
+def _bucket_of(v: Column, bounds: list[Column], lo: int, hi: int) -> Column:
     """Balanced CASE tree: index of the range bucket of ``v`` (log2 depth, codegen'd)."""
     if lo >= hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(v < F.lit(bounds[mid]), _bucket_of(v, bounds, lo, mid)).otherwise(
-        _bucket_of(v, bounds, mid + 1, hi))
+    return F.when(v < bounds[mid], _bucket_of(v, bounds, lo, mid)).otherwise(_bucket_of(v, bounds, mid + 1, hi))
 
 
 MAX_TREE_BUCKETS = 1024
+MAX_FINE_BUCKETS = 64  # inside one bucket of the tree, for orders without numbers
 ROWS_PER_BUCKET = 1_000_000
+SAMPLED_KEYS = 8  # sampled for each limit between buckets, for orders without numbers
+KEY_LENGTH = 64  # characters (bytes) of a sampled text (binary) key
 
 
 def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
-    """Column with the range bucket of ``order_col``; buckets are non-decreasing in the column.
+    """Column with the range bucket of ``order_col``; buckets are non-decreasing in its ascending order, nulls first.
+
+    Any type that Spark can order will do. About one bucket per
+    ``ROWS_PER_BUCKET`` rows, but never fewer than the cluster has task slots,
+    whatever the size. Nulls are in bucket 0. Numbers, times and booleans are
+    cut at quantiles (``_number_buckets``), all else at sampled keys
+    (``_key_buckets``).
+    """
+    v = _as_number(df, order_col)
+    bucket = _key_buckets(df, order_col, n_buckets) if v is None else _number_buckets(df, v, n_buckets)
+    return F.when(F.col(order_col).isNull(), F.lit(0)).otherwise(bucket)
+
+
+def _wanted_buckets(df: DataFrame, rows: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET))
+
+
+def _number_buckets(df: DataFrame, v: Column, n_buckets: int | None) -> Column:
+    """Buckets of a numeric expression.
 
     One small aggregate job returns approximate quantiles (at most
-    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and the row count: about
-    one bucket per ``ROWS_PER_BUCKET`` rows, but never fewer than the cluster
-    has task slots, whatever the size. Up to ``MAX_TREE_BUCKETS`` buckets are a
-    balanced CASE tree over the limits; beyond that each quantile range is cut
-    into equal-width sub-buckets arithmetically (its two limits are looked up
-    by index), so any bucket count costs O(log 1024) per row and the plan stays
-    small.
+    ``MAX_TREE_BUCKETS`` + 1 numbers reach the driver) and the row count. Up to
+    ``MAX_TREE_BUCKETS`` buckets are a balanced CASE tree over the limits;
+    beyond that each quantile range is cut into equal-width sub-buckets
+    arithmetically (its two limits are looked up by index), so any bucket count
+    costs O(log 1024) per row and the plan stays small.
     """
     grid = MAX_TREE_BUCKETS if n_buckets is None else max(1, min(n_buckets, MAX_TREE_BUCKETS))
-    v = _as_number(df, order_col)
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)  # limits are finite; what is beyond sorts behind them
     probs = [i / grid for i in range(0, grid + 1)]
-    row = df.select(F.percentile_approx(v, probs, 10000).alias("q"),
+    row = df.select(F.percentile_approx(finite, probs, 10000).alias("q"),
                     F.count(F.lit(1)).alias("n")).first()
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = n_buckets or max(slots, -(-int(row["n"] or 0) // ROWS_PER_BUCKET))
+    n = n_buckets or _wanted_buckets(df, int(row["n"] or 0))
     if row["q"] is None:  # no value to cut at
         return F.lit(0)
     qs = [float(q) for q in row["q"]]
@@ -74,16 +94,52 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     fine = -(-n // coarse)
     # Interior limits at probabilities i / coarse, taken from the quantile grid.
     bounds = sorted({qs[round(i * grid / coarse)] for i in range(1, coarse)})
-    c = _bucket_of(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
+    c = _bucket_of(v, [F.lit(x) for x in bounds], 0, len(bounds)) if bounds else F.lit(0)
     if fine <= 1:
         return c
     lows = F.array(*[F.lit(x) for x in [qs[0], *bounds]])
     highs = F.array(*[F.lit(x) for x in [*bounds, qs[-1]]])
     lo = F.element_at(lows, c + 1)
     hi = F.element_at(highs, c + 1)
-    frac = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    sub = F.least(F.greatest(F.floor(frac * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
-    return (c * F.lit(fine) + F.coalesce(sub, F.lit(fine - 1))).cast("long")
+    inside = F.least(F.floor((v - lo) / (hi - lo) * F.lit(fine)), F.lit(fine - 1))
+    sub = F.when(v <= lo, F.lit(0)).when(v >= hi, F.lit(fine - 1)).otherwise(inside)  # NaN is above all numbers
+    return (c * F.lit(fine) + sub).cast("long")
+
+
+def _key_buckets(df: DataFrame, order_col: str, n_buckets: int | None) -> Column:
+    """Buckets of a column of any ordered type, by limits that Spark itself compares.
+
+    Limits are sampled keys (texts and binaries cut to ``KEY_LENGTH``; a limit
+    need not be a value), ``SAMPLED_KEYS`` for each, sorted by Spark; they are
+    all that reaches the driver. The first ``MAX_TREE_BUCKETS`` limits are a
+    CASE tree; each bucket of it may be cut by up to ``MAX_FINE_BUCKETS``
+    further ones.
+    """
+    dt = df.schema[order_col].dataType
+    key = F.col(order_col)
+    short = F.substring(key, 1, KEY_LENGTH) if isinstance(dt, T.StringType | T.BinaryType) else key
+    rows = df.select(F.count(key)).first()[0]
+    n = min(n_buckets or _wanted_buckets(df, rows), MAX_TREE_BUCKETS * MAX_FINE_BUCKETS)
+    if n <= 1 or not rows:
+        return F.lit(0)
+    kept = df.where(key.isNotNull()).select(short.alias("k"))
+    share = 2.0 * SAMPLED_KEYS * n / rows  # twice as many, as a sample's size varies; small inputs are taken whole
+    sampled = kept if share >= 1 else kept.sample(share, seed=n)
+    found = [r[0] for r in sampled.sort("k").select(F.to_json(F.struct("k"))).limit(4 * SAMPLED_KEYS * n + 100).collect()]
+    limits = list(dict.fromkeys(found[i * len(found) // n] for i in range(1, n))) if found else []
+    if not limits:
+        return F.lit(0)
+    as_key = lambda text: F.from_json(F.lit(text), T.StructType([T.StructField("k", dt)]))["k"]
+    step = -(-len(limits) // MAX_TREE_BUCKETS)
+    tree = limits[step - 1::step]  # every step-th limit parts two buckets of the tree
+    c = _bucket_of(key, [as_key(x) for x in tree], 0, len(tree))
+    if step == 1:
+        return c
+    inner = [limits[i * step:i * step + step - 1] for i in range(len(tree) + 1)]
+    table = F.from_json(F.lit("[" + ",".join("[" + ",".join(x) + "]" for x in inner) + "]"),
+                        T.ArrayType(T.ArrayType(T.StructType([T.StructField("k", dt)]))))
+    passed = F.size(F.filter(F.element_at(table, c + 1), lambda x: x["k"] <= key))
+    return c * F.lit(step) + passed
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -106,8 +162,17 @@ def _group_cols(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     names, cols = [], {}
     for i, k in enumerate(keys):
         dt = df.schema[k].dataType
-        default = F.lit("") if isinstance(dt, T.StringType) else F.lit(0).cast(dt)
-        cols[f"_gv{i}"] = F.coalesce(F.col(k), default)
+        if isinstance(dt, T.StringType):
+            value, default = F.col(k), F.lit("")
+        elif isinstance(dt, T.BinaryType):
+            value, default = F.col(k), F.lit(b"")
+        elif isinstance(dt, T.NumericType | T.BooleanType):
+            value, default = F.col(k), F.lit(0).cast(dt)
+        elif isinstance(dt, T.DateType | T.TimestampType | T.TimestampNTZType):
+            value, default = F.col(k), F.lit("1970-01-01").cast(dt)
+        else:  # nested values: their text
+            value, default = F.to_json(F.struct(k)), F.lit("")
+        cols[f"_gv{i}"] = F.when(F.col(k).isNull(), default).otherwise(value)
         cols[f"_gn{i}"] = F.col(k).isNull()
         names += [f"_gv{i}", f"_gn{i}"]
     return df.withColumns(cols), names
@@ -119,7 +184,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
             n_buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add a 1-based row index and running sums inside ``keys``, in ``order``.
 
-    ``order`` must be a total order inside a group (add a unique tie-breaker).
+    ``order`` must be a total order inside a group (add a unique tie-breaker);
+    ascending columns have their nulls first. The first may be of any type that
+    Spark can order.
     ``total`` adds the group's row count. ``bucket_on`` names the column the
     range buckets are cut on (default: the first order column, which must be a
     plain column name). ``bucket`` passes ready bucket numbers (from

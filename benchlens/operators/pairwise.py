@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.operators.joins import dim_join
+from benchlens.operators.joins import dim_join, group_join
 
 _PAIR_SCHEMA = T.StructType([
     T.StructField("potential", T.DoubleType()),
@@ -60,7 +60,7 @@ def tiles(df: DataFrame, group: Sequence[str], body_id: str, cols: dict[str, Col
     b = df.select(*group, F.col(body_id).alias("_id"),
                   *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(n) for n, c in cols.items()])
     # one row a group: broadcast after measuring it, so bodies of a large group are not moved for a count
-    b = dim_join(b, sizes, group).withColumn(
+    b = dim_join(b, sizes, group, null_keys=True).withColumn(
         "n_tiles", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile))).cast("int"))
     b = b.withColumn("tile", F.pmod(F.xxhash64("_id"), F.col("n_tiles")).cast("int"))
     return b.groupBy(*group, "tile", "n_tiles").agg(
@@ -90,7 +90,7 @@ def pair_potential(df: DataFrame, group: Sequence[str], body_id: str, x: str, y:
                     F.col("items").alias("a"))
     right = t.select(*group, F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ti"),
                      F.col("tile").alias("tj"), F.col("items").alias("b"))
-    j = left.join(right, on=[*group, "ti", "tj"], how="inner")
+    j = group_join(left, right, [*group, "ti", "tj"])
     return _pair_sums(j, group, skip_zero, F.col("ti") == F.col("tj"), float("inf"))
 
 
@@ -105,7 +105,7 @@ def _in_range(df: DataFrame, group: list[str], body_id: str, cols: dict[str, Col
         near = near.withColumn("_d", F.explode(step)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
     a = tiles(at, [*group, *cell], body_id, cols, tile).select(*group, *cell, F.col("items").alias("a"))
     b = tiles(near, [*group, *cell], body_id, cols, tile).select(*group, *cell, F.col("items").alias("b"))
-    return a.join(b, on=[*group, *cell])
+    return group_join(a, b, [*group, *cell])
 
 
 def _pair_sums(j: DataFrame, group: list[str], skip_zero: bool, by_id: Column, most: float) -> DataFrame:
@@ -138,7 +138,7 @@ def total_energy(df: DataFrame, group: Sequence[str], body_id: str, pos: Sequenc
     group = list(group)
     ke = kinetic(df, group, *vel, mass=mass)
     pe = pair_potential(df, group, body_id, *pos, mass=mass, tile=tile, skip_zero=skip_zero)
-    return (ke.join(pe, on=group, how="inner")
+    return (group_join(ke, pe, group)
             .withColumn("energy", F.col("kinetic") - F.col("potential")))
 
 

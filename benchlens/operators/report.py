@@ -43,8 +43,12 @@ def signed_percent(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(MISSING)).otherwise(text)
 
 
-def table_fields(label1: str, label2: str) -> list[Field]:
-    """Fields of the comparison table; widths are plain numbers that grow with the labels."""
+def table_fields(label1: str, label2: str, label_width: int | None = None) -> list[Field]:
+    """Fields of the comparison table; widths are plain numbers that grow with the labels.
+
+    With ``label_width`` longer labels are cut to that many characters.
+    """
+    label1, label2 = label1[:label_width], label2[:label_width]
     return [Field("Benchmark", 9, True, lambda c: c),
             Field(label1, max(12, len(label1)), False, scientific),
             Field(label2, max(12, len(label2)), False, scientific),
@@ -70,19 +74,18 @@ def change_of_pair(base: Column, new: Column) -> Column:
 
 
 def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str, threshold: float = 0.95,
-                  row_order: Sequence[str] = ("program",)) -> DataFrame:
+                  row_order: Sequence[str] = ("program",), label_width: int | None = None) -> DataFrame:
     """Lines of the comparison table: (sec, block, row_no, line); the first three give the printed order.
 
     ``aligned`` comes from ``align_results`` (block, program, side, cpu1, r2_1,
     cpu2, r2_2, ratio) and is computed once (checkpoint); ``bands`` from
     ``geo_bands``. One-sided rows and paired rows are printed only when their
     fits pass the gate. Blocks are in name order, a block's rows in
-    ``row_order`` (columns of ``aligned``, the first numeric or a timestamp
-    where blocks are large).
+    ``row_order`` (columns of ``aligned``). ``label_width`` cuts the run labels.
     """
     aligned = materialize(aligned)
     spark = aligned.sparkSession
-    fields = table_fields(label1, label2)
+    fields = table_fields(label1, label2, label_width)
     width = max_width(aligned, [F.col("block"), F.col("program")], fields[0].width)
     rest = sum(len(GAP) + f.width for f in fields[1:])
     rule = F.repeat(F.lit("-"), (width + F.lit(rest)).cast("int"))
@@ -98,8 +101,7 @@ def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str
     side = F.col("side")
     ok1, ok2 = quality_gate("r2_1", threshold), quality_gate("r2_2", threshold)
     shown = aligned.where(F.when(side == BOTH, ok1 & ok2).when(side == FIRST, ok1).otherwise(ok2))
-    text_order = aligned.schema[row_order[0]].dataType.typeName() in ("string", "binary", "boolean")
-    shown = running(shown, ["block"], list(row_order), index="row_no", bucket=F.lit(0) if text_order else None)
+    shown = running(shown, ["block"], list(row_order), index="row_no")
     none = F.lit(MISSING)
     cells = [F.col("program"), fields[1].show(F.col("cpu1")), fields[2].show(F.col("cpu2")),
              F.when(side == BOTH, change_of_pair(F.col("cpu1"), F.col("cpu2"))).otherwise(none)]

@@ -56,11 +56,15 @@ def geo_bands(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ols_fit(df: DataFrame, by: Sequence[str], ys: Sequence[str], x: str) -> DataFrame:
-    """Per group and per measure: slope, intercept, R^2 and n of ``y ~ x``."""
+    """Per group and per measure: slope, intercept, R^2 and number of fitted points (``<y>_n``) of ``y ~ x``.
+
+    A point is fitted if neither its x nor its y is null; ``n`` counts all rows of the group.
+    """
     aggs = []
     for y in ys:
         aggs += [F.regr_slope(y, x).alias(f"{y}_slope"),
                  F.regr_intercept(y, x).alias(f"{y}_intercept"),
-                 F.regr_r2(y, x).alias(f"{y}_r2")]
+                 F.regr_r2(y, x).alias(f"{y}_r2"),
+                 F.regr_count(y, x).alias(f"{y}_n")]
     aggs.append(F.count(F.lit(1)).alias("n"))
     return df.groupBy(*by).agg(*aggs)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchlens.functions.scalar import duration_seconds, duration_text, error_cmd, error_code
+from benchlens.operators.joins import group_join
 from benchlens.operators.ordered import running, top_n_per_group
 
 
@@ -15,8 +16,9 @@ def token_usage(lines: DataFrame, text: str, tokens: Sequence[str], by: Sequence
                 lower: bool = True) -> DataFrame:
     """Occurrences of each token as a whole word (maximal letter run), per group.
 
-    Output (by..., token, n, total): ``total`` is all token mentions of the
-    group; the remainder of any classification is ``total - sum(classified)``.
+    Output (by..., token, n, total): ``total`` is the group's mentions of all
+    ``tokens``. Null group keys are a group. ``token_remainder`` gives what a
+    classification of the lines leaves unexplained.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
     alt = "|".join(_quote(x) for x in tokens)
@@ -151,4 +153,4 @@ def _with_total(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     if not by:
         return counts.withColumn(name, counts.agg(F.sum("n")).scalar())
     tot = counts.groupBy(*by).agg(F.sum("n").alias(name))
-    return counts.join(tot, on=list(by), how="inner")
+    return group_join(counts, tot, by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlens.operators import compare as C
 from benchlens.operators import stats as S
-from benchlens.plans.fixtures import BLOCKS_SQL, RUNS_SQL, block_lists, runs, table
+from benchlens.plans.fixtures import BLOCKS_SQL, FILES_SQL, RUNS_SQL, block_lists, file_lists, runs, table
 
 GATE = 0.95
 
@@ -76,6 +76,19 @@ def cmp_dup_keys(spark: SparkSession, sf: str) -> DataFrame:
     return C.align_variants(li, "l_linestatus", "F", "O", order=["l_orderkey", "l_linenumber", "cpu", "r2"])
 
 
+def cmp_file_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The result files of two halves of ``events``: files that share a base name are paired in path order."""
+    a, b = file_lists(spark, sf)
+    return C.align_blocks(a, b, file="path")
+
+
+def path_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents numbered inside their language in path order; documents of one source have no path (null)."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    path = F.concat(F.nullif("source", F.lit("src0")), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
+    return C.with_occurrence(d.withColumn("path", path), ["lang"], ["path", "doc_id"]).select("doc_id", "lang", "path", "occ")
+
+
 _CMP_SQL_HEAD = "WITH " + RUNS_SQL
 
 SQL = {
@@ -145,6 +158,16 @@ SELECT side, CAST(count(*) AS BIGINT) AS n FROM aligned GROUP BY side""",
     "cmp_movers": _CMP_SQL_HEAD + """
 SELECT concat_ws('/', nullif(block, ''), program) AS name, cpu1, cpu2, ratio
 FROM aligned WHERE side = 'both'""",
+    "cmp_file_blocks": "WITH " + FILES_SQL + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY early, block ORDER BY path) AS occ FROM (SELECT DISTINCT early, block, path FROM files)),
+a AS (SELECT block, occ FROM o WHERE early), b AS (SELECT block, occ FROM o WHERE NOT early)
+SELECT coalesce(a.block, b.block) AS block, CAST(coalesce(a.occ, b.occ) AS BIGINT) AS occ,
+       CASE WHEN a.block IS NOT NULL AND b.block IS NOT NULL THEN 'both'
+            WHEN a.block IS NOT NULL THEN 'first' ELSE 'second' END AS side
+FROM a FULL OUTER JOIN b ON a.block = b.block AND a.occ = b.occ""",
+    "path_occurrence": """
+WITH p AS (SELECT doc_id, lang, nullif(source, 'src0') || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents)
+SELECT doc_id, lang, path, CAST(row_number() OVER (PARTITION BY lang ORDER BY path NULLS FIRST, doc_id) AS BIGINT) AS occ FROM p""",
     "cmp_dup_keys": """
 WITH li AS (
   SELECT l_linestatus, CAST(l_partkey AS VARCHAR) AS block, l_returnflag AS program,
@@ -176,4 +199,6 @@ QUERIES = {
     "cmp_side_counts": cmp_side_counts,
     "cmp_movers": cmp_movers,
     "cmp_dup_keys": cmp_dup_keys,
+    "cmp_file_blocks": cmp_file_blocks,
+    "path_occurrence": path_occurrence,
 }

@@ -90,6 +90,13 @@ def corpus_slice(spark: SparkSession, sf: str) -> DataFrame:
     return C.slice_corpus(p, ["p_partkey"], SLICE, NUM_SLICES).select("p_partkey", "p_name", "idx")
 
 
+def corpus_slice_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slice of the packages in name order: the slice a package is in, and its place."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    each = [C.slice_corpus(p, ["p_name", "p_partkey"], s, NUM_SLICES).withColumn("slice", F.lit(s)) for s in (1, SLICE, NUM_SLICES)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("p_partkey", "p_name", "slice", "idx")
+
+
 def cached_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Build the package list once into the shared scratch area, then serve it from there."""
     path = scratch_path(spark, "corpus-cache")
@@ -176,6 +183,11 @@ WITH g AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1
                   count(*) OVER () AS n FROM part)
 SELECT p_partkey, p_name, CAST(idx AS BIGINT) AS idx FROM g
 WHERE floor(idx / ceil(n / {NUM_SLICES})) = {SLICE - 1}""",
+    "corpus_slice_names": f"""
+WITH g AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name NULLS FIRST, p_partkey) - 1 AS idx,
+                  count(*) OVER () AS n FROM part),
+s AS (SELECT *, CAST(floor(idx / ceil(n / {NUM_SLICES})) AS INTEGER) + 1 AS slice FROM g)
+SELECT p_partkey, p_name, slice, CAST(idx AS BIGINT) AS idx FROM s WHERE slice IN (1, {SLICE}, {NUM_SLICES})""",
     "package_cache": "WITH " + _PKG_SQL + "\nSELECT pkg AS package FROM pk",
     "module_scan": """
 SELECT o_orderkey AS pkg, CAST(line_no AS INTEGER) AS line_no, CAST(item AS INTEGER) AS item,
@@ -195,6 +207,7 @@ QUERIES = {
     "stanza_counts": stanza_counts,
     "corpus_with_bench": corpus_with_bench,
     "corpus_slice": corpus_slice,
+    "corpus_slice_names": corpus_slice_names,
     "cached_corpus": cached_corpus,
     "package_cache": package_cache,
     "module_scan": module_scan,

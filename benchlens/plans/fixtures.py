@@ -55,6 +55,21 @@ def block_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return ev.where(F.col("ts") < split).select(block), ev.where(F.col("ts") >= split).select(block)
 
 
+def file_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The result files (block, path) of each run, one for each user, day and event type; rows repeat."""
+    ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    split = F.lit(RUN_SPLIT_TS).cast(ev.schema["ts"].dataType)
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    path = F.concat_ws("/", F.lit("results"), F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), F.concat(user, F.lit(".csv")))
+    ev = ev.select("ts", user.alias("block"), path.alias("path"))
+    return ev.where(F.col("ts") < split).select("block", "path"), ev.where(F.col("ts") >= split).select("block", "path")
+
+
+FILES_SQL = f"""
+files AS (SELECT ts < TIMESTAMP '{RUN_SPLIT_TS}' AS early, 'u' || CAST(user_id AS VARCHAR) AS block,
+                 'results/' || strftime(ts, '%Y-%m-%d') || '/' || event_type || '/u' || CAST(user_id AS VARCHAR) || '.csv' AS path
+          FROM events)"""
+
 RUNS_SQL = f"""
 runs AS (
   SELECT run, block, program,

@@ -61,7 +61,26 @@ def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
     # part (key, brand) is a dimension: broadcast after measuring it, so lineitem is never shuffled
     # for the join; the fit is then a partial/final aggregate on 25 brands.
     f = S.ols_fit(dim_join(li, p, "l_partkey"), ["p_brand"], ["l_extendedprice", "l_tax"], "l_quantity")
-    return f.select("p_brand", *[F.round(c, 6).alias(c) for c in f.columns if c not in ("p_brand", "n")], "n")
+    return _rounded(f, "p_brand")
+
+
+def _rounded(f: DataFrame, key: str) -> DataFrame:
+    return f.select(key, *[F.col(c) if c == "n" or c.endswith("_n") else F.round(c, 6).alias(c) for c in f.columns if c != key])
+
+
+def ols_fit_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices by quantity per ship mode stand-in (a null group too), where a measure or x is missing in some rows."""
+    li = table(spark, sf, "lineitem").select("l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", "l_tax")
+    gaps = li.select(F.nullif("l_returnflag", F.lit("A")).alias("flag"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("x"),
+                     F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price"), F.col("l_tax").alias("tax"))
+    return _rounded(S.ols_fit(gaps, ["flag"], ["price", "tax"], "x"), "flag")
+
+
+def kmer_freq_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Character shares by language, where one language counts as unknown (null)."""
+    d = _sequences(spark, sf).withColumn("lang", F.nullif("lang", F.lit("de")))
+    f = K.kmer_freq(d, "seq", 1, by=["lang"])
+    return f.select("lang", "kmer", "n", F.round("pct", 6).alias("pct"))
 
 
 _SEQ = "d AS (SELECT doc_id, lang, replace(upper(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), 'ß', chr(57344))), chr(57344), 'ß') AS seq FROM documents)"
@@ -106,11 +125,24 @@ SELECT p_brand,
        round(regr_slope(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_slope,
        round(regr_intercept(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_intercept,
        round(regr_r2(l_extendedprice, l_quantity), 6) + 0.0 AS l_extendedprice_r2,
+       CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS l_extendedprice_n,
        round(regr_slope(l_tax, l_quantity), 6) + 0.0 AS l_tax_slope,
        round(regr_intercept(l_tax, l_quantity), 6) + 0.0 AS l_tax_intercept,
        round(regr_r2(l_tax, l_quantity), 6) + 0.0 AS l_tax_r2,
+       CAST(regr_count(l_tax, l_quantity) AS BIGINT) AS l_tax_n,
        CAST(count(*) AS BIGINT) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
+    "ols_fit_gaps": """
+WITH g AS (SELECT nullif(l_returnflag, 'A') AS flag, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS x,
+                  CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS price, l_tax AS tax FROM lineitem)
+SELECT flag, round(regr_slope(price, x), 6) + 0.0 AS price_slope, round(regr_intercept(price, x), 6) + 0.0 AS price_intercept,
+       round(regr_r2(price, x), 6) + 0.0 AS price_r2, CAST(regr_count(price, x) AS BIGINT) AS price_n,
+       round(regr_slope(tax, x), 6) + 0.0 AS tax_slope, round(regr_intercept(tax, x), 6) + 0.0 AS tax_intercept,
+       round(regr_r2(tax, x), 6) + 0.0 AS tax_r2, CAST(regr_count(tax, x) AS BIGINT) AS tax_n, CAST(count(*) AS BIGINT) AS n
+FROM g GROUP BY flag""",
+    "kmer_freq_unknown": f"""WITH {_SEQ}, c AS (SELECT nullif(lang, 'de') AS lang, kmer, CAST(sum(n) AS BIGINT) AS n FROM ({_counts_sql(1, 'lang')})
+           GROUP BY 1, 2)
+SELECT lang, kmer, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS pct FROM c""",
 }
 
 QUERIES = {
@@ -120,4 +152,6 @@ QUERIES = {
     "kmer_report": kmer_report,
     "kmer_halo": kmer_halo,
     "ols_fit": ols_fit,
+    "ols_fit_gaps": ols_fit_gaps,
+    "kmer_freq_unknown": kmer_freq_unknown,
 }

@@ -25,6 +25,13 @@ def pairwise_potential(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("label", "n_pairs", F.round("potential", 6).alias("potential"))
 
 
+def pairwise_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair sums where the bodies of one label belong to no known system (a null group)."""
+    b = bodies(spark, sf).withColumn("label", F.nullif("label", F.lit(1)))
+    e = P.total_energy(b, ["label"], "vec_id", ["x", "y", "z"], ["vx", "vy", "vz"], "mass")
+    return e.select("label", "n_pairs", *[F.round(c, 6).alias(c) for c in ("kinetic", "potential")])
+
+
 def energy_total(spark: SparkSession, sf: str) -> DataFrame:
     e = P.total_energy(bodies(spark, sf), ["label"], "vec_id", ["x", "y", "z"], ["vx", "vy", "vz"], "mass")
     return e.select("label", *[F.round(c, 6).alias(c) for c in ("kinetic", "potential", "energy")])
@@ -44,6 +51,10 @@ _PAIRS_SQL = """pp AS (SELECT a.label, CAST(count(*) AS BIGINT) AS n_pairs,
   FROM b a JOIN b b2 ON a.label = b2.label AND a.vec_id < b2.vec_id GROUP BY a.label)"""
 
 SQL = {
+    "pairwise_unknown": f"""WITH {_BODIES_SQL.replace("vec_id, label,", "vec_id, nullif(label, 1) AS label,")}, {_PAIRS_SQL.replace("a.label = b2.label", "a.label IS NOT DISTINCT FROM b2.label")},
+ke AS (SELECT label, sum(0.5 * mass * (vx * vx + vy * vy + vz * vz)) AS kinetic FROM b GROUP BY label)
+SELECT ke.label, n_pairs, round(kinetic, 6) + 0.0 AS kinetic, round(potential, 6) + 0.0 AS potential
+FROM ke JOIN pp ON ke.label IS NOT DISTINCT FROM pp.label""",
     "pairwise_potential": f"WITH {_BODIES_SQL}, {_PAIRS_SQL} SELECT label, n_pairs, round(potential, 6) + 0.0 AS potential FROM pp",
     "energy_total": f"""WITH {_BODIES_SQL}, {_PAIRS_SQL},
 ke AS (SELECT label, sum(0.5 * mass * (vx * vx + vy * vy + vz * vz)) AS kinetic FROM b GROUP BY label)
@@ -63,4 +74,5 @@ QUERIES = {
     "pairwise_potential": pairwise_potential,
     "energy_total": energy_total,
     "momentum_sum": momentum_sum,
+    "pairwise_unknown": pairwise_unknown,
 }

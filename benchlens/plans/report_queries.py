@@ -18,12 +18,14 @@ GATE = 0.95
 
 
 LABELS = ("results/run-A/first-half", "results/run-B/second-half")
+LABEL_WIDTH = 20
+_FIELDS = R.table_fields(*LABELS, LABEL_WIDTH)
 
 
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     aligned = materialize(C.align_variants(runs(spark, sf), "run", "A", "B", carry={"first_ts": F.min("first_ts")}))
     bands = S.geo_bands(S.geo_stats(C.gated_pairs(aligned, GATE)))
-    return R.render_report(aligned, bands, *LABELS, GATE, row_order=["first_ts", "program"])
+    return R.render_report(aligned, bands, *LABELS, GATE, row_order=["first_ts", "program"], label_width=LABEL_WIDTH)
 
 
 def template_render(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +68,7 @@ def _cell(text: str, width: str, left: bool = False) -> str:
 
 
 def _text_line(*cells: str) -> str:
-    widths = ["w.w", *[str(f.width) for f in R.table_fields(*LABELS)[1:]]]
+    widths = ["w.w", *[str(f.width) for f in _FIELDS[1:]]]
     return " || '  ' || ".join(_cell(c, w, i == 0) for i, (c, w) in enumerate(zip(cells, widths)))
 
 
@@ -84,11 +86,11 @@ def _passes(side: int) -> str:
     return f"(r2_{side} IS NOT NULL AND NOT isnan(r2_{side}) AND r2_{side} >= {GATE})"
 
 
-_RULE = f"repeat('-', (w.w + {sum(2 + f.width for f in R.table_fields(*LABELS)[1:])})::BIGINT)"
+_RULE = f"repeat('-', (w.w + {sum(2 + f.width for f in _FIELDS[1:])})::BIGINT)"
 _PAIR = f"""(CASE WHEN side <> 'both' THEN '(none)'
   WHEN cpu1 = 0 THEN coalesce(CASE WHEN cpu2 > 0 THEN 'Infinity%' WHEN cpu2 < 0 THEN '-Infinity%' WHEN cpu2 = 0 THEN 'NaN%' END, '(none)')
   ELSE {_percent("(round_even((cpu2 / cpu1 - 1) * 100 * 10, 0) / 10 + 0.0)")} END)"""
-_TITLES = _text_line("'Benchmark'", f"'{LABELS[0]}'", f"'{LABELS[1]}'", "'Change'")
+_TITLES = _text_line(*[f"'{f.title}'" for f in _FIELDS])
 _ROW = _text_line("program", _scientific("cpu1"), _scientific("cpu2"), _PAIR)
 _BAND = _text_line("label", "'-'", "'-'", _percent("c"))
 

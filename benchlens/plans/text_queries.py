@@ -41,6 +41,12 @@ def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     return T.token_usage(d, "text", TOKENS, by=["source"]).select("source", "token", "n", "total")
 
 
+def token_usage_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts by language, where one language counts as unknown (null)."""
+    d = table(spark, sf, "documents").select(F.nullif("lang", F.lit("en")).alias("lang"), "text")
+    return T.token_usage(d, "text", TOKENS, by=["lang"])
+
+
 # What a line does with the tokens, by its other words.
 KINDS = {kind: f"(?:^|[^a-z0-9_])(?:{words})(?:[^a-z0-9_]|$)" for kind, words in (
     ("question", "what|when"), ("motion", "to|from"), ("state", "is|was|are|be"))}
@@ -147,6 +153,11 @@ WITH w AS (SELECT source, unnest(string_split_regex(lower(text), '[^\p{L}]+')) A
 c AS (SELECT source, token, CAST(count(*) AS BIGINT) AS n FROM w
       WHERE token IN ('the', 'of', 'and', 'by', 'on') GROUP BY source, token)
 SELECT source, token, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total FROM c""",
+    "token_usage_unknown": r"""
+WITH w AS (SELECT nullif(lang, 'en') AS lang, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS token FROM documents),
+c AS (SELECT lang, token, CAST(count(*) AS BIGINT) AS n FROM w
+      WHERE token IN ('the', 'of', 'and', 'by', 'on') GROUP BY lang, token)
+SELECT lang, token, n, CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT) AS total FROM c""",
     "event_rate": """
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type),
 t AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id)
@@ -192,6 +203,7 @@ QUERIES = {
     "line_scan": line_scan,
     "file_line_scan": file_line_scan,
     "token_usage": token_usage,
+    "token_usage_unknown": token_usage_unknown,
     "event_rate": event_rate,
     "event_tail": event_tail,
     "log_segments": log_segments,

@@ -86,3 +86,12 @@ def test_report_row_layout(spark):  # K5, F6, D9, D10
     assert "x" not in got  # one-sided row whose fit fails the gate is not printed
     summ = [r.line for r in lines.where("sec = 2 AND row_no > 0").orderBy("row_no").collect()]
     assert summ[-1].startswith("Geometric mean") and summ[-1].endswith("+100.0%")
+
+
+def test_upper_chars_keeps_every_other_character(spark):  # F8
+    from benchlens.functions.scalar import upper_chars
+
+    texts = ["straße ŉ ﬁx", " private", "ÿ é Σς", "", None, "ß", "plain\nline", "\U00010437x"]
+    want = {t: None if t is None else "".join(c.upper() if len(c.upper()) == 1 else c for c in t) for t in texts}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in df.select("t", upper_chars("t").alias("u")).collect()} == want
