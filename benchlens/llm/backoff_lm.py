@@ -1,37 +1,43 @@
-"""N-gram language model as a weighted backoff automaton.
-
-States are contexts, arcs are words with log-probabilities, and a failure arc
-of each state leads to its shorter context at a backoff weight. The state that
-a traversal of a text carries at a word is the longest context before it that
-has arcs, so every position can be scored by itself.
-
-An n-gram gets an arc if it occurs at least ``LEAST`` times, whatever the
-corpus holds. ``score`` keeps words, pairs and triples with their counts,
-failure weights and log-probabilities as written tables and joins every text's
-positions to them, so nothing that grows with the corpus reaches the driver or
-is broadcast. ``train`` gathers the same model as arrays in one process, for
-tables whose n-grams fit there; it is the form that the tables are held against.
+"""N-gram language model as a weighted backoff automaton, walked left to right over every text.
+
+States are contexts: the root, words, and pairs of words that training holds.
+A state has an arc for every word that follows it in training, weighted with
+its smoothed log-probability, and a failure arc to its shorter context, taken
+at a weight where a word has no arc. Every state's weights sum to one (words
+that training has not seen are one class).
+
+No part of the model is gathered in one place. Texts are dealt into blocks of
+bounded size. A block asks for the training counts of its own words and word
+pairs (with the words before them); the questions are dealt by the hash of what
+they ask for, summed over all blocks, and each block gets its answers back in
+the order in which it asked. With them it builds the part of the automaton
+that its texts can reach, and walks it.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.session import scratch_path
+from benchlens.session import scratch_path, target_partitions
 
-END = b" "  # the end token; no word holds a space
-LEAST = 2  # occurrences of an n-gram with an arc
-DISCOUNT = 0.75  # taken from each kept n-gram's count for its backoff
-_CHUNK = 4_000_000  # tokens counted at once in a task
-_MOST_WORDS = 400_000  # different words, or positions of texts, that a task holds before it passes them on
+END = b""  # the end token; words are never empty
+WORD_PRIOR, PAIR_PRIOR = 20.0, 5.0  # counts that a shorter context's probabilities stand for in a word's or a pair's state
+BLOCK_TOKENS = 500_000
+PART_TOKENS = 2_000_000  # tokens whose pairs are summed in one group
+
+_START, _NONE = np.uint64(0x51A7), np.uint64(0x0E0E)  # stand for what lies before a text's first word, and before that
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -39,234 +45,235 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, c) over all rows: every word and, once a row, the end token."""
-    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
+def packed(a: np.ndarray) -> bytes:
+    """An array's bytes, all first bytes before all second ones, compressed."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[bytes] = Counter()
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())],
-                                              names=schema.names)
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-        for b in batches:
-            for text in b.column(0).cast(pa.binary()):
-                own.update(words_of(text.as_py()))
-                if len(own) > _MOST_WORDS:
-                    yield rows()
-                    own.clear()
-            own[END] += b.num_rows
-        yield rows()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
-class Automaton:
-    """Arrays of the model: words, n-gram arcs, failure arcs. See ``build``."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, vocab: int, discount: float):
-        self.words, self.total, self.vocab, self.discount = words, total, vocab, discount
-        self.m = len(words)
-        self.end = words.index(END) if END in words else -1
-        self.counts = counts
-        self.uni = np.log10((counts - discount) / max(total, 1)) if self.m else np.zeros(0)
-        self.pairs = np.zeros(0, np.int64)  # a * m + b, ascending
-        self.pair_counts = np.zeros(0, np.int64)
-        self.triples = np.zeros(0, np.int64)  # index of (a, b) in pairs * m + c, ascending
-        self.triple_counts = np.zeros(0, np.int64)
-
-    def unseen(self) -> float:
-        """log10 probability of any word that training has not seen."""
-        return math.log10(self.discount * self.vocab / self.total) if self.total else 0.0
-
-    def find(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Position of each key in an ascending table, or -1."""
-        if not table.size:
-            return np.full(keys.shape, -1)
-        at = np.minimum(np.searchsorted(table, keys), table.size - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def build(self) -> None:
-        """Arcs, next states and failure arcs. State 0 is the root, then words, then word pairs."""
-        m = self.m
-        a, b = (self.pairs // m, self.pairs % m) if m else (self.pairs, self.pairs)
-        pair_of, c = (self.triples // m, self.triples % m) if m else (self.triples, self.triples)
-        state_word = np.zeros(m + 1, np.int64)  # word -> state; the last place is for none
-        has = np.unique(a)
-        state_word[has] = np.arange(1, has.size + 1)
-        has_pair = np.unique(pair_of)
-        state_pair = np.zeros(self.pairs.size + 1, np.int64)
-        state_pair[has_pair] = np.arange(has.size + 1, has.size + 1 + has_pair.size)
-        n = 1 + has.size + has_pair.size
-        self.start = int(state_word[self.end]) if self.end >= 0 else 0
-        self.uni_next = state_word[:m]
-
-        def backoff(state: np.ndarray, p: np.ndarray, lower: np.ndarray) -> np.ndarray:
-            kept, below = np.bincount(state, p, n), np.bincount(state, lower, n)
-            return np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - below, 1e-12))
-
-        p2 = (self.pair_counts - DISCOUNT) / self.counts[a] if m else np.zeros(0)
-        p3 = (self.triple_counts - DISCOUNT) / self.pair_counts[pair_of] if m else np.zeros(0)
-        bc = self.find(self.pairs, b[pair_of] * m + c) if m else pair_of  # of a kept triple, both pairs are kept
-        s2, s3 = state_word[a], state_pair[pair_of]
-        self.back = np.where(np.arange(n) <= has.size, backoff(s2, p2, 10 ** self.uni[b]), backoff(s3, p3, p2[bc]))
-        self.back[0] = 0.0
-        self.fail = np.zeros(n, np.int64)
-        self.fail[state_pair[has_pair]] = state_word[b[has_pair]]
-        after = np.where(state_pair[:-1] > 0, state_pair[:-1], state_word[b])  # state that a pair leads to
-        self.arc_keys = np.concatenate([s2 * m + b, s3 * m + c])
-        self.arc_lp = np.log10(np.concatenate([p2, p3]))
-        self.arc_next = np.concatenate([after, after[bc] if m else bc])
-
-    def ready(self) -> Automaton:
-        """Lookup tables for ``walk``, made once in a task."""
-        self.id_of = {w: i for i, w in enumerate(self.words)}
-        self.arcs = dict(zip(self.arc_keys.tolist(), zip(self.arc_lp.tolist(), self.arc_next.tolist())))
-        self.back_l, self.fail_l = self.back.tolist(), self.fail.tolist()
-        self.roots = list(zip(self.uni.tolist(), self.uni_next.tolist()))
-        leave = np.zeros(self.back.size)  # weight of all failure arcs from a state to the root
-        for s in range(1, self.back.size):
-            leave[s] = self.back[s] + leave[self.fail[s]]
-        self.leave = leave.tolist()
-        return self
-
-    def walk(self, ids: Iterable[int]) -> float:
-        """Sum of log10 probabilities along ``ids``; -1 (a word without arcs) leaves to the root."""
-        arcs, back, fail, roots, leave, m = self.arcs, self.back_l, self.fail_l, self.roots, self.leave, self.m
-        s, lp = self.start, 0.0
-        for w in ids:
-            if w < 0:
-                lp += leave[s]
-                s = 0
-                continue
-            while s:
-                arc = arcs.get(s * m + w)
-                if arc:
-                    lp += arc[0]
-                    s = arc[1]
-                    break
-                lp += back[s]
-                s = fail[s]
-            else:
-                p, s = roots[w]
-                lp += p
-        return lp
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    key = (a * _MIX ^ (a >> np.uint64(31))) + b
+    key = (key ^ (key >> np.uint64(29))) * _MIX
+    return key ^ (key >> np.uint64(32))
 
 
-def _count_grams(docs: DataFrame, text_col: str, model: Automaton, grams: Callable[[Automaton, np.ndarray], np.ndarray],
-                 least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the n-grams of at least ``least`` occurrences."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())])
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of the key space begins and ends in ascending ``keys``."""
+    limits = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, limits), [keys.size]])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        id_of = {w: i for i, w in enumerate(own.words)}
-        seq: list[int] = [own.end]
 
-        def rows() -> pa.RecordBatch:
-            keys, n = np.unique(grams(own, np.array(seq, np.int64)), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=schema.names)
+class Block:
+    """Texts of one block, and its words, pairs and triples (a pair and the word before it) in the order of their keys.
 
-        for b in batches:
-            for text in b.column(0).cast(pa.binary()):
-                seq += [id_of.get(w, -1) for w in words_of(text.as_py())]
-                seq.append(own.end)
-                if len(seq) > _CHUNK:
-                    yield rows()
-                    seq = [own.end]
-        yield rows()
-
-    kept = (docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("gram")
-            .agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas().sort_values("gram"))
-    return kept["gram"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
+    ``word``, ``pair``, ``triple`` give each token's place in those orders.
+    """
 
+    def __init__(self, words: list[bytes], tokens: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        self.first = self.ends - sizes  # first token of each text
+        own = _hashes(words)
+        by_hash = np.argsort(own)
+        self.words, self.word_keys = [words[i] for i in by_hash], own[by_hash]
+        place = np.empty(own.size, np.int64)
+        place[by_hash] = np.arange(own.size)
+        self.word = place[tokens]
+        here = own[tokens]
+        before = np.concatenate([[_START], here[:-1]]).astype(np.uint64)
+        before[self.first] = _START
+        two = np.concatenate([[_NONE], before[:-1]]).astype(np.uint64)
+        two[self.first] = _NONE
+        self.pair_keys, self.pair = np.unique(_pair_key(before, here), return_inverse=True)
+        triple = (self.pair.astype(np.uint64) << np.uint64(32)) | ((two * _MIX) >> np.uint64(32))
+        self.triples, self.triple = np.unique(triple, return_inverse=True)
+
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        return cls(row["words"].split(b" "), unpacked(row["tokens"], np.uint32), np.array(row["sizes"], np.int64))
+
+    def questions(self, train: np.ndarray, word_parts: int, pair_parts: int) -> Iterator[tuple]:
+        """(kind, part, keys, widths, firsts, counts): what is asked of each part, with the block's own training counts.
+
+        Every word part is asked, if only for its totals.
+        """
+        weight = np.repeat(train, self.sizes).astype(float)
+        counts = np.bincount(self.word, weight, len(self.words)).astype(np.uint64)
+        cuts = _cuts(self.word_keys, word_parts)
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            yield 1, p, zstandard.ZstdCompressor(1).compress(b" ".join(self.words[a:b])), None, None, packed(counts[a:b])
+        counts = np.bincount(self.triple, weight, self.triples.size).astype(np.uint64)
+        of_pair = (self.triples >> np.uint64(32)).astype(np.int64)
+        widths = np.bincount(of_pair, minlength=self.pair_keys.size).astype(np.uint32)
+        at = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+        firsts = self.triples.astype(np.uint32)  # the low half
+        cuts = _cuts(self.pair_keys, pair_parts)
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                inside = slice(at[a], at[b])
+                steps = np.diff(self.pair_keys[a:b], prepend=np.uint64(0))
+                yield 2, p, packed(steps), packed(widths[a:b]), packed(firsts[inside]), packed(counts[inside])
 
-def _pair_keys(model: Automaton, seq: np.ndarray) -> np.ndarray:
-    a, b = seq[:-1], seq[1:]
-    return (a * model.m + b)[(a >= 0) & (b >= 0)]
 
+class Automaton:
+    """The states and arcs that a block's texts can reach, as log10 weights.
 
-def _triple_keys(model: Automaton, seq: np.ndarray) -> np.ndarray:
-    """Triples of two kept pairs; none reaches over an end, where the traversal starts anew."""
-    at = model.find(model.pairs, np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * model.m + seq[1:], -1))
-    good = (at[:-1] >= 0) & (at[1:] >= 0) & (seq[1:-1] != model.end)
-    return at[:-1][good] * model.m + seq[2:][good]
+    ``c1``, ``c2``, ``c3`` are the training counts of the block's words, pairs
+    and triples; ``total``, ``vocab``, ``texts`` those of all training tokens,
+    different tokens and texts.
+    """
 
+    def __init__(self, block: Block, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: float, vocab: float, texts: float):
+        self.block, self.total = block, total
+        self.base = np.log10((c1 + 0.5) / (total + 0.5 * (vocab + 1)))
+        w, g, t = block.word, block.pair, block.triple
+        size = np.concatenate([[texts], c1[w[:-1]]])  # how often the word before each token is followed by any
+        size[block.first] = texts
+        low = (c2[g] + WORD_PRIOR * 10 ** self.base[w]) / (size + WORD_PRIOR)
+        wide = np.concatenate([[0.0], c2[g[:-1]]])  # and the pair before it
+        wide[block.first] = 0.0
+        high = (c3[t] + PAIR_PRIOR * low) / (wide + PAIR_PRIOR)
+        # by token: arcs of the root, of the word before, of the pair before; the failure arcs of the latter two
+        self.arcs = [self.base[w], np.log10(low), np.log10(high)]
+        self.fails = [np.log10(WORD_PRIOR / (size + WORD_PRIOR)), np.log10(PAIR_PRIOR / (wide + PAIR_PRIOR))]
+        self.has = [c1[w] > 0, c2[g] > 0, (c3[t] > 0) & (wide > 0)]
+        self.start = int(texts > 0)  # the state before a text's first word: that of its start, or the root
+
+    def walk(self, i: int) -> float:
+        """log10 probability of text ``i``: one pass that carries the state's length (root 0, word 1, pair 2)."""
+        own = slice(self.block.first[i], self.block.ends[i])
+        state, lp = self.start, 0.0
+        for known, two, three, a0, a1, a2, f1, f2 in zip(*[x[own].tolist() for x in (*self.has, *self.arcs, *self.fails)]):
+            if state == 2:
+                if three:
+                    lp += a2
+                    continue  # the last two words are a state again
+                lp += f2
+                state = 1
+            if state == 1:
+                if two:
+                    lp += a1
+                    state = 2
+                    continue
+                lp += f1
+            lp += a0
+            state = 1 if known else 0
+        return lp
 
-def _discount(once: int, twice: int) -> float:
-    """Share of a count that unigrams leave to unseen words."""
-    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
+def _blocks(src: DataFrame, id_field: T.StructField) -> DataFrame:
+    """One row for each block: its texts' ids, training marks and sizes, its words, and the texts as numbers of these."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_field.dataType)),
+                           T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+                           T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Automaton, DataFrame]:
-    """The automaton and the whole (word, c) table of ``docs`` (written to the shared scratch folder).
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        ids, train, sizes, tokens, kind = [], [], [], [], None
+        number: dict[bytes, int] = defaultdict(count(1).__next__)
 
-    All words, pairs and triples of at least ``LEAST`` occurrences reach the
-    driver, so this is for tables whose n-grams fit in one process; ``score``
-    does not use it. As no n-gram is more frequent than its parts, pairs are
-    counted only between such words and triples only between such pairs, and
-    the counts are exact. An empty table gives a model without words.
-    """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "words")
-    count_words(docs, text_col).write.parquet(path)
-    vocab = spark.read.parquet(path)
-    c = F.col("c")
-    total, size, once, twice = (int(x or 0) for x in vocab.where(c > 0).agg(
-        F.sum(c), F.count(c), F.count_if(c == 1), F.count_if(c == 2)).first())
-    head = vocab.where(c >= LEAST).toPandas().sort_values("word", ignore_index=True)
-    model = Automaton([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), total, size, _discount(once, twice))
-    if model.m and model.end >= 0:
-        model.pairs, model.pair_counts = _count_grams(docs, text_col, model, _pair_keys, LEAST)
-        if model.pairs.size:
-            model.triples, model.triple_counts = _count_grams(docs, text_col, model, _triple_keys, LEAST)
-    model.build()
-    return model, vocab
-
-
-def positions(src: DataFrame) -> DataFrame:
-    """(_id, train_on, row, a, b, c, n): a text's words and end ``c`` after the words ``a``, ``b``, ``n`` times in it.
-
-    The first word follows the end token alone; there ``a`` is empty, and just there.
-    """
-    schema = T.StructType([src.schema["_id"], T.StructField("train_on", T.BooleanType()), T.StructField("row", T.LongType()),
-                           *[T.StructField(x, T.BinaryType()) for x in "abc"], T.StructField("n", T.LongType())])
+        def row() -> pa.RecordBatch:
+            values = [[(task << 32) + n], [ids], [train], [sizes], [b" ".join([END, *number])], [packed(np.array(tokens, np.uint32))]]
+            types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=schema.names)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[int] = []  # of the batch, one for each of ``grams``
-            grams: list[tuple[bytes, bytes, bytes]] = []
-            times: list[int] = []
-
-            def out() -> Iterator[pa.RecordBatch]:
-                for at in range(0, len(rows), _MOST_WORDS):
-                    part = slice(at, at + _MOST_WORDS)
-                    own = pa.array(rows[part], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [*[b.column(k).take(own) for k in (0, 2, 3)],
-                         *[pa.array(list(x), pa.binary()) for x in zip(*grams[part])], pa.array(times[part], pa.int64())],
-                        names=schema.names)
-
-            for i, text in enumerate(b.column(1).cast(pa.binary())):
-                c = [*words_of(text.as_py()), END]
-                found = Counter(zip([b"", END, *c][:len(c)], [END, *c], c))
-                rows += [i] * len(found)
-                grams += found.keys()
-                times += found.values()
-                if len(rows) > _MOST_WORDS:
-                    yield from out()
-                    rows.clear(), grams.clear(), times.clear()
-            yield from out()
-
-    return src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-
-
-def _free(kept: Column, below: Column) -> Column:
-    """log10 weight of a failure arc: the probability that arcs leave over, by that which their words have below."""
-    return F.log10(F.greatest(1 - kept, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12)))
+            kind = b.schema.field(0).type
+            for i, text, use in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                words = words_of(text.as_py())
+                tokens += map(number.__getitem__, words)
+                tokens.append(0)
+                ids.append(i)
+                train.append(use)
+                sizes.append(len(words) + 1)
+                if len(tokens) >= BLOCK_TOKENS:
+                    yield row()
+                    n += 1
+                    ids, train, sizes, tokens = [], [], [], []
+                    number = defaultdict(count(1).__next__)
+        if ids:
+            yield row()
+
+    return src.mapInArrow(work, schema)
+
+
+_ASKED = "kind int, part int, block long, keys binary, widths binary, firsts binary, counts binary"
+_ANSWER = "kind int, part int, block long, first binary, second binary, total double, vocab double, texts double"
+
+
+def _asked(blocks: DataFrame, word_parts: int, pair_parts: int) -> DataFrame:
+    schema = T.StructType.fromDDL(_ASKED)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        for b in batches:
+            for row in b.to_pylist():
+                rows = [(k, p, row["block"], *rest) for k, p, *rest in
+                        Block.read(row).questions(np.array(row["train"], bool), word_parts, pair_parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=schema.names)
+
+    return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(work, schema)
+
+
+def _sum_words(rows: list[dict]) -> Iterator[tuple]:
+    totals: dict[bytes, int] = defaultdict(int)
+    asked = []
+    for r in rows:
+        counts = unpacked(r["counts"], np.uint64).tolist()
+        words = zstandard.ZstdDecompressor().decompress(r["keys"]).split(b" ") if counts else []
+        asked.append(words)
+        for w, c in zip(words, counts):
+            totals[w] += c
+    sums = float(sum(totals.values())), float(sum(c > 0 for c in totals.values())), float(totals.get(END, 0))
+    for r, words in zip(rows, asked):
+        yield packed(np.array([totals[w] for w in words], np.uint64)), None, *sums
+
+
+def _sum_pairs(rows: list[dict]) -> Iterator[tuple]:
+    keys = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+    widths = [unpacked(r["widths"], np.uint32).astype(np.int64) for r in rows]
+    firsts, counts = (np.concatenate([unpacked(r[c], k) for r in rows]) for c, k in (("firsts", np.uint32), ("counts", np.uint64)))
+    _, pair_of_key = np.unique(np.concatenate(keys), return_inverse=True)
+    pair = np.repeat(pair_of_key, np.concatenate(widths))
+    _, triple = np.unique((pair.astype(np.uint64) << np.uint64(32)) | firsts, return_inverse=True)
+    weight = counts.astype(float)
+    c2 = np.bincount(pair, weight).astype(np.uint64)[pair_of_key]
+    c3 = np.bincount(triple, weight).astype(np.uint64)[triple]
+    at2 = np.cumsum([0, *[k.size for k in keys]])
+    at3 = np.cumsum([0, *[int(w.sum()) for w in widths]])
+    for i in range(len(rows)):
+        yield packed(c2[at2[i]:at2[i + 1]]), packed(c3[at3[i]:at3[i + 1]]), None, None, None
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    got = (_sum_words if rows[0]["kind"] == 1 else _sum_pairs)(rows)
+    out = [(r["kind"], r["part"], r["block"], *g) for r, g in zip(rows, got)]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.float64()] * 3]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def _counts(answers: list[dict], kind: int, column: str, size: int) -> np.ndarray:
+    parts = [unpacked(r[column], np.uint64) for r in sorted(answers, key=lambda r: r["part"]) if r["kind"] == kind]
+    got = np.concatenate(parts).astype(float) if parts else np.zeros(0)
+    if got.size != size:
+        raise ValueError("a block and its answers do not fit together")
+    return got
+
+
+def automaton_of(block: Block, answers: list[dict]) -> Automaton:
+    total, vocab, texts = (sum(r[c] for r in answers if r["kind"] == 1) for c in ("total", "vocab", "texts"))
+    return Automaton(block, _counts(answers, 1, "first", len(block.words)), _counts(answers, 2, "first", block.pair_keys.size),
+                     _counts(answers, 2, "second", block.triples.size), total, vocab, texts)
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,54 +281,38 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
 
     Returns ``id_col``, train_on, n_tokens, n_known, train_tokens, base_score
     (unigrams with half counts) and score (the automaton's log10 probability).
+    The model holds all words, pairs and triples of the training texts.
     A null text is empty: only its end token counts. Rows are kept one to one,
     with null ids and repeated rows; a null ``train_on`` counts as false; other
-    columns are not read; an empty table gives an empty result, and without
-    training rows every probability is 1. Words that training has not seen
-    are one class, which gets the discounts of the seen words together.
+    columns are not read; an empty table gives an empty result; without
+    training rows every token falls to the unseen class of probability 1.
+
+    Words are counted exactly. Pairs are told apart by 64-bit hashes and the
+    words before a pair by 32 bits more. Blocks are written once to the shared
+    scratch folder; a text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
-
-    def written(table: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        table.write.parquet(path)
-        return spark.read.parquet(path)
-
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
-                      F.coalesce(train_on, F.lit(False)).alias("train_on"))
-    at = written(positions(src), "positions")
-    # counts of training, also (as 0) of what only other rows hold: each position ends one triple, pair and word
-    triples = written(at.groupBy("a", "b", "c").agg(F.sum(F.when(F.col("train_on"), F.col("n")).otherwise(0)).alias("c3")), "triples")
-    pairs = written(triples.groupBy("b", "c").agg(F.sum("c3").alias("c2")), "pairs")
-    words = written(pairs.groupBy("c").agg(F.sum("c2").alias("c1")), "words")
-    c1, c2, c3 = F.col("c1"), F.col("c2"), F.col("c3")
-    n, v, once, twice = (int(x or 0) for x in words.agg(
-        F.sum(c1), F.count_if(c1 > 0), F.count_if(c1 == 1), F.count_if(c1 == 2)).first())
-    d = _discount(once, twice)
-    unseen = math.log10(d * v / n) if n else 0.0
-    uni = F.when(c1 > 0, F.log10((c1 - F.lit(d)) / F.lit(float(max(n, 1))))).otherwise(F.lit(unseen))
-
-    ends = written(pairs.join(words, "c"), "ends")  # pairs with the count of their second word
-    leaving = ends.where(c2 >= LEAST).groupBy("b").agg(F.sum(c2 - DISCOUNT).alias("kept"), F.sum(F.pow(F.lit(10.0), uni)).alias("below"))
-    states = words.select(F.col("c").alias("b"), c1.alias("size")).join(leaving, "b", "left").select(
-        "b", "size", F.coalesce(_free(F.col("kept") / F.col("size"), F.col("below")), F.lit(0.0)).alias("back"))
-    lower = ends.join(states, "b").select("b", "c", "c1", F.when(
-        c2 >= LEAST, F.log10((c2 - DISCOUNT) / F.col("size"))).otherwise(F.col("back") + uni).alias("lp2"))
-
-    steps = written(triples.join(lower, ["b", "c"]), "steps")
-    has_arc = (c3 >= LEAST) & (F.length("a") > 0)
-    leaving = steps.where(has_arc).groupBy("a", "b").agg(
-        F.sum(c3 - DISCOUNT).alias("kept"), F.sum(F.pow(F.lit(10.0), F.col("lp2"))).alias("below"))
-    states = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), c2.alias("size")).join(leaving, ["a", "b"]).select(
-        "a", "b", "size", _free(F.col("kept") / F.col("size"), F.col("below")).alias("back"))
-    arcs = steps.join(states, ["a", "b"], "left").select("a", "b", "c", "c1", F.when(
-        has_arc, F.log10((c3 - DISCOUNT) / F.col("size"))).otherwise(F.coalesce("back", F.lit(0.0)) + F.col("lp2")).alias("lp"))
-
-    times = F.col("n")
-    sums = at.select("row", "a", "b", "c", "n").join(arcs, ["a", "b", "c"]).groupBy("row").agg(
-        F.sum(times).alias("n_tokens"), F.sum(F.when(c1 > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(times * F.log10((c1 + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("base_score"),
-        F.sum(times * F.col("lp")).alias("score"))
-    # the one first position of a row stands for it
-    return at.where(F.length("a") == 0).select("row", F.col("_id").alias(id_col), "train_on").join(sums, "row").select(
-        id_col, "train_on", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    path = scratch_path(spark, "blocks")
+    src = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"),
+                      F.coalesce(train_on, F.lit(False)).alias("_train"))
+    _blocks(src, docs.schema[id_col]).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    parts = max(target_partitions(spark), -(-tokens // PART_TOKENS))
+    answers = _asked(blocks, max(1, parts // 4), parts).groupBy("kind", "part").applyInArrow(_answer, _ANSWER)
+    schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL(
+        "train_on boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block = Block.read(row)
+        model = automaton_of(block, right.to_pylist())
+        n = len(row["ids"])
+        known = np.add.reduceat(model.has[0].astype(np.int64), block.first)
+        base = np.add.reduceat(model.arcs[0], block.first)
+        columns = [left["ids"].combine_chunks().flatten(), pa.array(row["train"], pa.bool_()), pa.array(block.sizes),
+                   pa.array(known), pa.array(np.full(n, int(model.total))), pa.array(base),
+                   pa.array([model.walk(i) for i in range(n)], pa.float64())]
+        return pa.table(columns, names=schema.names)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)

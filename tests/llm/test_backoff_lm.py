@@ -1,139 +1,132 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchlens.llm.backoff_lm import END, Automaton, score, train, words_of
+from benchlens.llm import backoff_lm
+from benchlens.llm.backoff_lm import PAIR_PRIOR, WORD_PRIOR, Automaton, Block, packed, score, unpacked, words_of
 
 TEXTS = [(0, "The cat sat on the mat"), (1, "the cat  ate the\trat on THE mat"), (2, "a dog sat on the mat"),
-         (3, "the cat sat on a dog"), (4, None), (5, ""), (6, "the cat sat on the mat zebra"), (None, "the cat"),
-         (6, "the cat sat on the mat zebra")]
-
-
-def plain(texts, train_ids):
-    """Counts and half-count scores by definition."""
-    toks = {i: words_of((t or "").encode()) + [END] for i, (_, t) in enumerate(texts)}
-    c = Counter(w for i in train_ids for w in toks[i])
-    n, v = sum(c.values()), len(c)
-    return toks, c, n, v
-
-
-def test_base_score_and_counts(spark):
-    df = spark.createDataFrame([(a, b, 1.0) for a, b in TEXTS], "doc_id long, text string, score double")
-    use = F.coalesce(F.col("doc_id") < 6, F.lit(False))
-    toks, c, n, v = plain(TEXTS, [0, 1, 2, 3, 4, 5])
-    got = sorted(score(df, use).collect(), key=lambda r: (r.n_tokens, str(r.doc_id), r.base_score))
-    want = sorted(((TEXTS[i][0], len(t), sum(c[w] > 0 for w in t),
-                    sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, t in toks.items()),
-                  key=lambda r: (r[1], str(r[0]), r[3]))
-    assert [(r.doc_id, r.n_tokens, r.n_known) for r in got] == [w[:3] for w in want]
-    assert [r.base_score for r in got] == pytest.approx([w[3] for w in want])
-    assert {r.train_tokens for r in got} == {n}
-    assert got[0].score < 0
-
-
-def test_each_state_sums_to_one(spark):
-    """From every state the words with arcs, the rare words and the unseen class have probability one."""
-    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    model, vocab = train(df)
-    counts = {bytes(r.word): r.c for r in vocab.collect()}
-    own = model.ready()
-    assert len(own.back_l) > 4 and own.triples.size
-    rare = [k for w, k in counts.items() if w not in own.id_of]
-    rest = 10 ** own.unseen() + sum((k - own.discount) / own.total for k in rare)
-
-    def p(state, w):
-        lp = 0.0
-        while state and (arc := own.arcs.get(state * own.m + w)) is None:
-            lp, state = lp + own.back_l[state], own.fail_l[state]
-        return 10 ** (lp + (arc[0] if state else own.roots[w][0]))
-
-    for s in range(len(own.back_l)):
-        assert sum(p(s, w) for w in range(own.m)) + 10 ** own.leave[s] * rest == pytest.approx(1.0)
-
-
-def test_walk_equals_recursive_backoff(spark):
-    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    model, _ = train(df)
-    own = model.ready()
-    toks = [[own.id_of.get(w, -1) for w in words_of((t or "").encode())] + [own.end] for _, t in TEXTS]
-    pair = dict(zip(own.pairs.tolist(), own.pair_counts.tolist()))
-    triple = {(own.pairs[k // own.m] // own.m, own.pairs[k // own.m] % own.m, k % own.m): c
-              for k, c in zip(own.triples.tolist(), own.triple_counts.tolist())}
-
-    def prob(h, w):
-        if len(h) == 2:
-            follow = {k[2]: c for k, c in triple.items() if k[:2] == h}
-            if not follow:
-                return prob(h[1:], w)
-            size = pair[h[0] * own.m + h[1]]
-        elif len(h) == 1:
-            follow = {k % own.m: c for k, c in pair.items() if k // own.m == h[0]}
-            if not follow:
-                return prob((), w)
-            size = own.counts[h[0]]
-        else:
-            return 10 ** own.uni[w] if w >= 0 else 1.0
-        if w in follow:
-            return (follow[w] - 0.75) / size
-        free = 1 - sum((c - 0.75) / size for c in follow.values())
-        return free / (1 - sum(prob(h[1:], x) for x in follow)) * prob(h[1:], w)
-
-    for ids in toks:
-        h, want = (own.end,), 0.0
-        for w in ids:
-            want += math.log10(prob(h, w))
-            h = (*h, w)[-2:] if w >= 0 else ()
-        assert own.walk(ids) == pytest.approx(want)
+         (3, "the cat sat on a dog"), (4, None), (5, ""), (6, "the cat sat on the mat zebra"), (None, "the cat É"),
+         (6, "the cat sat on the mat zebra"), (7, "zebra zebra the"), (8, "x " * 3000 + "y")]
+END, START = "end", "start"
+
+
+class Plain:
+    """The model by definition: smoothed probabilities from dictionaries of counts, shorter contexts recursively."""
+
+    def __init__(self, texts, train):
+        self.toks = [[*words_of((t or "").encode()), END] for _, t in texts]
+        self.c, self.ctx = Counter(), Counter()
+        for toks, use in zip(self.toks, train):
+            full = [START, *toks]
+            for i in range(1, len(full)) if use else []:
+                for n in (0, 1, 2):
+                    if i - n >= 0:
+                        h = tuple(full[i - n:i])
+                        self.c[(*h, full[i])] += 1
+                        self.ctx[h] += 1
+        self.words = {k[0] for k in self.c if len(k) == 1}
+        self.n, self.v = self.ctx[()], len(self.words)
+
+    def prob(self, h, w):
+        if not h:
+            return (self.c[(w,)] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        prior = WORD_PRIOR if len(h) == 1 else PAIR_PRIOR
+        return (self.c[(*h, w)] + prior * self.prob(h[1:], w)) / (self.ctx[h] + prior)
+
+    def text(self, i):
+        full = [START, *self.toks[i]]
+        return sum(math.log10(self.prob(tuple(full[max(0, k - 2):k]), full[k])) for k in range(1, len(full)))
+
+    def base(self, i):
+        return sum(math.log10(self.prob((), w)) for w in self.toks[i])
+
+
+def compare(spark, texts, train):
+    df = spark.createDataFrame([(d, t, u, "x") for (d, t), u in zip(texts, train)], "doc_id long, text string, use boolean, score string")
+    plain = Plain(texts, train)
+    got = sorted(map(tuple, score(df, F.col("use")).collect()), key=lambda r: (str(r[0]), r[1], r[2], r[6]))
+    want = sorted(((d, bool(u), len(plain.toks[i]), sum(w in plain.words for w in plain.toks[i]), plain.n, plain.base(i), plain.text(i))
+                   for i, ((d, _), u) in enumerate(zip(texts, train))), key=lambda r: (str(r[0]), r[1], r[2], r[6]))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]])
+
+
+def test_scores_equal_recursive_smoothing(spark):
+    compare(spark, TEXTS, [bool(i and i % 3) for i in range(len(TEXTS))])
+    compare(spark, TEXTS, [True] * len(TEXTS))
+    compare(spark, TEXTS, [i == 4 for i in range(len(TEXTS))])  # an empty text only
+
+
+@pytest.mark.parametrize("tokens,parts", [(1, 1), (20, 7), (500_000, 100)])
+def test_blocks_and_parts_do_not_change_a_score(spark, monkeypatch, tokens, parts):
+    monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", parts)
+    rng = random.Random(7)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    compare(spark, texts, [i % 4 != 1 for i in range(60)])
+
+
+def test_every_state_sums_to_one():
+    """Over all words and the unseen class, from the root, a word's state and a pair's state."""
+    plain = Plain(TEXTS, [True] * len(TEXTS))
+    every = [*plain.words, "never seen"]
+    for h in [(), (START,), (b"the",), (b"the", b"cat"), (START, b"the"), (b"on", b"zebra"), ("never seen",)]:
+        assert sum(plain.prob(h, w) for w in every) == pytest.approx(1.0)
+
+
+def test_walk_takes_failure_arcs():
+    words, tokens = [b"", b"a", b"b"], np.array([1, 2, 1, 2, 2, 0], np.uint32)  # a b a b b end
+    block = Block(words, tokens, np.array([6]))
+    c1 = np.zeros(3)
+    c1[block.word] = [5, 4, 5, 4, 4, 2]
+    c2 = np.zeros(block.pair_keys.size)
+    c2[block.pair] = [2, 3, 1, 3, 0, 1]  # the pair b b does not occur
+    c3 = np.zeros(block.triples.size)
+    c3[block.triple] = [2, 2, 1, 1, 0, 0]
+    model = Automaton(block, c1, c2, c3, 11.0, 3.0, 2.0)
+    a0, a1, a2 = model.arcs
+    f1, f2 = model.fails
+    want = a1[0] + a2[1] + a2[2] + a2[3] + (f2[4] + f1[4] + a0[4]) + a1[5]
+    assert model.walk(0) == pytest.approx(want)
+
+
+def test_arrays_survive_packing():
+    for kind in (np.uint32, np.uint64):
+        for a in (np.zeros(0, kind), np.array([0, 1, 2 ** 31, 7], kind), np.arange(1000).astype(kind)):
+            assert (unpacked(packed(a), kind) == a).all()
 
 
 def test_empty_table_and_no_training_rows(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string")
     assert score(df.limit(0), F.lit(True)).count() == 0
-    rows = score(df, F.lit(False)).collect()
-    assert len(rows) == len(TEXTS) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in rows)
+    rows = score(df, F.lit(None).cast("boolean")).collect()
+    assert len(rows) == len(TEXTS) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 and not r.train_on for r in rows)
 
 
-def test_size_of_the_automaton_is_bounded():
-    share, tokens = 1e-6, 10 ** 12
-    assert tokens / max(2, math.ceil(share * tokens)) <= 1 / share
-    empty = Automaton([], np.zeros(0, np.int64), 0, 0, 0.5)
-    empty.build()
-    assert empty.ready().walk([-1, -1]) == 0
+def test_text_ids(spark):
+    df = spark.createDataFrame([(str(d), t) for d, t in TEXTS], "name string, body string")
+    assert {r.name for r in score(df, F.lit(True), "name", "body").collect()} == {str(d) for d, _ in TEXTS}
 
 
-def test_model_beats_half_counts_on_held_out_texts(spark):
+def test_query_on_the_tables(spark):
+    """Counts and base scores by definition; on held-out texts the model beats the half counts."""
     from benchlens.llm.queries import QUERIES
-    rows = QUERIES["op9_backoff_lm"](spark, "/root/testdata/sf0.01").where("held_out").agg(
-        F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert rows.s > rows.b
-
-
-def test_scores_of_the_tables_equal_the_automaton(spark):
-    """Every row, also of words that occur once or never in training."""
-    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    use = F.coalesce(F.col("doc_id") < 4, F.lit(False))
-    model, vocab = train(df.where(use))
-    own, counts = model.ready(), {bytes(r.word): r.c for r in vocab.collect()}
-    assert own.triples.size
-
-    def whole(text):
-        words = [*words_of((text or "").encode()), END]
-        ids = [own.id_of.get(w, -1) for w in words]
-        rare = [math.log10((counts[w] - own.discount) / own.total) if w in counts else own.unseen()
-                for w, i in zip(words, ids) if i < 0]
-        return own.walk(ids) + sum(rare)
-
-    got = sorted((str(r.doc_id), r.score) for r in score(df, use).collect())
-    want = sorted((str(i), whole(t)) for i, t in TEXTS)
-    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
-
-
-def test_an_ngram_keeps_its_arc_in_a_large_table(spark):
-    """Two occurrences are enough beside 2.2 million other tokens."""
-    df = spark.createDataFrame([(0, "x " * 2_200_000), (1, "p q r"), (2, "p q r")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in score(df, F.lit(True)).collect()}
-    # p after an end (3 in all), q after p, r and then the end after two words (2 each)
-    assert got[1] == got[2] == pytest.approx(math.log10(1.25 / 3) + 3 * math.log10(1.25 / 2))
+    import zlib
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    plain = Plain(rows, [zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows])
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    got = QUERIES["op9_backoff_lm"](spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = at[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
+            zlib.crc32(str(r.doc_id).encode()) % 5 == 1, len(plain.toks[i]), sum(w in plain.words for w in plain.toks[i]), plain.n)
+        assert (r.base_score, r.score) == pytest.approx((plain.base(i), plain.text(i)))
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
