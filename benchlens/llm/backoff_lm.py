@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.session import scratch_path, target_partitions
+from benchlens.session import target_partitions
 
 END = b""  # the end token; words are never empty
 WORD_PRIOR, PAIR_PRIOR = 20.0, 5.0  # counts that a shorter context's probabilities stand for in a word's or a pair's state
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 2_000_000  # tokens whose pairs are summed in one group
+PART_BYTES = 12_000_000  # of texts whose pairs are summed in one group
 
 _START, _NONE = np.uint64(0x51A7), np.uint64(0x0E0E)  # stand for what lies before a text's first word, and before that
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,7 +64,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     key = (a * _MIX ^ (a >> np.uint64(31))) + b
     key = (key ^ (key >> np.uint64(29))) * _MIX
-    return key ^ (key >> np.uint64(32))
+    return (key ^ (key >> np.uint64(32))) & ~np.uint64(255)  # 56 bits: the rest would only be shuffled
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -99,7 +99,8 @@ class Block:
 
     @classmethod
     def read(cls, row: dict) -> Block:
-        return cls(row["words"].split(b" "), unpacked(row["tokens"], np.uint32), np.array(row["sizes"], np.int64))
+        words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")
+        return cls(words, unpacked(row["tokens"], np.uint32), np.array(row["sizes"], np.int64))
 
     def questions(self, train: np.ndarray, word_parts: int, pair_parts: int) -> Iterator[tuple]:
         """(kind, part, keys, widths, firsts, counts): what is asked of each part, with the block's own training counts.
@@ -182,7 +183,8 @@ def _blocks(src: DataFrame, id_field: T.StructField) -> DataFrame:
         number: dict[bytes, int] = defaultdict(count(1).__next__)
 
         def row() -> pa.RecordBatch:
-            values = [[(task << 32) + n], [ids], [train], [sizes], [b" ".join([END, *number])], [packed(np.array(tokens, np.uint32))]]
+            words = zstandard.ZstdCompressor(3).compress(b" ".join([END, *number]))
+            values = [[(task << 32) + n], [ids], [train], [sizes], [words], [packed(np.array(tokens, np.uint32))]]
             types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=schema.names)
 
@@ -221,7 +223,7 @@ def _asked(blocks: DataFrame, word_parts: int, pair_parts: int) -> DataFrame:
                         Block.read(row).questions(np.array(row["train"], bool), word_parts, pair_parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=schema.names)
 
-    return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(work, schema)
+    return blocks.mapInArrow(work, schema)  # of all columns, so that both uses of the blocks read the same shuffle
 
 
 def _sum_words(rows: list[dict]) -> Iterator[tuple]:
@@ -287,19 +289,20 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     columns are not read; an empty table gives an empty result; without
     training rows every token falls to the unseen class of probability 1.
 
-    Words are counted exactly. Pairs are told apart by 64-bit hashes and the
-    words before a pair by 32 bits more. Blocks are written once to the shared
-    scratch folder; a text longer than a block is a block of its own.
+    Words are counted exactly. Pairs are told apart by 56-bit hashes and the
+    words before a pair by 32 bits more. Blocks follow the partitions of
+    ``docs`` and are shuffled once for both of their uses; should their rows
+    not come back in the same order after a loss, the run fails, as a block and
+    its answers then do not fit. A text longer than a block is a block of its
+    own.
     """
     spark = docs.sparkSession
-    path = scratch_path(spark, "blocks")
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"),
                       F.coalesce(train_on, F.lit(False)).alias("_train"))
-    _blocks(src, docs.schema[id_col]).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(target_partitions(spark), -(-tokens // PART_TOKENS))
-    answers = _asked(blocks, max(1, parts // 4), parts).groupBy("kind", "part").applyInArrow(_answer, _ANSWER)
+    size = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(target_partitions(spark), -(-size // PART_BYTES))
+    blocks = _blocks(src, docs.schema[id_col]).repartition(parts, "block")
+    answers = _asked(blocks, max(1, parts // 2), parts).groupBy("kind", "part").applyInArrow(_answer, _ANSWER)
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL(
         "train_on boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 

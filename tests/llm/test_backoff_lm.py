@@ -65,7 +65,7 @@ def test_scores_equal_recursive_smoothing(spark):
 @pytest.mark.parametrize("tokens,parts", [(1, 1), (20, 7), (500_000, 100)])
 def test_blocks_and_parts_do_not_change_a_score(spark, monkeypatch, tokens, parts):
     monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", tokens)
-    monkeypatch.setattr(backoff_lm, "PART_TOKENS", parts)
+    monkeypatch.setattr(backoff_lm, "PART_BYTES", parts)
     rng = random.Random(7)
     texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(60)]
     compare(spark, texts, [i % 4 != 1 for i in range(60)])
@@ -108,6 +108,14 @@ def test_empty_table_and_no_training_rows(spark):
     assert len(rows) == len(TEXTS) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 and not r.train_on for r in rows)
 
 
+def test_blocks_are_shuffled_once(spark):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    out = score(df, F.lit(True))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 2 and "ReusedExchange" in plan
+
+
 def test_text_ids(spark):
     df = spark.createDataFrame([(str(d), t) for d, t in TEXTS], "name string, body string")
     assert {r.name for r in score(df, F.lit(True), "name", "body").collect()} == {str(d) for d, _ in TEXTS}
