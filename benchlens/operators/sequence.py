@@ -6,24 +6,113 @@ the default everywhere else.
 
 A block is first cut where no key has rows on both sides of the cut: no match
 can cross such a cut, so the longest common subsequences of the pieces add up
-exactly. A piece of one key pairs its n-th rows by a join. Only pieces in which
-keys really overlap or changed their order go to Python: LCS = longest strictly
-increasing subsequence of the second-side positions over all matching (i, j)
-pairs taken by i ascending and j descending (Hunt-Szymanski), exact with
-duplicate keys, O(r log r) for r matching pairs. A block that is shuffled
-throughout has no cut and is one piece, which must fit a task.
+exactly. A piece of one key pairs its n-th rows by a join. The other pieces are
+cut into strips of ``STRIP`` rows on either side. Where that gives more than one
+strip, the table of common-subsequence lengths is swept strip by strip, from
+both ends: a tile (a strip of each side) needs only the length differences along
+two of its edges and passes on those along the other two, so the tiles of a
+diagonal run side by side, and no task holds more than two strips. The lengths
+from both ends give the row of the second side at which a best path leaves each
+first-side strip (the leftmost; these are all on one path), so every strip is
+then a problem of its own.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchlens.operators.compare import BOTH, FIRST, SECOND
 from benchlens.operators.ordered import materialize, range_buckets, running
+from benchlens.session import scratch_path
+
+STRIP = 65_536  # rows of a strip
+_MOST_PAIRS = 50  # equal rows of both sides per row, beyond which lengths are swept instead
+
+
+def sweep(first: list, second: list, flat: int, steps: np.ndarray) -> tuple[int, np.ndarray]:
+    """Carry the lengths of common subsequences over the rows of ``first``.
+
+    Bit j of ``flat`` is 0 where the length grows from row j to j + 1 of
+    ``second`` (along the edge before ``first``); ``steps`` is 1 for rows of
+    ``first`` over which it grows along the edge before ``second``. Returns
+    both for the opposite edges. All rows of ``second`` are handled at once, as
+    the bits of one number.
+    """
+    width = len(second)
+    full = (1 << width) - 1
+    where: dict = {}
+    for j, k in enumerate(second):
+        where.setdefault(k, []).append(j)
+    masks: dict = {}
+
+    def mask(k: object) -> int:
+        if k in masks:
+            return masks[k]
+        at = where.get(k)
+        if at is None:
+            return 0
+        bits = bytearray(-(-width // 8))
+        for j in at:
+            bits[j >> 3] |= 1 << (j & 7)
+        got = int.from_bytes(bits, "little")
+        if len(at) > 64:  # few keys have so many rows, so few masks are kept
+            masks[k] = got
+        return got
+
+    out = np.zeros(len(first), np.uint8)
+    for i, (k, step) in enumerate(zip(first, steps.tolist())):
+        m = mask(k)
+        if m or step:
+            hit = flat & m
+            total = flat + hit + step
+            out[i] = total >> width
+            flat = (total & full) | (flat ^ hit)
+    return flat, out
+
+
+def _growth(flat: int, width: int) -> np.ndarray:
+    """1 where the length grows, by row of the second side."""
+    bits = np.frombuffer(flat.to_bytes(-(-width // 8), "little"), np.uint8)
+    return 1 - np.unpackbits(bits, count=width, bitorder="little")
+
+
+def _lengths(growth: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(growth, dtype=np.int64)])
+
+
+def crossing(ahead: np.ndarray, behind: np.ndarray) -> int:
+    """How many rows of the second side lie before the leftmost best path at an edge.
+
+    ``ahead``: where lengths of the rows above the edge grow; ``behind``: those
+    of the rows below it, from the other end.
+    """
+    return int(np.argmax(_lengths(ahead) + _lengths(behind)[::-1]))
+
+
+def lcs_matches(ka: list, kb: list) -> list[tuple[int, int]]:
+    """Index pairs of one longest common subsequence.
+
+    Where equal rows are few their pairs are searched (``lcs_pairs``); where
+    keys repeat a lot, the first side is halved at the crossing of a best path.
+    """
+    na, nb = Counter(ka), Counter(kb)
+    pairs = sum(n * nb[k] for k, n in na.items())
+    if pairs <= _MOST_PAIRS * (len(ka) + len(kb)) or len(ka) < 2:
+        return lcs_pairs(ka, kb)
+    mid, zero = len(ka) // 2, np.zeros(len(ka), np.uint8)
+    full = (1 << len(kb)) - 1
+    ahead = _growth(sweep(ka[:mid], kb, full, zero[:mid])[0], len(kb))
+    behind = _growth(sweep(ka[mid:][::-1], kb[::-1], full, zero[mid:])[0], len(kb))
+    at = crossing(ahead, behind)
+    return lcs_matches(ka[:mid], kb[:at]) + [(i + mid, j + at) for i, j in lcs_matches(ka[mid:], kb[at:])]
 
 
 def lcs_pairs(ka: list, kb: list) -> list[tuple[int, int]]:
@@ -99,18 +188,122 @@ def pieces(a: DataFrame, b: DataFrame) -> DataFrame:
     return numbered.join(sizes, ["block", "piece"])
 
 
-def _lcs_of_piece(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """(block, pos1, pos2) of one longest common subsequence of a piece."""
+_PIECE = ["block", "piece"]
+
+
+def _strips(rows: DataFrame, size: int) -> DataFrame:
+    """(block, piece, strip, n, keys): the keys of ``rows`` (block, piece, program, i from 0) in strips of ``size`` rows."""
+    at = rows.withColumn("strip", F.floor(F.col("i") / size).cast("int"))
+    own = at.groupBy(*_PIECE, "strip").agg(F.sort_array(F.collect_list(F.struct("i", "program"))).alias("_r"), F.first("_total").alias("n"))
+    return own.select(*_PIECE, "strip", "n", F.col("_r.program").alias("keys"))
+
+
+def _tile(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        flats, steps = [], []
+        for r in b.to_pylist():
+            first, second = r["keys1"], r["keys2"]
+            if r["back"]:
+                first, second = first[::-1], second[::-1]
+            flat = int.from_bytes(r["flat"], "little") if r["flat"] is not None else (1 << len(second)) - 1
+            step = np.frombuffer(r["steps"], np.uint8) if r["steps"] is not None else np.zeros(len(first), np.uint8)
+            flat, step = sweep(first, second, flat, step)
+            flats.append(flat.to_bytes(-(-len(second) // 8), "little"))
+            steps.append(step.tobytes())
+        kept = [b.column(b.schema.get_field_index(c)) for c in names[:-2]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(flats, pa.binary()), pa.array(steps, pa.binary())], names=names)
+
+
+def _swept(strips1: DataFrame, strips2: DataFrame, shape: DataFrame, rounds: int) -> DataFrame:
+    """The lower edges of all tiles: (block, piece, back, p, q, n2, flat, steps), tile by tile along the diagonals.
+
+    Each diagonal is one job over all pieces and both directions and is
+    written to the shared scratch folder, from which the next one reads.
+    """
+    spark = shape.sparkSession
+    path = scratch_path(spark, "tiles")
+    schema = T.StructType([shape.schema["block"], T.StructField("piece", T.LongType()), T.StructField("back", T.BooleanType()),
+                           T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("n2", T.IntegerType()),
+                           T.StructField("flat", T.BinaryType()), T.StructField("steps", T.BinaryType())])
+    names = schema.names
+    own = [*_PIECE, "back", "p", "q"]
+    edge = spark.createDataFrame([], schema)
+    for d in range(rounds):
+        low, high = F.greatest(F.lit(0), F.lit(d + 1) - F.col("s2")), F.least(F.lit(d), F.col("s1") - 1)
+        tiles = (shape.where(low <= high).withColumn("p", F.explode(F.sequence(low, high)))
+                 .withColumn("q", F.lit(d) - F.col("p")).withColumn("back", F.explode(F.array(F.lit(False), F.lit(True)))))
+        mirrored = lambda c, n: F.when(F.col("back"), F.col(n) - 1 - F.col(c)).otherwise(F.col(c))
+        tiles = tiles.withColumns({"_p": mirrored("p", "s1"), "_q": mirrored("q", "s2")})
+        tiles = tiles.join(strips1.select(*_PIECE, F.col("strip").alias("_p"), F.col("keys").alias("keys1")), [*_PIECE, "_p"])
+        tiles = tiles.join(strips2.select(*_PIECE, F.col("strip").alias("_q"), F.col("keys").alias("keys2")), [*_PIECE, "_q"])
+        above = edge.select(*_PIECE, "back", (F.col("p") + 1).alias("p"), "q", "flat")
+        before = edge.select(*_PIECE, "back", "p", (F.col("q") + 1).alias("q"), "steps")
+        tiles = tiles.join(above, own, "left").join(before, own, "left").withColumn("n2", F.size("keys2"))
+        done = tiles.mapInArrow(lambda batches: _tile(batches, names), schema)
+        done.write.parquet(f"{path}/diagonal={d}")
+        edge = spark.read.schema(schema).parquet(f"{path}/diagonal={d}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def _cross(key: tuple, edges: pa.Table) -> pa.Table:
+    """Where the leftmost best path of a piece leaves one strip of the first side."""
+    rows = sorted(edges.to_pylist(), key=lambda r: r["q"])
+    ahead, behind = (np.concatenate([_growth(int.from_bytes(r["flat"], "little"), r["n2"]) for r in rows if r["back"] == back])
+                     for back in (False, True))
+    return pa.table({"block": edges["block"].slice(0, 1), "piece": edges["piece"].slice(0, 1),
+                     "at": pa.array([crossing(ahead, behind)], pa.int64())})
+
+
+def _lcs_of_strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """(block, pos1, pos2) of one longest common subsequence of a strip and its rows of the other side."""
     left, right = left.sort_by("pos"), right.sort_by("pos")
-    found = lcs_pairs(left["program"].to_pylist(), right["program"].to_pylist())
+    found = lcs_matches(left["program"].to_pylist(), right["program"].to_pylist())
     i, j = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
     return pa.table({"block": left["block"].take(i), "pos1": left["pos"].take(i), "pos2": right["pos"].take(j)})
 
 
+def lcs_of_pieces(first: DataFrame, second: DataFrame, strip: int = STRIP) -> DataFrame:
+    """(block, pos1, pos2): a longest common subsequence of each piece of the two sides (block, piece, program, pos).
+
+    Pieces of more than ``strip`` rows on a side are split at crossings of a
+    best path (see the module).
+    """
+    def numbered(df: DataFrame) -> DataFrame:
+        rows = running(df, _PIECE, ["pos"], index="i", total="_total").withColumn("i", F.col("i") - 1)
+        return materialize(rows.withColumn("strip", F.floor(F.col("i") / strip).cast("int")))
+
+    one, two = numbered(first), numbered(second)
+    count = lambda df, n: df.groupBy(*_PIECE).agg((F.max("strip") + 1).alias(n))
+    shape = count(one, "s1").join(count(two, "s2"), _PIECE).where("s1 > 1 or s2 > 1")
+    rounds = shape.agg(F.max(F.col("s1") + F.col("s2") - 1)).first()[0]
+    if rounds:
+        shape = materialize(shape)
+        large = lambda df: materialize(_strips(df.join(shape.select(*_PIECE), _PIECE, "left_semi"), strip))
+        tiles = _swept(large(one), large(two), shape, rounds).join(shape, _PIECE)
+        # a strip of the second side is the same whichever end it is swept from, its place is not
+        inner = tiles.where(F.col("p") < F.col("s1") - 1).withColumn(
+            "edge", F.when(F.col("back"), F.col("s1") - 1 - F.col("p")).otherwise(F.col("p") + 1))
+        schema = T.StructType([first.schema["block"], T.StructField("piece", T.LongType()), T.StructField("at", T.LongType())])
+        cuts = inner.groupBy(*_PIECE, "edge").applyInArrow(_cross, schema)
+        cuts = cuts.groupBy(*_PIECE).agg(F.sort_array(F.collect_list("at")).alias("_cuts"))
+        two = two.join(cuts, _PIECE, "left")
+        passed = F.size(F.filter("_cuts", lambda x: x <= F.col("i")))
+        two = two.withColumn("strip", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed).cast("int")).drop("_cuts")
+    else:
+        two = two.withColumn("strip", F.lit(0))
+    schema = T.StructType([first.schema["block"], T.StructField("pos1", T.LongType()), T.StructField("pos2", T.LongType())])
+    at = [*_PIECE, "strip", "program"]
+    two = two.join(one.select(*at).distinct(), at, "left_semi")  # a strip's other rows match nothing
+    own = lambda df: df.select(*at, "pos").groupBy(*_PIECE, "strip")
+    return own(one).cogroup(own(two)).applyInArrow(_lcs_of_strip, schema)
+
+
 def align_sequence(a: DataFrame, b: DataFrame, order: str, block: str = "block",
-                   key: str = "program", measure: str = "cpu", quality: str = "r2") -> DataFrame:
+                   key: str = "program", measure: str = "cpu", quality: str = "r2", strip: int = STRIP) -> DataFrame:
     """Order-sensitive alignment per block; ``order`` gives the row order on each side.
 
+    ``strip`` bounds the rows of either side that a task aligns (see the module).
+
     Output: block, program, side, cpu1, r2_1, cpu2, r2_2, ratio, pos1, pos2.
     Matches are position pairs from both branches (see the module); all values
     are joined to them in one way, so nulls and NaNs stay what they are.
@@ -121,9 +314,8 @@ def align_sequence(a: DataFrame, b: DataFrame, order: str, block: str = "block",
     one = pa_.join(single, ["block", "program"]).select("block", "program", "occ", F.col("pos").alias("pos1")).join(
         pb.select("block", "program", "occ", F.col("pos").alias("pos2")), ["block", "program", "occ"])
     mixed = cut.where("n_keys > 1").select("block", "program", "piece")
-    side = lambda df: df.select("block", "program", "pos").join(mixed, ["block", "program"]).groupBy("block", "piece")
-    schema = f"block {a.schema[block].dataType.simpleString()}, pos1 long, pos2 long"
-    many = side(pa_).cogroup(side(pb)).applyInArrow(_lcs_of_piece, schema)
+    side = lambda df: df.select("block", "program", "pos").join(mixed, ["block", "program"])
+    many = lcs_of_pieces(side(pa_), side(pb), strip)
     matched = one.select("block", "pos1", "pos2").unionByName(many)
 
     def values(df: DataFrame, i: int) -> DataFrame:

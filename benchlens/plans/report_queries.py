@@ -62,6 +62,15 @@ def cmp_align_seq(spark: SparkSession, sf: str) -> DataFrame:
     return align_sequence(a, b, order="first_ts")
 
 
+def cmp_seq_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each block that keep their order in both runs, by the alignment in strips of 100 rows."""
+    r = materialize(runs(spark, sf))
+    got = align_sequence(r.where("run = 'A'"), r.where("run = 'B'"), order="first_ts", strip=100)
+    return got.groupBy("block").agg(F.count_if(F.col("side") == C.BOTH).alias("n_both"),
+                                    F.count_if(F.col("side") == C.FIRST).alias("n_first"),
+                                    F.count_if(F.col("side") == C.SECOND).alias("n_second"))
+
+
 def _cell(text: str, width: str, left: bool = False) -> str:
     fill = f"repeat(' ', greatest({width} - length(({text})), 0)::BIGINT)"
     return f"(({text}) || {fill})" if left else f"({fill} || ({text}))"
@@ -121,6 +130,22 @@ UNION ALL SELECT 2, '', pos, {_BAND} FROM bc, w"""
 
 SQL = {
     "report_lines": REPORT_SQL,
+    # longest increasing subsequence of the second side's places: the least end of each length, row after row
+    "cmp_seq_lengths": "WITH RECURSIVE " + RUNS_SQL + """,
+pa AS (SELECT block, program, row_number() OVER (PARTITION BY block ORDER BY first_ts, program, cpu, r2) AS p FROM ra),
+pb AS (SELECT block, program, row_number() OVER (PARTITION BY block ORDER BY first_ts, program, cpu, r2) AS p FROM rb),
+m AS (SELECT pa.block, row_number() OVER (PARTITION BY pa.block ORDER BY pa.p) AS i, pb.p AS j FROM pa JOIN pb USING (block, program)),
+step(block, i, tails) AS (
+  SELECT DISTINCT block, 0::BIGINT, []::BIGINT[] FROM m
+  UNION ALL
+  SELECT s.block, s.i + 1, list_concat(list_concat(s.tails[1:len(list_filter(s.tails, lambda x: x < m.j))], [m.j]),
+                                       s.tails[len(list_filter(s.tails, lambda x: x < m.j)) + 2:])
+  FROM step s JOIN m ON m.block = s.block AND m.i = s.i + 1),
+best AS (SELECT block, max(len(tails)) AS n FROM step GROUP BY block),
+na AS (SELECT block, count(*) AS n FROM ra GROUP BY block), nb AS (SELECT block, count(*) AS n FROM rb GROUP BY block)
+SELECT block, CAST(coalesce(best.n, 0) AS BIGINT) AS n_both, CAST(coalesce(na.n, 0) - coalesce(best.n, 0) AS BIGINT) AS n_first,
+       CAST(coalesce(nb.n, 0) - coalesce(best.n, 0) AS BIGINT) AS n_second
+FROM na FULL OUTER JOIN nb USING (block) LEFT JOIN best USING (block)""",
     "template_render": """
 SELECT r_name, 'region: ' || lower(r_name) || chr(10) || 'nations:' || chr(10)
        || string_agg('  - ' || array_to_string(list_transform(string_split(lower(n_name), ' '),
@@ -137,4 +162,5 @@ QUERIES = {
     "template_render": template_render,
     "stream_tee": stream_tee,
     "cmp_align_seq": cmp_align_seq,
+    "cmp_seq_lengths": cmp_seq_lengths,
 }

@@ -37,7 +37,7 @@ def test_query_against_brute_force(spark):
 
 
 def test_recall_with_part_of_the_lists(spark):
-    emb = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    emb = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = {r.vec_id: np.array(r.embedding, float) for r in emb.collect()}
     ids, x = np.array(list(rows)), np.stack(list(rows.values()))
     got = collect(search(emb, emb.where("vec_id % 100 = 0")))

@@ -8,7 +8,7 @@ import pytest
 from benchlens.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInArrow", "pairwise_potential": "ArrowEvalPython",
+PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInArrow", "cmp_seq_lengths": "FlatMapCoGroupsInArrow", "pairwise_potential": "ArrowEvalPython",
              "energy_total": "ArrowEvalPython", "pairwise_unknown": "ArrowEvalPython"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")

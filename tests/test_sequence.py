@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from benchlens.operators.compare import align_results
-from benchlens.operators.sequence import align_sequence, lcs_pairs
+from benchlens.operators.sequence import _growth, _lengths, align_sequence, lcs_matches, lcs_of_pieces, lcs_pairs, sweep
 
 
 def _lcs_len(a, b):
@@ -104,3 +105,64 @@ def test_pieces_add_up_to_the_whole_lcs(spark):
         if r.pos1 is not None:
             c, q = values[r.block, r.pos1]
             assert (r.r2_1, r.cpu1 != r.cpu1) == (q, c != c)
+
+
+def _matches(pairs, a, b):
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    return len(pairs)
+
+
+def test_tiles_give_the_lengths_of_the_whole_table():
+    rnd = random.Random(3)
+    for _ in range(60):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(1, 30))]
+        b = [rnd.choice("abcd") for _ in range(rnd.randint(1, 30))]
+        cut = rnd.randint(1, len(b))
+        left, steps = sweep(a, b[:cut], (1 << cut) - 1, np.zeros(len(a), np.uint8))
+        right, _ = sweep(a, b[cut:], (1 << len(b) - cut) - 1, steps) if cut < len(b) else (0, None)
+        grows = np.concatenate([_growth(left, cut), _growth(right, len(b) - cut) if cut < len(b) else []])
+        assert [int(x) for x in _lengths(grows)] == [_lcs_len(a, b[:j]) for j in range(len(b) + 1)]
+
+
+def test_matches_of_repeated_keys_equal_brute_force(monkeypatch):
+    from benchlens.operators import sequence
+    rnd = random.Random(4)
+    for most in (0, 2, 50):
+        monkeypatch.setattr(sequence, "_MOST_PAIRS", most)
+        for _ in range(40):
+            a = [rnd.choice("aab") for _ in range(rnd.randint(0, 40))]
+            b = [rnd.choice("abc") for _ in range(rnd.randint(0, 40))]
+            assert _matches(lcs_matches(a, b), a, b) == _lcs_len(a, b)
+
+
+@pytest.mark.parametrize("strip", [3, 8, 1000])
+def test_strips_of_a_shuffled_block_equal_brute_force(spark, strip):
+    rnd = random.Random(strip)
+    sides, rows = {}, ([], [])
+    for t in range(7):
+        keys = [f"k{i}" for i in range(rnd.choice([3, 12, 40]))]
+        a = keys * rnd.choice([1, 1, 2])
+        b = [k for k in keys if rnd.random() < 0.9] * rnd.choice([1, 2])
+        rnd.shuffle(a)
+        rnd.shuffle(b)
+        a, b = (a, b) if t else (a, b[:2])  # one side much shorter
+        sides[f"t{t}"] = a, b
+        for out, ks in zip(rows, (a, b)):
+            out += [(f"t{t}", 0, k, 10 * i) for i, k in enumerate(ks)]
+    s = "block string, piece long, program string, pos long"
+    got = lcs_of_pieces(spark.createDataFrame(rows[0], s), spark.createDataFrame(rows[1], s), strip).collect()
+    for t, (a, b) in sides.items():
+        pairs = sorted((r.pos1 // 10, r.pos2 // 10) for r in got if r.block == t)
+        assert _matches(pairs, a, b) == _lcs_len(a, b), t
+
+
+def test_alignment_in_strips_equals_the_one_of_one_strip(spark):
+    rnd = random.Random(6)
+    order = list(range(120))
+    rnd.shuffle(order)
+    s = "block string, program string, o long, cpu double, r2 double"
+    a = spark.createDataFrame([("b", f"k{i}", i, 1.0, 1.0) for i in range(120)], s)
+    b = spark.createDataFrame([("b", f"k{k}", i, 2.0, 1.0) for i, k in enumerate(order)], s)
+    n = {strip: align_sequence(a, b, "o", strip=strip).where("side = 'both'").count() for strip in (30, 1000)}
+    assert n[30] == n[1000] == len(lcs_pairs(list(range(120)), order))
