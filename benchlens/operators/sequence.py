@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from benchlens.operators.compare import BOTH, FIRST, SECOND
 from benchlens.operators.ordered import materialize, range_buckets, running
-from benchlens.session import scratch_path
+from benchlens.session import scratch_path, target_partitions
 
 STRIP = 65_536  # rows of a strip
 _MOST_PAIRS = 50  # equal rows of both sides per row, beyond which lengths are swept instead
@@ -239,6 +239,7 @@ def _swept(strips1: DataFrame, strips2: DataFrame, shape: DataFrame, rounds: int
         above = edge.select(*_PIECE, "back", (F.col("p") + 1).alias("p"), "q", "flat")
         before = edge.select(*_PIECE, "back", "p", (F.col("q") + 1).alias("q"), "steps")
         tiles = tiles.join(above, own, "left").join(before, own, "left").withColumn("n2", F.size("keys2"))
+        tiles = tiles.repartition(target_partitions(spark), *own)  # few bytes, but much work: not to be coalesced
         done = tiles.mapInArrow(lambda batches: _tile(batches, names), schema)
         done.write.parquet(f"{path}/diagonal={d}")
         edge = spark.read.schema(schema).parquet(f"{path}/diagonal={d}")
@@ -295,6 +296,7 @@ def lcs_of_pieces(first: DataFrame, second: DataFrame, strip: int = STRIP) -> Da
     at = [*_PIECE, "strip", "program"]
     two = two.join(one.select(*at).distinct(), at, "left_semi")  # a strip's other rows match nothing
     own = lambda df: df.select(*at, "pos").groupBy(*_PIECE, "strip")
+    two = two.select(*[F.col(c).alias(c) for c in two.columns])  # the sides may come from one table
     return own(one).cogroup(own(two)).applyInArrow(_lcs_of_strip, schema)
 
 
