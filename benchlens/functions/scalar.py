@@ -111,15 +111,18 @@ def round_half_even(x: Column | str, places: int) -> Column:
 
 # Characters whose upper-case form is several characters (a rule, not a list): they stay as they are.
 _GROWING = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1)
+_STAND_IN = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
 
 
 def upper_chars(text: Column | str) -> Column:
     """Upper case character by character, so the length never changes.
 
-    A text with a character that would grow is cut at such characters; a part
-    that would grow stays as it is.
+    Characters that would grow are set aside as private-use characters; a text
+    that holds such characters itself is cut at the growing ones instead.
     """
     t = _c(text)
+    apart = F.translate(F.upper(F.translate(t, _GROWING, _STAND_IN)), _STAND_IN, _GROWING)
     cut = F.regexp_extract_all(t, F.lit(f"[{_GROWING}]|[^{_GROWING}]+"), F.lit(0))
     kept = F.transform(cut, lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(x))
-    return F.when(t.rlike(f"[{_GROWING}]"), F.array_join(kept, "")).otherwise(F.upper(t))
+    return (F.when(F.octet_length(t) == F.length(t), F.upper(t))  # ASCII
+            .when(t.rlike(f"[{_STAND_IN[0]}-{_STAND_IN[-1]}]"), F.array_join(kept, "")).otherwise(apart))

@@ -1,25 +1,30 @@
 """k-mer frequencies over text or chunked long sequences.
 
-Counting is explode-of-positions -> partial hash aggregate -> shuffle on the
-k-mer -> final aggregate, so the shuffle carries at most one row per
-(group, k-mer) per task. Long sequences stored as numbered chunks of any
+Counting adds up each task's k-mers in Arrow batches -> shuffle on the k-mer ->
+final aggregate, so the shuffle carries few rows per (group, k-mer) and task. Long sequences stored as numbered chunks of any
 lengths are dealt anew into blocks with k-1 following characters, so no
 sequence has to fit one row or one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchlens.functions.scalar import upper_chars
 from benchlens.operators.joins import group_join
+from benchlens.operators.matching import count_patterns
 from benchlens.operators.ordered import materialize, running, top_n_per_group
 
 
-PIECE = 4096  # characters of a text that are expanded into k-mers at once
+PIECE = 65_536  # characters of a text that are expanded into k-mers at once
+_MOST_COUNTS = 500_000  # different k-mers that a task holds before it passes their counts on
 
 
 def sequence_text(c: Column | str) -> Column:
@@ -28,6 +33,28 @@ def sequence_text(c: Column | str) -> Column:
     return upper_chars(F.regexp_replace(c, "[\r\n]", ""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def windows(chars: Column, k: int) -> Column:
+    """Every run of ``k`` neighbours of an array of strings, as strings: runs of half the length put together."""
+    if k == 1:
+        return chars
+    half = k // 2
+
+    def double(w: Column) -> Column:
+        n = F.greatest(F.size(w) - half, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, half + 1, n), lambda a, b: F.concat(a, b))
+
+    even = _let(windows(chars, half), double)
+    if k % 2 == 0:
+        return even
+    n = F.greatest(F.size(chars) - (k - 1), F.lit(0))
+    return _let(even, lambda w: F.zip_with(F.slice(w, 1, n), F.slice(chars, k, n), lambda a, b: F.concat(a, b)))
+
+
 def all_kmers(seq: Column, k: int) -> Column:
     """Array of every overlapping k-mer of ``seq``, in order, in one linear regex pass.
 
@@ -36,29 +63,80 @@ def all_kmers(seq: Column, k: int) -> Column:
     shorter than k give an empty array. (Position-wise ``substring`` would
     rescan the UTF-8 text from its start for every k-mer.)
     """
+    if k == 1:  # the characters themselves
+        return F.when(seq != "", F.split(seq, F.lit(""))).otherwise(F.array().cast("array<string>"))
     return F.regexp_extract_all(seq, F.lit("(?s)(?![\\uDC00-\\uDFFF])(?=(.{%d}))" % k), 1)
 
 
 def pieces(seq: Column, k: int, size: int = PIECE) -> Column:
     """``seq`` cut into pieces of ``size`` characters, each with the k-1 characters that follow it."""
     pattern = F.lit("(?s)(.{1,%d})(?=(.{0,%d}))" % (size, k - 1))
-    return F.zip_with(F.regexp_extract_all(seq, pattern, 1), F.regexp_extract_all(seq, pattern, 2), lambda a, b: F.concat(a, b))
+    cut = F.zip_with(F.regexp_extract_all(seq, pattern, 1), F.regexp_extract_all(seq, pattern, 2), lambda a, b: F.concat(a, b))
+    return F.when(F.length(seq) <= size, F.array(seq)).otherwise(cut)
 
 
 def kmer_counts(df: DataFrame, text: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., kmer, n): count of every k-mer of ``text`` (per row, no cross-row k-mers)."""
-    cut = df.select(*by, F.explode(pieces(F.col(text), k)).alias("_piece"))
-    km = cut.select(*by, F.explode(all_kmers(F.col("_piece"), k)).alias("kmer"))
-    return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return kmer_counts_multi(df, text, [k], by).drop("k")
+
+
+def _coded(part: str, k: int) -> tuple[list[int], list[int]]:
+    """The different k-mers of a text (k up to 3) as numbers of 21 bits a character, and their counts."""
+    points = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = points.size - k + 1
+    codes = points[:n]
+    for i in range(1, k):
+        codes = codes << np.uint64(21) | points[i:i + n]
+    found, times = np.unique(codes, return_counts=True)
+    return found.tolist(), times.tolist()
+
+
+def _decoded(code: int, k: int) -> str:
+    return "".join(chr(code >> 21 * i & 0x1FFFFF) for i in range(k - 1, -1, -1))
 
 
 def kmer_counts_multi(df: DataFrame, text: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., k, kmer, n) for several sizes, as one job (a union of per-size counts)."""
-    out = None
-    for k in ks:
-        c = kmer_counts(df, text, k, by).withColumn("k", F.lit(k))
-        out = c if out is None else out.unionByName(c)
-    return out.select(*by, "k", "kmer", "n")
+    """(by..., k, kmer, n) for several sizes, from one pass over the texts.
+
+    Every task adds up its own counts before the shuffle and passes them on
+    when they grow too many.
+    """
+    by = list(by)
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("k", T.IntegerType()), T.StructField("kmer", T.StringType()),
+                           T.StructField("n", T.LongType())])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, Counter] = {}
+        types: list[pa.DataType] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (*group, k), own in counts.items():
+                fixed = [pa.array([g] * len(own), t) for g, t in zip([*group, k], types)]
+                kmers = [_decoded(c, k) for c in own] if k <= 3 else list(own)
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(kmers, pa.string()), pa.array(list(own.values()), pa.int64())],
+                                                 names=schema.names)
+            counts.clear()
+
+        for b in batches:
+            types = [*[b.schema.field(i).type for i in range(len(by))], pa.int32()]
+            groups = list(zip(*[b.column(i).to_pylist() for i in range(len(by))])) if by else [()] * b.num_rows
+            for group, value in zip(groups, b.column(len(by))):
+                seq = value.as_py() or ""
+                for k in ks:
+                    own = counts.setdefault((*group, k), Counter())
+                    for at in range(0, len(seq) - k + 1, PIECE):
+                        part = seq[at:at + PIECE + k - 1]
+                        if k <= 3:
+                            for code, n in zip(*_coded(part, k)):
+                                own[code] += n
+                        else:
+                            own.update(map("".join, zip(*[part[i:] for i in range(k)])))
+            if sum(map(len, counts.values())) > _MOST_COUNTS:
+                yield from rows()
+        yield from rows()
+
+    got = df.select(*by, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
+    return got.groupBy(*by, "k", "kmer").agg(F.sum("n").alias("n"))
 
 
 def with_share(counts: DataFrame, by: Sequence[str] = (), n: str = "n", out: str = "pct") -> DataFrame:
@@ -85,32 +163,56 @@ def top_kmers(freq: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return top_n_per_group(freq, by, [F.col("n").desc(), F.col("kmer").asc()], n)
 
 
+def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The counts of ``kmer_counts`` for large ``k``: (by..., kmer, n), with runs of the text in the shuffle.
+
+    The minimizer of a k-mer is its m-mer with the least hash (``m``: about
+    half of ``k``). Neighbouring k-mers mostly share it, so a text falls into
+    runs of them; a run of r k-mers is shuffled as r + k - 1 characters instead
+    of r * k, by its minimizer's hash, and cut into its k-mers there. Equal
+    k-mers have equal minimizers, so they meet without another shuffle. Equal
+    runs are added up before the shuffle.
+    """
+    by = list(by)
+    m = m or max(1, (k + 1) // 2)
+    cut = df.select(*by, F.explode(pieces(F.col(text), k)).alias("_piece")).where(F.length("_piece") >= k)
+    cut = cut.withColumn("_chars", F.split("_piece", F.lit("")))
+    cut = cut.withColumn("_hash", F.transform(windows(F.col("_chars"), m), lambda x: F.xxhash64(x)))
+    least = F.col("_hash")
+    spread = 1  # least hash over ``spread`` neighbouring m-mers, by doubling
+    while spread < k - m + 1:
+        step = min(spread, k - m + 1 - spread)
+        least = _let(least, lambda w, step=step: F.zip_with(
+            F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda a, b: F.least(a, b)))
+        spread += step
+    cut = cut.withColumn("_least", least)  # one for each k-mer
+    starts = F.filter(F.sequence(F.lit(0), F.size("_least") - 1),
+                      lambda i: (i == 0) | (F.get("_least", i) != F.get("_least", i - 1)))
+    cut = cut.withColumn("_at", starts)
+    runs = F.transform("_at", lambda i, x: F.struct(
+        F.get("_least", i).alias("bucket"),
+        F.array_join(F.slice("_chars", i + 1, F.coalesce(F.get("_at", x + 1), F.size("_least")) - i + (k - 1)), "").alias("run")))
+    found = cut.select(*by, F.inline(runs)).groupBy(*by, "bucket", "run").agg(F.count(F.lit(1)).alias("c"))
+    dealt = found.repartition(*by, "bucket")
+    each = dealt.select(*by, "bucket", "c", F.explode(all_kmers(F.col("run"), k)).alias("kmer"))
+    return each.groupBy(*by, "bucket", "kmer").agg(F.sum("c").alias("n")).drop("bucket")
+
+
 def probe_counts(df: DataFrame, text: str, probes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., probe, n): overlapping occurrences of each probe, zero when absent.
 
-    Probes none of which begins with another are found by one zero-width
-    alternation in one pass over the text (nested ones take one pass a level);
-    the counts are joined to the probe list, so every group (the one group of
-    an empty input too) has every probe.
+    All probes are found in one pass over the text, whether they contain each
+    other or not; the counts are joined to the probe list, so every group (the
+    one group of an empty input too) has every probe.
     """
     spark = df.sparkSession
-    levels: list[list[str]] = []
-    for p in sorted(set(probes)):
-        free = next((level for level in levels if not any(p.startswith(q) or q.startswith(p) for q in level)), None)
-        levels.append([p]) if free is None else free.append(p)
-    found = [F.regexp_extract_all(F.col(text), F.lit("(?=(" + "|".join(map(_quote, level)) + "))"), 1) for level in levels]
-    hits = df.select(*by, F.explode(F.concat(*found)).alias("probe")).groupBy(*by, "probe").agg(F.count(F.lit(1)).alias("n"))
+    hits = count_patterns(df, text, probes, by).withColumnRenamed("pattern", "probe")
     wanted = spark.createDataFrame([(p,) for p in dict.fromkeys(probes)], "probe string")
     if by:
         each = F.explode(F.array(*[F.lit(p) for p in dict.fromkeys(probes)])).alias("probe")
         wanted = df.select(*by).distinct().select(*by, each)
-        same = [hits[c].eqNullSafe(wanted[c]) for c in by] + [hits["probe"] == wanted["probe"]]
-        return wanted.join(hits, same, "left").select(*[wanted[c] for c in by], wanted["probe"], F.coalesce(hits["n"], F.lit(0)).alias("n"))
-    return wanted.join(hits, "probe", "left").select("probe", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
+    got = group_join(wanted, hits, [*by, "probe"], "left")
+    return got.select(*by, "probe", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def chunks_of(text: Column, size: int) -> Column:
@@ -166,10 +268,8 @@ def rechunk(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str]
 def kmer_counts_chunked(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str] = (),
                         pos: str = "chunk_pos", chunk: str = "chunk") -> DataFrame:
     """Same counts as ``kmer_counts`` on the joined text, from its chunks, whatever their lengths."""
-    h = rechunk(chunks, seq_id, k, by, pos, chunk)
     # a block's text holds exactly the k-mers that start inside the block
-    km = h.select(*by, F.explode(all_kmers(F.col("text"), k)).alias("kmer"))
-    return km.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return kmer_counts(rechunk(chunks, seq_id, k, by, pos, chunk), "text", k, by)
 
 
 def freq_lines(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from benchlens.functions.scalar import duration_seconds, duration_text, error_cmd, error_code
 from benchlens.operators.joins import group_join
+from benchlens.operators.matching import count_patterns
 from benchlens.operators.ordered import running, top_n_per_group
 
 
@@ -17,14 +18,12 @@ def token_usage(lines: DataFrame, text: str, tokens: Sequence[str], by: Sequence
     """Occurrences of each token as a whole word (maximal letter run), per group.
 
     Output (by..., token, n, total): ``total`` is the group's mentions of all
-    ``tokens``. Null group keys are a group. ``token_remainder`` gives what a
+    ``tokens``, which may be a long list: one pass finds them all. Null group keys are a group. ``token_remainder`` gives what a
     classification of the lines leaves unexplained.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
-    alt = "|".join(_quote(x) for x in tokens)
-    pat = r"(?<!\p{L})(" + alt + r")(?!\p{L})"
-    hits = lines.select(*by, F.explode(F.regexp_extract_all(t, F.lit(pat), 1)).alias("token"))
-    counts = hits.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
+    found = count_patterns(lines.select(*by, t.alias("_line")), "_line", tokens, by, whole_words=True)
+    counts = found.withColumnRenamed("pattern", "token")
     return _with_total(counts, by, "total")
 
 

@@ -12,6 +12,7 @@ from benchlens.plans.fixtures import table
 
 # Probe list (three present words, one absent 12-mer, one absent 18-mer).
 PROBES = ["THE", "ANDT", "INGTHE", "QZXJKQZXJKQZ", "ZQXJWKZQXJWKZQXJWK"]
+LONG_K = 18
 CHUNK = 60  # characters of a chunk; shorter ones below
 
 
@@ -76,6 +77,12 @@ def ols_fit_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(S.ols_fit(gaps, ["flag"], ["price", "tax"], "x"), "flag")
 
 
+def kmer_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """How many different 18-mers of the documents occur once, twice and so on, counted by minimizers."""
+    c = K.minimized_counts(_sequences(spark, sf), "seq", LONG_K)
+    return c.groupBy("n").agg(F.count(F.lit(1)).alias("kmers"))
+
+
 def kmer_freq_unknown(spark: SparkSession, sf: str) -> DataFrame:
     """Character shares by language, where one language counts as unknown (null)."""
     d = _sequences(spark, sf).withColumn("lang", F.nullif("lang", F.lit("de")))
@@ -140,6 +147,7 @@ SELECT flag, round(regr_slope(price, x), 6) + 0.0 AS price_slope, round(regr_int
        round(regr_slope(tax, x), 6) + 0.0 AS tax_slope, round(regr_intercept(tax, x), 6) + 0.0 AS tax_intercept,
        round(regr_r2(tax, x), 6) + 0.0 AS tax_r2, CAST(regr_count(tax, x) AS BIGINT) AS tax_n, CAST(count(*) AS BIGINT) AS n
 FROM g GROUP BY flag""",
+    "kmer_spectrum": f"WITH {_SEQ}, c AS ({_counts_sql(18, '')}) SELECT n, CAST(count(*) AS BIGINT) AS kmers FROM c GROUP BY n",
     "kmer_freq_unknown": f"""WITH {_SEQ}, c AS (SELECT nullif(lang, 'de') AS lang, kmer, CAST(sum(n) AS BIGINT) AS n FROM ({_counts_sql(1, 'lang')})
            GROUP BY 1, 2)
 SELECT lang, kmer, n, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS pct FROM c""",
@@ -154,4 +162,5 @@ QUERIES = {
     "ols_fit": ols_fit,
     "ols_fit_gaps": ols_fit_gaps,
     "kmer_freq_unknown": kmer_freq_unknown,
+    "kmer_spectrum": kmer_spectrum,
 }

@@ -86,3 +86,66 @@ def test_top_kmers_order(spark):
     df = spark.createDataFrame([("ABABABCC",)], "s string")
     top = K.top_kmers(K.kmer_freq(df, "s", 1), 2).orderBy("rank").collect()
     assert [(r.kmer, r.n) for r in top] == [("A", 3), ("B", 3)]
+
+
+def test_minimized_counts_equal_the_plain_ones(spark):
+    import random
+    from collections import Counter
+
+    from benchlens.operators.kmer import kmer_counts, minimized_counts
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ACGTé\U00010437") for _ in range(rnd.randint(0, 120))) for _ in range(30)] + ["A" * 300, "", None, "AC" * 90] * 2
+    df = spark.createDataFrame([(i % 2 if i % 5 else None, t) for i, t in enumerate(texts)], "g int, t string")
+    for k in (1, 2, 3, 7, 18):
+        want = Counter((g, t[i:i + k]) for g, t in ((r.g, r.t) for r in df.collect()) for i in range(len(t or "") - k + 1))
+        for count in (kmer_counts, minimized_counts):
+            got = {(r.g, r.kmer): r.n for r in count(df, "t", k, by=["g"]).collect()}
+            assert got == want, (k, count)
+
+
+def test_minimizers_shuffle_runs_of_text(spark):
+    """Fewer and shorter rows than one for each k-mer, and one shuffle for the last count."""
+    from benchlens.operators.kmer import minimized_counts
+
+    out = minimized_counts(spark.createDataFrame([("ACGT",)], "t string"), "t", 18)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3
+
+
+def test_pieces_of_a_long_text(spark, monkeypatch):
+    from collections import Counter
+
+    from benchlens.operators import kmer as K
+
+    text = "abcabd" * 50
+    df = spark.createDataFrame([(text,)], "t string")
+    monkeypatch.setattr(K, "PIECE", 16)
+    for k in (1, 3, 5):
+        got = {(r.k, r.kmer): r.n for r in K.kmer_counts_multi(df, "t", [k, 2]).collect()}
+        assert got == Counter((s, text[i:i + s]) for s in {k, 2} for i in range(len(text) - s + 1))
+
+
+def test_long_probe_lists_in_one_pass(spark):
+    import random
+
+    from benchlens.operators.kmer import probe_counts
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abc") for _ in range(200)) for _ in range(20)]
+    probes = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(50_000)})
+    df = spark.createDataFrame([(t, i % 3 or None) for i, t in enumerate(texts)], "t string, g int")
+    got = {r.probe: r.n for r in probe_counts(df, "t", probes).collect()}
+    assert set(got) == set(probes)
+    for p in rnd.sample(probes, 300):  # overlapping and nested occurrences too
+        assert got[p] == sum(t.startswith(p, i) for t in texts for i in range(len(t)))
+    by = {(r.g, r.probe): r.n for r in probe_counts(df, "t", ["ab", "abca", "zz"], by=["g"]).collect()}
+    assert by[None, "ab"] == sum(t.count("ab") for i, t in enumerate(texts) if i % 3 == 0) and by[1, "zz"] == 0 and len(by) == 9
+
+
+def test_whole_words_of_long_lists(spark):
+    from benchlens.operators.matching import count_patterns
+
+    df = spark.createDataFrame([("the other théthe the, the",), (None,), ("on-the-go",)], "t string")
+    assert {r.pattern: r.n for r in count_patterns(df, "t", ["the", "other", "he"], whole_words=True).collect()} == {"the": 4, "other": 1}
+    assert count_patterns(df, "t", []).count() == 0

@@ -9,7 +9,9 @@ from benchlens.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
 PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInArrow", "cmp_seq_lengths": "FlatMapCoGroupsInArrow", "pairwise_potential": "ArrowEvalPython",
-             "energy_total": "ArrowEvalPython", "pairwise_unknown": "ArrowEvalPython"}
+             "energy_total": "ArrowEvalPython", "pairwise_unknown": "ArrowEvalPython",
+             **dict.fromkeys(["kmer_freq", "kmer_freq_unknown", "kmer_topk", "kmer_halo", "kmer_report", "kmer_specific",
+                              "token_usage", "token_usage_unknown"], "MapInArrow")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
@@ -23,7 +25,7 @@ def test_plan_has_no_cartesian_and_python_only_where_intended(spark, name):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan  # no row-at-a-time Python UDFs anywhere
-    py = re.findall(r"(ArrowEvalPython|FlatMapCoGroupsInArrow|FlatMapCoGroupsInPandas|FlatMapGroupsInPandas|MapInPandas)", plan)
+    py = re.findall(r"(ArrowEvalPython|FlatMapCoGroupsInArrow|FlatMapCoGroupsInPandas|FlatMapGroupsInPandas|MapInPandas|MapInArrow)", plan)
     if name in PYTHON_OK:
         assert PYTHON_OK[name] in py
     else:
