@@ -9,7 +9,7 @@ sequence has to fit one row or one task.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +33,6 @@ def sequence_text(c: Column | str) -> Column:
     return upper_chars(F.regexp_replace(c, "[\r\n]", ""))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def windows(chars: Column, k: int) -> Column:
-    """Every run of ``k`` neighbours of an array of strings, as strings: runs of half the length put together."""
-    if k == 1:
-        return chars
-    half = k // 2
-
-    def double(w: Column) -> Column:
-        n = F.greatest(F.size(w) - half, F.lit(0))
-        return F.zip_with(F.slice(w, 1, n), F.slice(w, half + 1, n), lambda a, b: F.concat(a, b))
-
-    even = _let(windows(chars, half), double)
-    if k % 2 == 0:
-        return even
-    n = F.greatest(F.size(chars) - (k - 1), F.lit(0))
-    return _let(even, lambda w: F.zip_with(F.slice(w, 1, n), F.slice(chars, k, n), lambda a, b: F.concat(a, b)))
-
-
 def all_kmers(seq: Column, k: int) -> Column:
     """Array of every overlapping k-mer of ``seq``, in order, in one linear regex pass.
 
@@ -163,6 +141,27 @@ def top_kmers(freq: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return top_n_per_group(freq, by, [F.col("n").desc(), F.col("kmer").asc()], n)
 
 
+def minimizer_runs(seq: str, k: int, m: int) -> list[tuple[int, str]]:
+    """(minimizer's hash, characters) of each run of neighbouring k-mers that share their minimizer."""
+    points = np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if points.size < k:
+        return []
+    n = points.size - m + 1
+    least = np.zeros(n, np.uint64)
+    for i in range(m):
+        least = least * np.uint64(0x9E3779B97F4A7C15) + points[i:i + n] + np.uint64(1)
+    least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    least ^= least >> np.uint64(32)
+    wide = 1  # least hash over ``wide`` neighbouring m-mers, by doubling
+    while wide < k - m + 1:
+        step = min(wide, k - m + 1 - wide)
+        least = np.minimum(least[:-step], least[step:])
+        wide += step
+    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    ends = [*starts[1:].tolist(), least.size]
+    return [(b, seq[s:e + k - 1]) for b, s, e in zip(least[starts].view(np.int64).tolist(), starts.tolist(), ends)]
+
+
 def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The counts of ``kmer_counts`` for large ``k``: (by..., kmer, n), with runs of the text in the shuffle.
 
@@ -171,30 +170,38 @@ def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by:
     runs of them; a run of r k-mers is shuffled as r + k - 1 characters instead
     of r * k, by its minimizer's hash, and cut into its k-mers there. Equal
     k-mers have equal minimizers, so they meet without another shuffle. Equal
-    runs are added up before the shuffle.
+    runs are added up in a task before the shuffle.
     """
     by = list(by)
     m = m or max(1, (k + 1) // 2)
-    cut = df.select(*by, F.explode(pieces(F.col(text), k)).alias("_piece")).where(F.length("_piece") >= k)
-    cut = cut.withColumn("_chars", F.split("_piece", F.lit("")))
-    cut = cut.withColumn("_hash", F.transform(windows(F.col("_chars"), m), lambda x: F.xxhash64(x)))
-    least = F.col("_hash")
-    spread = 1  # least hash over ``spread`` neighbouring m-mers, by doubling
-    while spread < k - m + 1:
-        step = min(spread, k - m + 1 - spread)
-        least = _let(least, lambda w, step=step: F.zip_with(
-            F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda a, b: F.least(a, b)))
-        spread += step
-    cut = cut.withColumn("_least", least)  # one for each k-mer
-    starts = F.filter(F.sequence(F.lit(0), F.size("_least") - 1),
-                      lambda i: (i == 0) | (F.get("_least", i) != F.get("_least", i - 1)))
-    cut = cut.withColumn("_at", starts)
-    runs = F.transform("_at", lambda i, x: F.struct(
-        F.get("_least", i).alias("bucket"),
-        F.array_join(F.slice("_chars", i + 1, F.coalesce(F.get("_at", x + 1), F.size("_least")) - i + (k - 1)), "").alias("run")))
-    found = cut.select(*by, F.inline(runs)).groupBy(*by, "bucket", "run").agg(F.count(F.lit(1)).alias("c"))
-    dealt = found.repartition(*by, "bucket")
-    each = dealt.select(*by, "bucket", "c", F.explode(all_kmers(F.col("run"), k)).alias("kmer"))
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("bucket", T.LongType()), T.StructField("run", T.StringType()),
+                           T.StructField("c", T.LongType())])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        types: list[pa.DataType] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*counts)) or [()] * len(types)
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            out = pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], names=schema.names)
+            counts.clear()
+            return out
+
+        for b in batches:
+            types = [*[b.schema.field(i).type for i in range(len(by))], pa.int64(), pa.string()]
+            groups = list(zip(*[b.column(i).to_pylist() for i in range(len(by))])) if by else [()] * b.num_rows
+            for group, value in zip(groups, b.column(len(by))):
+                seq = value.as_py() or ""
+                for at in range(0, len(seq) - k + 1, PIECE):
+                    counts.update([(*group, *r) for r in minimizer_runs(seq[at:at + PIECE + k - 1], k, m)])
+                    if len(counts) > _MOST_COUNTS:
+                        yield rows()
+        if counts:
+            yield rows()
+
+    found = df.select(*by, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
+    each = found.repartition(*by, "bucket").select(*by, "bucket", "c", F.explode(all_kmers(F.col("run"), k)).alias("kmer"))
     return each.groupBy(*by, "bucket", "kmer").agg(F.sum("c").alias("n")).drop("bucket")
 
 

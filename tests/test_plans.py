@@ -10,7 +10,7 @@ from benchlens.plans.registry import all_queries
 SF = "/root/testdata/sf0.001"
 PYTHON_OK = {"cmp_align_seq": "FlatMapCoGroupsInArrow", "cmp_seq_lengths": "FlatMapCoGroupsInArrow", "pairwise_potential": "ArrowEvalPython",
              "energy_total": "ArrowEvalPython", "pairwise_unknown": "ArrowEvalPython",
-             **dict.fromkeys(["kmer_freq", "kmer_freq_unknown", "kmer_topk", "kmer_halo", "kmer_report", "kmer_specific",
+             **dict.fromkeys(["kmer_freq", "kmer_freq_unknown", "kmer_topk", "kmer_halo", "kmer_report", "kmer_specific", "kmer_spectrum",
                               "token_usage", "token_usage_unknown"], "MapInArrow")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
