@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.operators.ordered import global_index, running
+from benchlens.sinks.writers import commit_new, file_system
 
 # The pin-list grammar pieces that are read.
 PIN_COMMENT = "--"
@@ -79,17 +80,21 @@ def slice_corpus(df: DataFrame, order: Sequence[Column | str], s: int, ns: int,
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if a table is there, else build, write and read it back.
+    """Read ``path`` if a table is there, else build, commit and read it.
 
-    Present means that the folder holds any data or commit file, so committers
-    that leave no marker count too. Storage errors are raised, never taken for
-    an absent cache, and an existing folder is never overwritten.
+    A build is written beside ``path`` and renamed at the end, so a build that
+    dies leaves no cache and the next call builds anew. A folder that holds
+    nothing but the leavings of a job (names that begin with '_' or '.') is no
+    cache and is replaced. Storage errors are raised, never taken for an absent
+    cache, and a table that is there is never overwritten.
     """
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not fs.listStatus(p):
-        build().write.mode("append").parquet(path)
+    fs, p = file_system(spark, path)
+    if fs.exists(p):
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        if names and (any(n[0] not in "_." for n in names) or "_SUCCESS" in names):
+            return spark.read.parquet(path)
+        fs.delete(p, True)
+    commit_new(build(), path)
     return spark.read.parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.operators import compare as C
@@ -12,7 +12,7 @@ from benchlens.operators.ordered import materialize
 from benchlens.operators.sequence import align_sequence
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
-from benchlens.streaming.tee import tee_stream
+from benchlens.streaming.tee import merge_streams, read_merged, tee_stream
 
 GATE = 0.95
 
@@ -54,6 +54,20 @@ def stream_tee(spark: SparkSession, sf: str) -> DataFrame:
     return outs[0].unionByName(outs[1])
 
 
+def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """``events`` and ``orders`` as two live sources of one log; every row with its place in its source."""
+    def live(name: str, *cols: Column) -> DataFrame:
+        own = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+        return own.select(*cols)
+
+    base = scratch_path(spark, "merged")
+    merge_streams({"out": live("events", F.col("event_id").alias("id"), F.col("event_type").alias("line")),
+                   "err": live("orders", F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("line"))},
+                  ["id"], [f"{base}/log", f"{base}/copy"], f"{base}/checkpoint")
+    log, copy = (read_merged(spark, f"{base}/{name}").select("source", "pos", "id", "line") for name in ("log", "copy"))
+    return log.withColumn("sink", F.lit("log")).unionByName(copy.withColumn("sink", F.lit("copy")))
+
+
 def cmp_align_seq(spark: SparkSession, sf: str) -> DataFrame:
     """Order-sensitive alignment; each block's rows are ordered by the program's first event."""
     r = materialize(runs(spark, sf))  # both sides read one materialized fixture
@@ -152,6 +166,11 @@ SELECT r_name, 'region: ' || lower(r_name) || chr(10) || 'nations:' || chr(10)
                        lambda w: upper(left(w, 1)) || substring(w, 2)), ' '), chr(10) ORDER BY n_name)
        || chr(10) || '# end of list' AS doc
 FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "stream_merge": """
+WITH l AS (SELECT 'out' AS source, event_id AS id, event_type AS line FROM events
+           UNION ALL SELECT 'err', o_orderkey, o_orderstatus FROM orders)
+SELECT source, CAST(row_number() OVER (PARTITION BY source, sink ORDER BY id) AS BIGINT) AS pos, id, line, s.sink
+FROM l, (VALUES ('log'), ('copy')) s(sink)""",
     "stream_tee": """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, s.sink
 FROM events, (VALUES ('a'), ('b')) s(sink) GROUP BY event_type, s.sink""",
@@ -161,6 +180,7 @@ QUERIES = {
     "report_lines": report_lines,
     "template_render": template_render,
     "stream_tee": stream_tee,
+    "stream_merge": stream_merge,
     "cmp_align_seq": cmp_align_seq,
     "cmp_seq_lengths": cmp_seq_lengths,
 }

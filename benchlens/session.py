@@ -62,10 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh_name(name: str) -> str:
+    return f"{name}-{os.urandom(8).hex()}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh (not yet existing) path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    return f"{base.rstrip('/')}/{fresh_name(name)}"
 
 
 def target_partitions(spark: SparkSession) -> int:

@@ -4,7 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
+
+from benchlens.session import fresh_name
+
+_STAGING = "_staging"  # Spark's readers pass over names that begin with '_'
+
+
+def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The Hadoop file system of ``path``, and ``path`` as its path object."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def commit_new(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
+    """Write ``df`` beside ``path`` and rename it there at the end; False if ``path`` is there already.
+
+    ``path`` is either absent or whole at any time: a job that dies leaves only
+    a staging folder, which no reader sees. Of two writers one wins, and the
+    other's rows are dropped.
+    """
+    spark = df.sparkSession
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        return False
+    staged = f"{target.getParent().toString()}/{fresh_name(_STAGING)}"
+    df.write.format(fmt).save(staged)
+    _, source = file_system(spark, staged)
+    fs.mkdirs(target.getParent())
+    won = not fs.exists(target) and fs.rename(source, target)
+    if not won:
+        fs.delete(source, True)
+    return bool(won)
+
+
+def remove_results(spark: SparkSession, root: str, tags: dict[str, str]) -> int:
+    """Remove the result folders ``root/<tag>=<value>/...`` of one run; returns how many there were.
+
+    ``tags`` are the leading partition tags, in order. With it a run without
+    any row also takes the place of an older one.
+    """
+    fs, top = file_system(spark, "/".join([root, *[f"{k}={v}" for k, v in tags.items()]]))
+    return int(fs.exists(top) and fs.delete(top, True))
 
 
 def write_results(df: DataFrame, root: str, tags: Sequence[str], replace: bool = False,
@@ -23,6 +65,14 @@ def write_results(df: DataFrame, root: str, tags: Sequence[str], replace: bool =
     w.save(root)
 
 
-def append_outcomes(lines: DataFrame, path: str, text: str = "line") -> None:
-    """Append outcome lines (e.g. error lines) to a text log table."""
+def append_outcomes(lines: DataFrame, path: str, text: str = "line", batch: str | None = None) -> bool:
+    """Append outcome lines (e.g. error lines) to a text log table.
+
+    With ``batch`` (an id of these lines) they are committed as a whole to a
+    folder ``batch=<id>`` of the log; appending the same batch again adds
+    nothing and returns False.
+    """
+    if batch is not None:
+        return commit_new(lines.select(text), f"{path}/batch={batch}", "text")
     lines.select(text).write.mode("append").text(path)
+    return True

@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
-from benchlens.sinks.writers import append_outcomes, write_results
-from benchlens.streaming.tee import tee_stream
+from benchlens.operators.corpus import cached_table
+from benchlens.sinks.writers import append_outcomes, commit_new, remove_results, write_results
+from benchlens.streaming import tee
+from benchlens.streaming.tee import merge_streams, read_merged, tee_stream
 
 
 def test_tee_writes_the_same_rows_to_both_sinks(spark, tmp_out):  # K3
@@ -28,3 +31,74 @@ def test_append_outcomes(spark, tmp_out):  # K4
     append_outcomes(lines, f"{tmp_out}/log")
     append_outcomes(lines, f"{tmp_out}/log")
     assert spark.read.text(f"{tmp_out}/log").count() == 2
+
+
+def _sources(spark, root):
+    return {name: spark.readStream.schema("id long, line string").parquet(f"{root}/{name}") for name in ("out", "err")}
+
+
+def _add(spark, root, name, first, n):
+    spark.range(first, first + n).select("id", F.concat(F.lit(name), F.col("id").cast("string")).alias("line")).write.mode("append").parquet(f"{root}/{name}")
+
+
+def _ordered(spark, sink):
+    rows = sorted((r.source, r.batch, r.pos, r.id) for r in read_merged(spark, sink).collect())
+    return {s: [r[3] for r in rows if r[0] == s] for s in ("out", "err")}
+
+
+def test_two_sources_continue_after_a_crash_between_sinks(spark, tmp_out, monkeypatch):  # K3
+    src, sinks, ckpt = f"{tmp_out}/src", [f"{tmp_out}/log", f"{tmp_out}/copy"], f"{tmp_out}/ckpt"
+    _add(spark, src, "out", 0, 50)
+    _add(spark, src, "err", 0, 7)
+    merge_streams(_sources(spark, src), ["id"], sinks, ckpt)
+    _add(spark, src, "out", 50, 20)
+    _add(spark, src, "err", 7, 3)
+    real = tee.materialize
+
+    class Dying:  # writes the first sink's batch, then dies
+        def __init__(self, df):
+            self.df, self.writes = df, 0
+
+        @property
+        def write(self):
+            self.writes += 1
+            if self.writes > 1:
+                raise RuntimeError("killed")
+            return self.df.write
+
+    monkeypatch.setattr(tee, "materialize", lambda df: Dying(real(df)))
+    with pytest.raises(Exception):
+        merge_streams(_sources(spark, src), ["id"], sinks, ckpt)
+    assert len(_ordered(spark, sinks[0])["out"]) == 70 and len(_ordered(spark, sinks[1])["out"]) == 50
+    monkeypatch.setattr(tee, "materialize", real)
+    _add(spark, src, "err", 10, 5)  # arrives before the restart
+    merge_streams(_sources(spark, src), ["id"], sinks, ckpt)
+    merge_streams(_sources(spark, src), ["id"], sinks, ckpt)  # nothing new
+    for sink in sinks:
+        assert _ordered(spark, sink) == {"out": list(range(70)), "err": list(range(15))}
+
+
+def test_a_build_that_dies_leaves_no_cache(spark, tmp_out):  # S8
+    path = f"{tmp_out}/cache"
+    bad = spark.range(10).withColumn("x", F.when(F.col("id") == 9, F.raise_error(F.lit("dies"))).otherwise(F.col("id")))
+    with pytest.raises(Exception):
+        cached_table(spark, path, lambda: bad)
+    (tmp_dir := __import__("pathlib").Path(path) / "_temporary" / "0").mkdir(parents=True)  # as a killed job leaves it
+    (tmp_dir / "part-0").write_text("half")
+    assert cached_table(spark, path, lambda: spark.range(3)).count() == 3
+    assert cached_table(spark, path, lambda: spark.range(99)).count() == 3
+    assert not commit_new(spark.range(5), path) and spark.read.parquet(path).count() == 3
+
+
+def test_a_repeated_append_adds_nothing(spark, tmp_out):  # K4
+    lines = spark.createDataFrame([("ERROR: a returned exit code 1",)], "line string")
+    assert [append_outcomes(lines, f"{tmp_out}/log", batch=b) for b in ("1", "1", "2")] == [True, False, True]
+    assert spark.read.text(f"{tmp_out}/log").count() == 2
+
+
+def test_a_run_without_rows_takes_the_place_of_the_older_one(spark, tmp_out):  # K2
+    df = spark.createDataFrame([(1, "x", "n"), (2, "y", "n"), (3, "y", "m")], "v int, variant string, target string")
+    write_results(df, f"{tmp_out}/r", ["variant", "target"])
+    assert remove_results(spark, f"{tmp_out}/r", {"variant": "y", "target": "n"}) == 1
+    assert remove_results(spark, f"{tmp_out}/r", {"variant": "z"}) == 0
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_out}/r").collect()) == [1, 3]
