@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchlens.functions.scalar import base_name, drop_extension, extension, upper_chars
+from benchlens.operators.joins import dim_join
 from benchlens.operators.ordered import running
 from benchlens.sources.lines import ordered_text
 
@@ -47,27 +48,33 @@ def scan_results(spark: SparkSession, root: str | Sequence[str], columns: dict[s
                  sep: str = ",", multiline: bool = False):
     """Header-bound CSV scan: every file's own header decides where each column is.
 
-    The headers are read once; files that share a header are then read
-    together by Spark's CSV reader (quoted fields, any separator; quoted line
-    breaks with ``multiline``, which keeps a file in one task), and the groups
-    are put together without a join. A file with a header and no rows gives none.
+    The headers are read once into a table of column places by file. Files of
+    the same width are read together by Spark's CSV reader (quoted fields, any
+    separator; quoted line breaks with ``multiline``, which keeps a file in one
+    task) and each row takes its columns through its file's places, so the plan
+    has a branch for each width, however many headers there are. A file with a
+    header and no rows gives none.
 
     Output: file, block (base name), line order keys (_ord, _mid) and the wanted
-    columns. ``mode="fail"`` raises on a missing column or a value that is
-    missing or does not parse; ``mode="quarantine"`` returns (good, bad) with
+    columns. A row is bad if it has fewer or more fields than its header, or a
+    wanted value that is missing or does not parse. ``mode="fail"`` raises on a
+    missing column or a bad row; ``mode="quarantine"`` returns (good, bad) with
     the bad rows as CSV text.
     """
     if mode not in ("fail", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
     columns = dict(columns or RESULT_COLUMNS)
     types = dict(types or RESULT_TYPES)
-    groups: dict[tuple[str, ...], list[str]] = {}
+    widths: dict[int, list[str]] = {}
+    places: list[tuple[str, list[int]]] = []
     for file, names in sorted(read_headers(spark, root, glob, sep).items()):
         absent = [h for h in columns.values() if h not in names]
         if absent and mode == "fail":
             raise ValueError(f"no column {', '.join(absent)} in {file}")
-        groups.setdefault(tuple(names), []).append(unquote(file))
-    parts = [_scan_group(spark, files, names, columns, types, sep, multiline) for names, files in groups.items()]
+        widths.setdefault(len(names), []).append(unquote(file))
+        places.append((file, [names.index(h) if h in names else -1 for h in columns.values()]))
+    heads = spark.createDataFrame(places, "file string, _at array<int>")
+    parts = [_scan_width(spark, files, n, heads, columns, types, sep, multiline) for n, files in sorted(widths.items())]
     if not parts:
         empty = ", ".join(f"{k} {types.get(k, 'string')}" for k in columns)
         parts = [spark.createDataFrame([], f"file string, block string, _ord double, _mid long, value string, {empty}, _bad boolean")]
@@ -82,25 +89,28 @@ def scan_results(spark: SparkSession, root: str | Sequence[str], columns: dict[s
     return rows.where(~F.col("_bad")).select(*keep), rows.where(F.col("_bad")).select("file", "_ord", "_mid", "value")
 
 
-def _scan_group(spark: SparkSession, files: list[str], names: Sequence[str], columns: dict[str, str], types: dict[str, str],
+def _scan_width(spark: SparkSession, files: list[str], width: int, heads: DataFrame, columns: dict[str, str], types: dict[str, str],
                 sep: str, multiline: bool) -> DataFrame:
-    """Rows of the files with one header, by position."""
-    fields = [f"c{i}" for i in range(len(names))]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", True).option("sep", sep)
-           .option("escape", '"').option("multiLine", multiline).csv(files))
-    raw = raw.select(*fields, F.col("_metadata.file_path").alias("file"),
+    """Rows of the files with ``width`` columns, by the places of their headers."""
+    fields = [f"c{i}" for i in range(width)]
+    # a row of another width is kept as it is in _raw
+    raw = (spark.read.schema(", ".join([*[f"{c} string" for c in fields], "_raw string"])).option("header", True).option("sep", sep)
+           .option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw")
+           .csv(files))
+    raw = raw.select(F.array(*fields).alias("_f"), "_raw", F.col("_metadata.file_path").alias("file"),
                      (F.col("_metadata.file_block_start") / (F.col("_metadata.file_size") + 1)).alias("_ord"),
                      F.monotonically_increasing_id().alias("_mid"))
-    wanted, bad = {}, F.lit(False)
-    for k, header in columns.items():
-        text = F.col(fields[names.index(header)]) if header in names else F.lit(None).cast("string")
+    raw = dim_join(raw, heads, "file")
+    wanted, bad = {}, F.col("_raw").isNotNull()
+    for i, k in enumerate(columns):
+        text = F.get("_f", F.get("_at", F.lit(i)))
         kind = types.get(k, "string")
         typed = text if kind == "string" else F.trim(text).try_cast(kind)
         wanted[k] = typed
         bad = bad | typed.isNull()
+    text = F.to_csv(F.struct(*[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(fields)]), {"sep": sep})
     return raw.select("file", drop_extension(base_name("file")).alias("block"), "_ord", "_mid",
-                      F.to_csv(F.struct(*fields), {"sep": sep}).alias("value"), *[c.alias(k) for k, c in wanted.items()],
-                      bad.alias("_bad"))
+                      F.coalesce("_raw", text).alias("value"), *[c.alias(k) for k, c in wanted.items()], bad.alias("_bad"))
 
 
 def _pct_decode(c: Column) -> Column:

@@ -172,3 +172,33 @@ def test_module_list_and_multiline_cache(spark, tmp_out):
     assert got == [("p", m) for m in ("A.B", "C", "D.E", "F", "Z")]
     _w(f"{tmp_out}/c/list.json", '{\n "packages": ["dir/a-1",\n "b-2"]\n}\n')
     assert sorted(r.package for r in read_package_cache(spark, f"{tmp_out}/c", multiline=True).collect()) == ["a-1", "b-2"]
+
+
+def test_rows_of_another_width_are_bad(spark, tmp_out):  # S2
+    from benchlens.sources.files import scan_results
+
+    with open(f"{tmp_out}/a.csv", "w") as f:
+        f.write('PROGNAME,CPUTIME,RSQR_TIME_FIT\nok,1.0,0.99\nq,2.0,0.9,EXTRA,MORE\nfew,3.0\n"x, y",4.0,0.97\n')
+    good, bad = scan_results(spark, tmp_out, mode="quarantine")
+    assert sorted((r.program, r.cpu) for r in good.collect()) == [("ok", 1.0), ("x, y", 4.0)]
+    assert sorted(r.value for r in bad.collect()) == ["few,3.0", "q,2.0,0.9,EXTRA,MORE"]
+    with pytest.raises(Exception, match="bad result row"):
+        scan_results(spark, tmp_out, mode="fail").collect()
+
+
+def test_many_headers_are_one_branch_for_each_width(spark, tmp_out):  # S2
+    import random
+
+    from benchlens.sources.files import scan_results
+
+    rnd, want = random.Random(1), []
+    for i in range(120):
+        names = ["PROGNAME", "CPUTIME", "RSQR_TIME_FIT", f"X{i}"] + (["Y"] if i % 3 == 0 else [])
+        rnd.shuffle(names)
+        value = {"PROGNAME": f"p{i}", "CPUTIME": str(i), "RSQR_TIME_FIT": "0.5"}
+        with open(f"{tmp_out}/b{i}.csv", "w") as f:
+            f.write(",".join(names) + "\n" + ",".join(value.get(n, "") for n in names) + "\n")
+        want.append((f"b{i}", f"p{i}", float(i), 0.5))
+    got = scan_results(spark, tmp_out)
+    assert sorted((r.block, r.program, r.cpu, r.r2) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan csv") == 2
