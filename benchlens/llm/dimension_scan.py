@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from benchlens.llm.shipping import ship
 from benchlens.session import scratch_path
 
 MOST_LISTS = 4096  # bounds what is broadcast: centroids and the sample
@@ -148,12 +149,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
     x = _matrix(some["vec"])
     rotation = np.linalg.qr(np.random.default_rng(11).normal(size=(x.shape[1], x.shape[1])))[0]
     plan = Plan(kmeans(x, min(lists, len(x))), rotation, some["id"].to_numpy(), x, share, k)
-    shared = spark.sparkContext.broadcast(plan)
+    shared = ship(spark, plan)
     with_list = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("list", T.IntegerType())])
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = shared.value.lists_of(_matrix(b.column(1))) if b.num_rows else np.zeros(0)
+            own = shared().lists_of(_matrix(b.column(1))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=with_list.names)
 
     path = scratch_path(spark, "lists")
@@ -164,12 +165,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
         sizes[r["list"]] = r["count"]
     plan.sizes = sizes
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    ready = spark.sparkContext.broadcast(plan)
+    ready = ship(spark, plan)
     asked = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
                           T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("most", T.DoubleType())])
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ready.value
+        own = ready()
         for b in batches:
             qs = list(zip(b.column(0).to_pylist(), _matrix(b.column(1)))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
                  pa.array([own.threshold(i, q) for i, q in qs], pa.float64())], names=asked.names)
 
     def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = ready.value
+        own = ready()
         found: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
             ids, vec = left["id"].to_numpy(), _matrix(left["vec"])

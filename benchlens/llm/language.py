@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from benchlens.llm.shipping import ship
 from benchlens.llm.subwords import AverageScorer, Features, sample
 from benchlens.llm.words import slices
 
@@ -157,12 +158,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     if model is None:
         return src.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         scorer = AverageScorer(own.features, own.table)
         extra = _extra(own.features)
         for b in slices(batches):

@@ -9,6 +9,8 @@ with unequal digests need to be followed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from benchlens.llm.successor import with_next
 SECTION = r"(?s).+?(?:\n\n+|\z)"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
 PHRASE = r"[ \t\n\f\r]*(?:[^ \t\n\f\r]+[ \t\n\f\r]+){0,3}?[^ \t\n\f\r]*[.!?]|[ \t\n\f\r]*[^ \t\n\f\r]+(?:[ \t\n\f\r]+[^ \t\n\f\r]+){0,3}|[ \t\n\f\r]+"
+LONG = 256  # characters beyond which a phrase falls into several leaves
+PIECES = r"(?s).{32,%d}?[aeiouAEIOU0-4]|.{1,%d}" % (LONG - 1, LONG)  # of such a phrase, by what they hold: they stay the same behind an edit
 _WEIGHT = 1023  # low bits of a leaf's code: its length
 
 
@@ -41,10 +45,29 @@ def section_digests(paragraphs: Column) -> Column:
     return F.transform(paragraphs, lambda s: _digest(s, "s:"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def leaf_codes(cut: Column) -> Column:
-    """Distinct phrases as 64-bit codes whose low bits hold the phrase's length."""
-    code = lambda x: F.xxhash64(x).bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.least(F.length(x), F.lit(_WEIGHT)))
-    return F.array_distinct(F.transform(F.flatten(F.flatten(cut)), code))
+    """Leaves as different 64-bit codes whose low bits hold the leaf's length.
+
+    A leaf is a phrase, or a piece of one of more than ``LONG`` characters. The
+    n-th occurrence of a leaf has a code of its own, so a leaf counts as often
+    as it occurs.
+    """
+    pieces = lambda x: F.when(F.length(x) <= LONG, F.array(x)).otherwise(_all(x, PIECES))
+    leaves = F.sort_array(F.flatten(F.transform(F.flatten(F.flatten(cut)), pieces)))
+    code = lambda x, n: F.xxhash64(x, n).bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.length(x))
+
+    def numbered(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
+                          lambda i: (i < F.size(s)) & ((i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1))))
+        return _let(firsts, lambda at: F.flatten(F.transform(at, lambda i, k: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda n: code(F.get(s, i), n)))))
+
+    return _let(leaves, numbered)
 
 
 def with_tree(df: DataFrame, text_col: str, root: str, paragraphs: str, leaves: str) -> DataFrame:
@@ -59,7 +82,7 @@ def _weight(codes: Column) -> Column:
 
 
 def likeness(root_a: str, leaves_a: str, root_b: str, leaves_b: str) -> Column:
-    """1 for equal roots, else the share of characters in common leaves (twice those, of both sides')."""
+    """1 for equal roots, else the share of characters in common leaves (twice those, of both sides'), each as often as both hold it."""
     both = _weight(F.array_intersect(leaves_a, leaves_b))
     total = _weight(F.col(leaves_a)) + _weight(F.col(leaves_b))
     return F.when(F.col(root_a) == F.col(root_b), F.lit(1.0)).when(total == 0, F.lit(1.0)).otherwise(2.0 * both / total)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from benchlens.llm.shipping import ship
 from benchlens.llm.subwords import AverageScorer, Features, sample
 from benchlens.llm.words import slices
 
@@ -106,11 +107,11 @@ def predict(docs: DataFrame, model: Model | float, keep: list[str], text_col: st
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     if isinstance(model, float):
         return src.select(*keep, F.lit(model).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         scorer = AverageScorer(own.features, own.table[:, 1:] - own.table[:, :1])
         for b in slices(batches):
             texts = [_cut(t) for t in b.column(len(keep)).to_pylist()]

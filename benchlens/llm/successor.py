@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from benchlens.session import target_partitions
 
 _KEY = "_key"
+MOST_BUCKETS = 65_536  # ranges; bounds the keys that the driver sees
 
 
 def _bounds_column(key: Column, bounds: list[str], key_type: str) -> Column:
@@ -33,17 +34,17 @@ def with_next(df: DataFrame, id_col: str, tie: Column, carry: dict[str, str], bu
 
     Rows of one id are ordered by ``tie`` (a long), null ids come last, and
     the next of the last row is the first. Bounds of ``buckets`` ranges (by
-    default four per shuffle partition) come from a hash sample of the (id,
+    default four per shuffle partition, at most ``MOST_BUCKETS``) come from a hash sample of the (id,
     tie) keys, so an id that many rows share is cut too; the sample and the
     first keys of the ranges are all that the driver sees. Each range is
     ordered by itself and gets the first row of the next range at its end. Rows that are
     equal in id and tie count as equal. ``df`` is read four times.
     """
     spark = df.sparkSession
-    buckets = buckets or 4 * target_partitions(spark)
+    buckets = buckets or min(4 * target_partitions(spark), MOST_BUCKETS)
     keyed = df.withColumn(_KEY, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), tie.alias("t")))
     key_type = keyed.schema[_KEY].dataType.simpleString()
-    sampled = keyed.select(_KEY).orderBy(F.xxhash64(_KEY)).limit(16 * buckets)
+    sampled = keyed.select(_KEY).orderBy(F.xxhash64(_KEY)).limit(min(16 * buckets, 4 * MOST_BUCKETS))
     # sorted by Spark, so that the order is the one of its comparisons
     rows = [r[0] for r in sampled.distinct().sort(_KEY).select(F.to_json(_KEY, {"ignoreNullFields": "false"})).collect()]
     bounds = [rows[i * len(rows) // buckets] for i in range(1, buckets)] if len(rows) > 1 else []

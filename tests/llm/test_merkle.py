@@ -1,10 +1,11 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from benchlens.llm.merkle import PARAGRAPH, PHRASE, SECTION, compare_with_edited, leaf_codes, parts, with_edit_place, with_tree
+from benchlens.llm.merkle import LONG, PARAGRAPH, PHRASE, PIECES, SECTION, compare_with_edited, leaf_codes, likeness, parts, with_edit_place, with_tree
 from benchlens.llm.successor import with_next
 
 TEXTS = ["", "one", " \n", "a b c d e f. g h!i j\n\n\nnext é part\nmore 3.14 x\n\n end ", "日本語 テスト。", "\n\n\n", "x\x0by\tz " * 40,
@@ -28,9 +29,9 @@ def tree(text):
 def near(a, b):
     if a == b:
         return 1.0
-    la, lb = ({x: min(len(x), 1023) for s in cut(t) for p in s for x in p} for t in (a, b))
-    total = sum(la.values()) + sum(lb.values())
-    return 2 * sum(w for x, w in la.items() if x in lb) / total if total else 1.0
+    la, lb = (Counter(y for s in cut(t) for p in s for x in p for y in ([x] if len(x) <= LONG else re.findall(PIECES, x))) for t in (a, b))
+    total = len(a) + len(b)  # no character is lost
+    return 2 * sum(len(x) * n for x, n in (la & lb).items()) / total if total else 1.0
 
 
 def test_no_character_is_lost(spark):
@@ -111,7 +112,20 @@ def test_differing_branch_is_found(spark):
         assert (r.s, r.p) == (r.section, r.paragraph), (r.a, r.b)
 
 
-def test_leaf_code_keeps_the_length(spark):
-    df = spark.createDataFrame([("x" * 3000 + " . yy",)], "t string")
-    codes = df.select(leaf_codes(parts(F.col("t")))).first()[0]
-    assert sorted(c & 1023 for c in codes) == sorted(min(len(x), 1023) for x in cut(df.first().t)[0][0])
+def test_leaf_codes_keep_lengths_and_repeats(spark):
+    df = spark.createDataFrame([("x" * 3000 + " . yy",), ("",), ("same line\n" * 100,)], "t string")
+    for r in df.select("t", leaf_codes(parts(F.col("t"))).alias("c")).collect():
+        assert sum(c & 1023 for c in r.c) == len(r.t) and len(set(r.c)) == len(r.c)
+
+
+def test_likeness_is_the_share_of_common_characters(spark):
+    import random
+    rnd = random.Random(1)
+    run = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))  # one word
+    lines = "the same line again\n" * 100
+    other = "".join(rnd.choice("ABCDEFGH") for _ in range(25_000))
+    pairs = [(run, run[:75_000] + other), (lines, lines[:1500] + "z" * 500), (run, other * 4), (run, run[:50_000] + "!" + run[50_000:])]
+    df = with_tree(with_tree(spark.createDataFrame(pairs, "a string, b string"), "a", "ra", "pa", "la"), "b", "rb", "pb", "lb")
+    got = [r[0] for r in df.select(likeness("ra", "la", "rb", "lb")).collect()]
+    assert got[0] == pytest.approx(0.75, abs=0.02) and got[1] == pytest.approx(0.75, abs=0.02) and got[2] < 0.05 and got[3] > 0.95
+    assert got == pytest.approx([near(a, b) for a, b in pairs])
