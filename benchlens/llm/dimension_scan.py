@@ -39,6 +39,7 @@ class Plan:
     share: float
     k: int
     sizes: np.ndarray | None = None  # rows of each list
+    sample_lists: np.ndarray | None = None  # list of each sampled row
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         """Nearest centroid of each row."""
@@ -51,9 +52,11 @@ class Plan:
         held = np.cumsum(self.sizes[order])
         return order[:int(np.searchsorted(held, max(self.share * held[-1], 64 * self.k))) + 1]
 
-    def threshold(self, own: int, q: np.ndarray) -> float:
-        """Distance that the k-th nearest cannot exceed: that of the sample's k-th nearest."""
-        others = self.sample_ids != own
+    def threshold(self, own: int, q: np.ndarray, lists: np.ndarray) -> float:
+        """Distance that the k-th nearest row of ``lists`` cannot exceed: that of the k-th nearest of their sampled rows."""
+        inside = np.zeros(len(self.centroids), bool)
+        inside[lists] = True
+        others = (self.sample_ids != own) & inside[self.sample_lists]
         d = np.sqrt(((self.sample[others] - q) ** 2).sum(1))
         near = _nearest_ids(d, self.sample_ids[others], self.k)
         return near[-1][0] if len(near) == self.k else np.inf
@@ -163,7 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
     sizes = np.zeros(len(plan.centroids), np.int64)
     for r in index.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    plan.sizes = sizes
+    plan.sizes, plan.sample_lists = sizes, plan.lists_of(x)
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
     ready = ship(spark, plan)
     asked = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
@@ -173,9 +176,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
         own = ready()
         for b in batches:
             qs = list(zip(b.column(0).to_pylist(), _matrix(b.column(1)))) if b.num_rows else []
+            probed = [own.probes(q) for _, q in qs]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([own.probes(q).tolist() for _, q in qs], pa.list_(pa.int32())),
-                 pa.array([own.threshold(i, q) for i, q in qs], pa.float64())], names=asked.names)
+                [*b.columns, pa.array([p.tolist() for p in probed], pa.list_(pa.int32())),
+                 pa.array([own.threshold(i, q, p) for (i, q), p in zip(qs, probed)], pa.float64())], names=asked.names)
 
     def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = ready()
