@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchlens.llm.shipping import ship
-from benchlens.llm.subwords import AverageScorer, Features, sample
+from benchlens.llm.subwords import AverageScorer, Features, Vector, collect_vectors, sample
 from benchlens.llm.words import slices
 
-PER_LANGUAGE = 1500  # documents of each language that are fitted
-FIT_CHARS = 8_000  # longer documents are predicted, but not fitted
+PER_LANGUAGE = 1500  # texts of each language that are fitted
 UNKNOWN = "und"
 
 # Language families by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -92,11 +91,18 @@ def _machine(docs: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size:
     return w * scale
 
 
-def train(texts: list[str], langs: list[str], features: Features | None = None, seed: int = 5) -> Model:
-    features = features or Features(bits=16, spans=(1, 2, 3, 4))
+def own_features() -> Features:
+    return Features(bits=16, spans=(1, 2, 3, 4))
+
+
+def _vector(features: Features, text: str) -> Vector:
+    return features.of_text(_cut(text), _extra(features))
+
+
+def train(raw: list[Vector], langs: list[str], features: Features, seed: int = 5) -> Model:
+    """Fit all machines to the feature vectors of texts."""
     rng = np.random.default_rng(seed)
     size = 1 << features.bits
-    raw = [features.of_text(_cut(t), _extra(features)) for t in texts]
     unit = [(b, w / np.sqrt(w @ w)) for b, w in raw]
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
@@ -131,20 +137,21 @@ def _extra(features: Features) -> dict[int, float]:
 
 
 def fit(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col: str = "lang",
-        per_language: int = PER_LANGUAGE, fit_chars: int = FIT_CHARS) -> Model | None:
+        per_language: int = PER_LANGUAGE) -> Model | None:
     """Model from the rows where ``learn_from`` is true and text and language are given.
 
-    Fitted are about ``per_language`` rows of each language of those with at
-    most ``fit_chars`` characters, chosen by a hash of the text; equal texts
-    count once. Without such rows there is no model (None).
+    Fitted are about ``per_language`` texts of each language, whole and of any
+    length, chosen by a hash of the text; equal texts count once. Without such
+    rows there is no model (None).
     """
     rows = docs.where(learn_from).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.where(F.col("_lang").isNotNull() & (F.length("_text") <= fit_chars)).withColumn("_hash", F.xxhash64("_text"))
+    rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_text"))
     # chosen among different texts, so that copies change neither a language's share nor what is fitted
     near = sample(rows.select("_lang", "_hash").distinct(), "_lang", F.col("_hash"), per_language).select("_lang", "_hash")
-    got = rows.join(F.broadcast(near), ["_lang", "_hash"]).dropDuplicates(["_lang", "_hash"]).select("_lang", "_text", "_hash").toPandas()
-    got = got.sort_values(["_lang", "_hash"], ignore_index=True)
-    return train(list(got["_text"]), list(got["_lang"])) if len(got) else None
+    got = rows.join(F.broadcast(near), ["_lang", "_hash"]).dropDuplicates(["_lang", "_hash"]).select("_lang", "_hash", "_text")
+    features = own_features()
+    keys, fitted = collect_vectors(got, features, _vector)
+    return train(fitted, keys["_lang"].to_pylist(), features) if fitted else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:

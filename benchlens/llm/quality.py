@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchlens.llm.shipping import ship
-from benchlens.llm.subwords import AverageScorer, Features, sample
+from benchlens.llm.subwords import AverageScorer, Features, Vector, collect_vectors, sample
 from benchlens.llm.words import slices
 
-PER_LABEL = 2500  # labelled documents of each label value that are fitted
-FIT_CHARS = 8_000  # longer documents are scored, but not fitted
+PER_LABEL = 2500  # labelled texts of each label value that are fitted
 
 
 @dataclass
@@ -41,12 +40,19 @@ def _extra(features: Features, words: list[str]) -> dict[int, float]:
     return {features.special("end"): 1.0, features.special("same"): float(sum(map(eq, words, words[1:])))}
 
 
-def train(texts: list[str], labels: list[int], prior: tuple[float, float], features: Features | None = None,
-          dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fit vectors and output by stochastic gradient descent over single documents."""
-    features = features or Features()
+def _vector(features: Features, text: str) -> Vector:
+    words = _cut(text)
+    return features.of_text(words, _extra(features, words))
+
+
+def train(docs: list[Vector], labels: list[int], prior: tuple[float, float], features: Features,
+          dim: int = 16, epochs: int = 5, least_steps: int = 2000, rate: float = 2.0, seed: int = 7) -> Model:
+    """Fit vectors and output to the feature vectors of documents, by stochastic gradient descent over single ones.
+
+    Few documents are gone through more often, until there are ``least_steps``.
+    """
+    epochs = max(epochs, -(-least_steps // len(docs)))
     rng = np.random.default_rng(seed)
-    docs = [features.of_text(ws, _extra(features, ws)) for ws in map(_cut, texts)]
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << features.bits, dim))
     out = np.zeros((dim, 2))
     y = np.array(labels)
@@ -63,38 +69,42 @@ def train(texts: list[str], labels: list[int], prior: tuple[float, float], featu
             p[y[i]] -= 1.0
             back = out @ p
             out -= lr * np.outer(mean, p)
-            # one step per feature occurrence would be the weight; its root keeps rare but telling n-grams learning
-            vectors[bucket] -= lr * np.outer(np.sqrt(weight), back)
+            vectors[bucket] -= lr * np.outer(weight, back)
     share = np.bincount(y, minlength=2) / len(y)
     return Model(features, vectors @ out, np.log(np.array(prior) / share))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        per_label: int = PER_LABEL, fit_chars: int = FIT_CHARS) -> Model | float:
+        per_label: int = PER_LABEL) -> Model | float:
     """Model from ``labels`` (``id_col``, ``label_col`` of 0 or 1) and the texts they name.
 
-    Fitted are about ``per_label`` documents of each label, less those of more
-    than ``fit_chars`` characters, chosen by a hash of the id; the label shares of
-    the whole label table set the bias. Labels other than 0 and 1, null ids
-    and null texts are left out. Where a label value is missing altogether,
-    the share of label 1 (0.5 without any) is returned instead of a model.
+    Fitted are about ``per_label`` different texts of each label, whole and of
+    any length, chosen by a hash of the text among those that labelled ids have;
+    equal texts of one label count once. The label shares of all labelled ids set
+    the bias. Labels other than 0 and 1, ids with both labels, null ids and null
+    texts are left out; repeated label rows count once. Where a label value is
+    missing altogether, the share of label 1 (0.5 without any) is returned
+    instead of a model.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(
         "_id is not null and _label in (0, 1)")
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where(
+        "_label = _most").drop("_most")
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(
-        F.col("_text").isNotNull() & (F.length("_text") <= fit_chars))
-    # the ids of the sample are few, so they are broadcast; texts that are missing or too long only shrink it
-    near = sample(known.distinct(), "_label", F.col("_id"), per_label).drop("_order")
-    rows = texts.join(F.broadcast(near), "_id").distinct().toPandas()
-    rows = rows.sort_values(["_label", "_id", "_text"], ignore_index=True)
-    found = rows["_label"].value_counts()
-    if len(found) < 2:
-        return float(counts.get(1, 0) / sum(counts.values()))
-    total = sum(counts.values())
-    return train(list(rows["_text"]), list(rows["_label"]), (counts[0] / total, counts[1] / total))
+        F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_text"))
+    # ids and hashes only are shuffled; the hashes of the sample are few, so they are broadcast
+    named = texts.select("_id", "_hash").distinct().join(known, "_id").select("_label", "_hash").distinct()
+    near = sample(named, "_label", F.col("_hash"), per_label).select("_label", "_hash")
+    rows = texts.select("_hash", "_text").join(F.broadcast(near), "_hash").dropDuplicates(["_label", "_hash"])
+    features = Features()
+    keys, fitted = collect_vectors(rows.select("_label", "_hash", "_text"), features, _vector)
+    own, total = keys["_label"].to_pylist(), sum(counts.values())
+    if len(set(own)) < 2:
+        return counts[1] / total
+    return train(fitted, own, (counts[0] / total, counts[1] / total), features)
 
 
 def predict(docs: DataFrame, model: Model | float, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -9,12 +9,18 @@ the mapped vectors, so scoring needs only one small row per distinct word.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from benchlens.llm.words import slices
+
+Vector = tuple[np.ndarray, np.ndarray]  # buckets, weights
 
 _FIRST, _LAST = "\x02", "\x03"  # boundary marks
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -107,6 +113,37 @@ class AverageScorer:
         return out
 
 
+def collect_vectors(rows: DataFrame, features: Features, vector: Callable[[Features, str], Vector],
+                    at_once: int = 8192) -> tuple[pa.Table, list[Vector]]:
+    """The columns of ``rows`` but ``_text``, and ``vector`` of each row's whole ``_text``, on the driver.
+
+    For a bounded sample of rows. A text of over ``at_once`` bytes whose vector
+    is smaller is sent as that vector, formed in its task: an entry for each
+    bucket at most, however long the text.
+    """
+    own = [f for f in rows.schema if f.name != "_text"]
+    schema = T.StructType([*own, T.StructField("_text", T.StringType()), T.StructField("_bucket", T.BinaryType()),
+                           T.StructField("_weight", T.BinaryType())])
+
+    def form(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 16):
+            out: list[tuple[str | None, bytes | None, bytes | None]] = []
+            for t in b.column(len(own)).to_pylist():
+                size = len(t.encode())
+                bucket, weight = vector(features, t) if size > at_once else (None, None)
+                small = bucket is not None and bucket.nbytes + weight.nbytes < size
+                out.append((None, bucket.tobytes(), weight.tobytes()) if small else (t, None, None))
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()),
+                                              pa.array(cols[2], pa.binary())], names=schema.names)
+
+    got = rows.select(*[f.name for f in own], "_text").mapInArrow(form, schema).toArrow()
+    got = got.sort_by([(f.name, "ascending") for f in own])
+    docs = [vector(features, t) if t is not None else (np.frombuffer(b, np.int32), np.frombuffer(w, np.float32))
+            for t, b, w in zip(*(got[c].to_pylist() for c in ("_text", "_bucket", "_weight")))]
+    return got.select([f.name for f in own]), docs
+
+
 def order_of(key: Column | str) -> Column:
     """Pseudo-random order of a key."""
     return F.xxhash64(F.lit("fit"), key)

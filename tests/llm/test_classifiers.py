@@ -83,7 +83,8 @@ def test_language_hierarchy_by_hand():
         for _ in range(40):
             texts.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(30)))
             langs.append(lang)
-    model = language.train(texts, langs)
+    features = language.own_features()
+    model = language.train([language._vector(features, t) for t in texts], langs, features)
     assert model.families == ["germanic", "romance", "xx"] and set(model.duels) == {("de", "en")}
     scorer = AverageScorer(model.features, model.table)
     got = model.decide(scorer.average([language._cut(t) for t in texts], [language._extra(model.features)] * len(texts)))
@@ -104,6 +105,32 @@ def test_copies_do_not_displace_the_fitted_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").union(
         spark.range(20_000).select(F.lit("copied text").alias("text"), F.lit("en").alias("lang")))
     fitted = []
-    monkeypatch.setattr(language, "train", lambda texts, langs: fitted.append(sorted(texts)))
+    monkeypatch.setattr(language, "train", lambda docs, langs, features: fitted.append(sorted(str(v) for v in docs)))
     language.fit(docs, F.lit(True), per_language=41)
-    assert fitted == [sorted([*texts, "copied text"])]
+    features = language.own_features()
+    assert fitted == [sorted(str(language._vector(features, t)) for t in [*texts, "copied text"])]
+
+
+def test_long_texts_are_fitted_whole(spark, monkeypatch):
+    """A long text of few words travels as its vector; both models learn from what stands at its very end."""
+    rows = [(i, "good plain words " * 4000 + (f"end{i} " if i % 2 else f"fin{i} "), i % 2) for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en" if q else "de") for i, t, q in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] * 3, "doc_id long, quality int")
+    for module, features, run in ((quality, Features(), lambda: quality.fit(docs, labels)),
+                                  (language, language.own_features(), lambda: language.fit(docs, F.lit(True)))):
+        fitted = []
+        monkeypatch.setattr(module, "train", lambda docs, *rest: fitted.extend((b.tolist(), w.tolist()) for b, w in docs))
+        run()
+        want = [module._vector(features, t) for _, t, _ in rows]
+        assert sorted(fitted) == sorted((b.tolist(), w.tolist()) for b, w in want)
+
+
+def test_sample_is_drawn_among_texts_that_exist(spark):
+    """Most labelled ids have no text; an id with both labels and repeated label rows change nothing."""
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else f"bad stuff {i}") for i in range(40)] + [(90, "bad stuff of both")],
+                                 "doc_id long, text string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    labels = labels.union(labels.where("doc_id < 2")).union(spark.createDataFrame([(90, 1)], "doc_id long, quality int"))
+    model = quality.fit(docs, labels, per_label=20)
+    by = {r.doc_id: r.score for r in quality.predict(docs, model, ["doc_id"]).collect()}
+    assert all((by[i] > 0.5) == bool(i % 2) for i in range(40)) and by[90] < 0.5
