@@ -24,6 +24,7 @@ from benchlens.session import scratch_path
 MOST_LISTS = 4096  # bounds what is broadcast: centroids and the sample
 SAMPLE_PER_LIST = 64  # vectors that centroids and first thresholds are fitted on
 BLOCK_ROWS = 4096  # rows of a list that one task scans together
+QUERY_ROWS = 4096  # queries that meet a block of a list at once
 COLUMNS = 16  # dimensions between two tests
 EPSILON = 2.1  # strictness of the test: larger abandons later
 
@@ -123,6 +124,25 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def parts_of(rows: int, most: int) -> int:
+    """Parts of about ``most`` rows."""
+    return max(1, -(-rows // most))
+
+
+def scan_groups(index: DataFrame, asked: DataFrame, blocks: list[int], parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their keys (list, block, part): ``blocks`` of each list, ``parts`` of the queries.
+
+    Rows are dealt by hashes of id and vector, queries by one of the id, so neither a
+    crowded list, nor an id with many vectors, nor the number of queries makes a large group.
+    """
+    per_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
+    left = index.withColumn("block", F.pmod(F.xxhash64("id", "vec", F.lit("block")), per_list).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).cast("int"))
+    right = right.select("id", "vec", "most", "part", F.explode("at").alias("list"))
+    return left, right.withColumn("block", F.explode(F.sequence(F.lit(0), per_list - 1)))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.75, id_col: str = "vec_id",
            vec_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` nearest rows of ``vectors`` by Euclidean distance: (query_id, rank, vec_id, score).
@@ -132,8 +152,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
     approximate; distances are exact. Every row is indexed; centroids and
     first thresholds come from ``SAMPLE_PER_LIST`` rows per list, with the
     square root of the row count as lists (at most ``MOST_LISTS``). Lists are
-    scanned in blocks of about ``BLOCK_ROWS`` rows, so a crowded list (a vector
-    with many copies) is many tasks' work. Vectors that are null, zero, or hold
+    scanned in blocks of about ``BLOCK_ROWS`` rows by parts of about
+    ``QUERY_ROWS`` queries, so neither side of a task's group grows with the
+    tables, and a crowded list is many tasks' work. Of a query id with several
+    vectors the one with the least hash is taken. Vectors that are null, zero, or hold
     null or non-finite components take no part on either side, nor do null ids
     and vectors of another length than most; a row never finds its own id;
     repeated rows count once; ties go to the smaller id. Empty tables give an
@@ -167,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
     for r in index.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
     plan.sizes, plan.sample_lists = sizes, plan.lists_of(x)
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    blocks = [parts_of(int(s), BLOCK_ROWS) for s in sizes]
     ready = ship(spark, plan)
     asked = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
                           T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("most", T.DoubleType())])
@@ -193,14 +215,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0
         cols = list(zip(*found)) if found else [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=out.names)
 
-    per_list = F.array(*[F.lit(int(b)) for b in blocks])
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.element_at(per_list, F.col("list") + 1)).cast("int")
     q = usable(queries, id_col, vec_col).where(F.size("vec") == x.shape[1]).groupBy("id").agg(
         F.min_by("vec", F.xxhash64("vec")).alias("vec"))
-    q = q.mapInArrow(ask, asked).select("id", "vec", "most", F.explode("at").alias("list")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.element_at(per_list, F.col("list") + 1) - 1)))
-    found = (index.withColumn("block", block).groupBy("list", "block")
-             .cogroup(q.groupBy("list", "block")).applyInArrow(scan, out))
+    # a stated number of tasks, as few bytes would be put together into one
+    own_queries = scratch_path(spark, "queries")
+    q.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(ask, asked).write.parquet(own_queries)
+    q = spark.read.parquet(own_queries)
+    left, right = scan_groups(index, q, blocks, parts_of(q.count(), QUERY_ROWS))
+    keys = ("list", "block", "part")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, out)
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchlens.llm.dimension_scan import nearest_in_block, search
+from benchlens.llm import dimension_scan
+from benchlens.llm.dimension_scan import nearest_in_block, parts_of, scan_groups, search
 
 SF = "/root/testdata/sf0.01"
 
@@ -73,6 +74,30 @@ def test_many_copies_of_one_vector(spark):
         assert got[i] == [(0.0, j) for j in copies if j != i][:10]
 
 
+def test_groups_are_bounded_on_both_sides(spark):
+    """One id with most of the rows, one list with most of the vectors, many queries: every pair meets once."""
+    index = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("id"),
+                                     F.array(F.col("id").cast("double")).alias("vec"), (F.col("id") % 10 == 0).cast("int").alias("list"))
+    asked = spark.range(900).select("id", F.array(F.lit(0.5)).alias("vec"), F.lit(1.0).alias("most"), F.array(F.lit(0), F.lit(1)).alias("at"))
+    sizes = [r["count"] for r in index.groupBy("list").count().orderBy("list").collect()]
+    left, right = scan_groups(index, asked, [parts_of(s, 500) for s in sizes], parts_of(900, 300))
+    keys = ["list", "block", "part"]
+    n, m = left.groupBy(*keys).count(), right.groupBy(*keys).count().withColumnRenamed("count", "asked")
+    rows = n.join(m, keys).collect()
+    assert max(r["count"] for r in rows) < 2 * 500 and max(r["asked"] for r in rows) < 2 * 300
+    assert sum(r["count"] * r["asked"] for r in rows) == 6000 * 900
+
+
+def test_parts_of_queries_and_lists_change_no_result(spark, monkeypatch):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = collect(search(emb, emb.where("vec_id % 20 = 0"), share=1.0))
+    monkeypatch.setattr(dimension_scan, "QUERY_ROWS", 7)
+    monkeypatch.setattr(dimension_scan, "BLOCK_ROWS", 20)
+    got = collect(search(emb, emb.where("vec_id % 20 = 0"), share=1.0))
+    assert set(got) == set(want)
+    assert sum(got[i] == want[i] for i in got) >= 0.9 * len(got)  # smaller blocks have other limits, so other hypothesis tests
+
+
 def test_block_scan_equals_brute_force_within_the_limit():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 40))
