@@ -113,6 +113,21 @@ def render_report(aligned: DataFrame, bands: DataFrame, label1: str, label2: str
     return out.orderBy("sec", "block", "row_no")
 
 
+def template_lines(df: DataFrame, group: str, order: str, item: Column, head: Column, tail: Column) -> DataFrame:
+    """Lines of one document per group: (``group``, sec, ord, line), in the order of sec and ord.
+
+    Section 0 is the head, 1 one line per item by ``order``, 2 the tail. No
+    document becomes a row, so its length has no bound; ``write_texts`` makes
+    files of it. ``head`` and ``tail`` are functions of the group alone.
+    """
+    items = df.select(F.col(group), F.lit(1).alias("sec"), F.col(order).alias("ord"), item.alias("line"))
+    ends = df.groupBy(group).agg(F.first(head).alias("_h"), F.first(tail).alias("_t")).select(
+        group, F.explode(F.array(F.struct(F.lit(0).alias("sec"), F.col("_h").alias("line")),
+                                 F.struct(F.lit(2).alias("sec"), F.col("_t").alias("line")))).alias("_e"))
+    none = F.lit(None).cast(df.schema[order].dataType)
+    return items.unionByName(ends.select(group, "_e.sec", none.alias("ord"), "_e.line"))
+
+
 def render_template(df: DataFrame, group: Sequence[str], order: Column | str, item: Column,
                     head: Column, tail: Column, sep: str = "\n") -> DataFrame:
     """One text document per group: head, one line per item (in ``order``), tail.

@@ -12,6 +12,9 @@ from benchlens.operators.ordered import materialize
 from benchlens.operators.sequence import align_sequence
 from benchlens.plans.fixtures import RUNS_SQL, runs, table
 from benchlens.session import scratch_path
+from benchlens.sinks.writers import write_texts
+from benchlens.sources.files import with_path_tags
+from benchlens.sources.lines import file_lines
 from benchlens.streaming.tee import merge_streams, read_merged, tee_stream
 
 GATE = 0.95
@@ -28,6 +31,24 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return R.render_report(aligned, bands, *LABELS, GATE, row_order=["first_ts", "program"], label_width=LABEL_WIDTH)
 
 
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison table written as one ordered text and read back."""
+    path = scratch_path(spark, "report")
+    write_texts(report_lines(spark, sf), path, ["sec", "block", "row_no"])
+    return file_lines(spark, path, per_folder=True).select("line_no", F.col("text").alias("line"))
+
+
+def document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One text per order priority (head, a line per order, tail), written in parts and read back with line numbers."""
+    path = scratch_path(spark, "documents")
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus")
+    write_texts(R.template_lines(orders, "o_orderpriority", "o_orderkey", F.format_string("  - %d: %s", "o_orderkey", "o_orderstatus"),
+                                 head=F.concat(F.lit("priority: "), F.col("o_orderpriority"), F.lit("\norders:")),
+                                 tail=F.lit("# end of list")), path, ["sec", "ord"], "o_orderpriority")
+    back = with_path_tags(file_lines(spark, path, per_folder=True), "folder", ["document"])
+    return back.select("document", "line_no", F.col("text").alias("line"))
+
+
 def template_render(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select("n_name", "n_regionkey")
     r = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
@@ -144,6 +165,14 @@ UNION ALL SELECT 2, '', pos, {_BAND} FROM bc, w"""
 
 SQL = {
     "report_lines": REPORT_SQL,
+    "report_file": f"SELECT CAST(row_number() OVER (ORDER BY sec, block, row_no) AS BIGINT) AS line_no, line FROM ({REPORT_SQL})",
+    "document_files": """
+WITH p AS (SELECT DISTINCT o_orderpriority AS document FROM orders),
+l AS (SELECT document, 0 AS sec, 0 AS o, 'priority: ' || document AS line FROM p
+      UNION ALL SELECT document, 0, 1, 'orders:' FROM p
+      UNION ALL SELECT o_orderpriority, 1, o_orderkey, '  - ' || o_orderkey || ': ' || o_orderstatus FROM orders
+      UNION ALL SELECT document, 2, 0, '# end of list' FROM p)
+SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY sec, o) AS BIGINT) AS line_no, line FROM l""",
     # longest increasing subsequence of the second side's places: the least end of each length, row after row
     "cmp_seq_lengths": "WITH RECURSIVE " + RUNS_SQL + """,
 pa AS (SELECT block, program, row_number() OVER (PARTITION BY block ORDER BY first_ts, program, cpu, r2) AS p FROM ra),
@@ -178,7 +207,9 @@ FROM events, (VALUES ('a'), ('b')) s(sink) GROUP BY event_type, s.sink""",
 
 QUERIES = {
     "report_lines": report_lines,
+    "report_file": report_file,
     "template_render": template_render,
+    "document_files": document_files,
     "stream_tee": stream_tee,
     "stream_merge": stream_merge,
     "cmp_align_seq": cmp_align_seq,

@@ -1,8 +1,12 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from benchlens.operators.corpus import cached_table
-from benchlens.sinks.writers import append_outcomes, commit_new, remove_results, write_results
+from benchlens.operators.report import template_lines
+from benchlens.sinks.writers import append_outcomes, commit_new, remove_results, write_results, write_texts
+from benchlens.sources.files import with_path_tags
+from benchlens.sources.lines import file_lines
 from benchlens.streaming import tee
 from benchlens.streaming.tee import merge_streams, read_merged, tee_stream
 
@@ -102,3 +106,45 @@ def test_a_run_without_rows_takes_the_place_of_the_older_one(spark, tmp_out):  #
     assert remove_results(spark, f"{tmp_out}/r", {"variant": "y", "target": "n"}) == 1
     assert remove_results(spark, f"{tmp_out}/r", {"variant": "z"}) == 0
     assert sorted(r.v for r in spark.read.parquet(f"{tmp_out}/r").collect()) == [1, 3]
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small shuffle partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_long_document_is_several_ordered_parts(spark, tmp_out, many_parts):  # K5, K6
+    """A document with a million of the lines, some of a few, and none: each is read back in its order."""
+    n = 1_000_000
+    some = spark.range(n + 50).select(F.when(F.col("id") < n, "big/one").when(F.col("id") % 2 == 0, "é small").alias("doc"),
+                                      F.pmod(F.col("id") * 7919, F.lit(n + 50)).alias("o"))
+    some = some.select("doc", "o", F.concat(F.lit("line "), "o").alias("text"))
+    assert write_texts(some, f"{tmp_out}/docs", ["o"], "doc", "text")
+    assert not write_texts(some.limit(0), f"{tmp_out}/docs", ["o"], "doc", "text")
+    back = with_path_tags(file_lines(spark, f"{tmp_out}/docs", per_folder=True), "folder", ["document"])
+    parts = spark.read.text(f"{tmp_out}/docs").where("document = 'big/one'").select("_metadata.file_name").distinct().count()
+    assert parts > 1
+    want = some.withColumn("line_no", F.row_number().over(Window.partitionBy("doc").orderBy("o"))).select(
+        F.coalesce("doc", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("document"), F.col("line_no").cast("long").alias("line_no"), "text")
+    got = back.select("document", "line_no", "text")
+    assert got.count() == n + 50 and got.exceptAll(want).count() == 0
+
+
+def test_one_ordered_text_and_its_edges(spark, tmp_out, many_parts):  # K5
+    rows = [(i * 37 % 500, f"row {i * 37 % 500}") for i in range(500)] + [(None, "first"), (900, None), (901, "two\nlines")]
+    df = spark.createDataFrame(rows, "o int, line string")
+    write_texts(df, f"{tmp_out}/t", ["o"])
+    got = [r.text for r in file_lines(spark, f"{tmp_out}/t", per_folder=True).orderBy("line_no").collect()]
+    assert got == ["first", *[f"row {i}" for i in range(500)], "", "two", "lines"]
+    write_texts(df.limit(0), f"{tmp_out}/none", ["o"])
+    assert spark.read.schema("value string").text(f"{tmp_out}/none").count() == 0
+
+
+def test_template_lines(spark):  # K6
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), (None, 1, "z")], "g string, o int, v string")
+    got = template_lines(df, "g", "o", F.col("v"), F.concat(F.lit("head "), F.coalesce("g", F.lit("?"))), F.lit("end"))
+    rows = sorted(map(tuple, got.collect()), key=lambda r: (r[0] or "", r[1], r[2] or 0))
+    assert [r[3] for r in rows] == ["head ?", "z", "end", "head a", "x", "y", "end"]
