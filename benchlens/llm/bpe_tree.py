@@ -1,26 +1,30 @@
-"""BPE encoding and decoding, with long unsplit pieces encoded as a tree of halves.
-
-A piece that the pre-tokenizer leaves whole (a run of letters, or of signs) is
-halved until its leaves are short, the leaves are encoded in parallel as rows
-of their own, and neighbours are joined up the tree. At each join a window of
-tokens around the seam is encoded anew and doubled until its outer tokens are
-those of both sides. Merges are by rank, so a token sequence is the encoding of
-its text exactly when every two neighbours are that of theirs; a window that
-agrees with both sides therefore makes the joined sequence exact.
+"""BPE encoding and decoding of whole texts as a tree of halves.
+
+A text is halved by its characters until its leaves are short, wherever the
+cuts fall: between the pieces of the pre-tokenizer or inside one. The leaves
+are encoded in parallel as rows of their own, and neighbours are joined up the
+tree. At a join inside a piece a window of tokens around the seam is encoded
+anew and doubled until its outer tokens are those of both sides. Merges are by
+rank and stay within a piece, so a token sequence is the encoding of its text
+exactly when every two neighbours are that of theirs; a window that agrees with
+both sides therefore makes the joined sequence exact. Between two pieces
+nothing merges, so there both sides stay as they are.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.words import DEFAULT_FILE, WordCodec, slices
+from benchlens.llm.words import DEFAULT_FILE, SPECIAL, SYMBOLS, WordCodec, slices
 
 _END = "</w>"  # fixed value: the word end of the vocabulary file
 AGREE = 2  # outer tokens of a window that must equal each side's
@@ -34,9 +38,12 @@ class HalfCoder:
 
         self.closed = Tokenizer.from_file(path).model
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
+            file = json.load(f)
+        spec = file["model"]
         self.open = models.BPE(vocab=spec["vocab"], merges=[tuple(m) for m in spec["merges"]])
         self.token = {i: t for t, i in spec["vocab"].items()}
+        # tokens after which their piece goes on; a special token is a piece by itself
+        self.inside = {i for i, t in self.token.items() if not t.endswith(_END)} - {t["id"] for t in file["added_tokens"]}
 
     def encode(self, symbols: str, last: bool) -> list[int]:
         return [t.id for t in (self.closed if last else self.open).tokenize(symbols)]
@@ -54,41 +61,69 @@ class HalfCoder:
                 return left[:-w] + got + right[w:]
             w *= 2
 
+    def join_texts(self, left: list[int], right: list[int]) -> list[int]:
+        """Encoding of two neighbouring parts of a text; only a piece that lies on both sides is encoded anew."""
+        if not left or not right or left[-1] not in self.inside:
+            return left + right
+        i = len(left)
+        while i and left[i - 1] in self.inside:
+            i -= 1
+        j = next((n for n, t in enumerate(right, 1) if t not in self.inside), len(right))
+        return left[:i] + self.join(left[i:], right[:j], right[j - 1] not in self.inside) + right[j:]
+
     def join_all(self, parts: list[list[int]]) -> list[int]:
         """Join neighbouring encodings pairwise, level by level."""
         while len(parts) > 1:
-            n = len(parts)
-            parts = [self.join(parts[i], parts[i + 1], i + 2 >= n) if i + 1 < n else parts[i] for i in range(0, n, 2)]
+            parts = [self.join_texts(*parts[i:i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def encode_tree(self, symbols: str, leaf: int) -> list[int]:
-        """The whole method in one place (what the Spark job does over rows)."""
-        cut = halves(symbols, leaf)
-        return self.join_all([self.encode(s, i + 1 == len(cut)) for i, s in enumerate(cut)])
+
+def halves(n: int, leaf: int) -> list[int]:
+    """Where ``n`` characters are cut when they are halved until no part is longer than ``leaf``; ends with ``n``."""
+    def cut(lo: int, hi: int) -> list[int]:
+        mid = (lo + hi) // 2
+        return [hi] if hi - lo <= leaf else cut(lo, mid) + cut(mid, hi)
+
+    return cut(0, n)
 
 
-def halves(symbols: str, leaf: int) -> list[str]:
-    """``symbols`` halved until no part is longer than ``leaf``."""
-    if len(symbols) <= leaf:
-        return [symbols]
-    mid = len(symbols) // 2
-    return halves(symbols[:mid], leaf) + halves(symbols[mid:], leaf)
+def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[tuple[bool, bool, list[str]]]:
+    """(head, tail, keys) of every leaf of a text.
+
+    ``head``: the first key is the rest of a piece begun in the leaf before;
+    ``tail``: the last key's piece goes on in the next leaf. Such keys are byte symbols.
+    """
+    width = [1 if p[0] == SPECIAL else len(p) - (p[0] == SYMBOLS) for p in pieces]
+    ends = list(accumulate(width))
+    out: list[tuple[bool, bool, list[str]]] = []
+    at, used = 0, 0  # the piece that the leaf starts in, and how many of its symbols are used up
+    for hi in halves(ends[-1] if ends else 0, leaf):
+        stop = bisect_right(ends, hi)  # pieces before this one end in the leaf
+        head, keys = used > 0, pieces[at:stop]
+        if head and keys:
+            keys[0] = codec.symbols(keys[0])[used:]
+        over = hi - (ends[stop - 1] if stop else 0)  # symbols of the next piece that belong to the leaf
+        if over:
+            keys.append(codec.symbols(pieces[stop])[used if stop == at else 0:over])
+        out.append((head, over > 0, keys))
+        at, used = stop, over
+    return out
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_FILE,
-           leaf: int = 4096) -> DataFrame:
+           leaf: int = 1024) -> DataFrame:
     """(``id_col``, ids, decoded) of every whole text.
 
     ``ids`` holds little-endian unsigned 32-bit integers; ``decoded`` is the
     decoded text of these ids, special tokens included. A null text is empty
     (no ids, empty decoded text). Rows are kept one to one: null ids and
     repeated rows too. Other columns are not read; an empty table gives an
-    empty result. Texts with a run of more than ``leaf`` characters without
-    white space take the tree path, all others are encoded where they are
-    read; both give the same ids.
+    empty result. A text of at most ``leaf`` characters is its tree's only
+    leaf and is encoded where it is read; of all longer texts the leaves are
+    dealt over the tasks and joined. The table is scanned once for each of the two.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    long_run = (F.length("_text") > leaf) & F.col("_text").rlike(rf"(?:^|[ \t\n\x0B\f\r])[^ \t\n\x0B\f\r]{{{leaf + 1}}}")
+    long = F.length("_text") > leaf
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
                            T.StructField("decoded", T.StringType())])
 
@@ -97,76 +132,66 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for b in slices(batches, 128):
             got = list(codec.encode(b.column(1).to_pylist(), decode=True))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in got], pa.binary()),
-                                              pa.array([s for _, s in got], pa.string())], names=[id_col, "ids", "decoded"])
+                                              pa.array([s for _, s in got], pa.string())], names=schema.names)
 
-    return src.where(~long_run).mapInArrow(whole, schema).unionByName(_tree(src.where(long_run), schema, path, leaf))
+    return src.where(~long).mapInArrow(whole, schema).unionByName(_tree(src.where(long), schema, path, leaf))
 
 
-def _tree(src: DataFrame, schema: T.StructType, path: str, leaf: int) -> DataFrame:
-    id_type = schema[0].dataType
-    parts = T.StructType([T.StructField("_id", id_type), T.StructField("_row", T.LongType()),
-                          T.StructField("part", T.IntegerType()), T.StructField("at", T.IntegerType()),
-                          T.StructField("last", T.BooleanType()), T.StructField("symbols", T.StringType()),
-                          T.StructField("ids", T.BinaryType())])
-    names = parts.names
+def cut_leaves(src: DataFrame, path: str, leaf: int) -> DataFrame:
+    """A row for each leaf of the texts in ``src`` (_id, _text): _id, _row, part, head, tail, keys."""
+    src = src.withColumn("_row", F.monotonically_increasing_id())
+    schema = T.StructType([*(f for f in src.schema if f.name != "_text"), T.StructField("part", T.IntegerType()),
+                           T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType()),
+                           T.StructField("keys", T.StringType())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordCodec(path)
-        for b in slices(batches, 1):
-            rows: list[tuple] = []  # part, at, last, symbols, ids
-            short: list[str] = []
-
-            def flush() -> None:
-                if short:
-                    codec.learn(short, False)
-                    rows.append((len(rows), 0, True, None, b"".join([codec.ids[p] for p in short])))
-                    short.clear()
-
-            for p in codec.pieces(b.column(1)[0].as_py()):
-                symbols = "" if len(p) <= leaf // 4 else codec.symbols(p)
-                if len(symbols) <= leaf:
-                    short.append(p)
-                    continue
-                flush()
-                own, part = halves(symbols, leaf), len(rows)
-                rows += [(part, i, i + 1 == len(own), s, None) for i, s in enumerate(own)]
-            flush()
-            n = len(rows)
-            cols = list(zip(*rows)) if rows else [()] * 5
+        for b in slices(batches, 16):
+            rows = [(i, part, *own[:2], " ".join(own[2])) for i, text in enumerate(b.column(1).to_pylist())
+                    for part, own in enumerate(leaves_of(codec, codec.pieces(text), leaf))]
+            of, part, head, tail, keys = zip(*rows)
+            of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([0] * n, pa.int64())), b.column(2).take(pa.array([0] * n, pa.int64())),
-                 *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.binary()))]],
-                names=names)
+                [b.column(0).take(of), b.column(2).take(of), pa.array(part, pa.int32()), pa.array(head, pa.bool_()),
+                 pa.array(tail, pa.bool_()), pa.array(keys, pa.string())], names=schema.names)
+
+    return src.select("_id", "_text", "_row").mapInArrow(cut, schema)
+
+
+def _tree(src: DataFrame, schema: T.StructType, path: str, leaf: int) -> DataFrame:
+    parts = cut_leaves(src, path, leaf)
+    encoded = T.StructType([f for f in parts.schema if f.name not in ("head", "tail", "keys")] + [T.StructField("ids", T.BinaryType())])
 
     def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        codec, coder = WordCodec(path), HalfCoder(path)
         for b in slices(batches):
-            coder = coder or HalfCoder(path)
-            ids = [got if s is None else _packed(coder.encode(s, last)) for s, got, last in
-                   zip(b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(4).to_pylist())]
-            yield b.set_column(6, "ids", pa.array(ids, pa.binary())).set_column(
-                5, "symbols", pa.array([s if s is None else "" for s in b.column(5).to_pylist()], pa.string()))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        coder = HalfCoder(path)
-        pdf = pdf.sort_values(["part", "at"])
-        out: list[bytes] = []
-        for _, own in pdf.groupby("part", sort=True):
-            got = list(own["ids"])
-            out += got if len(got) == 1 else [_packed(coder.join_all([_unpacked(x) for x in got]))]
-        ids = b"".join(out)
-        shown = WordCodec(path).token
-        return pd.DataFrame({schema.names[0]: pdf["_id"].iloc[:1].values, "ids": [ids],
-                             "decoded": [" ".join([shown[i] for i in _unpacked(ids)])]})
-
-    # Leaves are dealt out one by one, so a very long piece is encoded by many tasks.
-    dealt = (src.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, parts)
-             .repartition("_row", "part", "at").mapInArrow(leaves, parts))
-    return dealt.groupBy("_row").applyInPandas(grow, schema)
+            rows = [(head, tail, keys.split(" ") if keys else []) for head, tail, keys in
+                    zip(*(b.column(c).to_pylist() for c in ("head", "tail", "keys")))]
+            codec.learn((k for head, tail, keys in rows for k in keys[head:len(keys) - tail]), False)
+            ids = []
+            for head, tail, keys in rows:
+                first = [_packed(coder.encode(keys[0], not (tail and len(keys) == 1)))] if head and keys else []
+                last = [_packed(coder.encode(keys[-1], False))] if tail and len(keys) > bool(first) else []
+                ids.append(b"".join(first + [codec.ids[k] for k in keys[head:len(keys) - tail]] + last))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in encoded.names[:-1]), pa.array(ids, pa.binary())],
+                                             names=encoded.names)
+
+    def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, coder = WordCodec(path), HalfCoder(path)
+        for b in slices(batches, 32):
+            got = [coder.join_all([_unpacked(x) for x in own]) for own in b.column(1).to_pylist()]
+            shown = [" ".join([codec.token[i] for i in ids]) for ids in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(ids) for ids in got], pa.binary()),
+                                              pa.array(shown, pa.string())], names=schema.names)
+
+    # leaves are dealt out one by one, so a very long text is encoded by many tasks
+    done = parts.repartition("_row", "part").mapInArrow(leaves, encoded)
+    own = done.groupBy("_row").agg(F.first("_id").alias("_id"), F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("own"))
+    return own.select("_id", F.col("own.ids").alias("own")).mapInArrow(grow, schema)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return array("I", ids).tobytes()
 
 
 def _unpacked(ids: bytes) -> list[int]:

@@ -26,8 +26,8 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 # Marks of pieces that did not take the Latin-1 path; no Latin-1 text holds these characters.
-_SYMBOLS = "Ā"
-_SPECIAL = "ā"
+SYMBOLS = "Ā"
+SPECIAL = "ā"
 
 
 def byte_symbols() -> list[str]:
@@ -70,22 +70,22 @@ class WordCodec:
         for word in _ASCII_SPACE.split(text):
             for part in self.any_special.split(word):
                 if part in self.special:
-                    out.append(_SPECIAL + part)
+                    out.append(SPECIAL + part)
                 elif part:
                     try:
                         part.encode("latin-1")
                         out += _PIECE.findall(part.lower())
                     except UnicodeEncodeError:
                         plain = self.tok.normalizer.normalize_str(part)
-                        out += [_SYMBOLS + s for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
+                        out += [SYMBOLS + s for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
     def symbols(self, piece: str) -> str:
         """The byte symbols that the merges of ``piece`` start from."""
-        return piece[1:] if piece[0] == _SYMBOLS else piece.translate(self.latin)
+        return piece[1:] if piece[0] == SYMBOLS else piece.translate(self.latin)
 
     def merge(self, piece: str) -> list[int]:
-        if piece[0] == _SPECIAL:
+        if piece[0] == SPECIAL:
             return [self.special[piece[1:]]]
         return [t.id for t in self.model.tokenize(self.symbols(piece))]
 

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from benchlens.llm.bpe_tree import HalfCoder, encode, halves
+from benchlens.llm.bpe_tree import HalfCoder, cut_leaves, encode, halves, leaves_of
 from benchlens.llm.words import DEFAULT_FILE, WordCodec
 
 
@@ -20,17 +20,36 @@ def library(codec, text):
 
 def test_halves_are_short_and_whole():
     for n in (0, 1, 7, 8, 9, 1000):
-        s = "x" * n
-        assert "".join(halves(s, 8)) == s and all(len(p) <= 8 for p in halves(s, 8))
+        ends = halves(n, 8)
+        assert ends[-1] == n and all(0 <= hi - lo <= 8 for lo, hi in zip([0, *ends], ends))
 
 
-def test_tree_equals_direct_encoding(codec):
+def tree(coder, codec, text, leaf):
+    """The whole method in one place (what the Spark job does over rows)."""
+    parts = []
+    for head, tail, keys in leaves_of(codec, codec.pieces(text), leaf):
+        ids = []
+        for n, key in enumerate(keys):
+            begun, goes_on = head and n == 0, tail and n + 1 == len(keys)
+            ids += coder.encode(key, not goes_on) if begun or goes_on else codec.merge(key)
+        parts.append(ids)
+    return coder.join_all(parts)
+
+
+def test_tree_equals_the_library(codec):
     coder, rng = HalfCoder(DEFAULT_FILE), random.Random(3)
-    for _ in range(1500):
-        letters = rng.choice(["ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aé", "!?.", "!$#%&*", "日本"])
-        piece = "".join(rng.choice(letters) for _ in range(rng.randint(1, 300)))
-        symbols = "".join(codec.symbols(p) for p in codec.pieces(piece)) if letters != "日本" else codec.symbols(codec.pieces(piece)[0])
-        assert coder.encode_tree(symbols, rng.choice([1, 2, 3, 8, 32])) == coder.encode(symbols, True)
+    alphabets = ["ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz ", "aé ", "!?.", "!$#%&*w</>", "日本 ", "e\u0301a 日", "it's re've ",
+                 ["<|endoftext|>", "<|startoftext|>", "a", " ", "<|", "|>"], "Aa\n\t İΣß½²1"]
+    for _ in range(3000):
+        letters = rng.choice(alphabets)
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 200)))
+        assert tree(coder, codec, text, rng.choice([1, 2, 3, 8, 32])) == library(codec, text)[0], text
+
+
+def test_leaves_cut_inside_words(codec):
+    cut = leaves_of(codec, codec.pieces("incomprehensible"), 4)
+    assert [(h, t) for h, t, _ in cut] == [(False, True), (True, True), (True, True), (True, False)]
+    assert ["".join(k) for _, _, k in cut] == ["inco", "mpre", "hens", "ible"]
 
 
 def test_word_cache_equals_the_library(codec):
@@ -56,6 +75,17 @@ def test_long_pieces_and_edges_over_spark(spark, codec):
     assert encode(df.limit(0)).count() == 0
 
 
+def test_texts_of_the_table_go_through_the_tree(spark):
+    """Most texts at sf0.001 have several leaves, none longer than the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS _id", "text AS _text")
+    leaves = cut_leaves(docs.where("length(_text) > 1024"), DEFAULT_FILE, 1024)
+    rows = leaves.groupBy("_row").count().collect()
+    assert len(rows) == docs.where("length(_text) > 1024").count() > docs.count() / 2
+    assert min(r["count"] for r in rows) >= 1 and sum(r["count"] > 1 for r in rows) > len(rows) * 0.7
+    # a leaf's keys are parted by one space each; Latin-1 letters take two symbols at most
+    assert leaves.where("length(replace(keys, ' ', '')) > 2048").isEmpty()
+
+
 def test_query_matches_the_library(spark, codec):
     from benchlens.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"
