@@ -2,8 +2,8 @@
 
 A text is halved by its characters until its leaves are short, wherever the
 cuts fall: between the pieces of the pre-tokenizer or inside one. The leaves
-are encoded in parallel as rows of their own, and neighbours are joined up the
-tree. At a join inside a piece a window of tokens around the seam is encoded
+are encoded, those of very long texts in parallel as rows of their own, and
+neighbours are joined up the tree. At a join inside a piece a window of tokens around the seam is encoded
 anew and doubled until its outer tokens are those of both sides. Merges are by
 rank and stay within a piece, so a token sequence is the encoding of its text
 exactly when every two neighbours are that of theirs; a window that agrees with
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from benchlens.llm.words import DEFAULT_FILE, SPECIAL, SYMBOLS, WordCodec, slices
 
 _END = "</w>"  # fixed value: the word end of the vocabulary file
+Leaf = tuple[bool, bool, list[str]]  # head, tail, keys: see leaves_of
 AGREE = 2  # outer tokens of a window that must equal each side's
 
 
@@ -87,7 +88,7 @@ def halves(n: int, leaf: int) -> list[int]:
     return cut(0, n)
 
 
-def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[tuple[bool, bool, list[str]]]:
+def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[Leaf]:
     """(head, tail, keys) of every leaf of a text.
 
     ``head``: the first key is the rest of a piece begun in the leaf before;
@@ -95,7 +96,7 @@ def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[tuple[bool
     """
     width = [1 if p[0] == SPECIAL else len(p) - (p[0] == SYMBOLS) for p in pieces]
     ends = list(accumulate(width))
-    out: list[tuple[bool, bool, list[str]]] = []
+    out: list[Leaf] = []
     at, used = 0, 0  # the piece that the leaf starts in, and how many of its symbols are used up
     for hi in halves(ends[-1] if ends else 0, leaf):
         stop = bisect_right(ends, hi)  # pieces before this one end in the leaf
@@ -110,29 +111,44 @@ def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[tuple[bool
     return out
 
 
+def encode_leaves(codec: WordCodec, coder: HalfCoder, leaves: list[Leaf]) -> list[list[int]]:
+    """Ids of every leaf by itself; pieces that lie whole in a leaf are looked up in the cache."""
+    codec.learn((k for head, tail, keys in leaves for k in keys[head:len(keys) - tail]), False)
+    out = []
+    for head, tail, keys in leaves:
+        ids = coder.encode(keys[0], not (tail and len(keys) == 1)) if head else []
+        ids += _unpacked(b"".join([codec.ids[k] for k in keys[head:len(keys) - tail]]))
+        if tail and len(keys) > head:
+            ids += coder.encode(keys[-1], False)
+        out.append(ids)
+    return out
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_FILE,
-           leaf: int = 1024) -> DataFrame:
+           leaf: int = 512, deal: int = 16384) -> DataFrame:
     """(``id_col``, ids, decoded) of every whole text.
 
     ``ids`` holds little-endian unsigned 32-bit integers; ``decoded`` is the
     decoded text of these ids, special tokens included. A null text is empty
     (no ids, empty decoded text). Rows are kept one to one: null ids and
     repeated rows too. Other columns are not read; an empty table gives an
-    empty result. A text of at most ``leaf`` characters is its tree's only
-    leaf and is encoded where it is read; of all longer texts the leaves are
-    dealt over the tasks and joined. The table is scanned once for each of the two.
+    empty result. Every text is a tree of leaves of at most ``leaf``
+    characters. The tree of a text of at most ``deal`` characters is built
+    where the text is read; of all longer texts the leaves are dealt over the
+    tasks and joined. The table is scanned once for each of the two.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    long = F.length("_text") > leaf
+    long = F.length("_text") > deal
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
                            T.StructField("decoded", T.StringType())])
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
-        for b in slices(batches, 128):
-            got = list(codec.encode(b.column(1).to_pylist(), decode=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in got], pa.binary()),
-                                              pa.array([s for _, s in got], pa.string())], names=schema.names)
+        codec, coder = WordCodec(path), HalfCoder(path)
+        for b in slices(batches, 64):
+            cut = [leaves_of(codec, codec.pieces(text), leaf) for text in b.column(1).to_pylist()]
+            done = iter(encode_leaves(codec, coder, [x for own in cut for x in own]))
+            got = [coder.join_all([next(done) for _ in own]) for own in cut]
+            yield _decoded(codec, b.column(0), got, schema.names)
 
     return src.where(~long).mapInArrow(whole, schema).unionByName(_tree(src.where(long), schema, path, leaf))
 
@@ -167,22 +183,14 @@ def _tree(src: DataFrame, schema: T.StructType, path: str, leaf: int) -> DataFra
         for b in slices(batches):
             rows = [(head, tail, keys.split(" ") if keys else []) for head, tail, keys in
                     zip(*(b.column(c).to_pylist() for c in ("head", "tail", "keys")))]
-            codec.learn((k for head, tail, keys in rows for k in keys[head:len(keys) - tail]), False)
-            ids = []
-            for head, tail, keys in rows:
-                first = [_packed(coder.encode(keys[0], not (tail and len(keys) == 1)))] if head and keys else []
-                last = [_packed(coder.encode(keys[-1], False))] if tail and len(keys) > bool(first) else []
-                ids.append(b"".join(first + [codec.ids[k] for k in keys[head:len(keys) - tail]] + last))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in encoded.names[:-1]), pa.array(ids, pa.binary())],
-                                             names=encoded.names)
+            ids = pa.array([_packed(x) for x in encode_leaves(codec, coder, rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in encoded.names[:-1]), ids], names=encoded.names)
 
     def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, coder = WordCodec(path), HalfCoder(path)
-        for b in slices(batches, 32):
+        for b in slices(batches, 8):
             got = [coder.join_all([_unpacked(x) for x in own]) for own in b.column(1).to_pylist()]
-            shown = [" ".join([codec.token[i] for i in ids]) for ids in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(ids) for ids in got], pa.binary()),
-                                              pa.array(shown, pa.string())], names=schema.names)
+            yield _decoded(codec, b.column(0), got, schema.names)
 
     # leaves are dealt out one by one, so a very long text is encoded by many tasks
     done = parts.repartition("_row", "part").mapInArrow(leaves, encoded)
@@ -190,6 +198,12 @@ def _tree(src: DataFrame, schema: T.StructType, path: str, leaf: int) -> DataFra
     return own.select("_id", F.col("own.ids").alias("own")).mapInArrow(grow, schema)
 
 
+def _decoded(codec: WordCodec, id_values: pa.Array, ids: list[list[int]], names: list[str]) -> pa.RecordBatch:
+    shown = [" ".join([codec.token[i] for i in own]) for own in ids]
+    return pa.RecordBatch.from_arrays([id_values, pa.array([_packed(own) for own in ids], pa.binary()),
+                                       pa.array(shown, pa.string())], names=names)
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
