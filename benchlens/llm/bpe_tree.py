@@ -94,8 +94,8 @@ def leaves_of(codec: WordCodec, pieces: list[str], leaf: int) -> list[Leaf]:
     ``head``: the first key is the rest of a piece begun in the leaf before;
     ``tail``: the last key's piece goes on in the next leaf. Such keys are byte symbols.
     """
-    width = [1 if p[0] == SPECIAL else len(p) - (p[0] == SYMBOLS) for p in pieces]
-    ends = list(accumulate(width))
+    marked = not "".join(pieces).isascii()
+    ends = list(accumulate([1 if p[0] == SPECIAL else len(p) - (p[0] == SYMBOLS) for p in pieces] if marked else map(len, pieces)))
     out: list[Leaf] = []
     at, used = 0, 0  # the piece that the leaf starts in, and how many of its symbols are used up
     for hi in halves(ends[-1] if ends else 0, leaf):
