@@ -83,9 +83,9 @@ def _number_buckets(df: DataFrame, v: Column, n_buckets: int | None) -> Column:
     """
     grid = MAX_TREE_BUCKETS if n_buckets is None else max(1, min(n_buckets, MAX_TREE_BUCKETS))
     finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)  # limits are finite; what is beyond sorts behind them
-    probs = [i / grid for i in range(0, grid + 1)]
-    row = df.select(F.percentile_approx(finite, probs, 10000).alias("q"),
-                    F.count(F.lit(1)).alias("n")).first()
+    probs = ", ".join(f"{i / grid!r}D" for i in range(0, grid + 1))  # one text: a call to the JVM for each would take a second
+    row = df.select(finite.alias("_v")).select(F.expr(f"percentile_approx(_v, array({probs}), 10000)").alias("q"),
+                                               F.count(F.lit(1)).alias("n")).first()
     n = n_buckets or _wanted_buckets(df, int(row["n"] or 0))
     if row["q"] is None:  # no value to cut at
         return F.lit(0)

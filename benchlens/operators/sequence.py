@@ -7,7 +7,7 @@ the default everywhere else.
 A block is first cut where no key has rows on both sides of the cut: no match
 can cross such a cut, so the longest common subsequences of the pieces add up
 exactly. A piece of one key pairs its n-th rows by a join. The other pieces are
-cut into strips of ``STRIP`` rows on either side. Where that gives more than one
+cut into strips of rows on either side (``strip_size``). Where that gives more than one
 strip, the table of common-subsequence lengths is swept strip by strip, from
 both ends: a tile (a strip of each side) needs only the length differences along
 two of its edges and passes on those along the other two, so the tiles of a
@@ -34,6 +34,7 @@ from benchlens.operators.ordered import materialize, range_buckets, running
 from benchlens.session import scratch_path, target_partitions
 
 STRIP = 65_536  # rows of a strip
+MOST_STRIPS = 4  # of a side, while strips have fewer than STRIP rows: every diagonal of tiles is a job
 _MOST_PAIRS = 50  # equal rows of both sides per row, beyond which lengths are swept instead
 
 
@@ -43,14 +44,45 @@ def sweep(first: list, second: list, flat: int, steps: np.ndarray) -> tuple[int,
     Bit j of ``flat`` is 0 where the length grows from row j to j + 1 of
     ``second`` (along the edge before ``first``); ``steps`` is 1 for rows of
     ``first`` over which it grows along the edge before ``second``. Returns
-    both for the opposite edges. All rows of ``second`` are handled at once, as
-    the bits of one number.
+    both for the opposite edges. Where equal rows are few, each moves one place
+    of growth (``_sweep_pairs``); else all rows of ``second`` are handled at
+    once, as the bits of one number.
     """
     width = len(second)
-    full = (1 << width) - 1
     where: dict = {}
     for j, k in enumerate(second):
         where.setdefault(k, []).append(j)
+    if sum(len(where.get(k, ())) for k in first) <= len(first) * (4 + width // 4096):  # a pair costs as much as the bits of so many rows
+        return _sweep_pairs(first, where, width, flat, steps)
+    return _sweep_bits(first, where, width, flat, steps)
+
+
+def _sweep_pairs(first: list, where: dict, width: int, flat: int, steps: np.ndarray) -> tuple[int, np.ndarray]:
+    """``sweep`` by the pairs of equal rows, whatever the width."""
+    grows = np.flatnonzero(_growth(flat, width)).tolist()
+    gone = 0  # places of growth passed to the rows before ``second``
+    out = np.zeros(len(first), np.uint8)
+    for i, (k, step) in enumerate(zip(first, steps.tolist())):
+        for j in reversed(where.get(k, ())):
+            p = bisect_left(grows, j, gone)
+            if p == len(grows):
+                grows.append(j)
+                out[i] = 1
+            else:
+                grows[p] = j
+        if step:
+            if gone == len(grows):
+                out[i] = 1
+            else:
+                gone += 1
+    flats = np.ones(width, np.uint8)
+    flats[grows[gone:]] = 0
+    return int.from_bytes(np.packbits(flats, bitorder="little").tobytes(), "little"), out
+
+
+def _sweep_bits(first: list, where: dict, width: int, flat: int, steps: np.ndarray) -> tuple[int, np.ndarray]:
+    """``sweep`` by whole rows of the table, however many rows are equal."""
+    full = (1 << width) - 1
     masks: dict = {}
 
     def mask(k: object) -> int:
@@ -170,13 +202,15 @@ def pieces(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = materialize(span(a, 1).join(span(b, 2), ["block", "program"]))
     keys = keys.withColumn("_b", range_buckets(keys, "lo1"))
     at = Window.partitionBy("block", "_b").orderBy("lo1")
-    so_far, to_come = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(1, Window.unboundedFollowing)
+    so_far = at.rowsBetween(Window.unboundedPreceding, 0)
+    # from the end: Spark computes a frame that reaches to it anew for every row
+    to_come = Window.partitionBy("block", "_b").orderBy(F.col("lo1").desc()).rowsBetween(Window.unboundedPreceding, -1)
     local = keys.withColumns({"_m1": F.max("hi1").over(so_far), "_m2": F.max("hi2").over(so_far),
                               "_n1": F.lead("lo1").over(at), "_n2": F.min("lo2").over(to_come)})
     per = keys.groupBy("block", "_b").agg(F.max("hi1").alias("_x1"), F.max("hi2").alias("_x2"),
                                           F.min("lo1").alias("_y1"), F.min("lo2").alias("_y2"))
-    of_block = Window.partitionBy("block").orderBy("_b")  # one row a bucket
-    earlier, later = of_block.rowsBetween(Window.unboundedPreceding, -1), of_block.rowsBetween(1, Window.unboundedFollowing)
+    before = lambda c: Window.partitionBy("block").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  (one row a bucket)
+    earlier, later = before(F.col("_b")), before(F.col("_b").desc())
     per = per.select("block", "_b", F.max("_x1").over(earlier).alias("_e1"), F.max("_x2").over(earlier).alias("_e2"),
                      F.min("_y1").over(later).alias("_l1"), F.min("_y2").over(later).alias("_l2"))
     seen = local.join(per, ["block", "_b"])
@@ -263,17 +297,23 @@ def _lcs_of_strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"block": left["block"].take(i), "pos1": left["pos"].take(i), "pos2": right["pos"].take(j)})
 
 
+def strip_size(strip: int, rows: int) -> int:
+    """Rows of a strip where the longest side of a piece has ``rows``: ``strip``, or more, up to ``STRIP``, if these were many strips."""
+    return max(strip, min(STRIP, -(-rows // MOST_STRIPS)))
+
+
 def lcs_of_pieces(first: DataFrame, second: DataFrame, strip: int = STRIP) -> DataFrame:
     """(block, pos1, pos2): a longest common subsequence of each piece of the two sides (block, piece, program, pos).
 
     Pieces of more than ``strip`` rows on a side are split at crossings of a
-    best path (see the module).
+    best path (see the module), into strips of ``strip_size`` rows.
     """
     def numbered(df: DataFrame) -> DataFrame:
-        rows = running(df, _PIECE, ["pos"], index="i", total="_total").withColumn("i", F.col("i") - 1)
-        return materialize(rows.withColumn("strip", F.floor(F.col("i") / strip).cast("int")))
+        return materialize(running(df, _PIECE, ["pos"], index="i", total="_total").withColumn("i", F.col("i") - 1))
 
     one, two = numbered(first), numbered(second)
+    strip = strip_size(strip, max(df.agg(F.max("_total")).first()[0] or 0 for df in (one, two)))
+    one, two = (df.withColumn("strip", F.floor(F.col("i") / strip).cast("int")) for df in (one, two))
     count = lambda df, n: df.groupBy(*_PIECE).agg((F.max("strip") + 1).alias(n))
     shape = count(one, "s1").join(count(two, "s2"), _PIECE).where("s1 > 1 or s2 > 1")
     rounds = shape.agg(F.max(F.col("s1") + F.col("s2") - 1)).first()[0]
@@ -304,7 +344,7 @@ def align_sequence(a: DataFrame, b: DataFrame, order: str, block: str = "block",
                    key: str = "program", measure: str = "cpu", quality: str = "r2", strip: int = STRIP) -> DataFrame:
     """Order-sensitive alignment per block; ``order`` gives the row order on each side.
 
-    ``strip`` bounds the rows of either side that a task aligns (see the module).
+    ``strip``, or ``strip_size`` if sides are longer, bounds the rows of either side that a task aligns (see the module).
 
     Output: block, program, side, cpu1, r2_1, cpu2, r2_2, ratio, pos1, pos2.
     Matches are position pairs from both branches (see the module); all values

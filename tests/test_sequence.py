@@ -166,3 +166,41 @@ def test_alignment_in_strips_equals_the_one_of_one_strip(spark):
     b = spark.createDataFrame([("b", f"k{k}", i, 2.0, 1.0) for i, k in enumerate(order)], s)
     n = {strip: align_sequence(a, b, "o", strip=strip).where("side = 'both'").count() for strip in (30, 1000)}
     assert n[30] == n[1000] == len(lcs_pairs(list(range(120)), order))
+
+
+def test_pairs_sweep_as_the_bits_do():
+    from benchlens.operators import sequence
+    rnd = random.Random(5)
+    for _ in range(300):
+        width = rnd.randint(1, 70)
+        a = [rnd.choice("abcdefgh"[:rnd.randint(1, 8)]) for _ in range(rnd.randint(1, 50))]
+        where = {}
+        for j in range(width):
+            where.setdefault(rnd.choice("abcdefghij"), []).append(j)
+        flat, steps = rnd.getrandbits(width), np.array([rnd.randint(0, 1) for _ in a], np.uint8)
+        pairs, bits = (f(a, where, width, flat, steps) for f in (sequence._sweep_pairs, sequence._sweep_bits))
+        assert pairs[0] == bits[0] and pairs[1].tolist() == bits[1].tolist()
+
+
+def test_diagonals_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Short strips of a long side are lengthened: a job for each diagonal of strips would not end."""
+    from benchlens.operators import sequence
+    rounds, swept = [], sequence._swept
+    monkeypatch.setattr(sequence, "_swept", lambda a, b, shape, n: rounds.append(n) or swept(a, b, shape, n))
+    order = list(range(400))
+    random.Random(2).shuffle(order)
+    s = "block string, piece long, program string, pos long"
+    one, two = (spark.createDataFrame([("b", 0, f"k{k}", i) for i, k in enumerate(ks)], s) for ks in (range(400), order))
+    got = sorted((r.pos1, r.pos2) for r in lcs_of_pieces(one, two, 5).collect())
+    assert _matches(got, list(range(400)), order) == len(lcs_pairs(list(range(400)), order))
+    assert rounds == [2 * sequence.MOST_STRIPS - 1]
+    assert [sequence.strip_size(100, n) for n in (50, 1000, 10**6)] == [100, 250, sequence.STRIP]
+
+
+def test_cuts_need_no_frame_to_the_end(spark):
+    """Spark computes such a frame anew for each row, which is quadratic in the keys of a bucket."""
+    from benchlens.operators.sequence import pieces
+    a = spark.createDataFrame([("b", f"k{i}", i) for i in range(9)], "block string, program string, pos long")
+    out = pieces(a, a.select("block", "program", "pos"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "rowframe, 1, unboundedfollowing" not in plan.lower()
