@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from benchlens.operators.ordered import materialize, running, top_n_per_group
 
 
 PIECE = 65_536  # characters of a text that are expanded into k-mers at once
+CELL_BITS = 12  # low bits of a chunk's number, inside which neighbouring chunks are joined
 _MOST_COUNTS = 500_000  # different k-mers that a task holds before it passes their counts on
 
 
@@ -242,6 +244,85 @@ def chunk_text(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return df.select(*keep, F.posexplode(pieces).alias("chunk_pos", "chunk"))
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows (keys..., cell, pos, text) of one cell as one row, with the steps between their positions and their sizes."""
+    for b in batches:
+        n, m = b.num_rows, b.num_columns - 2
+        if not n:
+            continue
+        pos, text = b.column(m).to_numpy(zero_copy_only=False), b.column(m + 1)
+        new = np.ones(n, bool)
+        new[1:] = pos[1:] <= pos[:-1]
+        for i in range(m):
+            codes = b.column(i).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(new)
+        bounds = np.append(starts, n).astype(np.int32)
+        at = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + n + 1]
+        steps = np.diff(pos, prepend=pos[:1])
+        steps[starts] = 0
+        joined = lambda kind, ends, data: pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(ends.astype(np.int32)), data])
+        yield pa.RecordBatch.from_arrays([
+            *[b.column(i).take(pa.array(starts)) for i in range(m)], pa.array(pos[starts]), pa.array(pos[bounds[1:] - 1]),
+            joined(pa.binary(), 2 * bounds, pa.py_buffer(steps.astype("<u2").tobytes())),
+            joined(pa.binary(), 4 * bounds, pa.py_buffer(np.diff(at).astype("<u4").tobytes())),
+            joined(pa.string(), at[bounds], text.buffers()[2])], names=schema.names)
+
+
+def _in_order(rows: list[dict]) -> tuple[int, str]:
+    """First position and whole text of gathered rows whose positions overlap."""
+    if len(rows) == 1:
+        return rows[0]["_first"], rows[0]["_t"]
+    parts = []
+    for r in rows:
+        text, ends = r["_t"].encode(), np.cumsum(np.frombuffer(r["_sizes"], "<u4"), dtype=np.int64).tolist()
+        at = (r["_first"] + np.cumsum(np.frombuffer(r["_steps"], "<u2"), dtype=np.int64)).tolist()
+        parts += [(p, text[a:e]) for p, a, e in zip(at, [0, *ends], ends)]
+    parts.sort()
+    return parts[0][0], b"".join(t for _, t in parts).decode()
+
+
+def _merged(batches: Iterable[pa.RecordBatch], keys: list[str], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Gathered rows, sorted by keys, cell and first position, as (keys..., pos, text)."""
+    held: list[dict] = []
+    own, last = None, 0
+    types: list[pa.DataType] = []
+    for b in chain(batches, [None]):
+        out = []
+        for r in b.to_pylist() if b is not None else [None]:
+            key = None if r is None else tuple(r[c] for c in [*keys, "_cell"])
+            if held and (r is None or key != own or r["_first"] > last):
+                out.append((*own[:-1], *_in_order(held)))
+                held = []
+            if r is not None:
+                last = max(last, r["_last"]) if held else r["_last"]
+                held.append(r)
+                own = key
+        types = types if b is None else [b.schema.field(c).type for c in keys]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*types, pa.int64(), pa.string()])], names=schema.names)
+
+
+def joined_chunks(chunks: DataFrame, keys: Sequence[str], pos: str, chunk: str) -> DataFrame:
+    """The sequences of ``chunks`` in fewer, longer chunks: (keys..., pos, chunk); empty ones are left out.
+
+    Rows that follow each other in a task are joined before the shuffle, up to
+    ``2 ** CELL_BITS`` positions, and put in order by position behind it; a sequence is
+    spread over its cells, and a task holds only rows whose positions overlap.
+    """
+    keys = list(keys)
+    rows = chunks.where(F.length(chunk) > 0).select(
+        *keys, F.coalesce(F.col(pos).cast("long"), F.lit(-1 << 63)).alias("_pos"), F.col(chunk).alias("_t"))  # nulls first
+    rows = rows.select(*keys, F.shiftright("_pos", CELL_BITS).alias("_cell"), "_pos", "_t")
+    fixed = [chunks.schema[c] for c in keys]
+    long, text = T.LongType(), T.StringType()
+    gathered = T.StructType([*fixed, *[T.StructField(c, t) for c, t in [
+        ("_cell", long), ("_first", long), ("_last", long), ("_steps", T.BinaryType()), ("_sizes", T.BinaryType()), ("_t", text)]]])
+    merged = T.StructType([*fixed, T.StructField(pos, long), T.StructField(chunk, text)])
+    dealt = rows.mapInArrow(lambda b: _gathered(b, gathered), gathered).repartition(*keys, "_cell")
+    return dealt.sortWithinPartitions(*keys, "_cell", "_first").mapInArrow(lambda b: _merged(b, keys, merged), merged)
+
+
 def rechunk(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str] = (), pos: str = "chunk_pos",
             chunk: str = "chunk", size: int = PIECE) -> DataFrame:
     """Sequences in chunks of any lengths (empty and shorter than k too) as (seq_id..., by..., block, text).
@@ -250,9 +331,13 @@ def rechunk(chunks: DataFrame, seq_id: Sequence[str], k: int, by: Sequence[str]
     of ``size`` characters; what lies in the first k-1 of a block is also sent
     to the block before. ``text`` is a block with these following characters,
     so a block never holds more than ``size + k - 1`` characters, however the
-    sequence was cut. ``by`` must be constant in a sequence.
+    sequence was cut. ``by`` must be constant in a sequence. Chunks numbered by
+    integers are joined first (``joined_chunks``), so that no step orders the
+    short ones one by one.
     """
     seq_id, size = list(seq_id), max(size, k)
+    if isinstance(chunks.schema[pos].dataType, T.IntegerType | T.LongType):
+        chunks = materialize(joined_chunks(chunks, [*seq_id, *[c for c in by if c not in seq_id]], pos, chunk))
     src = chunks.select(*seq_id, *[c for c in by if c not in seq_id], pos, F.col(chunk).alias("_t"), F.length(chunk).alias("_n"))
     keep = [c for c in src.columns if c not in (pos, "_t", "_n")]
     at = running(src, seq_id, [pos], sums={"_end": "_n"}, index=None).where("_n > 0").withColumn(

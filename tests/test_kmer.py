@@ -156,3 +156,19 @@ def test_whole_words_of_long_lists(spark):
     df = spark.createDataFrame([("the other théthe the, the",), (None,), ("on-the-go",)], "t string")
     assert {r.pattern: r.n for r in count_patterns(df, "t", ["the", "other", "he"], whole_words=True).collect()} == {"the": 4, "other": 1}
     assert count_patterns(df, "t", []).count() == 0
+
+
+def test_short_chunks_are_joined_before_they_are_ordered(spark):
+    rnd, rows, want = random.Random(12), [], {}
+    for d in (1, 2, None):
+        text = "".join(rnd.choice("abé😀") for _ in range(9000))
+        want[d] = text
+        rows += [(d, 3 * i if i < 20 else 3 * i + 5000, c, "x") for i, c in enumerate([text[:40], "", None, *text[40:]])]
+    rnd.shuffle(rows)
+    for mixed in (rows, sorted(rows, key=lambda r: (str(r[0]), r[1]))):
+        df = spark.createDataFrame(mixed, "id long, chunk_pos long, chunk string, g string")
+        got = K.joined_chunks(df, ["id", "g"], "chunk_pos", "chunk").collect()
+        for d, text in want.items():
+            assert "".join(r.chunk for r in sorted((r for r in got if r.id == d), key=lambda r: r.chunk_pos)) == text
+    assert len(got) < 100  # of 27,000
+    assert {r.kmer: r.n for r in K.kmer_counts_chunked(df, ["id"], 3, by=["g"]).collect()} == _brute(want.values(), 3)
