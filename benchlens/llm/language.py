@@ -7,7 +7,7 @@ hashed word and character n-gram averages.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -73,17 +73,18 @@ class Model:
         return out
 
 
-def _machine(docs: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, rng: np.random.Generator,
+def _machine(docs: Sequence[Vector], rows: np.ndarray, norms: np.ndarray, signs: np.ndarray, size: int, rng: np.random.Generator,
              decay: float = 1e-4, epochs: int = 8) -> np.ndarray:
-    """Linear support vector machine by stochastic subgradients, both sides weighted alike."""
+    """Linear support vector machine by stochastic subgradients over ``rows`` of ``docs``, both sides weighted alike."""
     w, scale = np.zeros(size), 1.0
     cost = np.where(signs > 0, 0.5 / max((signs > 0).mean(), 1e-9), 0.5 / max((signs < 0).mean(), 1e-9))
     t = 1.0 / decay / 10
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(rows)):
             t += 1
             rate = 1 / (decay * t)
-            bucket, x = docs[i]
+            bucket, x = docs[rows[i]]
+            x = x / norms[rows[i]]
             margin = signs[i] * scale * (x @ w[bucket])
             scale *= 1 - rate * decay
             if margin < 1:
@@ -99,11 +100,11 @@ def _vector(features: Features, text: str) -> Vector:
     return features.of_text(_cut(text), _extra(features))
 
 
-def train(raw: list[Vector], langs: list[str], features: Features, seed: int = 5) -> Model:
+def train(raw: Sequence[Vector], langs: list[str], features: Features, seed: int = 5) -> Model:
     """Fit all machines to the feature vectors of texts."""
     rng = np.random.default_rng(seed)
     size = 1 << features.bits
-    unit = [(b, w / np.sqrt(w @ w)) for b, w in raw]
+    norms = np.array([np.sqrt(w @ w) for _, w in raw], np.float32)
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         members.setdefault(family(lang), []).append(lang)
@@ -114,9 +115,9 @@ def train(raw: list[Vector], langs: list[str], features: Features, seed: int = 5
 
     def add(use: np.ndarray, signs: np.ndarray) -> None:
         rows = np.flatnonzero(use)
-        w = _machine([unit[i] for i in rows], signs[rows], size, rng) if len(set(signs[rows])) > 1 else np.zeros(size)
+        w = _machine(raw, rows, norms, signs[rows], size, rng) if len(set(signs[rows])) > 1 else np.zeros(size)
         columns.append(w)
-        margins = np.array([abs(raw[i][1] @ w[raw[i][0]]) for i in rows])  # averages, as in prediction
+        margins = np.array([abs(x @ w[bucket]) for bucket, x in (raw[i] for i in rows)])  # averages, as in prediction
         scale.append(max(float(np.median(margins)) / 4, 1e-12) if len(rows) else 1.0)
 
     for f in families:

@@ -7,7 +7,7 @@ adds one common n-gram, as the pair is the same pattern whatever the word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -45,7 +45,7 @@ def _vector(features: Features, text: str) -> Vector:
     return features.of_text(words, _extra(features, words))
 
 
-def train(docs: list[Vector], labels: list[int], prior: tuple[float, float], features: Features,
+def train(docs: Sequence[Vector], labels: list[int], prior: tuple[float, float], features: Features,
           dim: int = 16, epochs: int = 5, least_steps: int = 2000, rate: float = 2.0, seed: int = 7) -> Model:
     """Fit vectors and output to the feature vectors of documents, by stochastic gradient descent over single ones.
 

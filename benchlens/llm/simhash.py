@@ -146,6 +146,21 @@ def near_links(codes: DataFrame, distance: int = 2, segments: int = 8) -> DataFr
     return got.select(back("x").alias("u"), back("y").alias("v")).distinct()
 
 
+def _grouped(docs: DataFrame, id_cols: list[str], text_col: str = "text", shingle: int = 3, distance: int = 2,
+             segments: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Written rows (``id_cols``, ``fingerprint``) and the ``component_id`` of each different fingerprint."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "fingerprints")
+    fingerprints(docs, id_cols, text_col, shingle).write.parquet(path)
+    rows = spark.read.parquet(path)
+    least = rows.groupBy("fingerprint").agg(F.min(id_cols[0]).alias("_least"))
+    roots = components(near_links(least.select("fingerprint"), distance, segments))
+    in_group = least.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "_least", F.coalesce("root", "fingerprint").alias("_root"))
+    names = in_group.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return rows, in_group.join(names, "_root").select("fingerprint", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "text", shingle: int = 3,
                     distance: int = 2, segments: int = 8) -> DataFrame:
     """Every row's ``id_cols``, ``fingerprint`` (signed long), ``component_id``.
@@ -160,17 +175,8 @@ def near_duplicates(docs: DataFrame, id_cols: list[str] | None = None, text_col:
     written once to the shared scratch folder.
     """
     id_cols = id_cols or ["doc_id"]
-    spark = docs.sparkSession
-    path = scratch_path(spark, "fingerprints")
-    fingerprints(docs, id_cols, text_col, shingle).write.parquet(path)
-    rows = spark.read.parquet(path)
-    least = rows.groupBy("fingerprint").agg(F.min(id_cols[0]).alias("_least"))
-    roots = components(near_links(least.select("fingerprint"), distance, segments))
-    in_group = least.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "_least", F.coalesce("root", "fingerprint").alias("_root"))
-    names = in_group.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows.join(in_group.join(names, "_root").select("fingerprint", "component_id"), "fingerprint").select(
-        *id_cols, "fingerprint", "component_id")
+    rows, groups = _grouped(docs, id_cols, text_col, shingle, distance, segments)
+    return rows.join(groups, "fingerprint").select(*id_cols, "fingerprint", "component_id")
 
 
 def hex_fingerprint(c: str = "fingerprint") -> Column:
@@ -190,5 +196,6 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     rows = spark.read.parquet(path)
     place = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(row).alias("r"))
     ids = rows.select(place.alias("_place"), F.col(row), F.col(text_col))
-    kept = near_duplicates(ids, ["_place"], text_col, **options).select(F.col("component_id.r").alias(row)).distinct()
+    groups = _grouped(ids, ["_place"], text_col, **options)[1]  # each group's least place is all that is kept of it
+    kept = groups.select(F.col("component_id.r").alias(row)).distinct()
     return rows.join(kept, row, "left_semi").drop(row)

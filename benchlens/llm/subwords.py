@@ -8,6 +8,8 @@ the mapped vectors, so scoring needs only one small row per distinct word.
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -113,13 +115,42 @@ class AverageScorer:
         return out
 
 
+class Vectors(Sequence[Vector]):
+    """Vectors in a scratch file of this process, so that its memory does not grow with their number and size.
+
+    The file goes with the object. Each access gives views of the mapped file, which no one may write to.
+    """
+
+    def __init__(self, vectors: Iterable[Vector]):
+        self._file = tempfile.TemporaryFile()
+        ends = [0]
+        for bucket, weight in vectors:
+            self._file.write(bucket.astype(np.int32, copy=False).tobytes())
+            self._file.write(weight.astype(np.float32, copy=False).tobytes())
+            ends.append(ends[-1] + bucket.size)
+        self._file.flush()
+        self._ends = np.array(ends)
+        self._map = mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ) if ends[-1] else b""
+
+    def __len__(self) -> int:
+        return len(self._ends) - 1
+
+    def __getitem__(self, i: int) -> Vector:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        first, end = int(self._ends[i]), int(self._ends[i + 1])
+        n = end - first
+        return np.ndarray(n, np.int32, self._map, 8 * first), np.ndarray(n, np.float32, self._map, 8 * first + 4 * n)
+
+
 def collect_vectors(rows: DataFrame, features: Features, vector: Callable[[Features, str], Vector],
-                    at_once: int = 8192) -> tuple[pa.Table, list[Vector]]:
+                    at_once: int = 8192) -> tuple[pa.Table, Vectors]:
     """The columns of ``rows`` but ``_text``, and ``vector`` of each row's whole ``_text``, on the driver.
 
     For a bounded sample of rows. A text of over ``at_once`` bytes whose vector
     is smaller is sent as that vector, formed in its task: an entry for each
-    bucket at most, however long the text.
+    bucket at most, however long the text. The driver keeps the vectors in a
+    scratch file and holds one at a time.
     """
     own = [f for f in rows.schema if f.name != "_text"]
     schema = T.StructType([*own, T.StructField("_text", T.StringType()), T.StructField("_bucket", T.BinaryType()),
@@ -139,8 +170,9 @@ def collect_vectors(rows: DataFrame, features: Features, vector: Callable[[Featu
 
     got = rows.select(*[f.name for f in own], "_text").mapInArrow(form, schema).toArrow()
     got = got.sort_by([(f.name, "ascending") for f in own])
-    docs = [vector(features, t) if t is not None else (np.frombuffer(b, np.int32), np.frombuffer(w, np.float32))
-            for t, b, w in zip(*(got[c].to_pylist() for c in ("_text", "_bucket", "_weight")))]
+    docs = Vectors(vector(features, t) if t is not None else (np.frombuffer(b, np.int32), np.frombuffer(w, np.float32))
+                   for part in slices(got.select(["_text", "_bucket", "_weight"]).to_batches(), 64)
+                   for t, b, w in zip(*(c.to_pylist() for c in part.columns)))
     return got.select([f.name for f in own]), docs
 
 

@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from benchlens.llm import language, quality
-from benchlens.llm.subwords import AverageScorer, Features
+from benchlens.llm.subwords import AverageScorer, Features, collect_vectors
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,6 +112,30 @@ def test_copies_do_not_displace_the_fitted_texts(spark, monkeypatch):
     assert fitted == [sorted(str(language._vector(features, t)) for t in [*texts, "copied text"])]
 
 
+def test_fitted_vectors_lie_in_a_file(spark):
+    """What a sample's texts are made into is mapped from a file: the driver's memory does not grow with them."""
+    texts = [" ".join(f"word{i}x{j}" for j in range(5000)) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_hash long, _text string")
+    features = Features()
+    keys, got = collect_vectors(rows, features, quality._vector)
+    assert keys["_hash"].to_pylist() == list(range(60)) and len(got) == 60
+    size = 0
+    for text, (bucket, weight) in zip(texts, got):
+        assert bucket.base is not None and weight.base is not None and not bucket.flags.owndata and not weight.flags.writeable
+        want = quality._vector(features, text)
+        assert np.array_equal(bucket, want[0]) and np.array_equal(weight, want[1])
+        size += bucket.nbytes + weight.nbytes
+    del text, bucket, weight, want
+    tracemalloc.start()
+    _, again = collect_vectors(rows, features, quality._vector)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(again) == 60 and held < size / 4
+    with pytest.raises(IndexError):
+        got[60]
+    assert list(collect_vectors(rows.limit(0), features, quality._vector)[1]) == []
+
+
 def test_long_texts_are_fitted_whole(spark, monkeypatch):
     """A long text of few words travels as its vector; both models learn from what stands at its very end."""
     rows = [(i, "good plain words " * 4000 + (f"end{i} " if i % 2 else f"fin{i} "), i % 2) for i in range(8)]
