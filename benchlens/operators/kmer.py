@@ -26,6 +26,8 @@ from benchlens.operators.ordered import materialize, running, top_n_per_group
 
 PIECE = 65_536  # characters of a text that are expanded into k-mers at once
 CELL_BITS = 12  # low bits of a chunk's number, inside which neighbouring chunks are joined
+STRETCH = 64  # most k-mers in one run of a shared minimizer
+_AT_ONCE = 1_000_000  # k-mers that are counted at once behind the shuffle
 _MOST_COUNTS = 500_000  # different k-mers that a task holds before it passes their counts on
 
 
@@ -144,7 +146,7 @@ def top_kmers(freq: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
 
 
 def minimizer_runs(seq: str, k: int, m: int) -> list[tuple[int, str]]:
-    """(minimizer's hash, characters) of each run of neighbouring k-mers that share their minimizer."""
+    """(minimizer's hash, characters) of each run of neighbouring k-mers that share their minimizer, at most ``STRETCH`` in one."""
     points = np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if points.size < k:
         return []
@@ -160,10 +162,107 @@ def minimizer_runs(seq: str, k: int, m: int) -> list[tuple[int, str]]:
         least = np.minimum(least[:-step], least[step:])
         wide += step
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    parts = -(-np.diff(starts, append=least.size) // STRETCH)
+    if parts.max() > 1:
+        first = np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + STRETCH * (np.arange(first.size) - first)
     ends = [*starts[1:].tolist(), least.size]
     return [(b, seq[s:e + k - 1]) for b, s, e in zip(least[starts].view(np.int64).tolist(), starts.tolist(), ends)]
 
 
+def _sums(runs: pa.StringArray, times: np.ndarray, k: int) -> tuple[pa.StringArray, np.ndarray]:
+    """The different k-mers of ``runs`` (each of k characters at least) and how often they occur; a run counts ``times``."""
+    bounds = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset:runs.offset + len(runs) + 1].astype(np.int64)
+    raw = np.frombuffer(runs.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
+    lead = (raw & 0xC0) != 0x80
+    at = np.append(np.flatnonzero(lead), raw.size)  # byte of each character
+    of_run = np.append(0, np.cumsum(lead))[bounds - bounds[0]]
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    bits = max(1, int(points.max()).bit_length())
+    wide, word = 1, points  # ``wide`` neighbouring characters as one number, by doubling
+    most = min(k, 64 // bits)
+    while wide < most:
+        step = min(wide, most - wide)
+        word = word[:word.size - step] << np.uint64(bits * step) | (word[step:] & np.uint64((1 << bits * step) - 1))
+        wide += step
+    n = np.diff(of_run) - (k - 1)
+    starts = np.repeat(of_run[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    words = [word[starts + j] for j in sorted({*range(0, k - wide + 1, wide), k - wide})]
+    mixed = np.zeros(starts.size, np.uint64)
+    for w in words:
+        mixed = (mixed ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+
+    def news(order: np.ndarray) -> np.ndarray:
+        new = np.zeros(order.size, bool)
+        new[0] = True
+        for w in words:
+            w = w[order]
+            new[1:] |= w[1:] != w[:-1]
+        return new
+
+    order = np.argsort(mixed)
+    new, mixed = news(order), mixed[order]
+    if (new[1:] & (mixed[1:] == mixed[:-1])).any():  # different k-mers of one hash
+        order = np.lexsort(words)
+        new = news(order)
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(np.repeat(times, n)[order], first)
+    begin = starts[order[first]]
+    size = at[begin + k] - at[begin]
+    ends = np.cumsum(size)
+    data = raw[np.repeat(at[begin] - (ends - size), size) + np.arange(ends[-1])]
+    return pa.StringArray.from_buffers(first.size, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)), sums
+
+
+def _changes(b: pa.RecordBatch, columns: int) -> np.ndarray:
+    """Rows at which the first ``columns`` columns differ from the row before; the first row is one."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for i in range(columns):
+        codes = b.column(i).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _counted(batches: Iterable[pa.RecordBatch], by: int, k: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows (by..., bucket, run, c), sorted by the first ``by`` columns and bucket, as (by..., kmer, n)."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, _AT_ONCE
+
+    def counts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.StringArray, np.ndarray]]:
+        starts = _changes(b, by)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+            yield s, *_sums(b.column(by + 1).slice(s, e - s), b.column(by + 2).slice(s, e - s).to_numpy(), k)
+
+    def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for s, kmers, n in counts(b):
+            place = pa.array(np.full(len(kmers), s))
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(place) for i in range(by)], kmers, pa.array(n)], names=schema.names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += len(b.column(by + 1).buffers()[2] or b"") // 4  # a run's k-mers are about a fourth of its characters
+        if size < limit:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cut = int(_changes(whole, by + 1)[-1])
+        if cut:  # all but the last minimizer are complete
+            yield from rows(whole.slice(0, cut))
+            rest, limit = whole.slice(cut), _AT_ONCE
+            held = [rest.take(pa.array(np.arange(rest.num_rows)))]
+        else:  # one minimizer only: its different k-mers stay
+            (_, kmers, n), = counts(whole)
+            place = pa.array(np.zeros(len(kmers), np.int64))
+            held = [pa.RecordBatch.from_arrays([*[whole.column(i).take(place) for i in range(by + 1)], kmers, pa.array(n)], schema=whole.schema)]
+            limit = max(_AT_ONCE, 2 * len(kmers) * k // 4)
+        size = len(held[0].column(by + 1).buffers()[2] or b"") // 4
+    if held:
+        yield from rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The counts of ``kmer_counts`` for large ``k``: (by..., kmer, n), with runs of the text in the shuffle.
 
@@ -172,7 +271,9 @@ def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by:
     runs of them; a run of r k-mers is shuffled as r + k - 1 characters instead
     of r * k, by its minimizer's hash, and cut into its k-mers there. Equal
     k-mers have equal minimizers, so they meet without another shuffle. Equal
-    runs are added up in a task before the shuffle.
+    runs are added up in a task before the shuffle. Behind it runs come sorted
+    by minimizer and are counted some minimizers at a time; a task holds about
+    ``_AT_ONCE`` k-mers, or the different ones of one minimizer if these are more.
     """
     by = list(by)
     m = m or max(1, (k + 1) // 2)
@@ -203,8 +304,9 @@ def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by:
             yield rows()
 
     found = df.select(*by, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
-    each = found.repartition(*by, "bucket").select(*by, "bucket", "c", F.explode(all_kmers(F.col("run"), k)).alias("kmer"))
-    return each.groupBy(*by, "bucket", "kmer").agg(F.sum("c").alias("n")).drop("bucket")
+    counted = T.StructType([*[df.schema[c] for c in by], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
+    dealt = found.repartition(*by, "bucket").sortWithinPartitions(*by, "bucket")
+    return dealt.mapInArrow(lambda batches: _counted(batches, len(by), k, counted), counted)
 
 
 def probe_counts(df: DataFrame, text: str, probes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from benchlens.operators import kmer as K
 
@@ -120,6 +122,27 @@ def test_minimizers_shuffle_runs_of_text(spark):
     assert sum(len(x) for _, x in runs) < 5 * len(text)  # k-mers by themselves: 18 times the text
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1_000_000])
+def test_runs_are_counted_some_minimizers_at_a_time(spark, monkeypatch, at_once):
+    """Behind the shuffle no row is made for each k-mer; a minimizer's runs may come in many batches."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(abc) for _ in range(200)) for abc in ("AB", "ABé", "AB日\U00010437", "ABCDEFGHIJ") for _ in range(4)] + ["A" * 500, "A" * 500]
+    rows = [(g, b, run, c) for g, some in ((None, texts), (1, texts[:9])) for b, run, c in
+            sorted((b, run, 1 + len(run) % 3) for t in some for b, run in K.minimizer_runs(t, 18, 9))]
+    assert max(len(r[2]) for r in rows) <= K.STRETCH + 17
+    want: Counter = Counter()
+    for g, _, run, c in rows:
+        for i in range(len(run) - 17):
+            want[g, run[i:i + 18]] += c
+    source = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.string(), pa.int64()])], names=["g", "bucket", "run", "c"])
+    monkeypatch.setattr(K, "_AT_ONCE", at_once)
+    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
+    got = [r for b in K._counted((source.slice(i, 7) for i in range(0, len(rows), 7)), 1, 18, schema) for r in b.to_pylist()]
+    assert len(got) == len(want) and {(r["g"], r["kmer"]): r["n"] for r in got} == want
+    plan = K.minimized_counts(spark.createDataFrame([("ACGT",)], "t string"), "t", 18)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Generate" not in plan and "HashAggregate" not in plan
+
+
 def test_pieces_of_a_long_text(spark, monkeypatch):
     from collections import Counter
 
