@@ -22,12 +22,18 @@ from benchlens.functions.scalar import upper_chars
 from benchlens.operators.joins import group_join
 from benchlens.operators.matching import count_patterns
 from benchlens.operators.ordered import materialize, running, top_n_per_group
+from benchlens.session import target_partitions
 
 
 PIECE = 65_536  # characters of a text that are expanded into k-mers at once
 CELL_BITS = 12  # low bits of a chunk's number, inside which neighbouring chunks are joined
 STRETCH = 64  # most k-mers in one run of a shared minimizer
-_AT_ONCE = 1_000_000  # k-mers that are counted at once behind the shuffle
+_AT_ONCE = 131_072  # k-mers that are counted at once behind the shuffle
+_HELD = 8 << 20  # bytes of text whose runs a task packs at once
+_MOST_GROUPS = 4_096  # groups that a task packs at once
+_BUCKETS = 1_024  # least number of buckets of minimizers
+_PARTS = np.uint64(256)  # parts of a bucket
+_LEVEL = 1  # of compression
 _MOST_COUNTS = 500_000  # different k-mers that a task holds before it passes their counts on
 
 
@@ -145,74 +151,329 @@ def top_kmers(freq: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return top_n_per_group(freq, by, [F.col("n").desc(), F.col("kmer").asc()], n)
 
 
+def _hashes(points: np.ndarray, m: int) -> np.ndarray:
+    """The hash of each m-mer, of sums that are doubled in width or made one wider."""
+    odd = 0x9E3779B97F4A7C15
+    mixed, wide = points + np.uint64(1), 1
+    for bit in bin(m)[3:]:
+        mixed = mixed[:-wide] * np.uint64(pow(odd, wide, 1 << 64)) + mixed[wide:]
+        wide *= 2
+        if bit == "1":
+            mixed = mixed[:-1] * np.uint64(odd) + points[wide:]
+            wide += 1
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def _least(x: np.ndarray, most: int) -> np.ndarray:
+    """The least of each ``most`` neighbours, by doubling."""
+    wide = 1
+    while wide < most:
+        step = min(wide, most - wide)
+        x = np.minimum(x[:-step], x[step:])
+        wide += step
+    return x
+
+
+def _least_hashes(points: np.ndarray, k: int, m: int) -> np.ndarray:
+    """The hash of the minimizer of each k-mer, the first of its m-mers in an order by hash (``points``: k characters at least).
+
+    M-mers whose own least s-mer (a third as long) is the middle one come first, then those where it is the first or last: such
+    m-mers are rarely near each other, so longer runs of k-mers share one.
+    """
+    size = max(1, m // 3)
+    short, n = _hashes(points, size), points.size - m + 1
+    least = _least(short, m - size + 1)
+    middle, last = (m - size) // 2, m - size
+    late = (short[middle:middle + n] != least).astype(np.uint64)
+    late += (late != 0) & (short[:n] != least) & (short[last:last + n] != least)
+    return _least(_hashes(points, m) >> np.uint64(2) | late << np.uint64(62), k - m + 1)
+
+
+def _stretches(least: np.ndarray, whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First k-mer and number of k-mers of each run of ``whole`` ones with one hash, at most ``STRETCH`` in one and none over ``ends``."""
+    change = np.ones(least.size + 1, bool)
+    change[1:-1] = (least[1:] != least[:-1]) | ~whole[1:] | ~whole[:-1]
+    change[ends[ends < least.size]] = True
+    borders = np.flatnonzero(change)
+    starts, sizes = borders[:-1], np.diff(borders)
+    starts, sizes = starts[whole[starts]], sizes[whole[starts]]
+    if sizes.size and sizes.max() > STRETCH:
+        parts = -(-sizes // STRETCH)
+        place = STRETCH * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        starts = np.repeat(starts, parts) + place
+        sizes = np.minimum(np.repeat(sizes, parts) - place, STRETCH)
+    return starts, sizes
+
+
 def minimizer_runs(seq: str, k: int, m: int) -> list[tuple[int, str]]:
     """(minimizer's hash, characters) of each run of neighbouring k-mers that share their minimizer, at most ``STRETCH`` in one."""
-    points = np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = np.frombuffer(seq.encode("utf-32-le"), "<u4").astype(np.uint64)
     if points.size < k:
         return []
-    n = points.size - m + 1
-    least = np.zeros(n, np.uint64)
-    for i in range(m):
-        least = least * np.uint64(0x9E3779B97F4A7C15) + points[i:i + n] + np.uint64(1)
-    least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    least ^= least >> np.uint64(32)
-    wide = 1  # least hash over ``wide`` neighbouring m-mers, by doubling
-    while wide < k - m + 1:
-        step = min(wide, k - m + 1 - wide)
-        least = np.minimum(least[:-step], least[step:])
-        wide += step
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    parts = -(-np.diff(starts, append=least.size) // STRETCH)
-    if parts.max() > 1:
-        first = np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + STRETCH * (np.arange(first.size) - first)
-    ends = [*starts[1:].tolist(), least.size]
-    return [(b, seq[s:e + k - 1]) for b, s, e in zip(least[starts].view(np.int64).tolist(), starts.tolist(), ends)]
+    least = _least_hashes(points, k, m)
+    starts, sizes = _stretches(least, np.ones(least.size, bool), np.zeros(0, np.int64))
+    return [(b, seq[s:s + n + k - 1]) for b, s, n in zip(least[starts].view(np.int64).tolist(), starts.tolist(), sizes.tolist())]
+
+
+def _between(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(size)
+    steps = np.ones(ends[-1] if size.size else 0, np.int64)
+    if size.size:
+        steps[0] = begin[0]
+        steps[ends[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
+    return np.cumsum(steps, out=steps)
+
+
+def _utf8(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, and where each begins and ends in them."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    return raw, bounds - bounds[0]
+
+
+def _windows(raw: np.ndarray, bounds: np.ndarray, k: int, m: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs of the texts in ``raw``, some ``PIECE`` bytes at once, as (from byte, to byte, starts, sizes, minimizers' hashes, runs' hashes).
+
+    Starts (in bytes, from the window's first) and sizes (in bytes) are those of the runs; none reaches over a text's end.
+    """
+    power = np.cumprod(np.append(np.uint64(1), np.full(PIECE + 4 * k + 8, 0x9E3779B97F4A7C15, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(PIECE + 4 * k + 8, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)))
+
+    def border(at: int) -> int:  # of a character
+        while 0 < at < raw.size and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return min(at, raw.size)
+
+    low, high = 0, 0
+    while high < raw.size:
+        low, high = high, border(high + max(PIECE, 4))
+        end = border(high + 4 * k)
+        points = np.frombuffer(raw[low:end].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        if points.size < k:
+            continue
+        at = np.append(np.flatnonzero((raw[low:end] & 0xC0) != 0x80), end - low)  # byte of each character
+        least = _least_hashes(points, k, m)[:np.searchsorted(at, high - low)]
+        ends = np.searchsorted(at, bounds[np.searchsorted(bounds, low, "right"):np.searchsorted(bounds, end, "right")] - low)
+        over = np.bincount(np.clip(ends - k + 1, 0, least.size), minlength=least.size + 1)
+        over -= np.bincount(np.minimum(ends, least.size), minlength=least.size + 1)
+        starts, sizes = _stretches(least, np.cumsum(over)[:-1] == 0, ends)
+        if not starts.size:
+            continue
+        sums = np.append(np.uint64(0), np.cumsum(points * power[:points.size]))
+        own = (sums[starts + sizes + k - 1] - sums[starts]) * back[starts]
+        yield low, end, at[starts], at[starts + sizes + k - 1] - at[starts], least[starts], own
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then the next and so on."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _packed(batches: Iterable[pa.RecordBatch], by: int, k: int, m: int, buckets: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows (by..., text) as (by..., bucket, rows, size, about, runs): the different runs of some ``_HELD`` bytes of text, one row for each bucket.
+
+    ``runs`` has the characters in the order of the parts, ``about`` for each run the step to its part of the bucket, its size and
+    how often it occurs; both are compressed.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    groups: dict[tuple, int] = {}
+    types: list[pa.DataType] = []
+    packer = pa.Codec("zstd", _LEVEL)
+    size = 0
+
+    def found() -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+        """(group, bucket, rows, size, about, runs)"""
+        bases = np.cumsum([0, *[w[0].size for w in held]])
+        raw = np.concatenate([w[0] for w in held])
+        start = np.concatenate([w[1] + base for w, base in zip(held, bases.astype(np.uint32))])
+        sizes, part, own = (np.concatenate([w[i] for w in held]) for i in (2, 3, 4))
+        held.clear()
+        n = start.size
+        least_bits, part_bits = n.bit_length(), int(part.max()).bit_length()
+        spare = 64 - part_bits - least_bits
+        if part_bits and spare > 0:  # by part, equal runs beside each other, as one number
+            order = part << np.uint64(64 - part_bits) | own >> np.uint64(64 - spare) << np.uint64(least_bits) | np.arange(n, dtype=np.uint64)
+            order.sort()
+            order = (order & np.uint64((1 << least_bits) - 1)).view(np.int64)
+        else:
+            order = np.lexsort((own, part))
+        start, sizes, part, own = (x[order] for x in (start, sizes, part, own))
+        new = np.ones(n, bool)
+        new[1:] = (own[1:] != own[:-1]) | (sizes[1:] != sizes[:-1]) | (part[1:] != part[:-1])
+        for some in np.array_split(like := np.flatnonzero(~new), like.size // 65_536 + 1):  # one hash: compared
+            if some.size:
+                size, one, other = (x.astype(np.int64) for x in (sizes[some], start[some], start[some - 1]))
+                new[some] = np.logical_or.reduceat(raw[_between(one, size)] != raw[_between(other, size)], np.cumsum(size) - size)
+        first = np.flatnonzero(new)
+        start, sizes, part, times = start[first].astype(np.int64), sizes[first].astype(np.int64), part[first], np.diff(first, append=n)
+        borders = np.flatnonzero(np.append(True, part[1:] // _PARTS != part[:-1] // _PARTS))
+        for s, e in zip(borders.tolist(), [*borders[1:].tolist(), first.size]):
+            chars = raw[_between(start[s:e], sizes[s:e])]
+            steps = np.diff((part[s:e] % _PARTS).astype(np.uint8), prepend=np.uint8(0))
+            about = b"".join([steps.tobytes(), _planes(sizes[s:e]), _planes(times[s:e])])
+            yield (*divmod(int(part[s]) // int(_PARTS), buckets), e - s, chars.size, packer.compress(about, asbytes=True),
+                   packer.compress(chars, asbytes=True))
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        names, some = list(groups), []
+
+        def batch() -> pa.RecordBatch:
+            group, *columns = zip(*some)
+            keys = list(zip(*[names[g] for g in group]))
+            some.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *columns], [*types, *[pa.int32()] * 3, *[pa.binary()] * 2])],
+                                              names=schema.names)
+
+        for row in found() if held else ():
+            some.append(row)
+            if len(some) >= 128:
+                yield batch()
+        if some:
+            yield batch()
+        groups.clear()
+
+    for b in batches:
+        types = [b.schema.field(i).type for i in range(by)]
+        raw, bounds = _utf8(b.column(by))
+        keys = list(zip(*[b.column(i).to_pylist() for i in range(by)])) if by else [()]
+        own = np.zeros(0, np.uint64)
+        for low, end, start, sizes, least, hashes in _windows(raw, bounds, k, m):
+            part = (least >> np.uint64(8)) % np.uint64(buckets) * _PARTS + least % _PARTS
+            if by:
+                of = np.searchsorted(bounds, start + low, "right") - 1
+                near = range(int(of[0]), int(of[-1]) + 1)
+                own = np.array([groups.setdefault(keys[i], len(groups)) for i in near], np.uint64)
+                part += own[of - near[0]] * np.uint64(buckets) * _PARTS
+            else:
+                groups.setdefault((), 0)
+            held.append((raw[low:end].copy(), start.astype(np.uint32), sizes.astype(np.uint32), part, hashes))
+            size += end - low
+            if size >= _HELD or len(groups) > _MOST_GROUPS:
+                yield from rows()
+                size = 0
+    yield from rows()
+
+
+def _shares(sizes: np.ndarray, most: int) -> list[int]:
+    """Borders that cut ``sizes`` into neighbours of about ``most`` in all."""
+    share = (np.cumsum(sizes) - 1) // most
+    return [*np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist(), sizes.size]
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows, sorted by the first ``by`` columns and bucket, as rows (by..., bucket, run, c); a bucket comes in some parts."""
+    packer = pa.Codec("zstd")
+    held: list[tuple[np.ndarray, ...]] = []
+    own: tuple | None = None
+    types: list[pa.DataType] = []
+
+    def batch(part: int, some: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        sizes, times, chars = (np.concatenate(x) for x in zip(*some))
+        bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([
+            *[pa.array([v] * sizes.size, t) for v, t in zip(own, types)], pa.array(np.full(sizes.size, own[-1] * int(_PARTS) + part, np.int64)),
+            pa.StringArray.from_buffers(sizes.size, pa.py_buffer(bounds), pa.py_buffer(chars)), pa.array(times.astype(np.int64))],
+            names=[*[f"_{i}" for i in range(by)], "bucket", "run", "c"])
+
+    def runs() -> Iterator[pa.RecordBatch]:
+        cuts = _shares(sum(np.bincount(part, weights=np.diff(ends), minlength=int(_PARTS)) for part, ends, _, _ in held), 2 * _AT_ONCE)
+        places = [np.searchsorted(part, cuts).tolist() for part, *_ in held]
+        for i, low in enumerate(cuts[:-1]):
+            some, size = [], 0
+            for place, (_, ends, times, chars) in zip(places, held):
+                for at in range(place[i], place[i + 1], _AT_ONCE):
+                    to = min(place[i + 1], at + _AT_ONCE)
+                    some.append((np.diff(ends[at:to + 1]), times[at:to], chars[ends[at]:ends[to]]))
+                    size += some[-1][2].size
+                    if size > 8 * _AT_ONCE:  # many runs in one part
+                        yield batch(low, some)
+                        some, size = [], 0
+            if some:
+                yield batch(low, some)
+        held.clear()
+
+    for b in batches:
+        types = [b.schema.field(i).type for i in range(by)]
+        for i, (*key, n, size) in enumerate(zip(*[c.to_pylist() for c in b.columns[:-2]])):
+            if held and tuple(key) != own:
+                yield from runs()
+            own = tuple(key)
+            about, chars = (c[i].as_buffer() for c in b.columns[-2:])
+            data = np.frombuffer(packer.decompress(about, 9 * n), np.uint8)
+            sizes, times = (np.ascontiguousarray(data[n * j:n * (j + 4)].reshape(4, n).T).view("<u4").ravel() for j in (1, 5))
+            held.append((np.cumsum(data[:n], dtype=np.uint8), np.append(0, np.cumsum(sizes)).astype(np.int32), times,
+                         np.frombuffer(packer.decompress(chars, size), np.uint8)))
+    if held:
+        yield from runs()
+
+
+def _characters(runs: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """The bytes and characters of ``runs``, the byte of each character (none if all have one) and the first character of each run."""
+    raw, bounds = _utf8(runs)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+    if points.size == raw.size:
+        return raw, points, None, bounds
+    lead = (raw & 0xC0) != 0x80
+    return raw, points, np.append(np.flatnonzero(lead), raw.size), np.append(0, np.cumsum(lead))[bounds]
 
 
 def _sums(runs: pa.StringArray, times: np.ndarray, k: int) -> tuple[pa.StringArray, np.ndarray]:
     """The different k-mers of ``runs`` (each of k characters at least) and how often they occur; a run counts ``times``."""
-    bounds = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset:runs.offset + len(runs) + 1].astype(np.int64)
-    raw = np.frombuffer(runs.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
-    lead = (raw & 0xC0) != 0x80
-    at = np.append(np.flatnonzero(lead), raw.size)  # byte of each character
-    of_run = np.append(0, np.cumsum(lead))[bounds - bounds[0]]
-    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
-    bits = max(1, int(points.max()).bit_length())
-    wide, word = 1, points  # ``wide`` neighbouring characters as one number, by doubling
+    raw, points, at, of_run = _characters(runs)
+    found = np.flatnonzero(np.bincount(points))
+    codes = np.zeros(int(found[-1]) + 1, np.uint64)
+    codes[found] = np.arange(found.size, dtype=np.uint64)
+    bits = max(1, (found.size - 1).bit_length())
+    wide, word = 1, codes[points]  # ``wide`` neighbouring characters as one number, by doubling
     most = min(k, 64 // bits)
     while wide < most:
         step = min(wide, most - wide)
-        word = word[:word.size - step] << np.uint64(bits * step) | (word[step:] & np.uint64((1 << bits * step) - 1))
+        rest = word[step:] if step == wide else word[step:] & np.uint64((1 << bits * step) - 1)
+        word = word[:word.size - step] << np.uint64(bits * step) | rest
         wide += step
     n = np.diff(of_run) - (k - 1)
-    starts = np.repeat(of_run[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    words = [word[starts + j] for j in sorted({*range(0, k - wide + 1, wide), k - wide})]
+    starts = _between(of_run[:-1], n)
+    words = [word[starts + j if j else starts] for j in sorted({*range(0, k - wide + 1, wide), k - wide})]
     mixed = np.zeros(starts.size, np.uint64)
     for w in words:
         mixed = (mixed ^ w) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-
-    def news(order: np.ndarray) -> np.ndarray:
-        new = np.zeros(order.size, bool)
-        new[0] = True
+    places = np.uint64((starts.size - 1).bit_length())  # a hash and a place in one number: sorted without a second array
+    mixed = mixed * np.uint64(0xBF58476D1CE4E5B9) >> places << places | np.arange(starts.size, dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64((1 << int(places)) - 1)).astype(np.int64)
+    mixed >>= places
+    new = np.ones(order.size, bool)
+    new[1:] = mixed[1:] != mixed[:-1]
+    like = np.flatnonzero(~new)
+    if any((w[order[like]] != w[order[like - 1]]).any() for w in words):  # different k-mers of one hash
+        order = np.lexsort(words)
+        new[1:] = False
         for w in words:
             w = w[order]
             new[1:] |= w[1:] != w[:-1]
-        return new
-
-    order = np.argsort(mixed)
-    new, mixed = news(order), mixed[order]
-    if (new[1:] & (mixed[1:] == mixed[:-1])).any():  # different k-mers of one hash
-        order = np.lexsort(words)
-        new = news(order)
     first = np.flatnonzero(new)
-    sums = np.add.reduceat(np.repeat(times, n)[order], first)
+    sums = np.diff(first, append=order.size) if (times == 1).all() else np.add.reduceat(np.repeat(times, n)[order], first)
     begin = starts[order[first]]
-    size = at[begin + k] - at[begin]
-    ends = np.cumsum(size)
-    data = raw[np.repeat(at[begin] - (ends - size), size) + np.arange(ends[-1])]
-    return pa.StringArray.from_buffers(first.size, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)), sums
+    if at is None:
+        data, bounds = _items(raw, begin, k), np.arange(0, k * first.size + 1, k)
+    else:
+        begin, size = at[begin], at[begin + k] - at[begin]
+        alike = np.argsort(size.astype(np.uint16), kind="stable")  # k-mers of as many bytes together
+        begin, size, sums = begin[alike], size[alike], sums[alike]
+        bounds = np.append(0, np.cumsum(size))
+        borders = np.flatnonzero(np.append(True, size[1:] != size[:-1])).tolist()
+        data = np.concatenate([_items(raw, begin[s:e], int(size[s])) for s, e in zip(borders, [*borders[1:], size.size])])
+    return pa.StringArray.from_buffers(first.size, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)), sums
+
+
+def _items(raw: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each of the places ``begin``, one after the other."""
+    return np.ndarray((raw.size - size + 1,), f"V{size}", raw, strides=(1,))[begin].view(np.uint8)
 
 
 def _changes(b: pa.RecordBatch, columns: int) -> np.ndarray:
@@ -225,42 +486,80 @@ def _changes(b: pa.RecordBatch, columns: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _dealt(runs: pa.StringArray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """The k-mers of ``runs`` by a byte of their hash: the bytes, where each begins, their sizes and times if not all k and 1, and borders."""
+    raw, points, at, of_run = _characters(runs)
+    n = np.diff(of_run) - (k - 1)
+    starts = _between(of_run[:-1], n)
+    kind = (_hashes(points.astype(np.uint64), k)[starts] >> np.uint64(56)).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    starts = starts[order]
+    begin, size = (starts, None) if at is None else (at[starts], (at[starts + k] - at[starts]).astype(np.uint32))
+    times = None if (times == 1).all() else np.repeat(times, n)[order]
+    return raw, begin.astype(np.uint32), size, times, np.append(0, np.cumsum(np.bincount(kind, minlength=256)))
+
+
+def _dealt_sums(dealt: list[tuple], k: int) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
+    """``_sums`` of dealt k-mers, about ``_AT_ONCE`` at a time."""
+    cuts = _shares(sum(np.diff(borders) for *_, borders in dealt), _AT_ONCE)
+    for low, high in zip(cuts, cuts[1:]):
+        some = []
+        for raw, begin, size, times, borders in dealt:
+            own = slice(borders[low], borders[high])
+            at = begin[own].astype(np.int64)
+            sizes = np.full(at.size, k) if size is None else size[own].astype(np.int64)
+            some.append((_items(raw, at, k) if size is None else raw[_between(at, sizes)], sizes, np.ones(at.size, np.int64) if times is None else times[own]))
+        data, sizes, times = (np.concatenate(x) for x in zip(*some))
+        if sizes.size:
+            bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield _sums(pa.StringArray.from_buffers(sizes.size, pa.py_buffer(bounds), pa.py_buffer(data)), times, k)
+
+
 def _counted(batches: Iterable[pa.RecordBatch], by: int, k: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
     """Rows (by..., bucket, run, c), sorted by the first ``by`` columns and bucket, as (by..., kmer, n)."""
     held: list[pa.RecordBatch] = []
-    size, limit = 0, _AT_ONCE
+    size = 0
+    large: list[tuple] = []  # dealt k-mers of a bucket that is too large to be counted at once
+    first: pa.RecordBatch | None = None  # its first row
 
-    def counts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.StringArray, np.ndarray]]:
-        starts = _changes(b, by)
+    def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        starts = _changes(b, by) if b.num_rows else np.zeros(0, np.int64)
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
-            yield s, *_sums(b.column(by + 1).slice(s, e - s), b.column(by + 2).slice(s, e - s).to_numpy(), k)
+            yield labelled(b.slice(s, 1), *_sums(b.column(by + 1).slice(s, e - s), b.column(by + 2).slice(s, e - s).to_numpy(), k))
 
-    def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for s, kmers, n in counts(b):
-            place = pa.array(np.full(len(kmers), s))
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(place) for i in range(by)], kmers, pa.array(n)], names=schema.names)
+    def labelled(row: pa.RecordBatch, kmers: pa.StringArray, n: np.ndarray) -> pa.RecordBatch:
+        place = pa.array(np.zeros(len(kmers), np.int64))
+        return pa.RecordBatch.from_arrays([*[row.column(i).take(place) for i in range(by)], kmers, pa.array(n)], names=schema.names)
 
-    for b in batches:
-        if not b.num_rows:
+    for b in chain(batches, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+            size += len(b.column(by + 1).buffers()[2] or b"") // 4  # a run's k-mers are about a fourth of its characters
+        if b is not None and size < _AT_ONCE or not held and not large:
             continue
-        held.append(b)
-        size += len(b.column(by + 1).buffers()[2] or b"") // 4  # a run's k-mers are about a fourth of its characters
-        if size < limit:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else first.slice(1)
+        held, size = [], 0
+        if large:
+            own = pa.Table.from_batches([first, whole]).combine_chunks().to_batches()[0]
+            more = int(np.append(_changes(own, by + 1), own.num_rows)[1]) - 1  # rows of the same bucket
+            if more:
+                large.append(_dealt(whole.column(by + 1).slice(0, more), whole.column(by + 2).slice(0, more).to_numpy(), k))
+            whole = whole.slice(more)
+            if whole.num_rows or b is None:
+                for kmers, n in _dealt_sums(large, k):
+                    yield labelled(first, kmers, n)
+                large = []
+        if not whole.num_rows:
             continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cut = int(_changes(whole, by + 1)[-1])
-        if cut:  # all but the last minimizer are complete
-            yield from rows(whole.slice(0, cut))
-            rest, limit = whole.slice(cut), _AT_ONCE
+        cut = whole.num_rows if b is None else int(_changes(whole, by + 1)[-1])
+        yield from rows(whole.slice(0, cut))  # all but the last bucket are complete
+        rest = whole.slice(cut)
+        if cut and rest.num_rows:
             held = [rest.take(pa.array(np.arange(rest.num_rows)))]
-        else:  # one minimizer only: its different k-mers stay
-            (_, kmers, n), = counts(whole)
-            place = pa.array(np.zeros(len(kmers), np.int64))
-            held = [pa.RecordBatch.from_arrays([*[whole.column(i).take(place) for i in range(by + 1)], kmers, pa.array(n)], schema=whole.schema)]
-            limit = max(_AT_ONCE, 2 * len(kmers) * k // 4)
-        size = len(held[0].column(by + 1).buffers()[2] or b"") // 4
-    if held:
-        yield from rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            size = len(held[0].column(by + 1).buffers()[2] or b"") // 4
+        elif rest.num_rows:  # one bucket only
+            first = rest.slice(0, 1).take(pa.array([0]))
+            large = [_dealt(rest.column(by + 1), rest.column(by + 2).to_numpy(), k)]
 
 
 def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -270,43 +569,22 @@ def minimized_counts(df: DataFrame, text: str, k: int, m: int | None = None, by:
     half of ``k``). Neighbouring k-mers mostly share it, so a text falls into
     runs of them; a run of r k-mers is shuffled as r + k - 1 characters instead
     of r * k, by its minimizer's hash, and cut into its k-mers there. Equal
-    k-mers have equal minimizers, so they meet without another shuffle. Equal
-    runs are added up in a task before the shuffle. Behind it runs come sorted
-    by minimizer and are counted some minimizers at a time; a task holds about
-    ``_AT_ONCE`` k-mers, or the different ones of one minimizer if these are more.
+    k-mers have equal minimizers, so they meet without another shuffle. A task
+    adds up equal runs and packs the runs of a bucket of minimizers into one
+    compressed row (``_packed``). Behind the shuffle rows come sorted by bucket and a
+    bucket's runs are counted some minimizers at a time, those of a frequent one by their
+    k-mers' hashes; a task holds the runs of a bucket and about ``_AT_ONCE`` k-mers.
     """
     by = list(by)
     m = m or max(1, (k + 1) // 2)
-    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("bucket", T.LongType()), T.StructField("run", T.StringType()),
-                           T.StructField("c", T.LongType())])
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        types: list[pa.DataType] = []
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*counts)) or [()] * len(types)
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            out = pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], names=schema.names)
-            counts.clear()
-            return out
-
-        for b in batches:
-            types = [*[b.schema.field(i).type for i in range(len(by))], pa.int64(), pa.string()]
-            groups = list(zip(*[b.column(i).to_pylist() for i in range(len(by))])) if by else [()] * b.num_rows
-            for group, value in zip(groups, b.column(len(by))):
-                seq = value.as_py() or ""
-                for at in range(0, len(seq) - k + 1, PIECE):
-                    counts.update([(*group, *r) for r in minimizer_runs(seq[at:at + PIECE + k - 1], k, m)])
-                    if len(counts) > _MOST_COUNTS:
-                        yield rows()
-        if counts:
-            yield rows()
-
-    found = df.select(*by, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
+    buckets = max(_BUCKETS, 2 * target_partitions(df.sparkSession))
+    schema = T.StructType([*[df.schema[c] for c in by], *[T.StructField(c, T.IntegerType()) for c in ("bucket", "rows", "size")],
+                           *[T.StructField(c, T.BinaryType()) for c in ("about", "runs")]])
+    found = df.select(*by, F.col(text).cast("string").alias("_text")).mapInArrow(
+        lambda batches: _packed(batches, len(by), k, m, buckets, schema), schema)
     counted = T.StructType([*[df.schema[c] for c in by], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
     dealt = found.repartition(*by, "bucket").sortWithinPartitions(*by, "bucket")
-    return dealt.mapInArrow(lambda batches: _counted(batches, len(by), k, counted), counted)
+    return dealt.mapInArrow(lambda batches: _counted(_unpacked(batches, len(by)), len(by), k, counted), counted)
 
 
 def probe_counts(df: DataFrame, text: str, probes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

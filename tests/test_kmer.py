@@ -143,6 +143,79 @@ def test_runs_are_counted_some_minimizers_at_a_time(spark, monkeypatch, at_once)
     assert plan.count("MapInArrow") == 2 and "Generate" not in plan and "HashAggregate" not in plan
 
 
+@pytest.mark.parametrize("k, piece, held, groups", [(1, 16, 100, 9), (2, 16, 1, 9), (7, 4, 300, 1), (18, 50, 1_000, 2), (18, 65_536, 1 << 20, 4_096)])
+def test_packed_runs_hold_every_kmer_once(monkeypatch, k, piece, held, groups):
+    """Whatever is packed at once: windows that cut texts, characters of 1 to 4 bytes at their borders, short, empty and missing texts."""
+    monkeypatch.setattr(K, "PIECE", piece)
+    monkeypatch.setattr(K, "_HELD", held)
+    monkeypatch.setattr(K, "_MOST_GROUPS", groups)
+    rnd = random.Random(k + piece)
+    texts = ["".join(rnd.choice(abc) for _ in range(rnd.randint(0, 90))) for abc in ("AB", "ABé", "日\U00010437", "ABCDEFGHIJ é") for _ in range(20)]
+    rows = [(rnd.choice([None, 1, 2, 3]), t) for t in [*texts, "A" * 400, "", None, "AC" * 90, *texts[:30]]]
+    want = Counter((g, t[i:i + k]) for g, t in rows if t for i in range(len(t) - k + 1))
+    fixed = [T.StructField("g", T.IntegerType())]
+    schema = T.StructType([*fixed, *[T.StructField(c, T.IntegerType()) for c in ("bucket", "rows", "size")],
+                           *[T.StructField(c, T.BinaryType()) for c in ("about", "runs")]])
+    source = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.string()])], names=["g", "t"])
+    packed = pa.Table.from_batches(K._packed((source.slice(i, 40) for i in range(0, len(rows), 40)), 1, k, (k + 1) // 2, 3, schema))
+    packed = packed.combine_chunks().sort_by([("g", "ascending"), ("bucket", "ascending")])
+    runs = list(K._unpacked(iter(packed.to_batches(max_chunksize=5)), 1))
+    got: Counter = Counter()
+    for r in (r for b in runs for r in b.to_pylist()):
+        for i in range(len(r["run"]) - k + 1):
+            got[r["_0"], r["run"][i:i + k]] += r["c"]
+    assert got == want
+    counted = [r for b in K._counted(iter(runs), 1, k, T.StructType([*fixed, T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())]))
+               for r in b.to_pylist()]
+    assert len(counted) == len(want) and {(r["g"], r["kmer"]): r["n"] for r in counted} == want
+
+
+def test_runs_are_packed_for_the_shuffle(spark):
+    """The shuffle takes compressed runs, one row for each bucket and not for each run: less than three times the text."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("ETAOINSHRDLU") for _ in range(rnd.randint(2, 9))) for _ in range(3_000)]
+    texts = [" ".join(rnd.choices(words, k=1_500)) for _ in range(300)]
+    out = K.minimized_counts(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t", 18)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found, todo = {}, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "ShuffleQueryStage":
+            node = node.plan()
+            found |= {c: node.metrics().apply(c).value() for c in ("shuffleBytesWritten", "shuffleRecordsWritten")}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < found["shuffleRecordsWritten"] <= 1_024
+    assert found["shuffleBytesWritten"] < 3 * sum(map(len, texts))
+
+
+def test_a_frequent_minimizer_is_counted_in_parts(monkeypatch):
+    """The k-mers of one minimizer are never counted all at once; between other minimizers they are still counted once."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(K, "_AT_ONCE", 2_000)
+    most, sums = [0], K._sums
+
+    def watched(runs, times, k):
+        most.append(sum(len(r) - k + 1 for r in runs.to_pylist()))
+        return sums(runs, times, k)
+
+    monkeypatch.setattr(K, "_sums", watched)
+    runs = lambda n, abc: ["".join(rnd.choice(abc) for _ in range(rnd.randint(18, 30))) for _ in range(n)]
+    rows = [(b, run, 1 + len(run) % 2) for b, some in enumerate([runs(50, "AB"), runs(9_000, "ABCD"), runs(5, "é"), runs(4_000, "ABé"), runs(40, "AB")]) for run in some]
+    want: Counter = Counter()
+    for _, run, c in rows:
+        for i in range(len(run) - 17):
+            want[run[i:i + 18]] += c
+    source = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64()])], names=["bucket", "run", "c"])
+    schema = T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
+    got: Counter = Counter()
+    for b in K._counted((pa.RecordBatch.from_pylist(rows, schema=source.schema) for rows in (source.slice(i, 100).to_pylist() for i in range(0, source.num_rows, 100))), 0, 18, schema):
+        for r in b.to_pylist():
+            got[r["kmer"]] += r["n"]
+    assert got == want
+    assert max(most) < 4 * K._AT_ONCE < len(want) / 4
+
+
 def test_pieces_of_a_long_text(spark, monkeypatch):
     from collections import Counter
 
